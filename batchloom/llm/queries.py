@@ -19,6 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), PackConfig(_tokenizer("byte_bpe_50k.json")))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm.simhash import near_duplicates
+
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from batchloom.llm.tokenfile import TokenFileConfig, token_file_digest
 
@@ -26,7 +32,7 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op5_token_files": op5_token_files}
+    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op5_token_files": op5_token_files}
 
 
 def oracle_sql() -> dict[str, str]:
