@@ -31,8 +31,14 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_digest(spark.read.parquet(f"{sf_dir}/documents.parquet"), TokenFileConfig(_tokenizer("byte_bpe_50k.json")))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm.tokencounts import token_counts
+
+    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op5_token_files": op5_token_files}
+    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op5_token_files": op5_token_files, "op7_token_counts": op7_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
