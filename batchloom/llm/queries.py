@@ -25,6 +25,13 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "fingerprint", "component_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm.linededup import LineConfig, without_copies
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return without_copies(docs.select("doc_id", "text"), LineConfig(), report="deleted")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from batchloom.llm.tokenfile import TokenFileConfig, token_file_digest
 
@@ -38,7 +45,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op5_token_files": op5_token_files, "op7_token_counts": op7_token_counts}
+    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op7_token_counts": op7_token_counts}
 
 
 def oracle_sql() -> dict[str, str]:
