@@ -44,8 +44,16 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm.toxicity import held_out, learn, scored
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    index = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored(docs, index).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op7_token_counts": op7_token_counts}
+    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
