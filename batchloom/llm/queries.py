@@ -52,8 +52,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, index).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm.pii import find
+
+    return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity}
+    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
