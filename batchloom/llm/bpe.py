@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import chain
 
 import numpy as np
 import regex
@@ -17,10 +18,11 @@ SPECIAL = "<|endoftext|>"
 # The word pattern of the tokenizer's byte-level splitter (fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _ANY = regex.compile(PATTERN).findall
-# The same for ASCII texts, where the standard module knows the classes.
-_ASCII = re.compile(r"'(?:[sdmt]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII).findall
-# Space characters that the two modules class apart.
-_ODD_SPACE = re.compile("[\x1c-\x1f]").search
+# The same with the classes of the first 256 code points spelt out, for the standard module.
+_LETTER, _NUMBER, _SPACE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+_LATIN = re.compile(f"'(?:[sdmt]|re|ve|ll)| ?[{_LETTER}]+| ?[{_NUMBER}]+| ?[^{_SPACE}{_LETTER}{_NUMBER}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+").findall
+# Beyond them, or with separators that some tables class as space, the full tables decide.
+_OTHER = re.compile("[^\x00-\x1b\x20-\xff]").search
 
 
 def words_of(text: str) -> list[str]:
@@ -32,13 +34,13 @@ def words_of(text: str) -> list[str]:
                 out.append(SPECIAL)
             out += words_of(part)
         return out
-    return _ASCII(text) if text.isascii() and not _ODD_SPACE(text) else _ANY(text)
+    return _ANY(text) if _OTHER(text) else _LATIN(text)
 
 
 class WordEncoder:
     """Ids of texts. At most ``max_words`` words are remembered; then it starts anew."""
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -68,30 +70,25 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the place where each text starts and the last ends."""
-        ids, ends, at = [], [0], 0
-        for text in texts:
-            part = self._one(text)
-            ids.append(part)
-            at += len(part)
-            ends.append(at)
-        return (np.concatenate(ids) if ids else np.zeros(0, np.uint32)), np.array(ends, np.int64)
-
-    def _one(self, text: str) -> np.ndarray:
-        words = words_of(text)
+        split = [words_of(t) for t in texts]
+        words = list(chain.from_iterable(split))
+        ends = np.zeros(len(texts) + 1, np.int64)
         if not words:
-            return np.zeros(0, np.uint32)
-        found = list(map(self.index.get, words))
-        if None in found:
-            if len(self.index) > self.max_words:
-                self._clear()
-                found = [None] * len(words)
-            self._learn(list(dict.fromkeys(w for w, k in zip(words, found) if k is None)))
-            found = list(map(self.index.__getitem__, words))
-        k = np.array(found, np.int64)
+            return np.zeros(0, np.uint32), ends
+        index = self.index
+        new = {w for w in words if w not in index}
+        if len(index) + len(new) > self.max_words:
+            self._clear()
+            index, new = self.index, set(words)
+        if new:
+            self._learn(list(new))
+        k = np.fromiter(map(index.__getitem__, words), np.int64, len(words))
         starts = self.starts[k]
         lengths = self.starts[k + 1] - starts
-        ends = np.cumsum(lengths)
-        return self.pool[np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1])]
+        stops = np.cumsum(lengths)
+        ids = self.pool[np.repeat(starts - (stops - lengths), lengths) + np.arange(stops[-1])]
+        ends[1:] = np.concatenate([[0], stops])[np.cumsum([len(x) for x in split])]
+        return ids, ends
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -185,10 +185,11 @@ def pack(df: DataFrame, config: PackConfig, id_col: str = "doc_id", text_col: st
 
         for b in batches:
             kind_of[:] = [b.schema.field(0).type]
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for doc_id, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    packer.add(doc_id, np.concatenate([own.encode([text])[0], end]))
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                ids, ends = own.encode(part.column(1).to_pylist())
+                for doc_id, s, e in zip(part.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                    packer.add(doc_id, np.concatenate([ids[s:e], end]))
                     if packer.size >= config.block:
                         rows = packer.solve(False)
                         if rows:

@@ -186,10 +186,11 @@ def write_tokens(df: DataFrame, folder: str, config: TokenFileConfig, id_col: st
             return row
 
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                piece = b.slice(at, 256)
-                for doc_id, text in zip(piece.column(0).to_pylist(), piece.column(1).to_pylist()):
-                    one = np.concatenate([own.encode([text])[0], end])
+            for at in range(0, b.num_rows, 128):
+                piece = b.slice(at, 128)
+                found, ends = own.encode(piece.column(1).to_pylist())
+                for doc_id, s, e in zip(piece.column(0).to_pylist(), ends[:-1].tolist(), ends[1:].tolist()):
+                    one = np.concatenate([found[s:e], end])
                     names.append(doc_id)
                     ids.append(one.astype(np.uint16) if one.max() < 1 << 16 else one)
                     size += len(one)
