@@ -58,9 +58,39 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm.editprint import with_edits
+
+    return with_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm.topk import top_k
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return top_k(vectors.where("vec_id % 100 = 0"), vectors)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op10_pii": op10_pii}
+    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op6_fingerprints": op6_fingerprints, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op9_top_k": op9_top_k, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_top_k": OP9_SQL}
