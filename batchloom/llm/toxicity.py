@@ -228,3 +228,16 @@ def scored(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(evidence, pa.string())], names)
 
     return docs.mapInArrow(run, schema)
+
+
+def clean(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with its columns."""
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for b in batches:
+            yield b.filter(pa.array([own.score(t or "")[0] < 0.5 for t in b.column(place).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
