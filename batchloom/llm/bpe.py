@@ -54,8 +54,14 @@ class WordEncoder:
         self.starts = np.zeros(1 << 14, np.int64)  # of each word in the pool, and the end of the last
         self.used = 0
 
+    def split(self, text: str) -> list[str]:
+        return words_of(text)
+
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+
     def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        found = self.ids_of(words)
         lengths = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
         first = len(self.index)
@@ -70,7 +76,7 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts in a row, and the place where each text starts and the last ends."""
-        split = [words_of(t) for t in texts]
+        split = [self.split(t) for t in texts]
         words = list(chain.from_iterable(split))
         ends = np.zeros(len(texts) + 1, np.int64)
         if not words:

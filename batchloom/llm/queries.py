@@ -19,6 +19,12 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), PackConfig(_tokenizer("byte_bpe_50k.json")))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from batchloom.llm.pieces import encode_and_decode
+
+    return encode_and_decode(spark.read.parquet(f"{sf_dir}/documents.parquet"), _tokenizer("piece_bpe_32k.model"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from batchloom.llm.simhash import near_duplicates
 
@@ -89,7 +95,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op6_fingerprints": op6_fingerprints, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op9_top_k": op9_top_k, "op10_pii": op10_pii}
+    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op6_fingerprints": op6_fingerprints, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op9_top_k": op9_top_k, "op10_pii": op10_pii}
 
 
 def oracle_sql() -> dict[str, str]:
