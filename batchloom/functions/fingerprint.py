@@ -31,11 +31,15 @@ def parse_line(line: str) -> dict[str, object]:
         return {"record": None, "parse_error": str(error), "record_fingerprint": hashlib.sha256(raw).digest()}
 
 
-@F.pandas_udf(PARSED)
-def parse_strict(lines: pd.Series) -> pd.DataFrame:
+def parse_strict(lines: str | Column) -> Column:
     """Strict parse of JSON lines, in Arrow batches: SQL's parsers accept trailing text and
     reformat numbers, so fingerprints would differ."""
-    return pd.DataFrame([parse_line(x) for x in lines], columns=["record", "parse_error", "record_fingerprint"])
+
+    @F.pandas_udf(PARSED)
+    def run(s: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([parse_line(x) for x in s], columns=["record", "parse_error", "record_fingerprint"])
+
+    return run(lines)
 
 
 def native(*columns: Column) -> Column:

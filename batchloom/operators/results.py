@@ -30,7 +30,7 @@ def records(answers: DataFrame, endpoint: str, parse_json: bool = False, metadat
 
 
 def embedded(answers: DataFrame, vectors: bool = True) -> DataFrame:
-    v = F.element_at(R.embeddings(F.col("response")), 1)
+    v = F.try_element_at(R.embeddings(F.col("response")), F.lit(1))
     parsed = F.try_parse_json("response")
     return answers.select("_index", (v if vectors else F.lit(None).cast("array<double>")).alias("embedding"), F.when(F.col("response").isNotNull(), F.size(v)).alias("dimensions"), F.try_variant_get(parsed, "$.id", "string").alias("request_id"), R.usage(parsed).alias("token_usage"), "call_id", "error", "metrics")
 

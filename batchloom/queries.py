@@ -230,9 +230,9 @@ def response_parse(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @_query("""SELECT conv_id, turn, length(text) AS prompt_tokens, length(text) + 1 AS completion_tokens, 2 * length(text) + 1 AS total_tokens,
-  CASE WHEN turn % 2 = 0 THEN length(text) % 7 END AS reasoning_tokens FROM conversations""")
+  CASE WHEN turn % 2 = 0 THEN length(text) % 7 ELSE -1 END AS reasoning_tokens FROM conversations""")
 def usage_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    return _chat_answers(spark, sf).withColumn("u", R.usage(F.try_parse_json("raw"))).select("conv_id", "turn", "u.*")
+    return _chat_answers(spark, sf).withColumn("u", R.usage(F.try_parse_json("raw"))).select("conv_id", "turn", "u.prompt_tokens", "u.completion_tokens", "u.total_tokens", F.coalesce("u.reasoning_tokens", F.lit(-1)).alias("reasoning_tokens"))
 
 
 @_query("""SELECT conv_id, turn, 'c' || turn AS id, 'f_' || role AS name, '{"x":1}' AS arguments FROM conversations WHERE (conv_id + turn) % 4 = 3""")
@@ -444,11 +444,11 @@ def reset_header_parse(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("header", F.round(RL.reset_seconds(F.col("header"), F.lit(2_000_000_000.0)), 9).alias("seconds"))
 
 
-@_query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id END AS requests_remaining, CAST(100 AS BIGINT) AS tokens_limit, CAST(user_id AS DOUBLE) AS requests_reset FROM events")
+@_query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id ELSE -1 END AS requests_remaining, CAST(100 AS BIGINT) AS tokens_limit, CAST(user_id AS DOUBLE) AS requests_reset FROM events")
 def rate_header_fields(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
     h = F.create_map(F.lit("X-RateLimit-Remaining-Requests"), F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string")).otherwise(F.lit("many")), F.lit("x-ratelimit-limit-tokens"), F.lit("100"), F.lit("LLM-x-ratelimit-reset-requests"), F.concat(F.col("user_id").cast("string"), F.lit("s")))
-    return e.select("event_id", RL.rate_headers(h, F.lit(2e9)).alias("h")).select("event_id", "h.requests_remaining", "h.tokens_limit", "h.requests_reset")
+    return e.select("event_id", RL.rate_headers(h, F.lit(2e9)).alias("h")).select("event_id", F.coalesce("h.requests_remaining", F.lit(-1)).alias("requests_remaining"), "h.tokens_limit", "h.requests_reset")
 
 
 @_query("""SELECT event_id, list_distinct(list_append(list_transform(range(CAST(floor(log2(event_id % 70 + 1)) AS BIGINT) + 1), lambda k: CAST(1 << CAST(k AS INTEGER) AS INTEGER)), CAST(event_id % 70 + 1 AS INTEGER))).list_sort().list_transform(lambda x: x::VARCHAR).array_to_string(',') AS levels FROM events""")
