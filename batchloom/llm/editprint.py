@@ -153,7 +153,7 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = free_name(df, "order__")
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("double"), F.lit(float(-(1 << 63)))).alias(key))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(docs.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n)))
+    cuts = sorted(set(docs.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n))) or [0.0]
     docs = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=key, outputCol="part").transform(docs).withColumn("part", -F.col("part").cast("int"))
     heads = sorted((r["part"], r["head"]) for r in docs.groupBy("part").agg(F.max(key).alias("head")).collect())
     ghosts = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]  # the part before takes it
