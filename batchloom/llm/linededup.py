@@ -1,8 +1,9 @@
 """Line dedup by alignment of document pairs.
 
 A text is cut into units: lines, and inside lines sentences. A unit of more than
-``long_words`` words is cut again after each word whose hash ends in three zero bits, so
-that a passage set into longer lines still shares units. The key of a unit is the hash of
+``long_words`` words is cut again after words that a sum over their first and last letter
+and length picks (about one in eight), so that a passage set into longer lines still
+shares units. The key of a unit is the hash of
 the shortest run of units that ends in it and has ``min_words`` words, so short sentences
 count only behind the same words.
 
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 
 from batchloom.llm.common import free_name, settle
 
-_BREAK = re.compile(r"\s*\n\s*|(?<=[.!?])[ \t]+").finditer
+_STOP = re.compile(r"[.!?](?=[ \t])").finditer
 _WORD = re.compile(r"\S+").finditer
 
 
@@ -54,40 +55,50 @@ def _short_key(raw: bytes) -> int:
 def units(text: str, config: LineConfig) -> list[tuple[int, int, int, bool, bool]]:
     """start, end, words, opens a line, closes a line - for each unit of a text."""
     out = []
-    at, opens = 0, True
-    edges = [(m.start(), m.end(), "\n" in m.group()) for m in _BREAK(text)]
-    edges.append((len(text), len(text), True))
-    for stop, then, line in edges:
-        n = len(text[at:stop].split())
-        if n > config.long_words:
-            words = list(_WORD(text, at, stop))
-            first = 0
-            for k, w in enumerate(words):
-                if k == n - 1 or k - first >= 4 and not xxhash.xxh32_intdigest(w.group().encode("utf-8", "surrogatepass")) & 7:
-                    out.append((words[first].start(), w.end(), k + 1 - first, opens and not first, line and k == n - 1))
-                    first = k + 1
-            opens = line
-        elif n:
-            out.append((at, stop, n, opens, line))
-            opens = line
-        elif line:
-            opens = True
-            if out and not out[-1][4]:
-                out[-1] = (*out[-1][:4], True)
-        at = then
+    most, start = config.long_words, 0
+    for line in text.split("\n"):
+        begin, start = start, start + len(line) + 1
+        own = line.strip()
+        if not own:
+            continue
+        at = begin + line.index(own[0])
+        end = at + len(own)
+        stops = [m.start() + 1 for m in _STOP(text, at, end)]
+        stops.append(end)
+        first = True
+        for stop in stops:
+            while text[at] in " \t":
+                at += 1
+            n = text.count(" ", at, stop) + 1
+            if n > most:
+                places = [m.span() for m in _WORD(text, at, stop)]
+                n = len(places)
+                last = 0
+                for k, (s, e) in enumerate(places):
+                    if k == n - 1 or k - last >= 4 and not (31 * ord(text[s]) + 17 * ord(text[e - 1]) + 7 * (e - s)) & 7:
+                        out.append((places[last][0], e, k + 1 - last, first, stop == end and k == n - 1))
+                        last, first = k + 1, False
+            else:
+                out.append((at, stop, n, first, stop == end))
+            first = False
+            at = stop
     return out
 
 
+def unit_key(text: str, found: list[tuple[int, int, int, bool, bool]], k: int, config: LineConfig) -> int:
+    """Hash of the shortest run of units that ends in unit k and has enough words."""
+    start, end, n, _, _ = found[k]
+    if n >= config.min_words:
+        return _short_key(text[start:end].encode("utf-8", "surrogatepass"))
+    j = k
+    while n < config.min_words and j:
+        j -= 1
+        n += found[j][2]
+    return _short_key("\n".join([text[u[0] : u[1]] for u in found[j : k + 1]]).encode("utf-8", "surrogatepass"))
+
+
 def unit_keys(text: str, found: list[tuple[int, int, int, bool, bool]], config: LineConfig) -> list[int]:
-    keys = []
-    for k, (start, end, n, _, _) in enumerate(found):
-        j = k
-        while n < config.min_words and j:
-            j -= 1
-            n += found[j][2]
-        raw = text[start:end] if j == k else "\n".join(text[u[0] : u[1]] for u in found[j : k + 1])
-        keys.append(_short_key(raw.encode("utf-8", "surrogatepass")))
-    return keys
+    return [unit_key(text, found, k, config) for k in range(len(found))]
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -126,14 +137,14 @@ def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def cut(text: str, keys: list[int], found: list, spans: list[tuple[int, int, int]], config: LineConfig) -> tuple[str, list[tuple[int, int]]]:
+def cut(text: str, found: list, spans: list[tuple[int, int, int]], config: LineConfig) -> tuple[str, list[tuple[int, int]]]:
     """The text without those blocks that are long enough, and their places (code points).
 
     ``spans``: first and last unit, and the key of the first, which must be that of this text.
     """
     out, kept, at = [], [], 0
     for first, last, key in spans:
-        if last >= len(found) or keys[first] != key:
+        if last >= len(found) or unit_key(text, found, first, config) != key:
             continue
         n = sum(u[2] for u in found[first : last + 1])
         whole = found[first][3] and found[last][4]
@@ -232,7 +243,7 @@ def without_copies(df: DataFrame, config: LineConfig = LineConfig(), id_col: str
                     gone: list[tuple[int, int]] = []
                     if text and found:
                         own = units(text, config)
-                        text, gone = cut(text, unit_keys(text, own, config), own, sorted((x["first"], x["last"], x["key"]) for x in found), config)
+                        text, gone = cut(text, own, sorted((x["first"], x["last"], x["key"]) for x in found), config)
                     texts.append(text)
                     places.append(",".join(f"{s}:{e}" for s, e in gone))
                 columns = list(part.columns[:-1])
