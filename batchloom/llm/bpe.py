@@ -57,13 +57,14 @@ class WordEncoder:
     def split(self, text: str) -> list[str]:
         return words_of(text)
 
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+    def ids_of(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """The words in an order of its own, their ids in a row, and the number of ids of each."""
+        found = [e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False)]
+        lengths = np.fromiter(map(len, found), np.int64, len(found))
+        return words, np.fromiter(chain.from_iterable(found), np.uint32, int(lengths.sum())), lengths
 
     def _learn(self, words: list[str]) -> None:
-        found = self.ids_of(words)
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+        words, flat, lengths = self.ids_of(words)
         first = len(self.index)
         while first + len(words) + 1 > len(self.starts):
             self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])

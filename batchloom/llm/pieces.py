@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding by a batched Viterbi over words, in numpy.
 
-A text gets a blank in front, blanks become the mark U+2581, and it is split before each run
-of marks, as no piece goes on across such a place. Distinct words of equal length advance
-together: at each end position substring hashes probe the sorted keys of the pieces, and
+A text gets a blank in front, blanks become the mark U+2581, and it is split where no piece
+goes on: before runs of marks, around line feeds, and (if the pieces allow it) between a
+letter and what is none. Distinct words of equal length advance together: at each end position substring hashes probe the sorted keys of the pieces, and
 the best transition into each prefix is stored as a backpointer. The model is a merge model
 (BPE), whose result isn't the path of the greatest sum of scores. So a transition from
 piece a to piece b counts 0 if merging their joined text ends in just a and b, and minus
@@ -34,7 +34,7 @@ MARK = "▁"
 
 
 class PieceEncoder(WordEncoder):
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 1_000_000):
         from sentencepiece import sentencepiece_model_pb2 as model_pb2
 
         model = model_pb2.ModelProto()
@@ -53,12 +53,21 @@ class PieceEncoder(WordEncoder):
         self.score = {p.piece: p.score for _, p in plain}
         self.pieces = [p.piece for p in model.pieces]
         self.byte_ids = np.array([k for _, k in sorted((int(p.piece[3:5], 16), k) for k, p in enumerate(model.pieces) if p.type == p.BYTE)], np.int64)
-        self.known: dict[int, bool] = {}
+        # Whether pairs agree: sorted arrays, and the latest ones.
+        self.pairs, self.values = np.full(1, -1, np.int64), np.zeros(1, bool)
+        self.recent: dict[int, bool] = {}
         self.n = len(self.pieces)
         reachable = [(k, p) for k, p in plain if self._merge(p.piece) == [p.piece]]
         self.trellis = Trellis([_symbols(p.piece) for _, p in reachable], np.array([k for k, _ in reachable]), self._agree, lambda s: s.astype(np.int64) + self.n)
-        lines = any("\n" in p.piece for _, p in plain)
-        self._words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if lines else f"\n+|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+").findall
+        inside = {(x, y) for _, p in plain for x, y in zip(p.piece, p.piece[1:])}  # neighbours within pieces
+        letter = re.compile(r"[^\W\d_]").match
+        # Characters that a piece has before one that is no letter aren't letters here.
+        odd = re.escape("".join(sorted({x for x, y in inside if letter(x) and not letter(y)})))
+        if any("\n" in pair for pair in inside):
+            pattern = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
+        else:
+            pattern = rf"{MARK}*[^\W\d_{odd}]+|{MARK}*(?:(?![{MARK}\n])[\W\d_{odd}])+[^\W\d_{odd}]*|{MARK}+|\n+"
+        self._words = re.compile(pattern).findall
         raw = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else b"" if p.type == p.CONTROL else b" \xe2\x81\x87 " if p.type == p.UNKNOWN else p.piece.replace(MARK, " ").encode() for p in model.pieces]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_ends = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
@@ -86,34 +95,53 @@ class PieceEncoder(WordEncoder):
         good = np.ones(len(a), bool)
         plain = np.flatnonzero((a < self.n) & (b < self.n))  # an unknown character merges with nothing
         pairs, back = np.unique(a[plain] * self.n + b[plain], return_inverse=True)
-        known, pieces = self.known, self.pieces
-        if len(known) > 2_000_000:
-            known.clear()
-        out = np.empty(len(pairs), bool)
-        for k, p in enumerate(pairs.tolist()):
-            v = known.get(p)
+        k = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        out, new = self.values[k], self.pairs[k] != pairs
+        recent, pieces = self.recent, self.pieces
+        for j, p in zip(np.flatnonzero(new).tolist(), pairs[new].tolist()):
+            v = recent.get(p)
             if v is None:
                 x, y = pieces[p // self.n], pieces[p % self.n]
-                v = known[p] = self._merge(x + y) == [x, y]
-            out[k] = v
+                v = recent[p] = self._merge(x + y) == [x, y]
+            out[j] = v
+        if len(recent) > 20_000:
+            if len(self.pairs) > 2_000_000:
+                self.pairs, self.values = self.pairs[:1], self.values[:1]
+            every = np.concatenate([self.pairs, np.fromiter(recent, np.int64, len(recent))])
+            order = np.argsort(every)
+            self.pairs, self.values = every[order], np.concatenate([self.values, np.fromiter(recent.values(), bool, len(recent))])[order]
+            recent.clear()
         good[plain] = out[back]
         return good
 
-    def ids_of(self, words: list[str]) -> list[list[int]]:
-        symbols = [_symbols(w) for w in words]
-        found: list[list[int]] = [[]] * len(words)
-        for places, matrix in batches(symbols):
+    def ids_of(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        order: list[str] = []
+        flat, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for places, matrix in batches([_symbols(w) for w in words]):
             _, last, back = self.trellis.solve(matrix)
-            for k, ids, starts in zip(places, last.tolist(), back.tolist()):
-                path, at = [], len(ids) - 1
-                while at:
-                    if ids[at] < self.n:
-                        path.append(ids[at])
-                    else:
-                        path += self.byte_ids[list(chr(ids[at] - self.n).encode("utf-8", "surrogatepass"))[::-1]].tolist()
-                    at = starts[at]
-                found[k] = path[::-1]
-        return found
+            rows = np.arange(len(places))
+            at = np.full(len(places), matrix.shape[1])
+            steps = []
+            while at.any():  # all words back to their starts, a piece at a time
+                steps.append(np.where(at > 0, last[rows, at], -1))
+                at = np.where(at > 0, back[rows, at], 0)
+            path = np.stack(steps[::-1], axis=1)
+            ids = path[path >= 0]
+            sizes = (path >= 0).sum(axis=1)
+            odd = np.flatnonzero(ids >= self.n)  # characters that are no piece become bytes
+            if len(odd):
+                spelt = [self.byte_ids[list(chr(c).encode("utf-8", "surrogatepass"))] for c in (ids[odd] - self.n).tolist()]
+                more = np.ones(len(ids), np.int64)
+                more[odd] = [len(x) for x in spelt]
+                sizes = np.add.reduceat(more, np.cumsum(sizes) - sizes)
+                starts = np.cumsum(more) - more
+                ids = np.repeat(ids, more)
+                for k, x in zip(starts[odd].tolist(), spelt):
+                    ids[k : k + len(x)] = x
+            order += [words[k] for k in places]
+            flat.append(ids)
+            lengths.append(sizes)
+        return order, np.concatenate(flat).astype(np.uint32), np.concatenate(lengths)
 
     def decode(self, ids: np.ndarray) -> str:
         starts = self.raw_ends[ids]
