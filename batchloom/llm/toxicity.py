@@ -4,7 +4,10 @@ Learning. At most ``max_examples`` labelled rows are used, those least by a hash
 doc_id (a bounded sample; rows whose crc32(doc_id as text) mod 5 is 0 are held out and never
 seen). Of equal texts one counts. The vocabulary: words, and their first 3 to 6 letters,
 whose document frequencies in toxic examples lie above those in others by a log-likelihood
-ratio of at least ``least_ratio``, at most ``max_terms`` of them. Terms are counted on the
+ratio of at least ``least_ratio``, and of whose texts at least ``least_share`` are toxic; at
+most ``max_terms`` of them. A vector of length 1 doesn't
+tell one mention from eight, so a text that holds terms also holds those of ``LEVELS``: at
+least so many mentions in all, and at least so many in a thousand words. Terms are counted on the
 executors; the driver gets only those that pass, and the examples' weights for them.
 
 Index. Each example is a TF-IDF vector of length 1, weights (1 + ln tf) * idf. Examples
@@ -39,6 +42,8 @@ from pyspark.sql import types as T
 from batchloom.llm.common import settle
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
+LEVELS = {"mentions": (2, 4, 8, 16), "in a thousand": (2, 5, 10, 20, 40)}
+_N_LEVELS = sum(map(len, LEVELS.values()))
 
 
 @dataclass(frozen=True)
@@ -46,9 +51,10 @@ class ToxicityConfig:
     max_examples: int = 20_000
     max_terms: int = 2_000
     least_ratio: float = 20.0
+    least_share: float = 0.3
     prefixes: tuple[int, ...] = (3, 4, 5, 6)
-    neighbours: int = 15
-    block: int = 64
+    neighbours: int = 25
+    block: int = 512
     prior_weight: float = 0.5
 
 
@@ -73,19 +79,25 @@ class Index:
         self.labels = np.array([v[1] for v in vectors], np.int64)
         n = len(vectors)
         self.blocks = -(-n // config.block)
-        lists: list[list[tuple[int, float]]] = [[] for _ in vocabulary]
-        for k, v in enumerate(vectors):
-            for t, w in zip(v[2].tolist(), v[3].tolist()):
-                lists[t].append((k, w))
-        self.lists = [(np.array([p[0] for p in x], np.int64), np.array([p[1] for p in x])) for x in lists]
-        self.tops = np.zeros((len(vocabulary), self.blocks))
-        for t, (k, w) in enumerate(self.lists):
-            np.maximum.at(self.tops[t], k // config.block, w)
-        # Where each block starts in each list.
-        self.cuts = [np.searchsorted(k, np.arange(self.blocks + 1) * config.block) for k, _ in self.lists]
+        # The lists, cut at the blocks: for each block its terms and their weights there, one row a
+        # term; ``row`` finds a term's row, -1 without; ``tops`` is the greatest weight of each row.
+        terms_, size = len(idf), config.block
+        self.row = np.full((self.blocks, terms_), -1, np.int32)
+        self.tops = np.zeros((terms_, self.blocks))
+        self.weights: list[np.ndarray] = []
+        for b in range(self.blocks):
+            part = vectors[b * size : (b + 1) * size]
+            own = np.unique(np.concatenate([v[2] for v in part]))
+            self.row[b, own] = np.arange(len(own))
+            here = np.zeros((len(own), size))
+            for k, v in enumerate(part):
+                here[self.row[b, v[2]], k] = v[3]
+            self.weights.append(here)
+            self.tops[own, b] = here.max(axis=1)
         rows, toxic = bare
         self.bare = toxic / rows if rows else 0.0  # of the examples without any term
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.seen: set[str] = set()  # pieces of texts between white space
+        self.hot: dict[str, list[int]] = {}  # those that hold terms
         self.steps: tuple[np.ndarray, np.ndarray] | None = None
         if n:
             self._calibrate(vectors)
@@ -95,18 +107,32 @@ class Index:
         w = (1 + np.log([counts[k] for k in t.tolist()])) * self.idf[t]
         return t, w / np.linalg.norm(w)
 
-    def counts(self, text: str) -> dict[int, int]:
+    def counts(self, text: str) -> Counter[int]:
+        """How often each term of the vocabulary occurs."""
+        pieces = text.lower().split()
+        distinct = set(pieces)
+        new = distinct - self.seen
+        if new:
+            if len(self.seen) > 1_000_000:
+                self.seen.clear()
+                self.hot.clear()
+                new = distinct
+            for p in new:
+                own = [self.vocabulary[t] for w in _WORDS(p) for t in terms(w, self.config) if t in self.vocabulary]
+                if own:
+                    self.hot[p] = own
+            self.seen |= new
         found: Counter[int] = Counter()
-        memo, config = self.memo, self.config
-        for word, n in Counter(_WORDS(text.lower())).items():
-            known = memo.get(word)
-            if known is None:
-                known = tuple(self.vocabulary[t] for t in terms(word, config) if t in self.vocabulary)
-                if len(memo) > 500_000:
-                    memo.clear()
-                memo[word] = known
-            for t in known:
+        mentions = 0
+        here = distinct & self.hot.keys() if len(self.hot) > len(distinct) else [p for p in self.hot if p in distinct]
+        for p in here:
+            n = pieces.count(p)
+            mentions += n
+            for t in self.hot[p]:
                 found[t] += n
+        if mentions:
+            reached = [mentions >= x for x in LEVELS["mentions"]] + [1000 * mentions >= x * len(pieces) for x in LEVELS["in a thousand"]]
+            found.update(len(self.vocabulary) + k for k, yes in enumerate(reached) if yes)
         return found
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
@@ -117,12 +143,9 @@ class Index:
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(places) == k and bound[b] < cosines[-1] - 1e-12:
                 break
-            score = np.zeros(size)
-            for term, weight in zip(t.tolist(), w.tolist()):
-                s, e = self.cuts[term][b], self.cuts[term][b + 1]
-                if s < e:
-                    own, values = self.lists[term]
-                    score[own[s:e] - b * size] += weight * values[s:e]
+            row = self.row[b, t]
+            has = row >= 0
+            score = w[has] @ self.weights[b][row[has]]
             hit = np.flatnonzero(score > 0)
             hit = hit[hit + b * size != without]
             places, cosines = np.concatenate([places, hit + b * size]), np.concatenate([cosines, score[hit]])
@@ -173,14 +196,25 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     texts = settle(texts.select("doc_id", "text", "toxic"), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = (Counter(), Counter())
+
+        def out() -> pa.RecordBatch:
+            both = list(found[0].keys() | found[1].keys())
+            rows = pa.RecordBatch.from_pydict({"term": pa.array(both, pa.string()), "clean": pa.array([found[0][t] for t in both], pa.int64()), "toxic": pa.array([found[1][t] for t in both], pa.int64())})
+            found[0].clear()
+            found[1].clear()
+            return rows
+
         for b in batches:
-            for at in range(0, b.num_rows, 1024):
-                part = b.slice(at, 1024)
-                found = (Counter(), Counter())
-                for text, y in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    found[y].update({t for w in set(_WORDS(text.lower())) for t in terms(w, config)})
-                both = list(found[0].keys() | found[1].keys())
-                yield pa.RecordBatch.from_pydict({"term": both, "clean": pa.array([found[0][t] for t in both], pa.int64()), "toxic": pa.array([found[1][t] for t in both], pa.int64())})
+            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                words = set(_WORDS(text.lower()))
+                own = set(words)
+                for n in config.prefixes:
+                    own |= {w[:n] + "*" for w in words if len(w) >= n}
+                found[y].update(own)
+                if len(found[0]) > 1_000_000:
+                    yield out()
+        yield out()
 
     size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
     clean, toxic = float(size.get(0, 0)), float(size.get(1, 0))
@@ -193,11 +227,11 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
 
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
     ratio = 2 * (h(a, F.lit(clean)) + h(b, F.lit(toxic)) - h(a + b, F.lit(clean + toxic)))
-    kept = freq.where(b / toxic > a / clean).withColumn("ratio", ratio).where(F.col("ratio") >= config.least_ratio)
+    kept = freq.where((b / toxic > a / clean) & (b >= config.least_share * (a + b))).withColumn("ratio", ratio).where(F.col("ratio") >= config.least_ratio)
     rows = kept.orderBy(F.desc("ratio"), "term").limit(config.max_terms).collect()
     vocabulary = {r["term"]: k for k, r in enumerate(rows)}
-    idf = np.array([math.log((1 + clean + toxic) / (1 + r["a"] + r["b"])) + 1 for r in rows])
-    blank = Index(config, vocabulary, idf, [], (0, 0))
+    frequency = [r["a"] + r["b"] for r in rows]
+    blank = Index(config, vocabulary, np.ones(len(rows) + _N_LEVELS), [], (0, 0))
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -207,6 +241,8 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     weights = texts.mapInArrow(weigh, "doc_id bigint, toxic int, terms array<bigint>, times array<bigint>")
     got = [(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["times"]))) for r in weights.collect()]
     bare = [r for r in got if not r[2]]
+    frequency += [sum(len(rows) + k in r[2] for r in got) for k in range(_N_LEVELS)]
+    idf = np.log((1 + clean + toxic) / (1 + np.array(frequency))) + 1
     return Index(config, vocabulary, idf, sorted((r for r in got if r[2]), key=lambda r: r[0]), (len(bare), sum(r[1] for r in bare)))
 
 

@@ -358,9 +358,11 @@ def test_toxicity(spark):
     assert 0 <= rows[600].score == rows[601].score < 0.5 and rows[0].evidence
     assert set(index.names.tolist()) <= {k for k in range(600) if not rows[k].held}
     # The pruned search gives what comparing with every example gives.
-    dense = np.zeros((len(index.names), len(index.vocabulary)))
-    for t, (k, w) in enumerate(index.lists):
-        dense[k, t] = w
+    dense = np.zeros((len(index.names), len(index.idf)))
+    for b, here in enumerate(index.weights):
+        for t in np.flatnonzero(index.row[b] >= 0):
+            part = here[index.row[b, t]][: len(dense) - b * index.config.block]
+            dense[b * index.config.block : b * index.config.block + len(part), t] = part
     for k in held[:60]:
         counts = index.counts(texts[k])
         if counts:
