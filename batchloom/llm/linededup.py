@@ -1,23 +1,23 @@
-"""Line dedup by alignment of document pairs.
+"""Line dedup by runs of units.
 
 A text is cut into units: lines, and inside lines sentences. A unit of more than
 ``long_words`` words is cut again after words that a sum over their first and last letter
 and length picks (about one in eight), so that a passage set into longer lines still
-shares units. The key of a unit is the hash of
-the shortest run of units that ends in it and has ``min_words`` words, so short sentences
-count only behind the same words.
-
-Each key that occurs in more than one document names its first holder, the one with the
-least doc_id. A later document is paired with the first holders of its keys: one partner a
-key, however frequent it is, never all pairs of its holders. Each pair is aligned by
-patience diff: the longest chain of common units that rises in both documents; what moved is
-aligned again until nothing common is left. Aligned units that follow each other in both
-documents form a block. A block is deleted from the later document if it has
-``min_passage`` words, or fills whole lines and has ``min_words``.
+shares units.
+
+A run is a number of units that follow each other. A run of a document is deleted if one
+earlier document (a lesser doc_id) has it whole, wherever and however often, and it has
+``min_passage`` words, or fills whole lines and has ``min_words``. No pairs of documents are
+made: each document puts out the shortest runs of ``min_passage`` words from each unit on and
+up to each unit. Any longer run that two documents share is the union of such runs inside
+it, and both documents have those, so that the least doc_id of each run tells what is held
+earlier. Shorter runs of ``min_words`` are put out one by one; only those of whole lines ask,
+all answer. Only units that several documents have go into runs, as no others can be shared.
 
 Null texts stay null; empty ones stay empty. A document whose text is all copied becomes
 empty; no row is ever dropped. Rows with equal doc_ids count as one document: they are never
-compared with each other. A null doc_id counts as the least. Other columns stay as they are.
+compared with each other, and told apart by 20 bits of their texts' hash.
+``patience`` and ``blocks`` align one pair of documents; the table doesn't need them. A null doc_id counts as the least. Other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -38,6 +38,9 @@ from batchloom.llm.common import free_name, settle
 
 _STOP = re.compile(r"[.!?](?=[ \t])").finditer
 _WORD = re.compile(r"\S+").finditer
+# A unit's place in its table: text tag, number, opens a line, closes a line, words (no more than count).
+_TAG_BITS, _PLACE_BITS, _WORD_BITS = 20, 30, 11
+_STEP = 0x9E3779B97F4A7C15
 
 
 @dataclass(frozen=True)
@@ -46,6 +49,10 @@ class LineConfig:
     min_passage: int = 12
     long_words: int = 25
 
+    def __post_init__(self) -> None:
+        if max(self.min_words, self.min_passage) >= 1 << _WORD_BITS:
+            raise ValueError(f"min_words and min_passage must be below {1 << _WORD_BITS}")
+
 
 def _short_key(raw: bytes) -> int:
     k = xxhash.xxh64_intdigest(raw, 7)
@@ -85,20 +92,46 @@ def units(text: str, config: LineConfig) -> list[tuple[int, int, int, bool, bool
     return out
 
 
-def unit_key(text: str, found: list[tuple[int, int, int, bool, bool]], k: int, config: LineConfig) -> int:
-    """Hash of the shortest run of units that ends in unit k and has enough words."""
-    start, end, n, _, _ = found[k]
-    if n >= config.min_words:
-        return _short_key(text[start:end].encode("utf-8", "surrogatepass"))
-    j = k
-    while n < config.min_words and j:
-        j -= 1
-        n += found[j][2]
-    return _short_key("\n".join([text[u[0] : u[1]] for u in found[j : k + 1]]).encode("utf-8", "surrogatepass"))
-
-
-def unit_keys(text: str, found: list[tuple[int, int, int, bool, bool]], config: LineConfig) -> list[int]:
-    return [unit_key(text, found, k, config) for k in range(len(found))]
+def text_tag(text: str) -> int:
+    return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"), 3) >> 32 - _TAG_BITS
+
+
+def runs(doc: np.ndarray, at: np.ndarray, key: np.ndarray, config: LineConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """run, doc, span (tag, first unit, further units, may be deleted) - of units sorted by doc and at."""
+    if len(doc) > 1:
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])  # equal rows of one doc_id
+        doc, at, key = doc[new], at[new], key[new]
+    n, whole = len(doc), config.min_passage
+    words = at & (1 << _WORD_BITS) - 1
+    closes, opens = at >> _WORD_BITS & 1, at >> _WORD_BITS + 1 & 1
+    place = at >> _WORD_BITS + 2
+    begins = np.concatenate([[True], (doc[1:] != doc[:-1]) | (place[1:] != place[:-1] + 1)])
+    heads = np.flatnonzero(begins)
+    stretch = np.cumsum(begins) - 1
+    least, most = heads[stretch], np.concatenate([heads[1:], [n]])[stretch]  # the stretch of each unit
+    total = np.concatenate([[0], np.cumsum(words)])
+    own = np.arange(n)
+    end = np.searchsorted(total, total[:-1] + whole) - 1
+    start = np.searchsorted(total, total[1:] - whole, "right") - 1
+    ahead, behind = end < most, start >= least
+    pairs = np.unique(np.concatenate([own[ahead] * (n + 1) + end[ahead], start[behind] * (n + 1) + own[behind]]))
+    firsts, lasts, asks = [pairs // (n + 1)], [pairs % (n + 1)], [np.ones(len(pairs), np.int64)]
+    s, e = own, own
+    while len(s):
+        size = total[e + 1] - total[s]
+        s, e, size = s[size < whole], e[size < whole], size[size < whole]
+        told = size >= config.min_words
+        firsts.append(s[told])
+        lasts.append(e[told])
+        asks.append(opens[s[told]] & closes[e[told]])
+        s, e = s[e + 1 < most[s]], e[e + 1 < most[s]] + 1
+    first, last, ask = np.concatenate(firsts), np.concatenate(lasts), np.concatenate(asks)
+    # Sum of key times power of an odd number, divided by the power of the first: modulo 2^64.
+    power = np.cumprod(np.full(n, _STEP, np.uint64))
+    back = np.cumprod(np.full(n, pow(_STEP, -1, 1 << 64), np.uint64))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(key.view(np.uint64) * power)])
+    run = ((sums[last + 1] - sums[first]) * back[first]).view(np.int64)
+    return run, doc[first], (place[first] << _WORD_BITS | last - first) << 1 | ask
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -137,27 +170,26 @@ def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def cut(text: str, found: list, spans: list[tuple[int, int, int]], config: LineConfig) -> tuple[str, list[tuple[int, int]]]:
-    """The text without those blocks that are long enough, and their places (code points).
-
-    ``spans``: first and last unit, and the key of the first, which must be that of this text.
-    """
+def cut(text: str, found: list, spans: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
+    """The text without the runs that ``spans`` names for it, and their places (code points)."""
+    spans = np.unique(spans) >> 1
+    place = spans >> _WORD_BITS
+    mine = place >> _PLACE_BITS == text_tag(text)
+    first = (place & (1 << _PLACE_BITS) - 1)[mine]
+    merged: list[tuple[int, int]] = []
+    for f, z in zip(first.tolist(), (first + (spans[mine] & (1 << _WORD_BITS) - 1)).tolist()):
+        if merged and f <= merged[-1][1] + 1:
+            merged[-1] = merged[-1][0], max(merged[-1][1], z)
+        else:
+            merged.append((f, z))
+    if not merged:
+        return text, []
     out, kept, at = [], [], 0
-    for first, last, key in spans:
-        if last >= len(found) or unit_key(text, found, first, config) != key:
-            continue
-        n = sum(u[2] for u in found[first : last + 1])
-        whole = found[first][3] and found[last][4]
-        if n < config.min_passage and not (whole and n >= config.min_words):
-            continue
-        s, e = found[first][0], found[last + 1][0] if last + 1 < len(found) else len(text)
-        if s < at:
-            continue
-        out.append((s, found[last][1]))
+    for f, z in merged:
+        s, e = found[f][0], found[z + 1][0] if z + 1 < len(found) else len(text)
+        out.append((s, found[z][1]))
         kept.append(text[at:s])
         at = e
-    if not out:
-        return text, []
     kept.append(text[at:])
     return "".join(kept).rstrip("\n") if at == len(text) else "".join(kept), out
 
@@ -166,45 +198,37 @@ def _order(id_col: str) -> F.Column:
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
 
 
-def copied_blocks(df: DataFrame, config: LineConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc and spans (first and last unit, key of the first): aligned blocks of each later document."""
+def copied_runs(df: DataFrame, config: LineConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc and spans (see ``runs``): the runs of each document that an earlier one has."""
     narrow = df.where(F.length(text_col) > 0).select(_order(id_col).alias("doc"), F.col(text_col).alias("text"))
+    count = max(config.min_words, config.min_passage)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                docs, keys, places = [], [], []
+                docs, tags, keys, places, kinds, sizes = [], [], [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = unit_keys(text, units(text, config), config)
-                    docs.append(np.full(len(own), doc, np.int64))
-                    keys.append(np.array(own, np.int64))
+                    own = units(text, config)
+                    keys += [_short_key(text[u[0] : u[1]].encode("utf-8", "surrogatepass")) for u in own]
+                    kinds += [(u[3] << 1 | u[4]) << _WORD_BITS | min(u[2], count) for u in own]
+                    docs.append(doc)
+                    tags.append(text_tag(text))
+                    sizes.append(len(own))
                     places.append(np.arange(len(own), dtype=np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, docs, places)], ["key", "doc", "place"])
+                columns = [np.array(keys, np.int64), np.repeat(np.array(docs, np.int64), sizes), np.repeat(np.array(tags, np.int32), sizes), np.concatenate(places), np.array(kinds, np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc", "tag", "place", "kind"])
 
-    lines = settle(narrow.mapInArrow(keyed, "key bigint, doc bigint, place int"), "units")
-    # Only keys of several documents go on; counting is combined before the shuffle.
-    first = lines.groupBy("key").agg(F.min(F.struct("doc", "place")).alias("f"), F.max("doc").alias("latest"))
-    first = first.where("latest > f.doc").select("key", F.col("f.doc").alias("owner"), F.col("f.place").alias("there"))
-    shared = lines.join(first, "key").where("doc > owner").select("doc", "place", "owner", "there", "key")
-    dealt = shared.repartition("doc").sortWithinPartitions("doc", "owner", "place")
+    lines = settle(narrow.mapInArrow(keyed, "key bigint, doc bigint, tag int, place int, kind int"), "units")
+    place = F.shiftleft(F.shiftleft(F.col("tag").cast("bigint"), _PLACE_BITS) + F.col("place"), _WORD_BITS + 2) + F.col("kind")
+    # Only keys of several documents go on; counting is combined before the shuffle. Written tables
+    # leave both joins to adaptive execution, which splits keys that many rows have.
+    shared = settle(lines.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest")).where("latest > owner").select("key"), "shared")
+    dealt = lines.select("doc", place.alias("at"), "key").join(shared, "key", "left_semi").select("doc", "at", "key").repartition("doc").sortWithinPartitions("doc", "at")
 
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: list[np.ndarray]) -> pa.RecordBatch:
-            docs, spans = [], []
-            doc, place, owner, there, key = part
-            new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (owner[1:] != owner[:-1])]))
-            for s, e in zip(new.tolist(), [*new[1:].tolist(), len(doc)]):
-                p = place[s:e].tolist()
-                name = dict(zip(p, key[s:e].tolist()))
-                got = [{"first": a, "last": z, "key": name[a]} for a, z in blocks(list(zip(p, there[s:e].tolist())))]
-                if docs and docs[-1] == doc[s]:
-                    spans[-1] += got
-                else:
-                    docs.append(int(doc[s]))
-                    spans.append(got)
-            kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("key", pa.int64())]))
-            return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(spans, kind)], ["doc", "spans"])
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in runs(*part, config)], ["run", "doc", "span"])
 
         held: list[np.ndarray] | None = None
         for b in batches:
@@ -218,16 +242,19 @@ def copied_blocks(df: DataFrame, config: LineConfig, id_col: str = "doc_id", tex
         if held is not None and len(held[0]):
             yield out(held)
 
-    return dealt.mapInArrow(align, "doc bigint, spans array<struct<first:int,last:int,key:bigint>>")
+    every = settle(dealt.mapInArrow(joined, "run bigint, doc bigint, span bigint"), "runs")
+    first = settle(every.groupBy("run").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest")).where("latest > owner").select("run", "owner"), "holders")
+    later = every.where("span % 2 = 1").join(first, "run").where("doc > owner")
+    return later.groupBy("doc").agg(F.collect_list("span").alias("spans"))
 
 
 def without_copies(df: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text_col: str = "text", report: str | None = None) -> DataFrame:
-    """``df`` with the copied blocks cut from ``text_col``.
+    """``df`` with the copied runs cut from ``text_col``.
 
     ``report`` names a further column for the places cut, as ``start:end`` in code points of
     the old text, joined by commas.
     """
-    spans = settle(copied_blocks(df, config, id_col, text_col), "blocks")
+    spans = settle(copied_runs(df, config, id_col, text_col), "blocks")
     doc, cuts = free_name(df, "doc__"), free_name(df, "spans__")
     spans = spans.select(F.col("doc").alias(doc), F.col("spans").alias(cuts))
     joined = df.withColumn(doc, _order(id_col)).join(spans.hint("shuffle_hash"), doc, "left").drop(doc)
@@ -239,11 +266,10 @@ def without_copies(df: DataFrame, config: LineConfig = LineConfig(), id_col: str
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 texts, places = [], []
-                for text, found in zip(part.column(place).to_pylist(), part.column(len(part.columns) - 1).to_pylist()):
+                for text, found in zip(part.column(place).to_pylist(), part.column(len(part.columns) - 1)):
                     gone: list[tuple[int, int]] = []
-                    if text and found:
-                        own = units(text, config)
-                        text, gone = cut(text, own, sorted((x["first"], x["last"], x["key"]) for x in found), config)
+                    if text and found.is_valid:
+                        text, gone = cut(text, units(text, config), found.values.to_numpy())
                     texts.append(text)
                     places.append(",".join(f"{s}:{e}" for s, e in gone))
                 columns = list(part.columns[:-1])

@@ -219,6 +219,37 @@ def test_line_dedup(spark):
     assert [r.text for r in same] == [PASSAGE, PASSAGE]  # one document
 
 
+def test_line_dedup_finds_passages_held_whole(spark):
+    one, two, three = "The first part has seven words here.", "Then the second part has seven words.", "And so the third one also does."
+    whole = f"{one} {two} {three}"
+    texts = [f"Alone {k} it stands: {s}\n{s} Nothing more {k}." for k, s in enumerate((one, two, three))]  # each sentence, singly
+    texts += [f"{one} It repeats {one} It goes on.", f"Held whole now. {whole} End.", f"The later one says: so. {whole} Own end here.", f"{two} {one} {three}"]
+    rows = [r.text for r in linededup.without_copies(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert rows[:5] == texts[:5] and rows[5] == "The later one says: so. Own end here." and rows[6] == texts[6]
+    # The first holder has the first sentence twice, the passage at the second place.
+    texts = [f"{one} Another thing. {whole} Bye.", f"Hello you. {whole} See you."]
+    assert [r.text for r in linededup.without_copies(frame(spark, texts)).orderBy("doc_id").collect()] == [texts[0], "Hello you. See you."]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng, config = random.Random(8), linededup.LineConfig()
+    known = [" ".join(f"{chr(97 + k)}{j}" for j in range(rng.choice([1, 2, 3, 5, 6, 8, 13]))) + "." for k in range(9)]
+    texts = ["".join(rng.choice(known) + rng.choice([" ", "\n"]) for _ in range(rng.randint(1, 14))) for _ in range(60)]
+    found = [linededup.units(t, config) for t in texts]
+    said = [[t[u[0] : u[1]] for u in own] for t, own in zip(texts, found)]
+    rows = {r.doc_id: r for r in linededup.without_copies(frame(spark, texts), report="cut__").collect()}
+    for d, own in enumerate(found):
+        gone = set()
+        for i in range(len(own)):
+            for j in range(i, len(own)):
+                n, part = sum(u[2] for u in own[i : j + 1]), said[d][i : j + 1]
+                if n >= config.min_passage or n >= config.min_words and own[i][3] and own[j][4]:
+                    if any(x[k : k + len(part)] == part for x in said[:d] for k in range(len(x))):
+                        gone.update(range(i, j + 1))
+        spans = [tuple(map(int, x.split(":"))) for x in rows[d]["cut__"].split(",") if x]
+        assert {k for k, u in enumerate(own) if any(s <= u[0] and u[1] <= e for s, e in spans)} == gone
+
+
 def test_patience_is_a_longest_rising_chain():
     rng = random.Random(6)
     for _ in range(50):
