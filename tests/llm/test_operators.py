@@ -250,6 +250,19 @@ def test_line_dedup_equals_brute_force(spark):
         assert {k for k, u in enumerate(own) if any(s <= u[0] and u[1] <= e for s, e in spans)} == gone
 
 
+def test_line_dedup_counts_words_by_white_space(spark):
+    rng, config = random.Random(3), linededup.LineConfig()
+    for blank in ("\t", "\u00a0", "\u3000", "   ", " \t "):
+        line = blank.join(["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)])
+        found = linededup.units(f"{line}\nTwo{blank * 10}words", config)
+        assert sum(u[2] for u in found) == 62 and found[-1][2] == 2 and max(u[2] for u in found[:-1]) < 60
+    row, padded = "\t".join(f"cell{k}" for k in range(8)), "Two" + " " * 12 + "words"
+    wide = "\u3000".join(f"wort{k}" for k in range(7))
+    texts = [f"Begins so.\n{row}\n{padded}\nEnds.\n{wide}", f"Other begin.\n{row}\nMiddle.\n{padded}\nNew.\n{wide}\nLast."]
+    rows = linededup.without_copies(frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == [texts[0], f"Other begin.\nMiddle.\n{padded}\nNew.\nLast."]
+
+
 def test_patience_is_a_longest_rising_chain():
     rng = random.Random(6)
     for _ in range(50):
