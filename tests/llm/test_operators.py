@@ -357,6 +357,41 @@ def test_near_documents(spark):
     assert rows == {0: 0, 1: 1, 2: 2, 3: 0, 4: 1, 5: 5, 6: 5}
 
 
+def test_near_documents_lose_no_link(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(3):  # chains, each text near its neighbours only
+        text = "".join(rng.choice("abcdefghij klmnop") for _ in range(900))
+        for _ in range(14):
+            texts.append(text)
+            at = rng.randrange(800)
+            text = text[:at] + "".join(rng.choice("qrstuvwxyz") for _ in range(90)) + text[at + 90 :]
+    prints = editprint.walks(texts)
+    keys = [set(editprint.bands(x)) for x in prints]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if keys[i] & keys[j] and editprint.likeness(prints[i], prints[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    for slice_rows in (4096, 3):
+        rows = {r.doc_id: r.class_id for r in editprint.near_documents(frame(spark, texts), slice_rows=slice_rows).collect()}
+        assert [rows[k] for k in range(len(texts))] == root
+
+
+def test_bands_lie_over_the_whole_text():
+    rng = random.Random(4)
+    near = shared = 0
+    for _ in range(200):
+        text = "".join(rng.choice("abcdefghij klmnop") for _ in range(rng.randint(1000, 1020)))
+        part = "".join(rng.choice("qrstuvwxyz") for _ in range(180))
+        a, b = editprint.walks([text, part + text[180:]])
+        if editprint.likeness(a, b) >= 0.8:
+            near += 1
+            shared += bool(set(editprint.bands(a)) & set(editprint.bands(b)))
+    assert near >= 50 and shared >= 0.95 * near
+
+
 # --- op7 ----------------------------------------------------------------------------------------
 
 
