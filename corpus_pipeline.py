@@ -10,8 +10,9 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 columns of ``docs``. ``run`` writes each stage's result to the shared folder and reads it
 again as the next one's input.
 
-Rows without text are kept (as empty texts in packing). Repeated rows fall together in
-near_dedup: of rows that share a doc_id, all of the kept document stay.
+Null and empty texts, and those that line_dedup emptied, share one fingerprint: near_dedup keeps
+the least doc_id of them (an empty text in packing) and those without doc_id. Repeated rows fall
+together there too: of rows that share a doc_id, all of the kept document stay.
 """
 
 from __future__ import annotations
