@@ -2,32 +2,34 @@
 
 Learning. At most ``max_examples`` labelled rows are used, those least by a hash of their
 doc_id (a bounded sample; rows whose crc32(doc_id as text) mod 5 is 0 are held out and never
-seen). Of equal texts one counts. The vocabulary: words, and their first 3 to 6 letters,
-whose document frequencies in toxic examples lie above those in others by a log-likelihood
-ratio of at least ``least_ratio``, and of whose texts at least ``least_share`` are toxic; at
-most ``max_terms`` of them. A vector of length 1 doesn't
-tell one mention from eight, so a text that holds terms also holds those of ``LEVELS``: at
-least so many mentions in all, and at least so many in a thousand words. Terms are counted on the
-executors; the driver gets only those that pass, and the examples' weights for them.
-
-Index. Each example is a TF-IDF vector of length 1, weights (1 + ln tf) * idf. Examples
-stand in order of their strongest term, in blocks of ``block``. Each term has a list of
-(example, weight) and for each block its greatest weight. For a text, the sum of products
-with those bounds each block from above; blocks are read from the highest bound down, until
-no bound reaches the k-th cosine found. So the k nearest are exact; ties go to the earlier
-example.
-
-Score. Votes of the k nearest weigh 1 / (0.05 + 1 - cosine), with ``prior_weight`` votes of
-the base rate of texts without any term. A rising step function, fitted to the votes that
-each example gets from the others, calibrates them. A text without any term (an empty
-one too) scores the rate of toxic examples among such. ``evidence`` lists the nearest
-examples as doc_id:label:cosine. Null texts count as empty. Repeated rows score alike.
-Without labels every score is 0.
+seen). Of equal texts one counts. Every word of an example is a term, weighed
+(1 + ln tf) * idf * (floor + (1 - floor) * evidence), where evidence, between 0 and 1, rises with
+the log-likelihood ratio G of the word's document frequencies in toxic and other examples,
+(G / (G + half))^2. Without that factor (``floor`` = 1) the cosine is plain TF-IDF, in which a
+few telling words drown among hundreds of others. Words are counted on the executors;
+the driver holds what the bounded sample has.
+
+Index. Each example is a vector of length 1. Examples are put in order by their strongest
+common word, so that those of one language stand together, in blocks of ``block``. Each term
+has, for each block, a list of (example, weight) and its greatest weight there. For a
+text, the sum of products with those maxima bounds the cosine in each block; blocks are
+read from the highest bound down until no bound reaches the k-th cosine found. So the k
+nearest are exact over all terms; ties go to the lesser doc_id.
+
+Score. Votes of the k nearest weigh 1 / (0.05 + 1 - cosine), with ``prior_weight`` votes of the
+share of toxic examples. A rising function, fitted to the votes that each example gets from
+the others (pooled adjacent violators, joined by lines), calibrates them. ``evidence`` lists
+the nearest examples as doc_id:label:cosine.
+
+Null texts count as empty. A text that shares no word with any example (an empty one too) has
+no neighbour, and the score of a vote of none. Very long texts are read whole, a text at a
+time. Repeated rows score alike. Without examples of both labels every score is the share of
+toxic ones, 0 without any. An empty table gives an empty result. Extra columns are kept;
+those called score, predicted or evidence give way to the new ones.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -41,217 +43,182 @@ from pyspark.sql import types as T
 
 from batchloom.llm.common import settle
 
-_WORDS = re.compile(r"[^\W\d_]+").findall
-LEVELS = {"mentions": (2, 4, 8, 16), "in a thousand": (2, 5, 10, 20, 40)}
-_N_LEVELS = sum(map(len, LEVELS.values()))
+words = re.compile(r"[^\W\d_]+").findall
 
 
 @dataclass(frozen=True)
 class ToxicityConfig:
-    max_examples: int = 20_000
-    max_terms: int = 2_000
-    least_ratio: float = 20.0
-    least_share: float = 0.3
-    prefixes: tuple[int, ...] = (3, 4, 5, 6)
-    neighbours: int = 25
+    max_examples: int = 4_000
+    neighbours: int = 15
+    floor: float = 0.02
+    half: float = 50.0
     block: int = 512
     prior_weight: float = 0.5
 
 
-def terms(word: str, config: ToxicityConfig) -> list[str]:
-    """A word and its beginnings, which are marked by a star."""
-    return [word, *(f"{word[:n]}*" for n in config.prefixes if len(word) >= n)]
-
-
 def held_out(id_col: str) -> F.Column:
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
+def evidence(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, half: float) -> np.ndarray:
+    """0 to 1 for each word, from the numbers of toxic and clean examples that have it."""
+
+    def h(k: np.ndarray, n: int) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where((k == 0) | (k == n), 0.0, k * np.log(k / n) + (n - k) * np.log(1 - k / n))
+
+    g = np.maximum(0.0, 2 * (h(toxic, n_toxic) + h(clean, n_clean) - h(toxic + clean, n_toxic + n_clean)))
+    return (g / (g + half)) ** 2
+
+
 class Index:
-    """Labelled examples: ``vocabulary`` (term -> number), ``idf``, and for each example its
-    counts by term number."""
-
-    def __init__(self, config: ToxicityConfig, vocabulary: dict[str, int], idf: np.ndarray, examples: list[tuple[int, int, dict[int, int]]], bare: tuple[int, int]):
-        self.config, self.vocabulary, self.idf = config, vocabulary, idf
-        vectors = [(name, label, *self._unit(counts)) for name, label, counts in examples if counts]
-        vectors.sort(key=lambda v: (int(v[2][v[3].argmax()]), -float(v[3].max()), v[0]))
-        self.names = np.array([v[0] for v in vectors], np.int64)
-        self.labels = np.array([v[1] for v in vectors], np.int64)
-        n = len(vectors)
+    """Labelled examples: (doc_id, label, counts by word), at most ``max_examples`` of them."""
+
+    def __init__(self, config: ToxicityConfig, examples: list[tuple[int, int, dict[str, int]]]):
+        self.config, n = config, len(examples)
+        labels = np.array([y for _, y, _ in examples], np.int64)
+        self.base = float(labels.mean()) if n else 0.0
+        self.curve: tuple[np.ndarray, np.ndarray] | None = None
+        self.vocabulary: dict[str, int] = {}
+        terms = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in c], np.int64) for _, _, c in examples]
+        times = [np.fromiter(c.values(), np.float64, len(c)) for _, _, c in examples]
+        v = len(self.vocabulary)
+        held = [sum((np.bincount(t, minlength=v) for t, y in zip(terms, labels) if y == label), np.zeros(v, np.int64)) for label in (0, 1)]
+        sure = evidence(held[1], held[0], int(labels.sum()), int(n - labels.sum()), config.half) if n else np.zeros(0)
+        self.weight = (np.log((1 + n) / (1 + held[0] + held[1])) + 1) * (config.floor + (1 - config.floor) * sure)
+        self.unseen = (np.log(1 + n) + 1) * config.floor  # weight of a word of no example
+        vectors = [self._unit(t, tf, 0.0) for t, tf in zip(terms, times)]
+        common = held[0] + held[1] >= max(2, n // 20)
+        order = sorted(range(n), key=lambda k: (self._strongest(terms[k], times[k], common), examples[k][0]))
+        self.names = np.array([examples[k][0] for k in order], np.int64)
+        self.labels = labels[order]
         self.blocks = -(-n // config.block)
-        # The lists, cut at the blocks: for each block its terms and their weights there, one row a
-        # term; ``row`` finds a term's row, -1 without; ``tops`` is the greatest weight of each row.
-        terms_, size = len(idf), config.block
-        self.row = np.full((self.blocks, terms_), -1, np.int32)
-        self.tops = np.zeros((terms_, self.blocks))
-        self.weights: list[np.ndarray] = []
+        # The lists, block after block, and inside a block term after term.
+        self.starts = np.zeros((self.blocks, v + 1), np.int64)
+        self.tops = np.zeros((self.blocks, v))
+        places, weights, at = [np.zeros(0, np.int64)], [np.zeros(0)], 0
         for b in range(self.blocks):
-            part = vectors[b * size : (b + 1) * size]
-            own = np.unique(np.concatenate([v[2] for v in part]))
-            self.row[b, own] = np.arange(len(own))
-            here = np.zeros((len(own), size))
-            for k, v in enumerate(part):
-                here[self.row[b, v[2]], k] = v[3]
-            self.weights.append(here)
-            self.tops[own, b] = here.max(axis=1)
-        rows, toxic = bare
-        self.bare = toxic / rows if rows else 0.0  # of the examples without any term
-        self.seen: set[str] = set()  # pieces of texts between white space
-        self.hot: dict[str, list[int]] = {}  # those that hold terms
-        self.steps: tuple[np.ndarray, np.ndarray] | None = None
-        if n:
-            self._calibrate(vectors)
-
-    def _unit(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(sorted(counts), np.int64)
-        w = (1 + np.log([counts[k] for k in t.tolist()])) * self.idf[t]
-        return t, w / np.linalg.norm(w)
-
-    def counts(self, text: str) -> Counter[int]:
-        """How often each term of the vocabulary occurs."""
-        pieces = text.lower().split()
-        distinct = set(pieces)
-        new = distinct - self.seen
-        if new:
-            if len(self.seen) > 1_000_000:
-                self.seen.clear()
-                self.hot.clear()
-                new = distinct
-            for p in new:
-                own = [self.vocabulary[t] for w in _WORDS(p) for t in terms(w, self.config) if t in self.vocabulary]
-                if own:
-                    self.hot[p] = own
-            self.seen |= new
-        found: Counter[int] = Counter()
-        mentions = 0
-        here = distinct & self.hot.keys() if len(self.hot) > len(distinct) else [p for p in self.hot if p in distinct]
-        for p in here:
-            n = pieces.count(p)
-            mentions += n
-            for t in self.hot[p]:
-                found[t] += n
-        if mentions:
-            reached = [mentions >= x for x in LEVELS["mentions"]] + [1000 * mentions >= x * len(pieces) for x in LEVELS["in a thousand"]]
-            found.update(len(self.vocabulary) + k for k, yes in enumerate(reached) if yes)
-        return found
-
-    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k examples nearest to the unit vector of terms t, weights w."""
-        bound = w @ self.tops[t]
-        places, cosines = np.zeros(0, np.int64), np.zeros(0)
+            part = [vectors[k] for k in order[b * config.block : (b + 1) * config.block]]
+            t = np.concatenate([terms[k] for k in order[b * config.block : (b + 1) * config.block]])
+            w = np.concatenate(part)
+            p = np.repeat(np.arange(len(part)), [len(x) for x in part])
+            by = np.argsort(t, kind="stable")
+            places.append(p[by])
+            weights.append(w[by])
+            np.maximum.at(self.tops[b], t, w)
+            self.starts[b] = at + np.concatenate([[0], np.cumsum(np.bincount(t, minlength=v))])
+            at += len(t)
+        self.places, self.weights = np.concatenate(places).astype(np.int32), np.concatenate(weights)
+
+    @staticmethod
+    def _strongest(terms: np.ndarray, times: np.ndarray, common: np.ndarray) -> int:
+        has = np.flatnonzero(common[terms])
+        return int(terms[has[times[has].argmax()]]) if len(has) else -1
+
+    def _unit(self, terms: np.ndarray, times: np.ndarray, rest: float) -> np.ndarray:
+        """Weights of the terms in a vector of length 1. ``rest``: square sum of other weights."""
+        w = (1 + np.log(times)) * self.weight[terms]
+        return w / np.sqrt(w @ w + rest) if len(w) else w
+
+    def vector(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """The known terms of a text and their weights; unknown words count in its length."""
+        find = self.vocabulary.get
+        terms = np.fromiter((find(w, -1) for w in counts), np.int64, len(counts))
+        times = np.fromiter(counts.values(), np.float64, len(counts))
+        known = terms >= 0
+        rest = ((1 + np.log(times[~known])) * self.unseen) ** 2
+        return terms[known], self._unit(terms[known], times[known], float(rest.sum()))
+
+    def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k examples nearest to the weights w of terms t."""
+        bound = self.tops[:, t] @ w
         size = self.config.block
+        places, cosines = np.zeros(0, np.int64), np.zeros(0)
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(places) == k and bound[b] < cosines[-1] - 1e-12:
                 break
-            row = self.row[b, t]
-            has = row >= 0
-            score = w[has] @ self.weights[b][row[has]]
-            hit = np.flatnonzero(score > 0)
-            hit = hit[hit + b * size != without]
+            first = self.starts[b, t]
+            n = self.starts[b, t + 1] - first
+            ends = np.cumsum(n)
+            at = np.repeat(first - (ends - n), n) + np.arange(ends[-1])
+            score = np.bincount(self.places[at], np.repeat(w, n) * self.weights[at])
+            least = cosines[-1] - 1e-12 if len(places) == k else 0.0
+            hit = np.flatnonzero(score > max(least, 0.0))
+            if without is not None:
+                hit = hit[self.names[hit + b * size] != without]
             places, cosines = np.concatenate([places, hit + b * size]), np.concatenate([cosines, score[hit]])
-            best = np.lexsort((places, -cosines))[:k]
+            best = np.lexsort((self.names[places], -np.round(cosines, 12)))[:k]
             places, cosines = places[best], cosines[best]
         return places, cosines
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
         w = 1 / (0.05 + 1 - np.minimum(cosines, 1.0))
         c = self.config.prior_weight
-        return float((w @ self.labels[places] + c * self.bare) / (w.sum() + c))
+        return float((w @ self.labels[places] + c * self.base) / (w.sum() + c))
+
+    def asked(self, text: str, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+        """The vote over a text, and its nearest examples."""
+        t, w = self.vector(Counter(words(text.lower())))
+        places, cosines = self.nearest(t, w, self.config.neighbours, without)
+        return self.vote(places, cosines), places, cosines
 
-    def _calibrate(self, vectors: list) -> None:
-        """Pool adjacent violators over the votes that examples get from the others."""
-        votes = np.array([self.vote(*self.nearest(v[2], v[3], self.config.neighbours, without=k)) for k, v in enumerate(vectors)])
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
+        """Pool adjacent violators over votes; the curve joins the pools' means by lines."""
         order = np.argsort(votes, kind="stable")
-        pools: list[list[float]] = []  # vote from, sum of labels, rows
-        for v, y in zip(votes[order].tolist(), self.labels[order].tolist()):
-            if pools and pools[-1][0] == v:
-                pools[-1][1] += y
-                pools[-1][2] += 1
-            else:
-                pools.append([v, y, 1])
+        pools: list[list[float]] = []  # sum of votes, sum of labels, rows
+        for v, y in zip(votes[order].tolist(), labels[order].tolist()):
+            pools.append([v, y, 1])
             while len(pools) > 1 and pools[-2][1] / pools[-2][2] >= pools[-1][1] / pools[-1][2]:
-                v0, y0, n0 = pools.pop(-2)
-                pools[-1] = [v0, y0 + pools[-1][1], n0 + pools[-1][2]]
-        self.steps = np.array([p[0] for p in pools]), np.array([(p[1] + 0.5) / (p[2] + 1) for p in pools])
+                last = pools.pop()
+                pools[-1] = [a + b for a, b in zip(pools[-1], last)]
+        self.curve = np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
-        counts = self.counts(text)
-        if not counts or self.steps is None:
-            return self.bare, []
-        places, cosines = self.nearest(*self._unit(counts), self.config.neighbours)
-        raw = self.vote(places, cosines)
-        at = max(0, int(np.searchsorted(self.steps[0], raw, side="right")) - 1)
-        # A step's rate, moved a little by the vote itself, so that votes keep their order in it.
-        score = min(1.0, max(0.0, 0.98 * float(self.steps[1][at]) + 0.02 * raw))
-        return score, [(int(self.names[p]), int(self.labels[p]), float(c)) for p, c in zip(places, cosines)]
+        vote, places, cosines = self.asked(text)
+        score = vote if self.curve is None else float(np.interp(vote, *self.curve))
+        return min(1.0, max(0.0, score)), [(int(self.names[p]), int(self.labels[p]), float(c)) for p, c in zip(places, cosines)]
 
 
 def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityConfig()) -> Index:
     """The index of the labelled rows of ``docs`` that aren't held out."""
+    spark = docs.sparkSession
     sample = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id"))
     sample = sample.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_examples)
+    # The sample's rows are at most max_examples, so they may be broadcast.
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
     # Equal texts count once, toxic if most of their labels say so.
-    texts = chosen.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.any_value("text").alias("text"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
-    texts = settle(texts.select("doc_id", "text", "toxic"), "examples")
+    texts = chosen.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    texts = settle(texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "toxic"), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = (Counter(), Counter())
+        for b in batches:
+            found = [Counter(words(t.lower())) for t in b.column(1).to_pylist()]
+            terms = pa.array([list(c) for c in found], pa.list_(pa.string()))
+            times = pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), terms, times], ["doc_id", "toxic", "terms", "times"])
 
-        def out() -> pa.RecordBatch:
-            both = list(found[0].keys() | found[1].keys())
-            rows = pa.RecordBatch.from_pydict({"term": pa.array(both, pa.string()), "clean": pa.array([found[0][t] for t in both], pa.int64()), "toxic": pa.array([found[1][t] for t in both], pa.int64())})
-            found[0].clear()
-            found[1].clear()
-            return rows
+    got = texts.mapInArrow(count, "doc_id bigint, toxic int, terms array<string>, times array<bigint>").toArrow().to_pylist()
+    index = Index(config, sorted(((r["doc_id"], r["toxic"], dict(zip(r["terms"], r["times"]))) for r in got), key=lambda r: r[0]))
+    if 0 < index.base < 1:
+        shared = spark.sparkContext.broadcast(index)
 
-        for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = set(_WORDS(text.lower()))
-                own = set(words)
-                for n in config.prefixes:
-                    own |= {w[:n] + "*" for w in words if len(w) >= n}
-                found[y].update(own)
-                if len(found[0]) > 1_000_000:
-                    yield out()
-        yield out()
-
-    size = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
-    clean, toxic = float(size.get(0, 0)), float(size.get(1, 0))
-    if not clean or not toxic:
-        return Index(config, {}, np.zeros(0), [], (int(clean + toxic), int(toxic)))
-    freq = texts.select("text", "toxic").mapInArrow(count, "term string, clean bigint, toxic bigint").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b"))
-
-    def h(k: F.Column, n: F.Column) -> F.Column:
-        return F.when((k == 0) | (k == n), 0.0).otherwise(k * F.log(k / n) + (n - k) * F.log(1 - k / n))
-
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    ratio = 2 * (h(a, F.lit(clean)) + h(b, F.lit(toxic)) - h(a + b, F.lit(clean + toxic)))
-    kept = freq.where((b / toxic > a / clean) & (b >= config.least_share * (a + b))).withColumn("ratio", ratio).where(F.col("ratio") >= config.least_ratio)
-    rows = kept.orderBy(F.desc("ratio"), "term").limit(config.max_terms).collect()
-    vocabulary = {r["term"]: k for k, r in enumerate(rows)}
-    frequency = [r["a"] + r["b"] for r in rows]
-    blank = Index(config, vocabulary, np.ones(len(rows) + _N_LEVELS), [], (0, 0))
-
-    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [blank.counts(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int64()))], ["doc_id", "toxic", "terms", "times"])
+        def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                votes = [shared.value.asked(t, without=name)[0] for name, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.float64()), b.column(2)], ["vote", "toxic"])
 
-    weights = texts.mapInArrow(weigh, "doc_id bigint, toxic int, terms array<bigint>, times array<bigint>")
-    got = [(r["doc_id"], r["toxic"], dict(zip(r["terms"], r["times"]))) for r in weights.collect()]
-    bare = [r for r in got if not r[2]]
-    frequency += [sum(len(rows) + k in r[2] for r in got) for k in range(_N_LEVELS)]
-    idf = np.log((1 + clean + toxic) / (1 + np.array(frequency))) + 1
-    return Index(config, vocabulary, idf, sorted((r for r in got if r[2]), key=lambda r: r[0]), (len(bare), sum(r[1] for r in bare)))
+        found = texts.mapInArrow(vote, "vote double, toxic int").toArrow()
+        index.calibrate(found["vote"].to_numpy(), found["toxic"].to_numpy())
+    return index
 
 
 def scored(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
-    """``docs`` with score, predicted and evidence behind its columns."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(index)
-    place = docs.columns.index(text_col)
+    """``docs`` with score, predicted and evidence behind its other columns."""
     extra = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())]
+    clash = [c for c in docs.columns if c.lower() in {f.name for f in extra} and c != text_col]
+    docs = docs.drop(*clash)
+    shared = docs.sparkSession.sparkContext.broadcast(index)
+    place = docs.columns.index(text_col)
     schema = T.StructType(docs.schema.fields + extra)
     names = [f.name for f in schema]
 
@@ -260,8 +227,9 @@ def scored(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
         for b in batches:
             found = [own.score(t or "") for t in b.column(place).to_pylist()]
             score = [s for s, _ in found]
-            evidence = [",".join(f"{n}:{y}:{c:.4f}" for n, y, c in e[:5]) for _, e in found]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(evidence, pa.string())], names)
+            near = [",".join(f"{n}:{y}:{c:.4f}" for n, y, c in e[:5]) for _, e in found]
+            columns = [pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(near, pa.string())]
+            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names)
 
     return docs.mapInArrow(run, schema)
 

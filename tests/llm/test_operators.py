@@ -2,9 +2,11 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -436,25 +438,49 @@ def test_toxicity(spark):
     assert all(rows[k].predicted == labels[k][2] for k in held)
     assert 0 <= rows[600].score == rows[601].score < 0.5 and rows[0].evidence
     assert set(index.names.tolist()) <= {k for k in range(600) if not rows[k].held}
-    # The pruned search gives what comparing with every example gives.
-    dense = np.zeros((len(index.names), len(index.idf)))
-    for b, here in enumerate(index.weights):
-        for t in np.flatnonzero(index.row[b] >= 0):
-            part = here[index.row[b, t]][: len(dense) - b * index.config.block]
-            dense[b * index.config.block : b * index.config.block + len(part), t] = part
-    for k in held[:60]:
-        counts = index.counts(texts[k])
-        if counts:
-            t, w = index._unit(counts)
-            places, cosines = index.nearest(t, w, 7)
-            every = dense[:, t] @ w
-            order = np.lexsort((np.arange(len(every)), -np.round(every, 12)))[:7]
-            order = order[every[order] > 0]
-            assert np.allclose(cosines, every[order])
+    # The pruned search over lists gives what plain vectors of all words give.
+    counts = {n: Counter(toxicity.words(texts[n].lower())) for n in index.names.tolist()}
+    plain_df = Counter(w for c in counts.values() for w in c)
+
+    def vector(c):
+        w = {}
+        for word, tf in c.items():
+            toxic_df = sum(labels[n][2] for n, own in counts.items() if word in own)
+            n1, n0, b, a = sum(labels[n][2] for n in counts), sum(1 - labels[n][2] for n in counts), toxic_df, plain_df[word] - toxic_df
+            h = lambda k, n: 0 if k in (0, n) else k * math.log(k / n) + (n - k) * math.log(1 - k / n)
+            g = max(0.0, 2 * (h(a, n0) + h(b, n1) - h(a + b, n0 + n1)))
+            w[word] = (1 + math.log(tf)) * (math.log((1 + len(counts)) / (1 + plain_df[word])) + 1) * (0.02 + 0.98 * (g / (g + 50)) ** 2)
+        size = math.sqrt(sum(x * x for x in w.values()))
+        return {k: x / size for k, x in w.items()}
+
+    small = toxicity.Index(toxicity.ToxicityConfig(block=64), [(n, labels[n][2], c) for n, c in counts.items()])
+    vectors = {n: vector(c) for n, c in counts.items()}
+    for k in held[:25]:
+        own = vector(Counter(texts[k].split() + ["unheard"]))
+        every = sorted(((round(sum(x * v.get(w, 0.0) for w, x in own.items()), 10), -n) for n, v in vectors.items()), reverse=True)[:15]
+        for one in (index, small):
+            _, places, cosines = one.asked(texts[k] + " unheard")
+            assert np.allclose(cosines, [c for c, _ in every]) and [-n for _, n in every] == one.names[places].tolist()
     kept = toxicity.clean(docs, index)
     assert kept.columns == docs.columns and kept.where("doc_id >= 600").count() == 2 and kept.count() < 602
     none = toxicity.learn(docs, spark.createDataFrame([], "doc_id bigint, quality int, toxic int"))
     assert {r.score for r in toxicity.scored(docs.select("text"), none).collect()} == {0.0}
+    # Clashing columns give way; an empty table stays empty; a long text is read whole.
+    clash = toxicity.scored(docs.limit(3).withColumn("Score", F.lit("x")).withColumn("evidence", F.lit(1)), index)
+    assert clash.columns == ["doc_id", "text", "lang", "fp", "spans", "score", "predicted", "evidence"] and clash.collect()
+    assert toxicity.scored(docs.limit(0), index).count() == 0 == toxicity.clean(docs.limit(0), index).count()
+    assert index.score("w " * 200_000 + "scum moron trash")[1]
+    # Without a word in common with any example there is no neighbour.
+    assert index.score("zzz yyy")[1] == [] and index.score("zzz")[0] == index.score("")[0]
+
+
+def test_evidence_and_calibration():
+    e = toxicity.evidence(np.array([90, 10, 1, 0]), np.array([0, 90, 0, 0]), 100, 900, 50.0)
+    assert e[0] > 0.7 and e[1:].max() < 0.01
+    index = toxicity.Index(toxicity.ToxicityConfig(), [(1, 0, {"a": 1}), (2, 1, {"b": 1})])
+    index.calibrate(np.array([0.1, 0.2, 0.3, 0.4]), np.array([0, 1, 0, 1]))
+    x, y = index.curve
+    assert np.allclose(x, [0.1, 0.25, 0.4]) and np.allclose(y, [0, 0.5, 1])
 
 
 # --- op9 ----------------------------------------------------------------------------------------
