@@ -25,6 +25,7 @@ from batchloom.operators.results import embedded, generated, transcribed
 from batchloom.plans import workflow
 from batchloom.schemas import ENDPOINTS
 from batchloom.sources import lines, settings
+from batchloom.store import Folder, fresh_path, written
 
 
 def _common(p: argparse.ArgumentParser) -> None:
@@ -106,18 +107,14 @@ def _session() -> SparkSession:
     return spark
 
 
-def _put(rows, path: str | None) -> None:
+def _put(spark: SparkSession, rows, path: str | None) -> None:
     """JSON lines in index order, to a file (whole or not at all) or to standard output."""
-    text = rows.orderBy("_index").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j"))
-    if path is None:
-        for r in text.toLocalIterator():
-            print(r["j"], flush=True)
+    text = workflow.as_lines(rows)
+    if path is not None:
+        workflow.put_lines(spark, text, path)
         return
-    beside = f"{path}.part"
-    with open(beside, "w", encoding="utf-8") as out:
-        for r in text.toLocalIterator():
-            out.write(r["j"] + "\n")
-    os.replace(beside, path)
+    for r in text.toLocalIterator():  # a terminal is the driver's own
+        print(r["value"], flush=True)
 
 
 def _generate(a: argparse.Namespace) -> None:
@@ -128,30 +125,23 @@ def _generate(a: argparse.Namespace) -> None:
     if a.input_jsonl and a.output_jsonl and lines.same_file(a.input_jsonl, a.output_jsonl):
         raise ValueError("input and output are the same file")
     if source is None and a.prompt is None:
-        source = spool = lines.stdin_spool()
+        source = spool = lines.stdin_spool(spark)
     mapper = load_mapper(a.mapper) if a.mapper else None
     own = None
     try:
         if a.output_jsonl:
             folder = workflow.run_dir_of(a.output_jsonl, a.checkpoint_dir)
         else:
-            import tempfile
-
-            own = tempfile.mkdtemp()
-            folder = f"{own}/run"
+            folder = own = fresh_path(spark, "run")
         config = workflow.RunConfig(folder, dispatch_config(a, endpoint=a.endpoint), source, a.prompt, mapper, a.mapper, resume=a.resume, parse_json=a.parse_json, on_status=lambda s: print(s, file=sys.stderr))
         workflow.run(spark, config)
         if a.output_jsonl:
             workflow.export(spark, folder, a.output_jsonl)
         else:
-            _put(workflow.output(spark, folder).drop("metadata"), None)
+            _put(spark, workflow.output(spark, folder).drop("metadata"), None)
     finally:
-        import shutil
-
-        if spool:
-            os.unlink(spool)
-        if own:
-            shutil.rmtree(own, ignore_errors=True)
+        for made in filter(None, (spool, own)):
+            Folder(spark, made).remove()
 
 
 def _embed(a: argparse.Namespace) -> None:
@@ -160,15 +150,15 @@ def _embed(a: argparse.Namespace) -> None:
         rows = lines.items(spark, [a.text]).withColumnRenamed("input", "text")
     else:
         rows = lines.field_rows(lines.json_lines(spark, a.input_jsonl), "text")
-    answers = embed(rows, dispatch_config(a)).persist()
-    _put(embedded(answers, not a.no_vectors).drop("call_id", "metrics"), a.output_jsonl)
+    answers = written(embed(rows, dispatch_config(a)), "answers")
+    _put(spark, embedded(answers, not a.no_vectors).drop("call_id", "metrics"), a.output_jsonl)
 
 
 def _transcribe(a: argparse.Namespace) -> None:
     spark = _session()
     paths = lines.items(spark, [a.path]).withColumnRenamed("input", "path") if a.path else lines.field_rows(lines.json_lines(spark, a.input_jsonl), "path")
-    answers = transcribe(lines.audio_paths(spark, paths), dispatch_config(a)).persist()
-    _put(transcribed(answers).drop("metrics"), a.output_jsonl)
+    answers = written(transcribe(lines.audio_paths(spark, paths), dispatch_config(a)), "answers")
+    _put(spark, transcribed(answers).drop("metrics"), a.output_jsonl)
 
 
 def _log(answers, endpoint: str):

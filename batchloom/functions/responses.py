@@ -133,3 +133,9 @@ def deployment(raw: Column) -> Column:
 def parsed_json(text: Column) -> Column:
     """``text`` as compact JSON text, null if it isn't JSON."""
     return F.to_json(F.try_parse_json(text))
+
+
+def cost(raw: Column) -> Column:
+    """What the provider's library says the call cost, null if it says nothing."""
+    v = F.try_parse_json(raw)
+    return F.coalesce(F.try_variant_get(v, "$._hidden_params.response_cost", "double"), F.try_variant_get(v, "$.cost", "double"))

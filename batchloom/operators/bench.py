@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.store import written
+
 WITHIN = 0.95
 TIMINGS = {"latency_s": "end_to_end_s", "service_time_s": "service_time_s", "queue_wait_s": "queue_wait_s"}
 
@@ -94,8 +96,7 @@ def sweep(levels: list[int], run: Callable[[int], DataFrame], warmup: Callable[[
         if warmup is not None:
             warmup(n).count()
         began = time.monotonic()
-        rows = run(n).withColumn("level", F.lit(n)).withColumn("position", F.lit(k)).persist()
-        rows.count()
+        rows = written(run(n).withColumn("level", F.lit(n)).withColumn("position", F.lit(k)), "bench")
         took.append((n, k, time.monotonic() - began))
         logs, spark = rows if logs is None else logs.unionByName(rows, allowMissingColumns=True), rows.sparkSession
     return logs, spark.createDataFrame(took, "level int, position int, elapsed_s double")
@@ -105,8 +106,7 @@ def for_seconds(seconds: float, run: Callable[[int], DataFrame]) -> tuple[DataFr
     """Repeat chunks until the time is over; their rows in one frame, and the time taken."""
     began, rows, k = time.monotonic(), None, 0
     while rows is None or time.monotonic() - began < seconds:
-        part = run(k).persist()
-        part.count()
+        part = written(run(k), "bench")
         rows = part if rows is None else rows.unionByName(part, allowMissingColumns=True)
         k += 1
     return rows, time.monotonic() - began

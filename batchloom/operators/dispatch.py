@@ -50,6 +50,7 @@ class DispatchConfig:
     max_retries: int = 3
     default_request_kwargs: dict[str, Any] = field(default_factory=dict)
     routing_strategy: str = "simple-shuffle"
+    router_kwargs: dict[str, Any] = field(default_factory=dict)
     strict: bool = False
     partitions: int = 8
     count_tokens: Callable[[Any], int] = estimate
@@ -88,37 +89,76 @@ class DispatchConfig:
         return parts, max(1, cap // parts)
 
 
-class _Caller:
-    """What one task needs: provider, gate, deployments."""
+class Router:
+    """Picks a deployment for each call of one task.
 
-    def __init__(self, config: DispatchConfig, part: int, parts: int):
-        self.config, self.provider = config, config.provider()
-        self.gate = Gate(config.limits.share(part, parts)) if config.limits.any else None
-        self.targets = config.targets()
+    simple-shuffle: at random; round-robin: in turn; least-busy: fewest in flight; usage-based: fewest
+    tokens in the last ``window_s`` seconds; latency-based: least moving mean of service
+    seconds, the untried first; cost-based: least ``costs[label]`` (router_kwargs; 0 if absent).
+    Ties go to the least busy, then to the first.
+    """
+
+    def __init__(self, strategy: str, targets: tuple[Deployment, ...], options: dict[str, Any], clock: Callable[[], float] = time.monotonic):
+        self.strategy, self.targets, self.clock = strategy, targets, clock
+        self.window, self.costs = float(options.get("window_s", 60.0)), dict(options.get("costs", {}))
         self.turn = 0
-        self.busy = {d.label: 0 for d in self.targets}
+        self.busy = {d.label: 0 for d in targets}
+        self.mean = {d.label: -1.0 for d in targets}
+        self.used: dict[str, list[tuple[float, int]]] = {d.label: [] for d in targets}
+
+    def _usage(self, label: str) -> int:
+        oldest = self.clock() - self.window
+        self.used[label] = [x for x in self.used[label] if x[0] > oldest]
+        return sum(n for _, n in self.used[label])
 
     def pick(self, kind: str) -> Deployment:
-        """Round robin for the responses endpoint and by default; else the least busy or a random one."""
-        how = "round-robin" if kind == "responses" else self.config.routing_strategy
+        """The responses endpoint is always served in turn."""
+        how = "round-robin" if kind == "responses" else self.strategy
         if how == "simple-shuffle":
             return random.choice(self.targets)
         if how == "round-robin":
             self.turn += 1
             return self.targets[(self.turn - 1) % len(self.targets)]
-        return min(self.targets, key=lambda d: self.busy[d.label])
+        first = {
+            "least-busy": lambda d: 0,
+            "usage-based-routing": lambda d: self._usage(d.label),
+            "latency-based-routing": lambda d: self.mean[d.label],
+            "cost-based-routing": lambda d: self.costs.get(d.label, 0.0),
+        }[how]
+        return min(self.targets, key=lambda d: (first(d), self.busy[d.label]))
+
+    def done(self, target: Deployment, seconds: float, tokens: int) -> None:
+        old = self.mean[target.label]
+        self.mean[target.label] = seconds if old < 0 else 0.8 * old + 0.2 * seconds
+        if self.strategy == "usage-based-routing":
+            self.used[target.label].append((self.clock(), tokens))
+
+
+class _Caller:
+    """What one task needs: provider, gate, deployments."""
+
+    def __init__(self, config: DispatchConfig, part: int, parts: int):
+        self.config, self.provider = config, config.provider()
+        self.gate = Gate(config.limits.share(part, parts)) if config.limits.any else None
+        self.router = Router(config.routing_strategy, config.targets(), config.router_kwargs)
+
+    async def close(self) -> None:
+        """Close the provider if it can be closed."""
+        done = getattr(self.provider, "close", lambda: None)()
+        if asyncio.iscoroutine(done):
+            await done
 
     async def call(self, kind: str, request: Any, tokens: int, options: dict, since: float) -> tuple[dict, dict]:
         """Response and metrics; raises the last error, with its metrics attached."""
         c, waited, slept, attempt = self.config, 0.0, 0.0, 0
-        target = self.pick(kind)
+        target = self.router.pick(kind)
         while True:
             asked = time.monotonic()
             if self.gate:
                 await self.gate.acquire(tokens)
             began = time.monotonic()
             waited += began - (since if not attempt else asked)
-            self.busy[target.label] += 1
+            self.router.busy[target.label] += 1
             try:
                 response = await self.provider.call(kind, request, target, {**target.extra, **options})
             except Exception as error:
@@ -132,16 +172,18 @@ class _Caller:
                 pause = _pause(attempt, error.retry_after) * c.backoff_unit
                 slept += pause
                 attempt += 1
-                target = self.pick(kind)
+                target = self.router.pick(kind)
                 await asyncio.sleep(pause)
             else:
                 now = time.monotonic()
+                used = (response.get("usage") or {}).get("total_tokens") if isinstance(response, dict) else None
+                used = int(used if used is not None else tokens)
+                self.router.done(target, now - began, used)
                 if self.gate:
-                    used = (response.get("usage") or {}).get("total_tokens") if isinstance(response, dict) else None
-                    self.gate.adjust(tokens, int(used if used is not None else tokens), failed=False, headers=_limits_of(response))
+                    self.gate.adjust(tokens, used, failed=False, headers=_limits_of(response))
                 return response, self._metrics(waited, now - began, now - since, slept, target, attempt, response)
             finally:
-                self.busy[target.label] = max(0, self.busy[target.label] - 1)
+                self.router.busy[target.label] -= 1
 
     @staticmethod
     def _metrics(queue: float, service: float, total: float, slept: float, target: Deployment, retries: int, response: dict | None = None) -> dict:
@@ -201,11 +243,11 @@ def _row(index: int, response: dict | None, error: BaseException | str | None, c
 async def _windowed(jobs: Iterator[Callable[[], Any]], window: int) -> AsyncIterator[list[dict]]:
     """Run jobs with at most ``window`` in flight; each gives a list of rows, in order of completion."""
     running: set[asyncio.Task] = set()
-    left = True
+    left, loop = True, asyncio.get_running_loop()
     try:
         while left or running:
             while left and len(running) < window:
-                job = next(jobs, None)
+                job = await loop.run_in_executor(None, next, jobs, None)  # Arrow may have to wait for rows
                 if job is None:
                     left = False
                 else:
@@ -221,11 +263,19 @@ async def _windowed(jobs: Iterator[Callable[[], Any]], window: int) -> AsyncIter
             await asyncio.gather(*running, return_exceptions=True)
 
 
+_COLUMNS = ["_index", "response", "error", "error_type", "call_id", "metrics"]
+FRAME_ROWS, FRAME_SECONDS = 512, 1.0
+
+
 def _run(config: DispatchConfig, window: int, parts: int, make: Callable[[_Caller, pd.DataFrame], Iterator[Callable]]):
+    """Rows leave a task in frames of ``FRAME_ROWS``, or of what came within ``FRAME_SECONDS``."""
+
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loop = asyncio.new_event_loop()
+        caller = _Caller(config, TaskContext.get().partitionId() % parts, parts)
+        held: list[dict] = []
+        began = time.monotonic()
         try:
-            caller = _Caller(config, TaskContext.get().partitionId() % parts, parts)
 
             def jobs() -> Iterator[Callable]:
                 for b in batches:
@@ -234,37 +284,51 @@ def _run(config: DispatchConfig, window: int, parts: int, make: Callable[[_Calle
             rows = _windowed(jobs(), window)
             while True:
                 try:
-                    found = loop.run_until_complete(anext(rows))
+                    held += loop.run_until_complete(anext(rows))
                 except StopAsyncIteration:
                     break
-                yield pd.DataFrame(found, columns=["_index", "response", "error", "error_type", "call_id", "metrics"])
+                if len(held) >= FRAME_ROWS or time.monotonic() - began > FRAME_SECONDS:
+                    yield pd.DataFrame(held, columns=_COLUMNS)
+                    held, began = [], time.monotonic()
+            if held:
+                yield pd.DataFrame(held, columns=_COLUMNS)
         finally:
+            loop.run_until_complete(caller.close())
+            loop.run_until_complete(loop.shutdown_default_executor())
             loop.close()
 
     return task
 
 
+def _own(config: DispatchConfig, text: Any) -> dict[str, Any]:
+    """Options of one call: its own (JSON text of an object, or null) above the defaults."""
+    return config.options(json.loads(text) if isinstance(text, str) else None)
+
+
+def _with_options(df: DataFrame) -> F.Column:
+    return F.col("options") if "options" in df.columns else F.lit(None).cast("string").alias("options")
+
+
 def generate(requests: DataFrame, config: DispatchConfig) -> DataFrame:
     """Answers to rows of _index, request (JSON text) and error; rows with an error make no call.
 
-    In strict mode the first failure raises: the task cancels what it has in flight, and the
+    A column ``options`` (JSON text, may be null) holds a call's own options. In strict mode the first failure raises: the task cancels what it has in flight, and the
     job fails.
     """
     parts, window = config.shape()
-    options = config.options()
-    most = next((int(options[k]) for k in ("max_completion_tokens", "max_tokens", "max_output_tokens") if options.get(k)), config.default_output_tokens)
 
     def make(caller: _Caller, batch: pd.DataFrame) -> Iterator[Callable]:
-        for index, text, error in zip(batch["_index"], batch["request"], batch["error"]):
+        for index, text, error, asked in zip(batch["_index"], batch["request"], batch["error"], batch["options"]):
 
-            async def one(index=index, text=text, error=error) -> list[dict]:
+            async def one(index=index, text=text, error=error, asked=asked) -> list[dict]:
                 if error is not None or text is None:
                     if config.strict:
                         raise ValueError(error or "no request")
                     return [_row(index, None, error or "no request", None, None)]
                 since = time.monotonic()
                 try:
-                    request = json.loads(text)
+                    request, options = json.loads(text), _own(config, asked)
+                    most = next((int(options[k]) for k in ("max_completion_tokens", "max_tokens", "max_output_tokens") if options.get(k)), config.default_output_tokens)
                     response, metrics = await caller.call(config.endpoint, request, config.count_tokens(request) + max(0, most), options, since)
                     return [_row(index, response, None, f"g-{index}", metrics)]
                 except Exception as failure:
@@ -274,10 +338,17 @@ def generate(requests: DataFrame, config: DispatchConfig) -> DataFrame:
 
             yield one
 
-    rows = requests.select(F.col("_index").cast("bigint"), "request", "error").repartitionByRange(parts, "_index")
+    rows = requests.select(F.col("_index").cast("bigint"), "request", "error", _with_options(requests)).repartitionByRange(parts, "_index")
     return rows.mapInPandas(_run(config, window, parts, make), DISPATCHED)
 
 
+def micro_batches(texts: DataFrame, size: int, text_col: str = "text") -> DataFrame:
+    """batch, indices and texts: contiguous slices of the index, in order; null texts are empty."""
+    named = texts.select(F.col("_index").cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    grouped = named.groupBy(F.floor(F.col("_index") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("_index", "text"))).alias("rows"))
+    return grouped.select("batch", F.col("rows._index").alias("indices"), F.col("rows.text").alias("texts"))
+
+
 def embed(texts: DataFrame, config: DispatchConfig, text_col: str = "text", micro_batch_size: int = 32) -> DataFrame:
     """One answer row for each text; texts go out in contiguous micro-batches of their index.
 
@@ -314,25 +385,22 @@ def embed(texts: DataFrame, config: DispatchConfig, text_col: str = "text", micr
             half = len(inputs) // 2
             return await chunk(caller, indices[:half], inputs[:half], since) + await chunk(caller, indices[half:], inputs[half:], since)
 
-    named = texts.select(F.col("_index").cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    grouped = named.groupBy(F.floor(F.col("_index") / micro_batch_size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("_index", "text"))).alias("rows"))
-    batches = grouped.select("batch", F.col("rows._index").alias("indices"), F.col("rows.text").alias("texts")).repartitionByRange(parts, "batch")
+    batches = micro_batches(texts, micro_batch_size, text_col).repartitionByRange(parts, "batch")
     return batches.mapInPandas(_run(config, window, parts, make), DISPATCHED)
 
 
 def transcribe(files: DataFrame, config: DispatchConfig) -> DataFrame:
     """Answers to rows of _index, content and error (as the audio sources give them)."""
     parts, window = config.shape()
-    options = config.options()
 
     def make(caller: _Caller, batch: pd.DataFrame) -> Iterator[Callable]:
-        for index, content, error in zip(batch["_index"], batch["content"], batch["error"]):
+        for index, content, error, asked in zip(batch["_index"], batch["content"], batch["error"], batch["options"]):
 
-            async def one(index=index, content=content, error=error) -> list[dict]:
+            async def one(index=index, content=content, error=error, asked=asked) -> list[dict]:
                 try:
                     if error is not None:
                         raise ValueError(error)
-                    response, metrics = await caller.call(TRANSCRIPTION, bytes(content), 0, options, time.monotonic())
+                    response, metrics = await caller.call(TRANSCRIPTION, bytes(content), 0, _own(config, asked), time.monotonic())
                     return [_row(index, response, None, f"t-{index}", metrics)]
                 except Exception as failure:
                     if config.strict:
@@ -341,7 +409,7 @@ def transcribe(files: DataFrame, config: DispatchConfig) -> DataFrame:
 
             yield one
 
-    rows = files.select(F.col("_index").cast("bigint"), "content", "error").repartitionByRange(parts, "_index")
+    rows = files.select(F.col("_index").cast("bigint"), "content", "error", _with_options(files)).repartitionByRange(parts, "_index")
     return rows.mapInPandas(_run(config, window, parts, make), DISPATCHED)
 
 

@@ -84,3 +84,25 @@ def validate(source: DataFrame, ledger: DataFrame, output: DataFrame | None = No
         if gone:
             more = ", ..." if len(gone) > SHOWN else ""
             raise MismatchError(f"the output lacks settled rows: {', '.join(map(str, gone[:SHOWN]))}{more}")
+
+
+def unmatched_log(ledger: DataFrame, settled: DataFrame) -> DataFrame:
+    """output_index and rows, of settle-log entries that don't stand for exactly one ledger row."""
+    rows = ledger.groupBy("output_index").agg(F.count(F.lit(1)).alias("rows"))
+    joined = settled.select("output_index").distinct().join(rows, "output_index", "left")
+    return joined.withColumn("rows", F.coalesce("rows", F.lit(0))).where("rows <> 1")
+
+
+def validate_log(ledger: DataFrame, settled: DataFrame | None) -> None:
+    if settled is not None and not unmatched_log(ledger, settled).limit(1).isEmpty():
+        raise MismatchError("the settle log names rows that the ledger doesn't hold exactly once")
+
+
+def fingerprint_counts(source: DataFrame) -> DataFrame:
+    """How often each fingerprint occurs."""
+    return source.groupBy("record_fingerprint").agg(F.count(F.lit(1)).alias("n"))
+
+
+def status_counts(ledger: DataFrame) -> DataFrame:
+    """How many rows of a ledger are in each state."""
+    return ledger.groupBy(F.col("status").cast("int").alias("status")).agg(F.count(F.lit(1)).alias("n"))

@@ -59,3 +59,40 @@ class EchoProvider:
             return base | {"output": [{"type": "message", "content": [{"type": "output_text", "text": text}]}], "usage": {"input_tokens": used, "output_tokens": out, "total_tokens": used + out}}
         choice = {"text": text} if kind == "text_completion" else {"message": {"content": text}}
         return base | {"choices": [choice | {"finish_reason": "stop"}], "usage": {"prompt_tokens": used, "completion_tokens": out, "total_tokens": used + out}}
+
+
+class ScriptedProvider(EchoProvider):
+    """Echo whose failures follow from the number that begins each text (``17 some text``).
+
+    Multiples of ``refuse`` fail for good. Of the others, those one above a multiple of ``stumble``
+    fail as often as their remainder by 5 says, in a way that may be retried. Usage counts
+    characters; the cost is the option ``price`` for each.
+    """
+
+    def __init__(self, refuse: int = 7, stumble: int = 3, rule: Callable[[str, Any], str | None] | None = None):
+        super().__init__(rule)
+        self.refuse, self.stumble = refuse, stumble
+        self.tried: dict[int, int] = {}
+
+    def _check(self, text: str) -> None:
+        n = int(text.split(" ", 1)[0])
+        if n % self.refuse == 0:
+            raise ProviderError(f"refused {n}")
+        if self.stumble and n % self.stumble == 1:
+            self.tried[n] = self.tried.get(n, 0) + 1
+            if self.tried[n] <= n % 5:
+                raise ProviderError(f"busy {n}", retryable=True)
+
+    async def call(self, kind: str, request: Any, deployment: Any, options: dict[str, Any]) -> dict[str, Any]:
+        texts = [first_text(request)] if kind not in ("embedding", "transcription") else request if kind == "embedding" else []
+        for text in texts:
+            self._check(text)
+        answer = await super().call(kind, request, deployment, options)
+        n = sum(map(len, texts))
+        if kind == "embedding":
+            return answer | {"usage": {"prompt_tokens": n, "total_tokens": n}}
+        if kind != "transcription":
+            name, other = ("input_tokens", "output_tokens") if kind == "responses" else ("prompt_tokens", "completion_tokens")
+            answer["usage"] = {name: n, other: n, "total_tokens": 2 * n}
+            answer["_hidden_params"] = answer["_hidden_params"] | {"response_cost": n * options.get("price", 0.0)}
+        return answer

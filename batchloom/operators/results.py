@@ -15,7 +15,7 @@ def generated(answers: DataFrame, endpoint: str, target: type | dict | None = No
     rows = r.select("_index", "r.*", "error", "error_type", "call_id", "metrics", F.col("response").alias("raw_response"))
     parse = target is not None if parse_output is None else parse_output
     parsed = parsed_output(F.col("output_text"), target) if parse and target is not None else F.lit(None).cast("string")
-    return rows.withColumn("output_parsed", parsed).withColumn("cost", F.lit(None).cast("double"))
+    return rows.withColumn("output_parsed", parsed).withColumn("cost", R.cost(F.col("raw_response"))).withColumn("output_tokens", F.col("token_usage.completion_tokens"))
 
 
 def records(answers: DataFrame, endpoint: str, parse_json: bool = False, metadata: DataFrame | None = None) -> DataFrame:
@@ -46,8 +46,25 @@ def aligned(rows: DataFrame, n: int | None = None) -> DataFrame:
     return rows.agg(F.array_sort(F.collect_list(F.struct("_index", F.struct(*fields).alias("result"), "error"))).alias("x")).select(F.transform("x", lambda r: F.when(r["error"].isNull(), r["result"])).alias("results"), F.transform("x", lambda r: r["error"]).alias("errors"))
 
 
-def progress(rows: DataFrame, settled_at: str = "settled_at") -> DataFrame:
-    """Running count of settled rows, over a log that is small enough to sort in one place."""
+def progress(rows: DataFrame, settled_at: str = "settled_at", index: str = "_index") -> DataFrame:
+    """``completed``: the running count of settled rows in order of time, then index.
+
+    Rows are numbered within ranges of time, cut at quantiles, and the counts of the ranges before
+    are added, so that no task holds the whole log; the driver holds one number for each range.
+    Rows without a time come first.
+    """
     from pyspark.sql import Window
 
-    return rows.withColumn("completed", F.count(F.lit(1)).over(Window.orderBy(settled_at, "_index").rowsBetween(Window.unboundedPreceding, 0)))
+    spark = rows.sparkSession
+    at = F.coalesce(F.col(settled_at).cast("double"), F.lit(float("-inf")))
+    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cuts = sorted(set(rows.select(F.col(settled_at).cast("double").alias("_at")).approxQuantile("_at", [k / n for k in range(1, n)], 0.2 / n)))
+    marked = rows.withColumn("_part", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < at)) if cuts else F.lit(0))
+    sizes = sorted((r["_part"], r["count"]) for r in marked.groupBy("_part").count().collect())
+    before, total = [], 0
+    for part, size in sizes:
+        before.append((part, total))
+        total += size
+    table = F.broadcast(spark.createDataFrame(before, "_part int, _before bigint"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(at, index))
+    return marked.withColumn("_own", own).join(table, "_part").withColumn("completed", F.col("_own") + F.col("_before")).drop("_part", "_own", "_before")

@@ -16,9 +16,7 @@ overwritten in place: a fresh run is built beside the old one and renamed over i
 from __future__ import annotations
 
 import json
-import os
-import shutil
-import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
@@ -32,6 +30,7 @@ from batchloom.operators.mapping import mapper_fingerprint, prepared
 from batchloom.operators.results import records
 from batchloom.schemas import ERROR, SUCCESS
 from batchloom.sources import lines
+from batchloom.store import Folder
 
 VERSION = 1
 
@@ -51,6 +50,8 @@ class RunConfig:
     chunk_rows: int = 100_000
     on_status: Callable[[str], None] | None = None
     on_progress: Callable[[int, int], None] | None = None
+    on_result: Callable[[DataFrame], None] | None = None  # gets the output rows of each settled chunk
+    job_tag: str | None = None  # for ``cancel``
 
     def __post_init__(self) -> None:
         if (self.input_path is None) == (self.prompt is None):
@@ -84,69 +85,86 @@ def _source(spark: SparkSession, config: RunConfig) -> DataFrame:
     return planner.with_occurrence(found)
 
 
-def _chunks(run_dir: str, name: str) -> list[int]:
-    folder = Path(run_dir) / name
-    return sorted(int(p.name.split("=")[1]) for p in folder.glob("chunk=*") if (p / "_SUCCESS").exists()) if folder.exists() else []
+def _chunks(spark: SparkSession, run_dir: str, name: str) -> list[int]:
+    """Numbers of the chunks that were finished."""
+    folder = Folder(spark, f"{run_dir}/{name}")
+    return sorted(int(n.split("=")[1]) for n in folder.names() if n.startswith("chunk=") and folder.exists(f"{n}/_SUCCESS"))
 
 
 def settled(spark: SparkSession, run_dir: str) -> DataFrame | None:
     """output_index, status, chunk_id of every finished chunk."""
-    parts = [spark.read.parquet(f"{run_dir}/settled/chunk={k}").withColumn("chunk_id", F.lit(k)) for k in _chunks(run_dir, "settled")]
-    found = None
-    for p in parts:
-        found = p if found is None else found.unionByName(p)
-    return found
+    found = _chunks(spark, run_dir, "settled")
+    if not found:
+        return None
+    rows = spark.read.option("basePath", f"{run_dir}/settled").schema("output_index bigint, status tinyint, chunk int").parquet(*[f"{run_dir}/settled/chunk={k}" for k in found])
+    return rows.withColumnRenamed("chunk", "chunk_id")
 
 
 OUTPUT = "_index bigint, output_text string, output_parsed variant, token_usage struct<prompt_tokens:bigint,completion_tokens:bigint,total_tokens:bigint,reasoning_tokens:bigint>, request_id string, finish_reason string, error string, metadata string"
 
 
-def output(spark: SparkSession, run_dir: str) -> DataFrame:
-    """The settled rows, of repeated ones the latest chunk's; sort by ``_index`` for source order."""
-    chunks = _chunks(run_dir, "output")
+def output(spark: SparkSession, run_dir: str, chunk: int | None = None) -> DataFrame:
+    """The settled rows (of one chunk), of repeated ones the latest chunk's; sort by ``_index`` for source order."""
+    chunks = [k for k in _chunks(spark, run_dir, "output") if chunk in (None, k)]
     if not chunks:
         return spark.createDataFrame([], OUTPUT)
-    rows = spark.read.schema(OUTPUT).option("basePath", f"{run_dir}/output").json([f"{run_dir}/output/chunk={k}" for k in chunks])
-    rows = rows.withColumn("_chunk", F.regexp_extract(F.input_file_name(), r"chunk=(\d+)", 1).cast("int"))
+    rows = spark.read.schema(f"{OUTPUT}, chunk int").option("basePath", f"{run_dir}/output").json([f"{run_dir}/output/chunk={k}" for k in chunks])
+    rows = rows.withColumnRenamed("chunk", "_chunk")
     last = rows.groupBy("_index").agg(F.max("_chunk").alias("_chunk"))
     return rows.join(last, ["_index", "_chunk"], "left_semi").drop("_chunk")
 
 
 def _begin(spark: SparkSession, config: RunConfig) -> None:
     """Build a fresh run in a folder beside, then put it in place; the old run survives a failure."""
-    target = Path(config.run_dir)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    staged = Path(tempfile.mkdtemp(prefix=f".{target.name}.", dir=target.parent))
+    target, mark = Folder(spark, config.run_dir), uuid.uuid4().hex[:12]
+    staged = Folder(spark, f"{target.path}.new-{mark}")
     try:
-        planner.bootstrap(_source(spark, config)).write.parquet(str(staged / "ledger"))
-        (staged / "_run.json").write_text(json.dumps(_meta(config)))
+        planner.bootstrap(_source(spark, config)).write.parquet(f"{staged.path}/ledger")
+        staged.put("_run.json", json.dumps(_meta(config)))
         old = None
         if target.exists():
-            old = Path(tempfile.mkdtemp(prefix=f".{target.name}.old.", dir=target.parent))
-            os.replace(target, old / "run")
-        os.replace(staged, target)
+            old = Folder(spark, f"{target.path}.old-{mark}")
+            target.rename(old.path)
+        staged.rename(target.path)
         if old:
-            shutil.rmtree(old)
+            old.remove()
     except BaseException:
-        shutil.rmtree(staged, ignore_errors=True)
+        staged.remove()
         raise
 
 
 def _check(spark: SparkSession, config: RunConfig, source: DataFrame) -> None:
-    path = Path(config.run_dir)
-    if not (path / "_run.json").exists() or not (path / "ledger").exists():
-        raise planner.MismatchError(f"{path} holds no run to resume")
-    meta, mine = json.loads((path / "_run.json").read_text()), _meta(config)
+    path = Folder(spark, config.run_dir)
+    if not path.exists("_run.json") or not path.exists("ledger"):
+        raise planner.MismatchError(f"{path.path} holds no run to resume")
+    meta, mine = json.loads(path.text("_run.json")), _meta(config)
     if meta["schema_version"] != VERSION:
         raise planner.MismatchError(f"run version {meta['schema_version']} isn't {VERSION}")
     if meta["mapping_fingerprint"] != mine["mapping_fingerprint"]:
         raise planner.MismatchError("the mapper has changed since the run began")
-    ledger = planner.current(spark.read.parquet(f"{path}/ledger"), settled(spark, config.run_dir))
-    planner.validate(source, ledger, output(spark, config.run_dir))
+    log = settled(spark, config.run_dir)
+    ledger = spark.read.parquet(f"{path.path}/ledger")
+    planner.validate_log(ledger, log)
+    planner.validate(source, planner.current(ledger, log), output(spark, config.run_dir))
 
 
 def run(spark: SparkSession, config: RunConfig) -> int:
     """Do all pending rows; returns their number."""
+    if config.job_tag is None:
+        return _run(spark, config)
+    spark.sparkContext.addJobTag(config.job_tag)
+    try:
+        return _run(spark, config)
+    finally:
+        spark.sparkContext.removeJobTag(config.job_tag)
+
+
+def cancel(spark: SparkSession, job_tag: str) -> None:
+    """Stop the runs with this tag: their tasks cancel what they have in flight."""
+    spark.sparkContext.cancelJobsWithTag(job_tag)
+
+
+def _run(spark: SparkSession, config: RunConfig) -> int:
     tell = config.on_status or (lambda text: None)
     if not config.resume:
         _begin(spark, config)
@@ -154,33 +172,36 @@ def run(spark: SparkSession, config: RunConfig) -> int:
     if config.resume:
         _check(spark, config, source)
     ledger = planner.current(spark.read.parquet(f"{config.run_dir}/ledger"), settled(spark, config.run_dir))
-    todo = planner.pending(source, ledger, config.retry_errors).persist()
+    pending = Folder(spark, f"{config.run_dir}/pending-{uuid.uuid4().hex[:12]}")
+    planner.pending(source, ledger, config.retry_errors).write.parquet(pending.path)
     try:
-        # Row numbers of pending work, to cut chunks of an even size whatever is settled.
+        todo = spark.read.parquet(pending.path)
         total = todo.count()
         if not total:
             tell("nothing to do")
             return 0
+        # Quantiles of pending indices cut chunks of an even size whatever is settled.
         cuts = todo.approxQuantile("output_index", [k / -(-total // config.chunk_rows) for k in range(1, -(-total // config.chunk_rows))], 0.0001) if total > config.chunk_rows else []
         edges = [-1.0, *sorted(set(cuts)), float("inf")]
-        chunk = max([*_chunks(config.run_dir, "output"), *_chunks(config.run_dir, "settled"), -1]) + 1
+        chunk = max([*_chunks(spark, config.run_dir, "output"), *_chunks(spark, config.run_dir, "settled"), -1]) + 1
         done = 0
         for low, high in zip(edges, edges[1:]):
             part = todo.where((F.col("output_index") > low) & (F.col("output_index") <= high))
             n = _settle(spark, config, part, chunk)
+            if config.on_result:
+                config.on_result(output(spark, config.run_dir, chunk))
             done, chunk = done + n, chunk + 1
             tell(f"{done} of {total} rows settled")
             if config.on_progress:
                 config.on_progress(done, total)
         return done
     finally:
-        todo.unpersist()
+        pending.remove()
 
 
-def _fresh(path: str) -> str:
+def _fresh(spark: SparkSession, path: str) -> str:
     """A chunk folder left by a crash has no _SUCCESS and is replaced."""
-    if Path(path).exists():
-        shutil.rmtree(path)
+    Folder(spark, path).remove()
     return path
 
 
@@ -188,30 +209,45 @@ def _settle(spark: SparkSession, config: RunConfig, part: DataFrame, chunk: int)
     work = prepared(part, config.dispatch.endpoint, config.mapper, config.native_mapper)
     requests = work.select(F.col("output_index").alias("_index"), "request", "error", "metadata")
     # Answers are written once: later reads never call the provider again.
-    raw = _fresh(f"{config.run_dir}/answers/chunk={chunk}")
+    raw = _fresh(spark, f"{config.run_dir}/answers/chunk={chunk}")
     generate(requests, config.dispatch).write.parquet(raw)
     answers = spark.read.parquet(raw)
     kept = requests.where("error is null").select("_index", "metadata")
     rows = records(answers, config.dispatch.endpoint, config.parse_json, kept)
-    rows.write.option("ignoreNullFields", "false").json(_fresh(f"{config.run_dir}/output/chunk={chunk}"))
+    rows.write.option("ignoreNullFields", "false").json(_fresh(spark, f"{config.run_dir}/output/chunk={chunk}"))
     log = answers.select(F.col("_index").alias("output_index"), F.when(F.col("error").isNull(), SUCCESS).otherwise(ERROR).cast("tinyint").alias("status"))
-    log.write.parquet(_fresh(f"{config.run_dir}/settled/chunk={chunk}"))
-    shutil.rmtree(raw)
+    log.write.parquet(_fresh(spark, f"{config.run_dir}/settled/chunk={chunk}"))
+    Folder(spark, raw).remove()
     return spark.read.parquet(f"{config.run_dir}/settled/chunk={chunk}").count()
 
 
+def as_lines(rows: DataFrame) -> DataFrame:
+    """``value``: each row as a JSON line with its nulls, in index order; metadata only where there is some."""
+    plain = [c for c in rows.columns if c != "metadata"]
+    line = F.to_json(F.struct(*plain), {"ignoreNullFields": "false"})
+    if "metadata" in rows.columns:
+        more = F.concat(F.substring(line, F.lit(1), F.length(line) - 1), F.lit(',"metadata":'), F.col("metadata"), F.lit("}"))
+        line = F.coalesce(more, line)
+    return rows.orderBy("_index").select(line.alias("value"))
+
+
 def export(spark: SparkSession, run_dir: str, path: str) -> int:
-    """One JSON-lines file in source order, written beside and renamed."""
-    rows = output(spark, run_dir).orderBy("_index").select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("line"))
-    n, beside = 0, f"{path}.part"
-    with open(beside, "w", encoding="utf-8") as out:
-        for r in rows.toLocalIterator():
-            record = json.loads(r["line"])
-            if record.get("metadata") is None:
-                record.pop("metadata", None)
-            else:
-                record["metadata"] = json.loads(record["metadata"])
-            out.write(json.dumps(record, ensure_ascii=False) + "\n")
-            n += 1
-    os.replace(beside, path)
-    return n
+    """The output as JSON lines in source order, written by Spark; returns the number of rows."""
+    rows = output(spark, run_dir)
+    put_lines(spark, as_lines(rows), path)
+    return rows.count()
+
+
+def put_lines(spark: SparkSession, lines_: DataFrame, path: str) -> None:
+    """A text file at ``path``, whole or not at all; executors write parts, which are then joined in order.
+
+    The parts are joined through the store's streams in blocks, not through the driver's memory.
+    """
+    beside = Folder(spark, f"{path}.parts-{uuid.uuid4().hex[:12]}")
+    try:
+        lines_.write.text(beside.path)
+        beside.join("part-", f"{beside.path}/joined")
+        Folder(spark, path).remove()
+        Folder(spark, f"{beside.path}/joined").rename(path)
+    finally:
+        beside.remove()

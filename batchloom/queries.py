@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from batchloom import run_queries
 from batchloom.functions import ratelimit as RL
 from batchloom.functions import responses as R
 from batchloom.functions.fingerprint import text_fingerprint
@@ -28,11 +29,11 @@ def _query(sql: str):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, (f, _) in _FOUND.items()}
+    return {k: f for k, (f, _) in _FOUND.items()} | run_queries.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: sql for k, (_, sql) in _FOUND.items()}
+    return {k: sql for k, (_, sql) in _FOUND.items()} | run_queries.oracle_sql()
 
 
 # --- the planner: documents as source, a ledger whose states follow from the index ----------
@@ -104,12 +105,12 @@ def missing_output(spark: SparkSession, sf: str) -> DataFrame:
 
 @_query(f"WITH {_SRC} SELECT CAST(status AS INTEGER) AS status, count(*) AS n FROM ledger GROUP BY 1")
 def ledger_status_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _ledger(_source(spark, sf)).groupBy(F.col("status").cast("int").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    return planner.status_counts(_ledger(_source(spark, sf)))
 
 
 @_query("SELECT sha256(text) AS record_fingerprint, count(*) AS n FROM documents GROUP BY 1")
 def fingerprint_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return _source(spark, sf).groupBy("record_fingerprint").agg(F.count(F.lit(1)).alias("n"))
+    return planner.fingerprint_counts(_source(spark, sf))
 
 
 @_query(f"""WITH {_SRC}, log AS (
@@ -125,14 +126,6 @@ def settle_log(spark: SparkSession, sf: str) -> DataFrame:
     return planner.current(ledger, log).select("output_index", F.col("status").cast("int"))
 
 
-@_query("SELECT doc_id AS _index, CAST(max(c) AS INTEGER) AS chunk FROM (SELECT doc_id, 0 AS c FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id, 1 FROM documents WHERE doc_id % 3 = 0) GROUP BY 1")
-def output_union(spark: SparkSession, sf: str) -> DataFrame:
-    """Earlier and later output of a run together; of a repeated index the latest."""
-    rows = _source(spark, sf).select(F.col("source_index").alias("_index"))
-    both = rows.where("_index % 2 = 0").withColumn("chunk", F.lit(0)).unionByName(rows.where("_index % 3 = 0").withColumn("chunk", F.lit(1)))
-    return both.groupBy("_index").agg(F.max("chunk").alias("chunk"))
-
-
 # --- mapping and normalisation ---------------------------------------------------------------
 
 
@@ -146,31 +139,31 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     """Records that hold a prompt, messages or a responses input, null or absent by turn."""
     c = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("k", (F.col("conv_id") + F.col("turn")) % 4)
     some = F.struct(
-        F.when(F.col("k") != 3, F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(F.col("role"))).alias("prompt"),
-        F.when(F.col("k") == 1, F.array(F.struct("role", F.concat("role", F.lit("!")).alias("content")))).alias("messages"),
-        F.when(F.col("k") == 2, F.struct(F.col("role").alias("input"))).alias("responses_input"),
+        F.when(F.col("k") != 3, F.when(F.col("turn") % 5 == 0, F.lit("")).otherwise(F.col("text"))).alias("prompt"),
+        F.when(F.col("k") == 1, F.array(F.struct("role", F.concat("text", F.lit("!")).alias("content")))).alias("messages"),
+        F.when(F.col("k") == 2, F.struct(F.col("text").alias("input"))).alias("responses_input"),
     )
     return c.select("conv_id", "turn", "role", "k", F.to_json(some).alias("record"))
 
 
-_INPUT = """CASE (conv_id + turn) % 4 WHEN 2 THEN '{"input":"' || role || '"}' WHEN 1 THEN '[{"content":"' || role || '!","role":"' || role || '"}]' WHEN 0 THEN {empty} END"""
+_INPUT = """CASE (conv_id + turn) % 4 WHEN 2 THEN '{"input":' || to_json(text) || '}' WHEN 1 THEN '[{"content":' || to_json(text || '!') || ',"role":"' || role || '"}]' WHEN 0 THEN {empty} END"""
 
 
-@_query("SELECT conv_id, turn, " + _INPUT.replace("{empty}", """CASE WHEN turn % 5 = 0 THEN '""' ELSE '"' || role || '"' END""") + " AS input FROM conversations")
+@_query("SELECT conv_id, turn, " + _INPUT.replace("{empty}", """CASE WHEN turn % 5 = 0 THEN '""' ELSE to_json(text) END""") + " AS input FROM conversations")
 def builtin_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return _records(spark, sf).select("conv_id", "turn", builtin_input(F.col("record")).alias("input"))
 
 
-@_query("SELECT conv_id, turn, " + _INPUT.replace("{empty}", """CASE WHEN turn % 5 <> 0 THEN '"' || role || '"' END""") + " AS input FROM conversations")
+@_query("SELECT conv_id, turn, " + _INPUT.replace("{empty}", """CASE WHEN turn % 5 <> 0 THEN to_json(text) END""") + " AS input FROM conversations")
 def truthy_mapping(spark: SparkSession, sf: str) -> DataFrame:
     return _records(spark, sf).select("conv_id", "turn", truthy_input(F.col("record")).alias("input"))
 
 
 @_query("""SELECT conv_id, turn,
-  CASE (conv_id + turn) % 4 WHEN 0 THEN CASE WHEN turn % 5 = 0 THEN '[{"role":"user","content":""}]' ELSE '[{"role":"user","content":"' || role || '"}]' END
-    WHEN 1 THEN '[{"content":"' || role || '!","role":"' || role || '"}]' END AS chat,
-  CASE WHEN (conv_id + turn) % 4 = 0 THEN CASE WHEN turn % 5 = 0 THEN '""' ELSE '"' || role || '"' END END AS plain,
-  CASE (conv_id + turn) % 4 WHEN 0 THEN CASE WHEN turn % 5 = 0 THEN '{"input":""}' ELSE '{"input":"' || role || '"}' END WHEN 2 THEN '{"input":"' || role || '"}' END AS responses,
+  CASE (conv_id + turn) % 4 WHEN 0 THEN CASE WHEN turn % 5 = 0 THEN '[{"role":"user","content":""}]' ELSE '[{"role":"user","content":' || to_json(text) || '}]' END
+    WHEN 1 THEN '[{"content":' || to_json(text || '!') || ',"role":"' || role || '"}]' END AS chat,
+  CASE WHEN (conv_id + turn) % 4 = 0 THEN CASE WHEN turn % 5 = 0 THEN '""' ELSE to_json(text) END END AS plain,
+  CASE (conv_id + turn) % 4 WHEN 0 THEN CASE WHEN turn % 5 = 0 THEN '{"input":""}' ELSE '{"input":' || to_json(text) || '}' END WHEN 2 THEN '{"input":' || to_json(text) || '}' END AS responses,
   (conv_id + turn) % 4 IN (2, 3) AS chat_failed
 FROM conversations""")
 def normalised_inputs(spark: SparkSession, sf: str) -> DataFrame:
@@ -286,7 +279,7 @@ def transcription_parse(spark: SparkSession, sf: str) -> DataFrame:
 @_query("SELECT page_id, 'data:image/png;base64,' || base64(encode(html)) AS url FROM pages")
 def image_urls(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.read.parquet(f"{sf}/pages.parquet")
-    return p.select("page_id", F.regexp_replace(data_url(F.encode("html", "UTF-8"), guess_mime(F.lit("a/b.PNG"))), r"\r\n", "").alias("url"))
+    return p.select("page_id", F.regexp_replace(data_url(F.encode("html", "UTF-8"), guess_mime(F.concat("url", F.lit(".PNG")))), r"\r\n", "").alias("url"))
 
 
 @_query("""SELECT page_id, regexp_matches(lower(u), '^http://') AND lower(regexp_extract(u, '^[A-Za-z]+://([^/:?#]*)', 1)) NOT IN ('localhost', '127.0.0.1', '0.0.0.0') AS insecure
@@ -300,12 +293,6 @@ def insecure_bases(spark: SparkSession, sf: str) -> DataFrame:
 # --- embedding micro-batches, bench -------------------------------------------------------------
 
 
-@_query("SELECT CAST(floor(vec_id / 32) AS BIGINT) AS batch, min(vec_id) AS first, max(vec_id) AS last, count(*) AS n FROM embeddings GROUP BY 1")
-def embed_micro_batches(spark: SparkSession, sf: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf}/embeddings.parquet")
-    return e.groupBy(F.floor(F.col("vec_id") / 32).alias("batch")).agg(F.min("vec_id").alias("first"), F.max("vec_id").alias("last"), F.count(F.lit(1)).alias("n"))
-
-
 def _log(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
     ok = F.col("event_type") != "error"
@@ -396,12 +383,6 @@ def cyclic_workload(spark: SparkSession, sf: str) -> DataFrame:
     return cycle(rows, 500).select("_index", "item_id", F.length("text").cast("bigint").alias("n_chars"))
 
 
-@_query("SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS completed FROM events")
-def progress_counts(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("completed"))
-
-
 # --- limits -------------------------------------------------------------------------------------
 
 

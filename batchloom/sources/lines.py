@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
 import sys
-import tempfile
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.functions.fingerprint import parse_strict
+from batchloom.store import Folder, fresh_path
 
 MAX_AUDIO_BYTES = 25 * 1024 * 1024
 _LOCAL_BITS = 33  # monotonically_increasing_id: the row within its partition
@@ -23,24 +23,26 @@ def with_index(df: DataFrame, name: str = "source_index") -> DataFrame:
     The driver gets one count for each partition. ``df`` must come out in the same partitions
     each time (a scan does).
     """
-    tagged = df.withColumn("_mono", F.monotonically_increasing_id())
-    part = F.shiftright("_mono", _LOCAL_BITS)
-    counts = sorted((r["p"], r["n"]) for r in tagged.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
-    offsets, total = {}, 0
-    for p, n in counts:
-        offsets[p] = total
+    spark = df.sparkSession
+    tagged = df.withColumn("_mono", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mono", _LOCAL_BITS))
+    counts = sorted((r["_part"], r["count"]) for r in tagged.groupBy("_part").count().collect())
+    offsets, total = [], 0
+    for part, n in counts:
+        offsets.append((part, total))
         total += n
-    if not offsets:
-        return tagged.withColumn(name, F.col("_mono")).drop("_mono")
-    table = F.create_map(*[F.lit(x) for p, o in offsets.items() for x in (p, o)])
+    table = F.broadcast(spark.createDataFrame(offsets, "_part bigint, _before bigint"))  # a row for each partition
     local = F.col("_mono").bitwiseAND((1 << _LOCAL_BITS) - 1)
-    return tagged.withColumn(name, (F.element_at(table, part) + local).cast("bigint")).drop("_mono")
+    return tagged.join(table, "_part").withColumn(name, F.col("_before") + local).drop("_mono", "_part", "_before")
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
     """source_index, raw_line, record, parse_error, record_fingerprint of the non-blank lines."""
-    lines = spark.read.text(path).select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("raw_line")).where("raw_line <> ''")
-    return parsed(with_index(lines))
+    return parsed(with_index(stripped(spark.read.text(path))))
+
+
+def stripped(lines: DataFrame) -> DataFrame:
+    """raw_line: the text without white space at its ends; blank lines go."""
+    return lines.select(F.regexp_replace("value", r"(?U)^\s+|\s+$", "").alias("raw_line")).where("raw_line <> ''")
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -56,13 +58,24 @@ def prompt(spark: SparkSession, text: str) -> DataFrame:
     return parsed(line)
 
 
-def stdin_spool(folder: str | None = None, stream: Iterable[str] | None = None) -> str:
-    """Copy standard input to a file, so that it can be read again; the caller removes it."""
-    handle, path = tempfile.mkstemp(suffix=".jsonl", dir=folder)
-    with os.fdopen(handle, "w", encoding="utf-8") as out:
+def stdin_spool(spark: SparkSession, stream: Iterable[str] | None = None, block: int = 8 << 20) -> str:
+    """Copy standard input to a file in the shared folder, so that tasks can read it again; the caller
+    removes it. The driver holds a block at a time."""
+    folder = Folder(spark, fresh_path(spark, "stdin"))
+
+    def blocks() -> Iterator[str]:
+        held: list[str] = []
+        size = 0
         for line in stream if stream is not None else sys.stdin:
-            out.write(line if line.endswith("\n") else line + "\n")
-    return path
+            held.append(line if line.endswith("\n") else line + "\n")
+            size += len(line)
+            if size >= block:
+                yield "".join(held)
+                held, size = [], 0
+        yield "".join(held)
+
+    folder.put("stdin.jsonl", blocks())
+    return folder.path
 
 
 def items(spark: SparkSession, values: Sequence[object], schema: str = "string") -> DataFrame:
@@ -88,24 +101,46 @@ def audio(spark: SparkSession, path: str, most: int = MAX_AUDIO_BYTES) -> DataFr
     """_index, path, content and error of binary files; those over ``most`` bytes are error rows
     whose content isn't kept."""
     files = spark.read.format("binaryFile").load(path)
+    return with_index(guarded(files.select("path", "length", "content"), most), "_index")
+
+
+def guarded(files: DataFrame, most: int = MAX_AUDIO_BYTES) -> DataFrame:
+    """``length`` becomes ``error``; the content of files over ``most`` bytes isn't kept."""
     big = F.col("length") > most
-    rows = files.select("path", F.when(~big, F.col("content")).alias("content"), F.when(big, F.concat(F.lit("audio exceeds "), F.lit(str(most)), F.lit(" bytes"))).alias("error"))
-    return with_index(rows, "_index")
+    error = F.when(F.col("length").isNull(), F.concat(F.lit("not a regular file: "), F.col("path"))).when(big, F.lit(f"audio exceeds {most} bytes"))
+    return files.withColumn("error", error).withColumn("content", F.when(F.col("error").isNull(), F.col("content"))).drop("length")
 
 
 def audio_paths(spark: SparkSession, paths: DataFrame, most: int = MAX_AUDIO_BYTES) -> DataFrame:
-    """As ``audio`` for a frame of _index and path; missing files are error rows."""
-    wanted = paths.select("_index", F.col("path").alias("_path"))
-    names = [r["_path"] for r in wanted.select("_path").distinct().toLocalIterator()]
-    there = [n for n in names if "://" in n or Path(n).is_file()]
-    joined = wanted
-    if there:
-        files = spark.read.format("binaryFile").load(there).select(F.regexp_replace("path", "^file:/*", "/").alias("_p"), "length", "content")
-        joined = wanted.join(files, F.regexp_replace("_path", "^file:/*", "/") == F.col("_p"), "left")
-    else:
-        joined = wanted.withColumn("length", F.lit(None).cast("bigint")).withColumn("content", F.lit(None).cast("binary"))
-    problem = F.when(F.col("length").isNull(), F.concat(F.lit("not a regular file: "), F.col("_path"))).when(F.col("length") > most, F.lit(f"audio exceeds {most} bytes"))
-    return joined.select("_index", F.col("_path").alias("path"), F.when(problem.isNull(), F.col("content")).alias("content"), problem.alias("error"))
+    """As ``audio`` for a frame of _index and path (or URI), read by the tasks that hold the
+    rows; missing files are error rows, and files over ``most`` bytes aren't read."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                own = b.slice(at, 1)
+                length, content = _file(own.column(1)[0].as_py(), most)
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([length], pa.int64()), pa.array([content], pa.binary())], ["_index", "path", "length", "content"])
+
+    rows = paths.select(F.col("_index").cast("bigint").alias("_index"), F.col("path").cast("string").alias("path"))
+    return guarded(rows.mapInArrow(read, "_index bigint, path string, length bigint, content binary"), most)
+
+
+def _file(path: str | None, most: int) -> tuple[int | None, bytes | None]:
+    """Size and bytes of a file; without bytes if it is too large, without both if there is none."""
+    from pyarrow import fs
+
+    try:
+        store, own = fs.FileSystem.from_uri(path if "://" in path else Path(path).absolute().as_uri())
+        info = store.get_file_info(own)
+        if info.type != fs.FileType.File:
+            return None, None
+        if info.size > most:
+            return info.size, None
+        with store.open_input_stream(own) as f:
+            return info.size, f.read()
+    except (OSError, TypeError, ValueError):
+        return None, None
 
 
 def cycle(df: DataFrame, n: int, index: str = "_index") -> DataFrame:

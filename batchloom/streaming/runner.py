@@ -14,7 +14,8 @@ from batchloom.operators.dispatch import DispatchConfig, generate
 from batchloom.operators.limits import Limits, Limiter, TokenBucket
 from batchloom.operators.mapping import prepared
 from batchloom.operators.results import records
-from batchloom.sources.lines import parsed
+from batchloom.sources.lines import parsed, stripped
+from batchloom.store import Folder
 
 
 def run_stream(spark: SparkSession, source: str, target: str, checkpoint: str, config: DispatchConfig, files_per_trigger: int = 1, parse_json: bool = False) -> StreamingQuery:
@@ -23,16 +24,22 @@ def run_stream(spark: SparkSession, source: str, target: str, checkpoint: str, c
     A repeated batch replaces its own folder, so that a restart leaves one copy of each row; what is
     done isn't called again.
     """
-    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(source).select(F.trim("value").alias("raw_line")).where("raw_line <> ''")
+    lines = stripped(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(source))
 
     def batch(rows: DataFrame, number: int) -> None:
-        numbered = rows.withColumn("source_index", F.monotonically_increasing_id())
-        work = prepared(parsed(numbered).persist(), config.endpoint)
-        kept = work.select(F.col("source_index").alias("_index"), "request", "error", "raw_line")
-        answers = generate(kept, config).persist()
-        out = records(answers, config.endpoint, parse_json).withColumn("batch", F.lit(number))
-        out.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{target}/batch={number}")
-        answers.unpersist()
+        # Row numbers of all batches are apart: the batch, then the row in it.
+        index = F.lit(number << 40) + F.shiftright(F.monotonically_increasing_id(), 33) * (1 << 24) + F.monotonically_increasing_id().bitwiseAND((1 << 24) - 1)
+        work = Folder(spark, f"{target}/_work/batch={number}")
+        try:
+            parsed(rows.withColumn("source_index", index)).write.mode("overwrite").parquet(f"{work.path}/rows")
+            ready = prepared(spark.read.parquet(f"{work.path}/rows"), config.endpoint)
+            asked = ready.select(F.col("source_index").alias("_index"), "request", "error")
+            # Answers are written once: what follows never calls the provider again.
+            generate(asked, config).write.mode("overwrite").parquet(f"{work.path}/answers")
+            out = records(spark.read.parquet(f"{work.path}/answers"), config.endpoint, parse_json)
+            out.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{target}/batch={number}")
+        finally:
+            work.remove()
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

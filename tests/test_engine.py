@@ -382,7 +382,13 @@ def test_schema_validation():
     assert conforms({"a": 1, "b": ["x"]}, s) and not conforms({"b": []}, s) and not conforms({"a": True}, s) and not conforms({"a": 1, "b": ["z"]}, s)
     assert parse_with(s, '{"a": 2}') == '{"a": 2}' and parse_with(s, "{") is None and parse_with(s, None) is None
     with pytest.raises(ValueError):
-        check_schema({"oneOf": []})
+        check_schema({"properties": {"a": {"contains": {}}}})
+    t = {"$defs": {"n": {"type": "integer", "minimum": 2, "exclusiveMaximum": 9}}, "oneOf": [{"$ref": "#/$defs/n"}, {"type": "array", "prefixItems": [{"const": 1}], "items": {"multipleOf": 0.5}, "uniqueItems": True, "maxItems": 3}, {"type": "string", "minLength": 2, "pattern": "^a"}]}
+    check_schema(t)
+    good, bad = [2, 8, 5.0, [1], [1.0, 2.5], "ab"], [1, 9, True, [2], [1, 0.3], [1, 1], [1, 2, 3, 4], "a", "ba", None, {}]
+    assert all(conforms(v, t) for v in good) and not any(conforms(v, t) for v in bad)
+    o = {"patternProperties": {"^x": {"type": "string"}}, "additionalProperties": {"not": {"type": "string"}}, "minProperties": 1, "anyOf": [{"required": ["y"]}, {"required": ["xa"]}]}
+    assert conforms({"xa": "s"}, o) and conforms({"y": 1}, o) and not conforms({"xa": 1}, o) and not conforms({"y": "s"}, o) and not conforms({"z": 1}, o)
     pydantic = pytest.importorskip("pydantic")
     Model = pydantic.create_model("Model", a=(int, ...))
     assert json.loads(parse_with(Model, '{"a": 3}')) == {"a": 3} and parse_with(Model, '{"a": "z"}') is None
@@ -394,3 +400,101 @@ def test_backoff_bounds(spark):
     rows = spark.range(12).select("id", retry_delay(F.col("id")).alias("d")).collect()
     assert all(min(2.0**r.id, 60) <= r.d <= min(2.0**r.id, 60) + 0.5 for r in rows)
     assert math.isclose(spark.range(1).select(retry_delay(F.lit(0), F.lit("700"))).first()[0], 60.0)
+
+
+def test_routing_strategies():
+    from batchloom.operators.dispatch import Router
+    from batchloom.sources.settings import Deployment
+
+    now, targets = [0.0], tuple(Deployment(f"d{k}", "m") for k in range(3))
+    make = lambda how, **kw: Router(how, targets, kw, lambda: now[0])
+    names = lambda r, n, kind="chat_completion": [r.pick(kind).label for _ in range(n)]
+    assert names(make("round-robin"), 4) == names(make("cost-based-routing"), 4, "responses") == ["d0", "d1", "d2", "d0"]
+    assert set(names(make("simple-shuffle"), 60)) == {"d0", "d1", "d2"}
+    cheap = make("cost-based-routing", costs={"d0": 2.0, "d1": 1.0, "d2": 1.0})
+    assert names(cheap, 1) == ["d1"]
+    cheap.busy["d1"] = 1
+    assert names(cheap, 1) == ["d2"]
+    fast = make("latency-based-routing")
+    for t, seconds in zip(targets, (3.0, 1.0, 2.0)):
+        assert fast.pick("chat_completion") is t  # the untried first
+        fast.done(t, seconds, 1)
+    assert names(fast, 1) == ["d1"]
+    used = make("usage-based-routing", window_s=10.0)
+    for t, n in zip(targets, (5, 9, 7)):
+        used.done(t, 1.0, n)
+    assert names(used, 1) == ["d0"]
+    now[0] = 20.0
+    used.done(targets[0], 1.0, 1)
+    assert names(used, 1) == ["d1"]  # what is older than the window doesn't count
+    quiet = make("least-busy")
+    quiet.busy["d0"] = 1
+    assert names(quiet, 1) == ["d1"]
+
+
+class Closing(EchoProvider):
+    def __init__(self, folder):
+        super().__init__()
+        self.folder = folder
+
+    async def close(self):
+        import uuid
+
+        (self.folder / uuid.uuid4().hex).write_text("closed")
+
+
+def test_providers_are_closed_and_options_are_the_calls_own(spark, tmp_path):
+    import functools
+
+    from batchloom.operators.dispatch import DispatchConfig, generate
+
+    rows = spark.createDataFrame([(k, '"x"', None, f'{{"timeout": {k}}}' if k else None) for k in range(4)], "_index bigint, request string, error string, options string")
+    assert generate(rows, DispatchConfig("m", functools.partial(Closing, tmp_path), "text_completion", partitions=2)).count() == 4
+    assert 1 <= len(list(tmp_path.iterdir())) <= 4
+    config = DispatchConfig("m", EchoProvider, timeout=9.0, default_request_kwargs={"a": 1, "num_retries": 2})
+    assert config.options() == {"a": 1, "timeout": 9.0} and config.options({"a": 2, "timeout": 1}) == {"a": 2, "timeout": 1}
+
+
+def test_stdin_spool(spark):
+    from batchloom.sources import lines
+    from batchloom.store import Folder
+
+    said = [json.dumps({"prompt": f"line {k}"}) for k in range(500)]
+    path = lines.stdin_spool(spark, iter([*said[:-1], "", said[-1]]), block=64)
+    rows = lines.json_lines(spark, path).orderBy("source_index").collect()
+    assert [r.raw_line for r in rows] == said and [r.source_index for r in rows] == list(range(500))
+    Folder(spark, path).remove()
+    assert not Folder(spark, path).exists()
+
+
+def test_rows_of_a_duration(spark):
+    from batchloom.operators import bench
+
+    rows, took = bench.for_seconds(0.2, lambda k: spark.range(3).withColumn("turn", F.lit(k)))
+    n = rows.groupBy("turn").count().collect()
+    assert took >= 0.2 and all(r["count"] == 3 for r in n) and sorted(r.turn for r in n) == list(range(len(n)))
+
+
+def test_run_directories():
+    from batchloom.plans.workflow import run_dir_of
+
+    a, b = run_dir_of("/data/x/out.jsonl", "/ledgers"), run_dir_of("/data/y/out.jsonl", "/ledgers")
+    assert a != b and a.startswith("/ledgers/out.jsonl.") and a.endswith(".run") and len(a.split(".")[-2]) == 8
+    assert run_dir_of("/data/x/out.jsonl") == "/data/x/out.jsonl.run"
+
+
+def test_running_counts_by_ranges(spark):
+    from batchloom.operators.results import progress
+
+    rows = spark.createDataFrame([(k, float(k % 7) if k % 5 else None) for k in range(200)], "_index bigint, settled_at double")
+    found = {r._index: r.completed for r in progress(rows).collect()}
+    order = sorted(range(200), key=lambda k: (float(k % 7) if k % 5 else float("-inf"), k))
+    assert [found[k] for k in order] == list(range(1, 201)) and progress(rows.limit(0)).count() == 0
+
+
+def test_a_settle_log_names_one_row_each(spark):
+    ledger = spark.createDataFrame([(0,), (1,), (1,)], "output_index bigint")
+    planner.validate_log(ledger, spark.createDataFrame([(0,)], "output_index bigint"))
+    for k in (1, 2):
+        with pytest.raises(planner.MismatchError):
+            planner.validate_log(ledger, spark.createDataFrame([(k,)], "output_index bigint"))
