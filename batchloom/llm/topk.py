@@ -4,7 +4,8 @@ Vectors are cut to integers, floor(scale * x). A task keeps its vectors in block
 dimension of a block is cut into ``cells`` cells of equal width, and a vector is
 approximated by its cells. Scanning the cells bounds a query's inner product from both
 sides: with centre m and half width h of the cells it is q.m - |q|.h at least and
-q.m + |q|.h at most. Vectors whose upper bound is below the k-th best so far (or the k-th
+q.m + |q|.h at most; q.m is the product of the query, scaled by the widths, with the cell
+numbers. Vectors whose upper bound is below the k-th best so far (or the k-th
 best lower bound) drop out; the others are read exactly, from the highest bound down, until
 the k-th result is certain. Ties go to the smaller id.
 
@@ -14,9 +15,10 @@ queries mean more chunks, not more memory.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, nor do
 rows without id. Vectors of other lengths than the query's are no candidates. A row with the
-query's id is its own. Components of 65,536 or more raise an error: scores must fit a long.
-Of queries that share an id, the least vector counts; repeated candidates count as often
-as they occur. Extra columns are ignored.
+query's id is its own. Vectors with a component of 16,384 or more (``LARGE``) are compared with
+whole numbers of any size, and scores beyond a long are set to its limits. Of queries
+that share an id, the least vector counts; repeated candidates count as often as they occur.
+An empty table of queries or vectors gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 
 from batchloom.llm.common import settle
 
+LARGE = 16_384.0
+_MOST = (1 << 63) - 1
 SCHEMA = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -56,14 +61,14 @@ class Approximation:
         with np.errstate(invalid="ignore", divide="ignore"):
             place = np.floor((exact - low) / self.width)
         self.cell = np.clip(np.nan_to_num(place), 0, cells - 1).astype(np.uint8)
+        self.size = np.maximum(np.abs(low), np.abs(high))
 
     def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds, queries x vectors."""
-        centre = self.low + (self.cell + 0.5) * self.width
-        middle = queries @ centre.T
-        # A little wider than half a cell, for what rounding does to centres and sums.
-        off = np.abs(queries) @ (self.width * 0.5) * (1 + 1e-9)
-        off = off + 1e-9 * (1 + np.abs(queries) @ np.maximum(np.abs(self.low), np.abs(self.low + self.width * 256)))
+        """Lower and upper bounds, queries x vectors, from the cell numbers alone."""
+        scaled = queries * self.width
+        middle = scaled.astype(np.float32) @ self.cell.T.astype(np.float32) + (queries @ self.low + 0.5 * scaled.sum(axis=1))[:, None]
+        # Half a cell to both sides, and what rounding does to single-precision sums.
+        off = np.abs(queries) @ (self.width * 0.5) + np.abs(scaled).sum(axis=1) * ((len(self.width) + 2) * 256 * 2.0**-24) + 1e-9 * (1 + np.abs(queries) @ self.size)
         return middle - off[:, None], middle + off[:, None]
 
     def best(self, query: np.ndarray, own: int, low: np.ndarray, high: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -81,22 +86,32 @@ class Approximation:
             part = left[at : at + step]
             ids = np.concatenate([ids, self.ids[part]])
             scores = np.concatenate([scores, self.exact[part] @ query])
-            order = np.lexsort((ids, -scores))[:k]
+            order = np.lexsort((ids, -np.maximum(scores, -_MOST)))[:k]
             ids, scores = ids[order], scores[order]
             at, step = at + step, 2 * step
         return ids, scores
 
 
-def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """id and v, an array of integers, of the rows that take part."""
+def finite_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """id and v, an array of doubles, of the rows that take part."""
     v = F.col(vec_col)
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return df.where(F.col(id_col).isNotNull() & (F.size(v) > 0) & fine).select(F.col(id_col).cast("bigint").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
 
-    def whole(x: F.Column) -> F.Column:
-        x = x.cast("double")
-        return F.when(F.abs(x) < 65_536, F.floor(x * scale)).otherwise(F.raise_error(F.lit("a component is too large for exact scores")))
 
-    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(F.col(id_col).isNotNull() & (F.size(v) > 0) & fine).select(F.col(id_col).cast("bigint").alias("id"), F.transform(v, whole).alias("v"))
+def _whole(rows: np.ndarray, scale: int) -> np.ndarray:
+    """floor(scale * x) as whole numbers of any size."""
+    return np.array([[math.floor(scale * Fraction(x)) for x in row] for row in rows.tolist()], object).reshape(rows.shape)
+
+
+def split(rows: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which rows are large, the others as longs, and the large ones as whole numbers."""
+    large = (np.abs(rows) >= LARGE).any(axis=1)
+    return large, np.floor(rows[~large] * scale).astype(np.int64), _whole(rows[large], scale)
+
+
+def _clipped(scores: np.ndarray) -> np.ndarray:
+    return np.array([min(max(int(x), -_MOST - 1), _MOST) for x in scores.tolist()], np.int64)
 
 
 def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -110,36 +125,56 @@ def _matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield ids[rows], flat[(ends[rows] - size)[:, None] + np.arange(size)]
 
 
-def _scan(queries: list[tuple[np.ndarray, np.ndarray]], config: TopKConfig):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_size = {m.shape[1]: (ids, m) for ids, m in queries}
-        known = {n: [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids) for n, (ids, _) in by_size.items()}
-
-        def take(ids: np.ndarray, exact: np.ndarray) -> None:
-            own, q = by_size[exact.shape[1]]
-            block, got = Approximation(ids, exact, config.cells), known[exact.shape[1]]
-            for at in range(0, len(own), config.query_rows):
-                low, high = block.bounds(q[at : at + config.query_rows].astype(np.float64))
+class _Known:
+    """The k best of each query of one length so far: plain queries first, then large ones."""
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, config: TopKConfig):
+        large, self.plain, self.large = split(rows, config.scale)
+        self.ids, self.n, self.config = np.concatenate([ids[~large], ids[large]]), int((~large).sum()), config
+        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(ids)
+
+    def _merge(self, j: int, ids: np.ndarray, scores: np.ndarray) -> None:
+        other = ids != self.ids[j]
+        ids, scores = np.concatenate([self.best[j][0], ids[other]]), np.concatenate([self.best[j][1], scores[other]])
+        order = np.lexsort((ids, -np.maximum(scores, -_MOST)))[: self.config.k]
+        self.best[j] = ids[order], scores[order]
+
+    def take(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        large, plain, odd = split(rows, self.config.scale)
+        if len(plain) and self.n:
+            block = Approximation(ids[~large], plain, self.config.cells)
+            for at in range(0, self.n, self.config.query_rows):
+                low, high = block.bounds(self.plain[at : min(self.n, at + self.config.query_rows)].astype(np.float64))
                 for j in range(len(low)):
-                    got[at + j] = block.best(q[at + j], int(own[at + j]), low[j], high[j], *got[at + j], config.k)
+                    self.best[at + j] = block.best(self.plain[at + j], int(self.ids[at + j]), low[j], high[j], *self.best[at + j], self.config.k)
+        # Pairs with a large vector on either side: whole numbers of any size, a query at a time.
+        for j in range(len(self.ids)):
+            query = self.plain[j].astype(object) if j < self.n else self.large[j - self.n]
+            for own, part in ((ids[large], odd), *([(ids[~large], plain.astype(object))] if j >= self.n else [])):
+                if len(own):
+                    self._merge(j, own, _clipped(part @ query))
 
+
+def _scan(queries: list[tuple[np.ndarray, np.ndarray]], config: TopKConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {m.shape[1]: _Known(ids, m, config) for ids, m in queries}
         held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         count: dict[int, int] = {}
         for b in batches:
             for ids, m in _matrices(b):
                 size = m.shape[1]
-                if size in by_size:
+                if size in known:
                     for at in range(0, len(ids), config.block):
                         held.setdefault(size, []).append((ids[at : at + config.block], m[at : at + config.block]))
                         count[size] = count.get(size, 0) + len(held[size][-1][0])
                         if count[size] >= config.block:
-                            take(*(np.concatenate(x) for x in zip(*held.pop(size))))
+                            known[size].take(*(np.concatenate(x) for x in zip(*held.pop(size))))
                             count[size] = 0
-        for parts in held.values():
-            take(*(np.concatenate(x) for x in zip(*parts)))
-        for n, (ids, _) in by_size.items():
-            for at in range(0, len(ids), 4096):
-                rows = list(zip(ids[at : at + 4096], known[n][at : at + 4096]))
+        for size, parts in held.items():
+            known[size].take(*(np.concatenate(x) for x in zip(*parts)))
+        for own in known.values():
+            for at in range(0, len(own.ids), 4096):
+                rows = list(zip(own.ids[at : at + 4096], own.best[at : at + 4096]))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(x[0]), i, np.int64) for i, x in rows])), pa.array(np.concatenate([x[0] for _, x in rows])), pa.array(np.concatenate([x[1] for _, x in rows]))], ["query_id", "vec_id", "score"])
 
     return run
@@ -147,11 +182,13 @@ def _scan(queries: list[tuple[np.ndarray, np.ndarray]], config: TopKConfig):
 
 def top_k(queries: DataFrame, vectors: DataFrame, config: TopKConfig = TopKConfig(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best vectors."""
-    every = integer_vectors(vectors, id_col, vec_col, config.scale)
-    asked = integer_vectors(queries, id_col, vec_col, config.scale).groupBy("id").agg(F.min("v").alias("v"))
+    every = finite_vectors(vectors, id_col, vec_col)
+    asked = settle(finite_vectors(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v")), "asked")
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("v")), F.lit(1)).alias("d")).first()
     rows = max(1, config.chunk_bytes // (8 * size["d"]))
     chunks = max(1, math.ceil(size["n"] / rows))
+    if chunks > 1:
+        every = settle(every, "vectors")  # filtered once, however many chunks there are
     found = None
     for c in range(chunks):
         # A chunk's size is bounded by its share of a hash, and checked by the limit of rows.
@@ -161,7 +198,7 @@ def top_k(queries: DataFrame, vectors: DataFrame, config: TopKConfig = TopKConfi
             by.setdefault(len(r["v"]), []).append((r["id"], r["v"]))
         if not by:
             continue
-        shared = [(np.array([i for i, _ in x], np.int64), np.array([v for _, v in x], np.int64)) for x in by.values()]
+        shared = [(np.array([i for i, _ in x], np.int64), np.array([v for _, v in x], np.float64)) for x in by.values()]
         partial = every.mapInArrow(_scan(shared, config), SCHEMA)
         if chunks > 1:
             partial = settle(partial, "topk")
