@@ -1,23 +1,30 @@
-"""Line dedup by runs of units.
+"""Line dedup by pairwise alignment: patience diff of documents that share rare line hashes.
 
-A text is cut into units: lines, and inside lines sentences. A unit of more than
+Units. A text is cut into units: lines, and inside lines sentences. A unit of more than
 ``long_words`` words is cut again after words that a sum over their first and last letter
 and length picks (about one in eight), so that a passage set into longer lines still
-shares units.
-
-A run is a number of units that follow each other. A run of a document is deleted if one
-earlier document (a lesser doc_id) has it whole, wherever and however often, and it has
-``min_passage`` words, or fills whole lines and has ``min_words``. No pairs of documents are
-made: each document puts out the shortest runs of ``min_passage`` words from each unit on and
-up to each unit. Any longer run that two documents share is the union of such runs inside
-it, and both documents have those, so that the least doc_id of each run tells what is held
-earlier. Shorter runs of ``min_words`` are put out one by one; only those of whole lines ask,
-all answer. Only units that several documents have go into runs, as no others can be shared.
+shares units. Writing without blanks counts a word for eight ASCII or three
+other characters.
+
+Overlaps. The hashes that documents are found by are those of runs, that is units that
+follow each other: the shortest runs of ``min_passage`` words from each unit on and up to each
+unit, and shorter ones that fill whole lines and have ``min_words``. A run is far rarer
+than a line. Of the documents that hold a run the least doc_id is the partner of all others, so
+that a passage in a third of all rows makes one pair a row and not their square. Any longer run
+that two documents share is the union of such runs inside it, and both have those; so what any
+one earlier document holds whole is found, wherever and however often.
+
+Alignment. A later document is aligned with each of its partners. The shared runs are (later
+place, earlier place) pairs; their longest chain that rises in both (patience sorting) is
+the diff's common part. Blocks of it are deleted from the later document. Blocks off the
+chain stand in another order than in the partner; they are deleted too, unless
+``moved`` is off. Time is that of sorting, however often a line repeats.
 
 Null texts stay null; empty ones stay empty. A document whose text is all copied becomes
 empty; no row is ever dropped. Rows with equal doc_ids count as one document: they are never
-compared with each other, and told apart by 20 bits of their texts' hash.
-``patience`` and ``blocks`` align one pair of documents; the table doesn't need them. A null doc_id counts as the least. Other columns stay as they are.
+compared with each other, and told apart by 20 bits of their texts' hash. A null doc_id counts
+as the least. An empty table stays empty. Very long texts are units of one row, at most
+2^30 of them. Other columns stay as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +43,7 @@ from pyspark.sql import types as T
 
 from batchloom.llm.common import free_name, settle
 
-_STOP = re.compile(r"[.!?](?=[ \t])").finditer
+_STOP = re.compile(r"[.!?](?=[ \t])|[\u3002\uff01\uff1f]").finditer  # the last three end sentences without a blank
 _WORD = re.compile(r"\S+").finditer
 # A unit's place in its table: text tag, number, opens a line, closes a line, words (no more than count).
 _TAG_BITS, _PLACE_BITS, _WORD_BITS = 20, 30, 11
@@ -48,6 +55,7 @@ class LineConfig:
     min_words: int = 5
     min_passage: int = 12
     long_words: int = 25
+    moved: bool = True
 
     def __post_init__(self) -> None:
         if max(self.min_words, self.min_passage) >= 1 << _WORD_BITS:
@@ -59,6 +67,14 @@ def _short_key(raw: bytes) -> int:
     return k - (1 << 64) if k >> 63 else k
 
 
+def _words(n: int, part: str) -> int:
+    """Words of a part with n words between blanks; where blanks are rare, one for eight ASCII or three other characters."""
+    size = len(part)
+    if size <= 16 * n:
+        return n
+    return max(n, size // 3) if not part.isascii() else max(n, size // 8) if size > 24 * n else n
+
+
 def units(text: str, config: LineConfig) -> list[tuple[int, int, int, bool, bool]]:
     """start, end, words, opens a line, closes a line - for each unit of a text."""
     out = []
@@ -71,7 +87,8 @@ def units(text: str, config: LineConfig) -> list[tuple[int, int, int, bool, bool
         at = begin + line.index(own[0])
         end = at + len(own)
         stops = [m.start() + 1 for m in _STOP(text, at, end)]
-        stops.append(end)
+        if not stops or stops[-1] < end:
+            stops.append(end)
         first = True
         for stop in stops:
             while text[at] in " \t":
@@ -83,10 +100,10 @@ def units(text: str, config: LineConfig) -> list[tuple[int, int, int, bool, bool
                 last = 0
                 for k, (s, e) in enumerate(places):
                     if k == n - 1 or k - last >= 4 and not (31 * ord(text[s]) + 17 * ord(text[e - 1]) + 7 * (e - s)) & 7:
-                        out.append((places[last][0], e, k + 1 - last, first, stop == end and k == n - 1))
+                        out.append((places[last][0], e, _words(k + 1 - last, text[places[last][0] : e]), first, stop == end and k == n - 1))
                         last, first = k + 1, False
             else:
-                out.append((at, stop, n, first, stop == end))
+                out.append((at, stop, n if stop - at <= 16 * n else _words(n, text[at:stop]), first, stop == end))
             first = False
             at = stop
     return out
@@ -97,7 +114,8 @@ def text_tag(text: str) -> int:
 
 
 def runs(doc: np.ndarray, at: np.ndarray, key: np.ndarray, config: LineConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """run, doc, span (tag, first unit, further units, may be deleted) - of units sorted by doc and at."""
+    """run, doc, span (tag, first unit, further units, may be deleted, the document's first of its kind) -
+    of units sorted by doc and at."""
     if len(doc) > 1:
         new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])  # equal rows of one doc_id
         doc, at, key = doc[new], at[new], key[new]
@@ -131,7 +149,12 @@ def runs(doc: np.ndarray, at: np.ndarray, key: np.ndarray, config: LineConfig) -
     back = np.cumprod(np.full(n, pow(_STEP, -1, 1 << 64), np.uint64))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(key.view(np.uint64) * power)])
     run = ((sums[last + 1] - sums[first]) * back[first]).view(np.int64)
-    return run, doc[first], (place[first] << _WORD_BITS | last - first) << 1 | ask
+    owner = doc[first]
+    order = np.lexsort((first, run, owner))
+    new = np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
+    opening = np.zeros(len(run), np.int64)
+    opening[order[new]] = 1
+    return run, owner, ((place[first] << _WORD_BITS | last - first) << 1 | ask) << 1 | opening
 
 
 def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -155,51 +178,71 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def blocks(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """First and last place in the later document of each aligned block."""
-    out = []
-    while pairs:
-        chain = patience(pairs)
-        first = 0
-        for k in range(1, len(chain) + 1):
-            if k == len(chain) or chain[k][0] != chain[k - 1][0] + 1 or chain[k][1] != chain[k - 1][1] + 1:
-                out.append((chain[first][0], chain[k - 1][0]))
-                first = k
-        done = {p[0] for p in chain}
-        pairs = [p for p in pairs if p[0] not in done]
-    return sorted(out)
-
-
-def cut(text: str, found: list, spans: np.ndarray) -> tuple[str, list[tuple[int, int]]]:
-    """The text without the runs that ``spans`` names for it, and their places (code points)."""
-    spans = np.unique(spans) >> 1
-    place = spans >> _WORD_BITS
-    mine = place >> _PLACE_BITS == text_tag(text)
-    first = (place & (1 << _PLACE_BITS) - 1)[mine]
-    merged: list[tuple[int, int]] = []
-    for f, z in zip(first.tolist(), (first + (spans[mine] & (1 << _WORD_BITS) - 1)).tolist()):
-        if merged and f <= merged[-1][1] + 1:
-            merged[-1] = merged[-1][0], max(merged[-1][1], z)
+def align(partner: np.ndarray, own: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which pairs (own place, place held by the partner) are on the chain with their partner.
+
+    The rows are sorted by partner, own place, and falling place held, so that a chain has one
+    pair of an own place.
+    """
+    other, later, same = np.diff(partner) != 0, np.diff(own) > 0, np.diff(held) == 0
+    if (other | (later & (np.diff(held) > 0)) | (~later & same)).all():
+        return np.ones(len(own), bool)  # all in the partner's order, as in copies
+    on = np.zeros(len(own), bool)
+    edges = [0, *(np.flatnonzero(other) + 1).tolist(), len(own)]
+    for s, e in zip(edges, edges[1:]):
+        pairs = list(dict.fromkeys(zip(own[s:e].tolist(), held[s:e].tolist())))
+        on[s:e] = np.isin(own[s:e], [p for p, _ in patience(pairs)])
+    return on
+
+
+def _merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
+    """Units of overlapping or touching runs together."""
+    out: list[tuple[int, int]] = []
+    for f, z in sorted(set(zip(first.tolist(), last.tolist()))):
+        if out and f <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(out[-1][1], z)
         else:
-            merged.append((f, z))
-    if not merged:
-        return text, []
+            out.append((f, z))
+    return out
+
+
+def cut(text: str, found: list, partner: np.ndarray, held: np.ndarray, span: np.ndarray, config: LineConfig) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+    """The text without its blocks that are aligned with partners, the places cut, and those of them
+    that stand in another order there (code points).
+
+    ``partner``, ``held``, ``span``: for each shared run the earlier document, the run's first unit
+    there, and its place here.
+    """
+    place = span >> 2 + _WORD_BITS
+    first, last = place & (1 << _PLACE_BITS) - 1, (place & (1 << _PLACE_BITS) - 1) + (span >> 2 & (1 << _WORD_BITS) - 1)
+    order = np.lexsort((-held, first, partner))
+    order = order[place[order] >> _PLACE_BITS == text_tag(text)]
+    if not len(order):
+        return text, [], []
+    on = align(partner[order], first[order], held[order])
+    first, last = first[order], last[order]
+    aligned = _merged(first[on], last[on])
+    every = _merged(first, last) if config.moved and not on.all() else aligned
     out, kept, at = [], [], 0
-    for f, z in merged:
+    for f, z in every:
         s, e = found[f][0], found[z + 1][0] if z + 1 < len(found) else len(text)
         out.append((s, found[z][1]))
         kept.append(text[at:s])
         at = e
     kept.append(text[at:])
-    return "".join(kept).rstrip("\n") if at == len(text) else "".join(kept), out
+    rest = "".join(kept).rstrip("\n") if at == len(text) else "".join(kept)
+    if every is aligned:
+        return rest, out, []
+    odd = [(f, z) for f, z in _merged(first[~on], last[~on]) if not any(s <= f and z <= e for s, e in aligned)]
+    return rest, out, [(found[f][0], found[z][1]) for f, z in odd]
 
 
 def _order(id_col: str) -> F.Column:
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63)))
 
 
-def copied_runs(df: DataFrame, config: LineConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc and spans (see ``runs``): the runs of each document that an earlier one has."""
+def overlaps(df: DataFrame, config: LineConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc, partner, held and span: each run of a document that an earlier one has, and its place in both."""
     narrow = df.where(F.length(text_col) > 0).select(_order(id_col).alias("doc"), F.col(text_col).alias("text"))
     count = max(config.min_words, config.min_passage)
 
@@ -243,38 +286,47 @@ def copied_runs(df: DataFrame, config: LineConfig, id_col: str = "doc_id", text_
             yield out(held)
 
     every = settle(dealt.mapInArrow(joined, "run bigint, doc bigint, span bigint"), "runs")
-    first = settle(every.groupBy("run").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest")).where("latest > owner").select("run", "owner"), "holders")
-    later = every.where("span % 2 = 1").join(first, "run").where("doc > owner")
-    return later.groupBy("doc").agg(F.collect_list("span").alias("spans"))
+    # The least document of each run, and the place where it has it first; sums of longs, combined
+    # before the shuffle. Written tables let adaptive execution split the join at hot runs.
+    there = F.when(F.col("span").bitwiseAND(1) == 1, F.col("doc"))
+    held = F.min_by(F.shiftright("span", 2 + _WORD_BITS).bitwiseAND((1 << _PLACE_BITS) - 1), there)
+    first = every.groupBy("run").agg(F.min("doc").alias("partner"), F.max("doc").alias("latest"), held.alias("held")).where("latest > partner")
+    first = settle(first.select("run", "partner", "held"), "holders")
+    return every.where(F.col("span").bitwiseAND(2) == 2).join(first, "run").where("doc > partner").select("doc", "partner", "held", "span")
 
 
 def without_copies(df: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text_col: str = "text", report: str | None = None) -> DataFrame:
-    """``df`` with the copied runs cut from ``text_col``.
+    """``df`` without the blocks that its documents share with earlier ones.
 
     ``report`` names a further column for the places cut, as ``start:end`` in code points of
-    the old text, joined by commas.
+    the old text, joined by commas; a second one, ``<report>_moved``, has those of them that
+    stand in another order in the partner.
     """
-    spans = settle(copied_runs(df, config, id_col, text_col), "blocks")
-    doc, cuts = free_name(df, "doc__"), free_name(df, "spans__")
-    spans = spans.select(F.col("doc").alias(doc), F.col("spans").alias(cuts))
-    joined = df.withColumn(doc, _order(id_col)).join(spans.hint("shuffle_hash"), doc, "left").drop(doc)
-    kinds = df.schema.fields + ([T.StructField(report, T.StringType())] if report else [])
+    pairs = overlaps(df, config, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("partner", "held", "span")).alias("pairs"))
+    doc, shared = free_name(df, "doc__"), free_name(df, "pairs__")
+    pairs = settle(pairs, "pairs").select(F.col("doc").alias(doc), F.col("pairs").alias(shared))
+    joined = df.withColumn(doc, _order(id_col)).join(pairs.hint("shuffle_hash"), doc, "left").drop(doc)
+    kinds = df.schema.fields + ([T.StructField(report, T.StringType()), T.StructField(f"{report}_moved", T.StringType())] if report else [])
+    names = [f.name for f in kinds]
     place = df.columns.index(text_col)
 
     def trim(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                texts, places = [], []
-                for text, found in zip(part.column(place).to_pylist(), part.column(len(part.columns) - 1)):
+                column = part.column(len(part.columns) - 1)
+                ends, flat = column.offsets.to_numpy(), [c.to_numpy() for c in column.values.flatten()]
+                texts, places, moved = [], [], []
+                for k, text in enumerate(part.column(place).to_pylist()):
                     gone: list[tuple[int, int]] = []
-                    if text and found.is_valid:
-                        text, gone = cut(text, units(text, config), found.values.to_numpy())
+                    odd: list[tuple[int, int]] = []
+                    if text and ends[k + 1] > ends[k]:
+                        text, gone, odd = cut(text, units(text, config), *(x[ends[k] : ends[k + 1]] for x in flat), config)
                     texts.append(text)
                     places.append(",".join(f"{s}:{e}" for s, e in gone))
+                    moved.append(",".join(f"{s}:{e}" for s, e in odd))
                 columns = list(part.columns[:-1])
                 columns[place] = pa.array(texts, columns[place].type)
-                names = [f.name for f in kinds]
-                yield pa.RecordBatch.from_arrays(columns + ([pa.array(places, pa.string())] if report else []), names)
+                yield pa.RecordBatch.from_arrays(columns + ([pa.array(x, pa.string()) for x in (places, moved)] if report else []), names)
 
     return joined.mapInArrow(trim, T.StructType(kinds))

@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -279,8 +280,38 @@ def test_patience_is_a_longest_rising_chain():
         assert len(chain) == best and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:]))
 
 
-def test_moved_blocks_are_found():
-    assert linededup.blocks([(0, 5), (1, 6), (2, 0), (3, 1), (4, 9)]) == [(0, 1), (2, 3), (4, 4)]
+def test_alignment_marks_the_chain():
+    pairs = np.array([(3, 0, 5), (3, 1, 6), (3, 2, 0), (3, 3, 1), (3, 4, 9), (7, 0, 0), (7, 0, 0), (7, 5, 5), (9, 2, 4), (9, 2, 1), (9, 3, 2)])
+    on = linededup.align(*(np.ascontiguousarray(x) for x in pairs.T))
+    assert on[:5].tolist() in ([True, True, False, False, True], [False, False, True, True, True]) and on[5:].all()
+    assert linededup.align(np.array([1, 1, 2]), np.array([0, 1, 0]), np.array([4, 5, 4])).all()
+
+
+def test_moved_blocks(spark):
+    one, two, three = (f"{w} of this passage is long enough to be told apart from any other one here." for w in ("The first part", "A second piece", "Some third bit"))
+    texts = [f"Start.\n{one}\nBetween them.\n{two}\n{three}\nDone.", f"Other start.\n{two}\n{three}\nA middle of my own.\n{one}\nOther end."]
+    row = linededup.without_copies(frame(spark, texts), report="cut__").where("doc_id = 1").first()
+    assert row.text == "Other start.\nA middle of my own.\nOther end." and len(row.cut__.split(",")) == 2
+    s, e = map(int, row.cut___moved.split(":"))
+    assert texts[1][s:e] == one
+    kept = linededup.without_copies(frame(spark, texts), linededup.LineConfig(moved=False)).where("doc_id = 1").first()
+    assert kept.text == f"Other start.\nA middle of my own.\n{one}\nOther end."
+
+
+def test_many_repeats_of_one_line(spark):
+    line = "This line is said again and again and again."
+    texts = [f"Begin.\n{line}\n{line}\nStop here.", "\n".join([line] * 100_000) + "\nThe end is mine.", "Mine.\n" + "\n".join([line, "Not yet."] * 20_000)]
+    began = time.monotonic()
+    rows = [r.text for r in linededup.without_copies(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert rows[:2] == [texts[0], "The end is mine."] and rows[2] == "Mine.\n" + "\n".join(["Not yet."] * 20_000) and time.monotonic() - began < 60
+
+
+def test_writing_without_blanks(spark):
+    said = "今日は天気がとても良いので、公園まで散歩に行ってきました。そのあと友達と一緒に昼食を食べて、図書館で本を読みました。夜は家で映画を見て、早く寝ることにしています。"
+    code = "".join(random.Random(1).choices("abcdefghijklmnopqrstuvwxyz0123456789+/", k=400))
+    texts = [f"こんにちは。\n{said}\n{code}", f"前書き。{said}それだけです。\n{code}\nEnd."]
+    rows = [r.text for r in linededup.without_copies(frame(spark, texts)).orderBy("doc_id").collect()]
+    assert rows[0] == texts[0] and rows[1] == "前書き。それだけです。\nEnd."
 
 
 # --- op5 ----------------------------------------------------------------------------------------
