@@ -151,7 +151,8 @@ def runs(doc: np.ndarray, at: np.ndarray, key: np.ndarray, config: LineConfig) -
     run = ((sums[last + 1] - sums[first]) * back[first]).view(np.int64)
     owner = doc[first]
     order = np.lexsort((first, run, owner))
-    new = np.concatenate([[True], (run[order][1:] != run[order][:-1]) | (owner[order][1:] != owner[order][:-1])])
+    new = np.ones(len(run), bool)
+    new[1:] = (run[order][1:] != run[order][:-1]) | (owner[order][1:] != owner[order][:-1])
     opening = np.zeros(len(run), np.int64)
     opening[order[new]] = 1
     return run, owner, ((place[first] << _WORD_BITS | last - first) << 1 | ask) << 1 | opening

@@ -280,6 +280,14 @@ def test_patience_is_a_longest_rising_chain():
         assert len(chain) == best and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:]))
 
 
+def test_units_too_short_for_any_run():
+    config = linededup.LineConfig()
+    for n in (0, 1, 3):
+        at = np.arange(n) << linededup._WORD_BITS + 2 | 2
+        found = linededup.runs(np.full(n, 7), at, np.arange(n), config)
+        assert [len(x) for x in found] == [0 if n < 3 else 1] * 3
+
+
 def test_alignment_marks_the_chain():
     pairs = np.array([(3, 0, 5), (3, 1, 6), (3, 2, 0), (3, 3, 1), (3, 4, 9), (7, 0, 0), (7, 0, 0), (7, 5, 5), (9, 2, 4), (9, 2, 1), (9, 3, 2)])
     on = linededup.align(*(np.ascontiguousarray(x) for x in pairs.T))
