@@ -8,14 +8,19 @@ the home with the last bit changed, and the 15 code words two bits away. If y di
 x in at most one bit of the half, the home of x is among the anchors of y. Fingerprints of
 one anchor are compared, home members against all, and links of at most 3 bits kept.
 
-There are 2 x 2^27 anchors; only distinct fingerprints are replicated, 34 times. An anchor
-whose fingerprints are many is dealt out in ``slices``: its home members go to each slice,
-the others to one, so that no task holds the group and no pair is lost. Within a slice only
-a spanning forest of the links is put out, never all pairs.
+There are 2 x 2^27 anchors; only distinct fingerprints are replicated, 34 times. Fingerprints
+of a crowded anchor (more than ``HOT`` rows) are told apart by the other half: with at most 3
+differing bits in all, one of its four bytes is equal, so they are compared by (anchor, byte,
+value). Where those are many too they are dealt out in tiles: home members into rows of
+``tile``, all members into columns, and each home tile meets each tile of all once. So no task
+holds a group, whatever its size, and no link is lost. Within a cell only a spanning forest
+of the links is put out, never all pairs.
 
 Documents with the same fingerprint are one node, so exact copies cost one aggregation.
 Null or empty texts have fingerprint zero and are linked by it, as any other. Null doc_ids
-never name a component unless all ids in it are null.
+never name a component unless all ids in it are null; repeated rows are rows of one
+component. An empty table gives no rows. Shingles of a long text are hashed in blocks. Other
+columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,8 +38,8 @@ from batchloom.llm.common import settle
 from batchloom.llm.components import components
 
 BITS = 3
-HOT = 2_000  # rows at an anchor from which it is dealt out in slices
-SLICE = 1_000  # other rows in a slice, about
+HOT = 4_000  # rows at an anchor, or of one byte there, from which they are told apart or dealt out
+TILE = 2_000  # rows in a tile, about
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -147,7 +152,7 @@ def near_links(key: np.ndarray, fp: np.ndarray, home: np.ndarray, bits: int = BI
     return _forest(a, b)
 
 
-def link(distinct: DataFrame, bits: int = BITS, hot: int = HOT, slice_rows: int = SLICE) -> DataFrame:
+def link(distinct: DataFrame, bits: int = BITS, hot: int = HOT, tile: int = TILE) -> DataFrame:
     """Links a, b of distinct fingerprints (column fp) that span the same components as all links do."""
     if bits > 3:
         raise ValueError("the anchors cover at most 3 differing bits")
@@ -159,19 +164,35 @@ def link(distinct: DataFrame, bits: int = BITS, hot: int = HOT, slice_rows: int
                 key, index, home = anchors(fp)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[index]), pa.array(home)], ["key", "fp", "home"])
 
-    replicas = distinct.select("fp").mapInArrow(spread, "key bigint, fp bigint, home boolean")
+    replicas = settle(distinct.select("fp").mapInArrow(spread, "key bigint, fp bigint, home boolean"), "replicas")
     # Counting by key is combined before the shuffle; only crowded anchors are left.
-    crowded = replicas.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
-    crowded = settle(crowded.select("key", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices")), "crowded")
+    crowded = settle(replicas.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("key"), "crowded")
     if crowded.isEmpty():
-        dealt = replicas.withColumn("slice", F.lit(0))
+        dealt = replicas.withColumn("cell", F.lit(0).cast("bigint"))
     else:
-        joined = replicas.join(crowded, "key", "left").withColumn("slices", F.coalesce("slices", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("slices")).cast("int")
-        # A home member goes to each slice: as home, and in its own slice it is one of all too.
-        every = F.when(F.col("home"), F.sequence(F.lit(0), F.col("slices") - 1)).otherwise(F.array(own))
-        dealt = joined.select("key", "fp", "home", F.explode(every).alias("slice"))
-    grouped = dealt.repartition("key", "slice").sortWithinPartitions("key", "slice", F.desc("home"))
+        plain = replicas.join(crowded, "key", "left_anti").withColumn("cell", F.lit(0).cast("bigint"))
+        # The marked half is the one of the anchor; the bytes are those of the other.
+        low = (F.shiftright("key", 32) == 0).cast("int") * 32
+        byte = lambda k: F.expr(f"shiftrightunsigned(fp, {8 * k} + other)").bitwiseAND(255)
+        kinds = F.explode(F.array(*[byte(k) + 256 * (k + 1) for k in range(4)]))
+        told = replicas.join(crowded, "key", "left_semi").withColumn("other", low).withColumn("part", kinds).drop("other")
+        told = settle(told, "told")
+        many = told.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
+        tiles = lambda n: F.ceil(n / tile).cast("int")
+        many = settle(many.where(F.col("n") > hot).select("key", "part", tiles(F.col("homes")).alias("down"), tiles(F.col("n")).alias("across")), "many")
+        sized = told.join(many, ["key", "part"], "left").withColumns({"down": F.coalesce("down", F.lit(1)), "across": F.coalesce("across", F.lit(1))})
+        row = lambda n: F.pmod(F.xxhash64("fp"), n).cast("bigint")
+        cell = lambda i, j: F.shiftleft(i.cast("bigint"), 40) + F.shiftleft(j.cast("bigint"), 16) + F.col("part")
+        place = lambda i, j, home: F.struct(cell(i, j).alias("cell"), home.alias("home"))
+        upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+        # A home member meets each column of all; as one of all it stands in its own column.
+        as_home = F.transform(upto("across"), lambda j: place(row(F.col("down")), j, F.lit(True)))
+        as_one = F.transform(upto("down"), lambda i: place(i, row(F.col("across")), F.lit(False)))
+        alone = F.array(place(F.lit(0), F.lit(0), F.col("home")))
+        places = F.when(F.col("across") == 1, alone).when(F.col("home"), F.concat(as_home, as_one)).otherwise(as_one)
+        spread_out = sized.select("key", "fp", F.explode(places).alias("p")).select("key", "fp", "p.home", "p.cell")
+        dealt = plain.unionByName(spread_out)
+    grouped = dealt.select("key", "fp", "home", "cell").repartition("key", "cell").sortWithinPartitions("key", "cell", F.desc("home"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(part: tuple) -> pa.RecordBatch:
@@ -180,6 +201,8 @@ def link(distinct: DataFrame, bits: int = BITS, hot: int = HOT, slice_rows: int
 
         held: tuple | None = None
         for b in batches:
+            if not b.num_rows:
+                continue
             part = tuple(c.to_numpy(zero_copy_only=False) for c in b.columns)
             if held is not None:
                 part = tuple(np.concatenate(x) for x in zip(held, part))
@@ -203,9 +226,10 @@ def _runs(key: np.ndarray, part: np.ndarray) -> np.ndarray:
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS) -> DataFrame:
     """doc_id, fp, fingerprint (hexadecimal) and component_id, one row for each row of ``df``."""
     prints = settle(with_fingerprints(df, id_col, text_col), "prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    links = components(link(nodes, bits))
-    rooted = nodes.join(links.withColumnRenamed("a", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.join(names, "root").select("fp", "component_id")
+    nodes = settle(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    links = components(link(nodes, bits)).withColumnRenamed("a", "fp")
+    # Written tables let adaptive execution split joins at roots and fingerprints of many rows.
+    rooted = settle(nodes.join(links, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
+    names = settle(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names")
+    named = settle(rooted.join(names, "root").select("fp", "component_id"), "named")
     return prints.join(named, "fp").select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

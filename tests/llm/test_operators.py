@@ -164,7 +164,7 @@ def brute_classes(prints):
     return {f: find(f) for f in prints}
 
 
-@pytest.mark.parametrize("hot, rows", [(2000, 1000), (3, 2)])
+@pytest.mark.parametrize("hot, rows", [(2000, 1000), (3, 2), (12, 3)])
 def test_links_join_what_brute_force_joins(spark, hot, rows):
     rng = random.Random(4)
     prints = set()
@@ -177,12 +177,25 @@ def test_links_join_what_brute_force_joins(spark, hot, rows):
     signed = [f - (1 << 64) if f >> 63 else f for f in prints]
     df = spark.createDataFrame([(f,) for f in signed], "fp bigint")
     found = {f: f for f in signed}
-    found.update({r.a: r.root for r in components(simhash.link(df, hot=hot, slice_rows=rows)).collect()})
+    found.update({r.a: r.root for r in components(simhash.link(df, hot=hot, tile=rows)).collect()})
     want = brute_classes(signed)
     group = lambda m: {frozenset(f for f in m if m[f] == v) for v in set(m.values())}
     assert group(found) == group(want)
 
 
+def test_a_crowded_template_is_dealt_out(spark):
+    """Fingerprints that agree in one half and one byte of the other: a chain and a crowd in one cell group."""
+    rng = random.Random(9)
+    half = rng.getrandbits(32) << 32
+    crowd = {half | 0xAB000000 | rng.getrandbits(24) for _ in range(1500)}
+    df = spark.createDataFrame([(f - (1 << 64) if f >> 63 else f,) for f in crowd], "fp bigint")
+    found = {f: f for f in crowd}
+    found.update({r.a % (1 << 64): r.root % (1 << 64) for r in components(simhash.link(df, hot=100, tile=64)).collect()})
+    want = brute_classes(list(crowd))
+    group = lambda m: {frozenset(f for f in m if m[f] == v) for v in set(m.values())}
+    assert group(found) == group(want) and len(group(want)) < 1500
+
+
 def test_near_duplicates_on_odd_rows(spark):
     rows = simhash.near_duplicates(frame(spark, ODD)).collect()
     by = {r.doc_id: r for r in rows}
