@@ -33,6 +33,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +44,9 @@ from pyspark.sql import types as T
 
 from batchloom.llm.common import free_name, settle
 
-_STOP = re.compile(r"[.!?](?=[ \t])|[\u3002\uff01\uff1f]").finditer  # the last three end sentences without a blank
+_STOP = re.compile(r"[.!?](?=[ \t])").finditer
+_WIDE_STOP = re.compile(r"[.!?\u3002\uff01\uff1f](?:(?=[ \t])|(?<=[\u3002\uff01\uff1f]))").finditer  # the wide ones need no blank
+_ODD_BLANK = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search  # white space beside blank and line feed
 _WORD = re.compile(r"\S+").finditer
 # A unit's place in its table: text tag, number, opens a line, closes a line, words (no more than count).
 _TAG_BITS, _PLACE_BITS, _WORD_BITS = 20, 30, 11
@@ -62,9 +65,12 @@ class LineConfig:
             raise ValueError(f"min_words and min_passage must be below {1 << _WORD_BITS}")
 
 
-def _short_key(raw: bytes) -> int:
-    k = xxhash.xxh64_intdigest(raw, 7)
-    return k - (1 << 64) if k >> 63 else k
+def _keys(text: str, own: list) -> list[int]:
+    """Hashes of the units."""
+    raw, one = text.encode("utf-8", "surrogatepass"), xxhash.xxh64_intdigest
+    if len(raw) == len(text):
+        return [one(raw[u[0] : u[1]], 7) for u in own]
+    return [one(text[u[0] : u[1]].encode("utf-8", "surrogatepass"), 7) for u in own]
 
 
 def _words(n: int, part: str) -> int:
@@ -79,6 +85,8 @@ def units(text: str, config: LineConfig) -> list[tuple[int, int, int, bool, bool
     """start, end, words, opens a line, closes a line - for each unit of a text."""
     out = []
     most, start = config.long_words, 0
+    stop_marks = _STOP if text.isascii() else _WIDE_STOP
+    single = "  " not in text and not _ODD_BLANK(text)  # then words are one more than blanks
     for line in text.split("\n"):
         begin, start = start, start + len(line) + 1
         own = line.strip()
@@ -86,21 +94,27 @@ def units(text: str, config: LineConfig) -> list[tuple[int, int, int, bool, bool
             continue
         at = begin + line.index(own[0])
         end = at + len(own)
-        stops = [m.start() + 1 for m in _STOP(text, at, end)]
+        stops = [m.start() + 1 for m in stop_marks(text, at, end)]
         if not stops or stops[-1] < end:
             stops.append(end)
         first = True
         for stop in stops:
             while text[at] in " \t":
                 at += 1
-            n = len(text[at:stop].split())
+            n = text.count(" ", at, stop) + 1 if single else len(text[at:stop].split())
             if n > most:
-                places = [m.span() for m in _WORD(text, at, stop)]
-                n = len(places)
-                last = 0
-                for k, (s, e) in enumerate(places):
-                    if k == n - 1 or k - last >= 4 and not (31 * ord(text[s]) + 17 * ord(text[e - 1]) + 7 * (e - s)) & 7:
-                        out.append((places[last][0], e, _words(k + 1 - last, text[places[last][0] : e]), first, stop == end and k == n - 1))
+                if single:
+                    part = text[at:stop].split(" ")
+                    starts = list(accumulate((len(w) + 1 for w in part), initial=at))
+                else:
+                    starts = [m.start() for m in _WORD(text, at, stop)]
+                    part = text[at:stop].split()
+                n, last = len(part), 0
+                picked = [k for k, w in enumerate(part) if not (31 * ord(w[0]) + 17 * ord(w[-1]) + 7 * len(w)) & 7]
+                for k in [*picked, n - 1]:
+                    if last <= k and (k == n - 1 or k - last >= 4):
+                        e = starts[k] + len(part[k])
+                        out.append((starts[last], e, _words(k + 1 - last, text[starts[last] : e]), first, stop == end and k == n - 1))
                         last, first = k + 1, False
             else:
                 out.append((at, stop, n if stop - at <= 16 * n else _words(n, text[at:stop]), first, stop == end))
@@ -254,13 +268,13 @@ def overlaps(df: DataFrame, config: LineConfig, id_col: str = "doc_id", text_col
                 docs, tags, keys, places, kinds, sizes = [], [], [], [], [], []
                 for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     own = units(text, config)
-                    keys += [_short_key(text[u[0] : u[1]].encode("utf-8", "surrogatepass")) for u in own]
+                    keys += _keys(text, own)
                     kinds += [(u[3] << 1 | u[4]) << _WORD_BITS | min(u[2], count) for u in own]
                     docs.append(doc)
                     tags.append(text_tag(text))
                     sizes.append(len(own))
                     places.append(np.arange(len(own), dtype=np.int32))
-                columns = [np.array(keys, np.int64), np.repeat(np.array(docs, np.int64), sizes), np.repeat(np.array(tags, np.int32), sizes), np.concatenate(places), np.array(kinds, np.int32)]
+                columns = [np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(docs, np.int64), sizes), np.repeat(np.array(tags, np.int32), sizes), np.concatenate(places), np.array(kinds, np.int32)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc", "tag", "place", "kind"])
 
     lines = settle(narrow.mapInArrow(keyed, "key bigint, doc bigint, tag int, place int, kind int"), "units")
