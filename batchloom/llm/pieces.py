@@ -1,19 +1,24 @@
 """SentencePiece encoding and decoding by a batched Viterbi over words, in numpy.
 
 A text gets a blank in front, blanks become the mark U+2581, and it is split where no piece
-goes on: before runs of marks, around line feeds, and (if the pieces allow it) between a
-letter and what is none. Distinct words of equal length advance together: at each end position substring hashes probe the sorted keys of the pieces, and
-the best transition into each prefix is stored as a backpointer. The model is a merge model
-(BPE), whose result isn't the path of the greatest sum of scores. So a transition from
-piece a to piece b counts 0 if merging their joined text ends in just a and b, and minus
-infinity if not; then one path is left, and it is the merge order's own (see ``trellis``). Which
-pairs agree is worked out once a pair and worker, by merging the joined text.
+goes on: before runs of marks, and (where the pieces allow it) around line feeds and between a
+letter and what is none. Distinct words of like length advance together: at each end
+position substring hashes probe the sorted keys of the pieces, and vectorised maxima store
+the best transition into each prefix as a backpointer (see ``trellis``).
+
+Unigram models take the path of the greatest sum of scores, in single precision as in the
+library, an unknown character ten below the least score; sums run over a word, not the text, so
+that paths whose sums differ by rounding only may be told apart otherwise. Merge models (BPE) don't: there a
+transition from piece a to piece b counts 0 if merging their joined text ends in just a and b, and
+minus infinity if not; then one path is left, and it is the merge order's own. Which pairs agree
+is worked out once a pair and worker, by merging the joined text.
 
 Characters that are no piece become bytes. Decoding gathers the bytes of all pieces at once.
 
 Null texts count as empty (no ids). Byte runs that are no UTF-8 decode to U+FFFD, and the
-mark U+2581 itself to a blank, so such texts are the ones that don't round-trip. Repeated
-rows give repeated rows; extra columns are dropped.
+mark U+2581 itself to a blank, so such texts are the ones that don't round-trip. Of paths of
+equal score the one with the longest last piece counts. Very long words are solved as others. An
+empty table gives no rows, repeated rows repeated ones; extra columns are dropped.
 """
 
 from __future__ import annotations
@@ -41,8 +46,9 @@ class PieceEncoder(WordEncoder):
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
         normal = model.normalizer_spec
-        if model.trainer_spec.model_type != model.trainer_spec.BPE or not model.trainer_spec.byte_fallback:
-            raise ValueError("only merge models with byte fallback are supported")
+        merges, sums = (model.trainer_spec.model_type == k for k in (model.trainer_spec.BPE, model.trainer_spec.UNIGRAM))
+        if not (merges or sums) or not model.trainer_spec.byte_fallback:
+            raise ValueError("only Unigram and merge models with byte fallback are supported")
         if normal.precompiled_charsmap or normal.remove_extra_whitespaces or not normal.add_dummy_prefix or not normal.escape_whitespaces:
             raise ValueError("only the identity normalisation with a blank in front is supported")
         if any(p.type == p.USER_DEFINED for p in model.pieces):
@@ -57,13 +63,19 @@ class PieceEncoder(WordEncoder):
         self.pairs, self.values = np.full(1, -1, np.int64), np.zeros(1, bool)
         self.recent: dict[int, bool] = {}
         self.n = len(self.pieces)
-        reachable = [(k, p) for k, p in plain if self._merge(p.piece) == [p.piece]]
-        self.trellis = Trellis([_symbols(p.piece) for _, p in reachable], np.array([k for k, _ in reachable]), self._agree, lambda s: s.astype(np.int64) + self.n)
+        known = [(k, p) for k, p in plain if sums or self._merge(p.piece) == [p.piece]]
+        symbols, ids = [_symbols(p.piece) for _, p in known], np.array([k for k, _ in known])
+        unknown = lambda s: s.astype(np.int64) + self.n
+        if merges:
+            self.trellis = Trellis(symbols, ids, self._agree, unknown)
+        else:
+            scores = np.array([p.score for _, p in known], np.float32)
+            self.trellis = Trellis(symbols, ids, None, unknown, scores, float(scores.min()) - 10.0)
         inside = {(x, y) for _, p in plain for x, y in zip(p.piece, p.piece[1:])}  # neighbours within pieces
         letter = re.compile(r"[^\W\d_]").match
         # Characters that a piece has before one that is no letter aren't letters here.
         odd = re.escape("".join(sorted({x for x, y in inside if letter(x) and not letter(y)})))
-        if any("\n" in pair for pair in inside):
+        if sums or any("\n" in pair for pair in inside):
             pattern = f"{MARK}+[^{MARK}]*|[^{MARK}]+"
         else:
             pattern = rf"{MARK}*[^\W\d_{odd}]+|{MARK}*(?:(?![{MARK}\n])[\W\d_{odd}])+[^\W\d_{odd}]*|{MARK}+|\n+"
@@ -117,10 +129,10 @@ class PieceEncoder(WordEncoder):
     def ids_of(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         order: list[str] = []
         flat, lengths = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for places, matrix in batches([_symbols(w) for w in words]):
+        for places, matrix, size in batches([_symbols(w) for w in words]):
             _, last, back = self.trellis.solve(matrix)
             rows = np.arange(len(places))
-            at = np.full(len(places), matrix.shape[1])
+            at = size.copy()
             steps = []
             while at.any():  # all words back to their starts, a piece at a time
                 steps.append(np.where(at > 0, last[rows, at], -1))

@@ -3,31 +3,36 @@
 Base spans (email, ip, card, phone) are found by fixed rules, leftmost and non-overlapping
 for each kind. The tagger adds spans that the rules miss, such as ``name (at) host (dot)
 com`` or a phone number without its plus sign; base spans always stay. An added span may
-not overlap a base span and must hold what its kind needs (four parts up to 255, Luhn's
-check, the right number of digits, an at and a dot).
+not overlap a base span and must hold what its kind means (four parts up to 255, Luhn's check,
+9 to 15 digits, an at and a dot).
 
-Every kind holds a digit, an at sign or a bracketed or spelt ``at``/``dot``: that belongs to
-the definition of the tagger, so its windows lie around such places; all of a text is
-searched for them. Windows of ``window`` characters overlap by half. Scores of overlapping
-windows are averaged, weighted by the distance from the window's edge, and one Viterbi
-pass over each whole region decodes them: spans across window borders come out whole.
+Every span of the four kinds holds a digit, an at sign or a spelt ``at`` or ``dot`` by what the kinds
+are, so windows lie around those places; all of a text is searched for them. Windows of
+``window`` characters overlap by half. Scores of overlapping windows are averaged, weighted by
+the distance from the window's edge, and one Viterbi pass over each whole region decodes
+them: spans across window borders come out whole.
 
 The tagger is trained here, in numpy, from labelled spans: ``examples`` writes sentences
 with spans of the four kinds in many spellings, and look-alikes (hexadecimal strings,
 failed checks, dates, versions, prices) without labels. Training is seeded and doesn't
-depend on the input; a process trains once for each configuration.
+depend on the input. ``python -m batchloom.llm.pii`` trains the standard configuration and writes
+its weights beside this module; any other configuration is trained once a process.
 
-Null texts count as empty and have no spans. Offsets are code points, the end exclusive.
-Equal rows give equal results. Extra columns are dropped by ``find`` and kept by ``redact``.
+Null texts count as empty and have no spans. Very long texts are tagged whole, some regions at a
+time. Offsets are code points, the end exclusive. Of tags of equal score the first kind
+counts. Equal rows give equal results; an empty table gives no rows. Extra columns are dropped by
+``find`` and kept by ``redact``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -43,7 +48,7 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}").finditer
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
-_TRIGGER = re.compile(r"[0-9@]|[\[({] ?(?:at|dot) ?[\])}]| dot ").finditer
+_TRIGGER = re.compile(r"[0-9@]|[\[({<] ?(?:at|dot) ?[\])}>]| dot | at (?=[a-z0-9-]{1,63}(?:\.[a-z]| ?[\[({<]? ?dot))", re.IGNORECASE).finditer
 _DIGITS = re.compile(r"[0-9]").findall
 
 
@@ -89,39 +94,53 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _word(rng: np.random.Generator) -> str:
-    parts = ("an", "er", "the", "ou", "re", "le", "de", "st", "ing", "ar", "os", "ich", "ung", "ti", "on", "é", "ma", "ko")
+    parts = ("an", "er", "the", "ou", "re", "le", "de", "st", "ing", "ar", "os", "ich", "ung", "ti", "on", "é", "ma", "ko", "at", "dot", "ü", "x", "j", "w")
+    if rng.random() < 0.5:
+        return "".join("abcdefghijklmnopqrstuvwxyz"[k] for k in rng.integers(26, size=rng.integers(2, 10)))
     return "".join(parts[k] for k in rng.integers(len(parts), size=rng.integers(1, 4)))
 
 
+def _plain_word(rng: np.random.Generator) -> str:
+    return _word(rng).translate(str.maketrans("éü", "eu"))
+
+
 def _number(rng: np.random.Generator, n: int) -> str:
     return "".join(map(str, rng.integers(10, size=n)))
 
 
-def _card_digits(rng: np.random.Generator) -> str:
-    body = _number(rng, 15)
+def _card_digits(rng: np.random.Generator, n: int) -> str:
+    body = _number(rng, n - 1)
     return next(body + str(k) for k in range(10) if luhn(list(body + str(k))))
 
 
 def _personal(rng: np.random.Generator, kind: int) -> str:
     pick = lambda *x: x[rng.integers(len(x))]
     if kind == 0:
-        at = pick("@", "@", " (at) ", "(at)", "[at]", " [at] ", " {at} ")
-        dot = pick(".", ".", " (dot) ", "[dot]", " dot ") if at != "@" else pick(".", " (dot) ", "[dot]", " [dot] ")
-        name = pick(_word(rng), f"{_word(rng)}.{_word(rng)}", f"{_word(rng)}_{_number(rng, 2)}").replace("é", "e")
-        return f"{name}{at}{_word(rng).replace('é', 'e')}{_number(rng, rng.integers(3))}{dot}{pick('com', 'org', 'net', 'de', 'fr')}"
+        word = pick("at", "at", "AT", "At")
+        at = pick("@", "@", f" ({word}) ", f"({word})", f"[{word}]", f" [{word}] ", f" {{{word}}} ", f" {word} ")
+        stop = pick("dot", "dot", "DOT", "Dot")
+        dot = pick(".", ".", f" ({stop}) ", f"[{stop}]", f" {stop} ", f" [{stop}] ") if at != "@" else pick(".", f" ({stop}) ", f"[{stop}]", f" [{stop}] ")
+        name = pick(_plain_word(rng), f"{_plain_word(rng)}.{_plain_word(rng)}", f"{_plain_word(rng)}_{_number(rng, 2)}", f"{_plain_word(rng)}{_number(rng, 3)}")
+        host = pick("", "", f"{_plain_word(rng)}-", f"{_plain_word(rng)}{dot}")
+        return f"{name}{at}{host}{_plain_word(rng)}{_number(rng, rng.integers(3))}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'edu', 'io')}"
     if kind == 1:
-        dot = pick(".", ".", "[.]", "(.)", " . ")
+        dot = pick(".", ".", "[.]", "(.)", " . ", "[dot]", " dot ")
         return dot.join(str(rng.integers(256)) for _ in range(4))
     if kind == 2:
-        d, sep = _card_digits(rng), pick("", " ", "-", ".", "/", "  ")
-        return sep.join(d[k : k + 4] for k in range(0, 16, 4))
+        n = pick(16, 16, 16, 15, 13)
+        d, sep = _card_digits(rng, n), pick("", " ", "-", ".", "/", "  ", "_")
+        return sep.join(d[k : k + 4] for k in range(0, n, 4))
     a, b, c = _number(rng, 3), _number(rng, 3), _number(rng, 4)
     plus = pick("+1 ", "+1 ", "", "", "1 ", "001 ")
-    return pick(f"{plus}({a}) {b}-{c}", f"{plus}{a}-{b}-{c}", f"{plus}{a} {b} {c}", f"{plus}({a}){b} {c}", f"+{_number(rng, 2)} {a} {b}{c}")
+    forms = (
+        f"{plus}({a}) {b}-{c}", f"{plus}{a}-{b}-{c}", f"{plus}{a} {b} {c}", f"{plus}({a}){b} {c}", f"{plus}{a}.{b}.{c}", f"+{_number(rng, 2)} {a} {b}{c}",
+        f"0{_number(rng, 3)} {_number(rng, 7)}", f"0{_number(rng, 2)}-{_number(rng, 8)}", f"(0{_number(rng, 2)}) {_number(rng, 8)}", f"00{_number(rng, 2)} {a} {b} {c}",
+    )
+    return pick(*forms)
 
 
 def _look_alike(rng: np.random.Generator) -> str:
-    kind = rng.integers(10)
+    kind = rng.integers(13)
     if kind == 0:
         return 'token = "' + "".join("0123456789abcdef"[k] for k in rng.integers(16, size=40)) + '"'
     if kind == 1:
@@ -131,7 +150,7 @@ def _look_alike(rng: np.random.Generator) -> str:
     if kind == 3:
         return f"{rng.integers(1, 10**6)}.{rng.integers(100):02d} EUR"
     if kind == 4:
-        return _number(rng, rng.integers(5, 24))
+        return _number(rng, rng.integers(5, 13))
     if kind == 5:
         return f"@{_word(rng)}"
     if kind == 6:
@@ -140,33 +159,46 @@ def _look_alike(rng: np.random.Generator) -> str:
         return f"{rng.integers(100)}.{rng.integers(100)}.{rng.integers(100)}"
     if kind == 8:
         return f"{_word(rng)}{rng.integers(1000)}"
+    if kind == 9:
+        return f"{_word(rng)} at {_word(rng)} {_word(rng)}"
+    if kind == 10:
+        return f"the dot {_word(rng)}"
+    if kind == 11:
+        return f"{rng.integers(1, 13)}/{rng.integers(1, 29)}/{rng.integers(1900, 2100)} {rng.integers(100)} {rng.integers(1000)}"
     return f"({rng.integers(100)}) {rng.integers(2000)}"
 
 
+def sentence(rng: np.random.Generator, least: int) -> tuple[str, list[Span]]:
+    """Generated text of ``least`` characters or more, and its spans."""
+    text, spans = "", []
+    while len(text) < least:
+        r = rng.random()
+        if r < 0.16:
+            kind = int(rng.integers(4))
+            piece = _personal(rng, kind)
+            spans.append((kind, len(text), len(text) + len(piece)))
+        else:
+            piece = _look_alike(rng) if r < 0.26 else _word(rng)
+            if r > 0.9:
+                piece = piece.capitalize()
+        text += piece + (" ", " ", " ", " ", ", ", ". ", "\n", " | ", "%%% ", "!! ")[rng.integers(10)]
+    return text, spans
+
+
 def examples(n: int, window: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Character classes and tags of ``n`` windows of generated text."""
     rng = np.random.default_rng(seed)
     texts, tags = [], []
     for _ in range(n):
-        text, tag = "", []
-        while len(text) < window:
-            r = rng.random()
-            if r < 0.16:
-                kind = int(rng.integers(4))
-                piece = _personal(rng, kind)
-                tag += [1 + 2 * kind] + [2 + 2 * kind] * (len(piece) - 1)
-            else:
-                piece = _look_alike(rng) if r < 0.26 else _word(rng)
-                if r > 0.9:
-                    piece = piece.capitalize()
-                tag += [0] * len(piece)
-            gap = (" ", " ", " ", " ", ", ", ". ", "\n", " | ", "%%% ", "!! ")[rng.integers(10)]
-            text += piece + gap
-            tag += [0] * len(gap)
+        text, spans = sentence(rng, window)
+        tag = np.zeros(len(text), np.int64)
+        for kind, s, e in spans:
+            tag[s:e] = 2 + 2 * kind
+            tag[s] -= 1
         shift = int(rng.integers(0, len(text) - window + 1))
         texts.append(classes(text[shift : shift + window]))
         tags.append(tag[shift : shift + window])
-    return np.stack(texts), np.array(tags)
+    return np.stack(texts), np.stack(tags)
 
 
 # --- the tagger ---------------------------------------------------------------------------
@@ -189,11 +221,11 @@ def classes(text: str) -> np.ndarray:
 @dataclass(frozen=True)
 class TaggerConfig:
     window: int = 96
-    hidden: int = 16
+    hidden: int = 24
     embed: int = 12
-    train: int = 3_000
+    train: int = 24_000
     epochs: int = 5
-    batch: int = 64
+    batch: int = 100
     rate: float = 0.01
     seed: int = 20
 
@@ -210,101 +242,108 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (np.tanh(0.5 * x) + 1)
 
 
-def _lse(x: np.ndarray, axis: int) -> np.ndarray:
-    m = x.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(x - m).sum(axis=axis))
-
-
 class Tagger:
-    """Embedding, two LSTMs, a linear layer and CRF transitions; all arrays are in ``p``."""
+    """Embedding, two LSTMs, a linear layer and CRF transitions; all arrays are in ``p``.
+
+    The arrays of the LSTMs hold both directions, forward and backward, which advance together.
+    """
 
     def __init__(self, config: TaggerConfig):
         rng = np.random.default_rng(config.seed)
         d, h = config.embed, config.hidden
-        make = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
+        make = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[-2]), shape)
         self.config = config
-        self.p = {"e": rng.normal(0, 0.5, (_N_CLASSES, d)), "o": make(2 * h, _TAGS), "ob": np.zeros(_TAGS), "t": np.zeros((_TAGS, _TAGS))}
-        for s in "fb":
-            self.p |= {f"x{s}": make(d, 4 * h), f"h{s}": make(h, 4 * h), f"c{s}": np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)])}
+        gates = np.tile(np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)]), (2, 1, 1))
+        self.p = {"e": rng.normal(0, 0.5, (_N_CLASSES, d)), "x": make(2, d, 4 * h), "h": make(2, h, 4 * h), "c": gates, "o": make(2 * h, _TAGS), "ob": np.zeros(_TAGS), "t": np.zeros((_TAGS, _TAGS))}
 
-    def _lstm(self, x: np.ndarray, s: str, keep: bool = False):
-        """x: time x rows x embed. Gates stand in the order input, forget, output, candidate."""
+    def _lstm(self, x: np.ndarray, keep: bool = False):
+        """x: time x rows x embed. Gates stand in the order input, forget, output, candidate.
+
+        Returns the outputs, time x rows x both directions, and what going back needs.
+        """
         p, n = self.p, self.config.hidden
-        pre = x @ p[f"x{s}"] + p[f"c{s}"]
-        h = np.zeros((x.shape[1], n), x.dtype)
+        both = np.stack([x, x[::-1]], axis=1)  # time x direction x rows x embed
+        pre = both @ p["x"] + p["c"]
+        h = np.zeros((2, x.shape[1], n), pre.dtype)
         c = np.zeros_like(h)
-        out, saved = np.empty((*x.shape[:2], n), x.dtype), []
+        out, saved = np.empty((len(x), 2, x.shape[1], n), pre.dtype), []
         for t in range(len(x)):
-            z = pre[t] + h @ p[f"h{s}"]
-            gates, g = _sigmoid(z[:, : 3 * n]), np.tanh(z[:, 3 * n :])
-            before, c = c, gates[:, n : 2 * n] * c + gates[:, :n] * g
+            z = pre[t] + h @ p["h"]
+            gates, g = _sigmoid(z[..., : 3 * n]), np.tanh(z[..., 3 * n :])
+            before, c = c, gates[..., n : 2 * n] * c + gates[..., :n] * g
             tc = np.tanh(c)
             if keep:
                 saved.append((h, before, gates, g, tc))
-            h = gates[:, 2 * n :] * tc
+            h = gates[..., 2 * n :] * tc
             out[t] = h
-        return out, saved
+        return np.concatenate([out[:, 0], out[::-1, 1]], axis=2), (both, saved)
 
-    def _lstm_back(self, x: np.ndarray, grad: np.ndarray, saved: list, s: str, into: dict) -> np.ndarray:
+    def _lstm_back(self, grad: np.ndarray, kept: tuple, into: dict) -> np.ndarray:
+        """Gradients of the parameters, added to ``into``, and of the input."""
         p, n = self.p, self.config.hidden
-        dz = np.empty((*x.shape[:2], 4 * n))
-        dh = dc = np.zeros((x.shape[1], n))
-        for t in range(len(x) - 1, -1, -1):
+        both, saved = kept
+        grad = np.stack([grad[:, :, :n], grad[::-1, :, n:]], axis=1)
+        dz = np.empty((*both.shape[:3], 4 * n), grad.dtype)
+        dh = dc = np.zeros((2, both.shape[2], n), grad.dtype)
+        back = p["h"].transpose(0, 2, 1)
+        for t in range(len(both) - 1, -1, -1):
             h, before, gates, g, tc = saved[t]
-            i, f, o = gates[:, :n], gates[:, n : 2 * n], gates[:, 2 * n :]
+            i, f, o = gates[..., :n], gates[..., n : 2 * n], gates[..., 2 * n :]
             dh = dh + grad[t]
             dc = dc + dh * o * (1 - tc * tc)
-            dz[t] = np.concatenate([dc * g * i * (1 - i), dc * before * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - g * g)], axis=1)
-            into[f"h{s}"] += h.T @ dz[t]
-            dh, dc = dz[t] @ p[f"h{s}"].T, dc * f
-        into[f"x{s}"] += np.einsum("tbd,tbk->dk", x, dz)
-        into[f"c{s}"] += dz.sum((0, 1))
-        return dz @ p[f"x{s}"].T
+            dz[t, ..., :n], dz[t, ..., n : 2 * n] = dc * g * i * (1 - i), dc * before * f * (1 - f)
+            dz[t, ..., 2 * n : 3 * n], dz[t, ..., 3 * n :] = dh * tc * o * (1 - o), dc * i * (1 - g * g)
+            into["h"] += h.transpose(0, 2, 1) @ dz[t]
+            dh, dc = dz[t] @ back, dc * f
+        for k in range(2):
+            into["x"][k] += both[:, k].reshape(-1, both.shape[3]).T @ dz[:, k].reshape(-1, 4 * n)
+        into["c"] += dz.sum((0, 2))[:, None]
+        dx = dz @ p["x"].transpose(0, 2, 1)
+        return dx[:, 0] + dx[::-1, 1]
 
     def scores(self, chars: np.ndarray) -> np.ndarray:
         """Tag scores, rows x time x tags, for rows of character classes."""
-        x = self.p["e"][chars.T]
-        f, _ = self._lstm(x, "f")
-        b, _ = self._lstm(x[::-1], "b")
-        return (np.concatenate([f, b[::-1]], axis=2) @ self.p["o"] + self.p["ob"]).transpose(1, 0, 2)
+        out, _ = self._lstm(self.p["e"][chars.T])
+        return (out @ self.p["o"] + self.p["ob"]).transpose(1, 0, 2)
 
     def _step(self, chars: np.ndarray, tags: np.ndarray) -> tuple[float, dict]:
         """Loss a row, and gradients: the CRF's marginals less the labels, sent back through both LSTMs."""
         p, n = self.p, len(chars)
-        x = p["e"][chars.T]
-        f, kept_f = self._lstm(x, "f", True)
-        b, kept_b = self._lstm(x[::-1], "b", True)
-        both = np.concatenate([f, b[::-1]], axis=2)
+        both, kept = self._lstm(p["e"][chars.T], True)
         u = both @ p["o"] + p["ob"]  # time x rows x tags
-        trans, y, steps = p["t"] + _ALLOWED, tags.T, len(u)
-        alpha, beta = np.empty_like(u), np.zeros_like(u)
-        alpha[0] = u[0]
-        for t in range(1, steps):
-            alpha[t] = u[t] + _lse(alpha[t - 1][:, :, None] + trans, 1)
+        y, steps = tags.T, len(u)
+        top = u.max(axis=2, keepdims=True)
+        factor, move = np.exp(u - top), np.exp(p["t"]) * (_ALLOWED == 0)
+        ahead, behind = np.empty_like(u), np.ones_like(u)
+        log_z = top.sum()
+        for t in range(steps):
+            a = factor[t] if not t else (ahead[t - 1] @ move) * factor[t]
+            total = a.sum(axis=1, keepdims=True)
+            log_z += np.log(total).sum()
+            ahead[t] = a / total
         for t in range(steps - 2, -1, -1):
-            beta[t] = _lse(trans + (u[t + 1] + beta[t + 1])[:, None, :], 2)
-        z = _lse(alpha[-1], 1)
-        du = np.exp(alpha + beta - z[None, :, None])
-        gold = np.take_along_axis(u, y[:, :, None], 2).sum() + trans[y[:-1], y[1:]].sum()
-        dt = np.zeros_like(trans)
-        for t in range(1, steps):
-            dt += np.exp(alpha[t - 1][:, :, None] + trans + (u[t] + beta[t] - z[:, None])[:, None, :]).sum(0)
+            b = (behind[t + 1] * factor[t + 1]) @ move.T
+            behind[t] = b / b.sum(axis=1, keepdims=True)
+        du = ahead * behind
+        du /= du.sum(axis=2, keepdims=True)
+        enter = behind[1:] * factor[1:]
+        enter /= np.einsum("tbi,ij,tbj->tb", ahead[:-1], move, enter, optimize=True)[:, :, None]
+        dt = move * (ahead[:-1].reshape(-1, _TAGS).T @ enter.reshape(-1, _TAGS))
+        gold = np.take_along_axis(u, y[:, :, None], 2).sum() + p["t"][y[:-1], y[1:]].sum()
         np.add.at(dt, (y[:-1].ravel(), y[1:].ravel()), -1.0)
         np.put_along_axis(du, y[:, :, None], np.take_along_axis(du, y[:, :, None], 2) - 1, 2)
         grads = {k: np.zeros_like(v) for k, v in p.items()}
         grads["t"] = dt
-        grads["o"], grads["ob"] = np.einsum("tbh,tbk->hk", both, du), du.sum((0, 1))
-        db = du @ p["o"].T
-        h = self.config.hidden
-        dx = self._lstm_back(x, db[:, :, :h], kept_f, "f", grads)
-        dx = dx + self._lstm_back(x[::-1], db[::-1, :, h:], kept_b, "b", grads)[::-1]
+        grads["o"], grads["ob"] = both.reshape(-1, both.shape[2]).T @ du.reshape(-1, _TAGS), du.sum((0, 1))
+        dx = self._lstm_back(du @ p["o"].T, kept, grads)
         np.add.at(grads["e"], chars.T, dx)
-        return float((z.sum() - gold) / n), {k: g / n for k, g in grads.items()}
+        return float((log_z - gold) / n), {k: g / n for k, g in grads.items()}
 
     def fit(self) -> list[float]:
         """Adam over the generated windows; returns the mean loss of each epoch."""
         c = self.config
         chars, tags = examples(c.train, c.window, c.seed)
+        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
         rng = np.random.default_rng(c.seed + 1)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -323,9 +362,8 @@ class Tagger:
                     g = g * min(1.0, 5.0 / (norm + 1e-9))
                     m[name] = 0.9 * m[name] + 0.1 * g
                     v[name] = 0.999 * v[name] + 0.001 * g * g
-                    self.p[name] -= rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
+                    self.p[name] -= np.float32(rate) * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.999**step)) + 1e-8)
             losses.append(float(np.mean(seen)))
-        self.p = {k: x.astype(np.float32) for k, x in self.p.items()}
         return losses
 
     def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
@@ -399,11 +437,11 @@ class Tagger:
         return found
 
 
-_ADDRESS = re.compile(r"[^\s@]+ ?(?:@|[\[({] ?at ?[\])}]) ?[A-Za-z0-9-]+(?: ?(?:\.|[\[({] ?dot ?[\])}]|(?<= )dot ) ?[A-Za-z0-9-]+)+").match
+_AT = re.compile(r"[^\s@]+ ?(?:@|[\[({<] ?at ?[\])}>]|(?<= )at(?= )) ?[a-z0-9-]+(?: ?(?:\.|[\[({<] ?dot ?[\])}>]|(?<= )dot(?= )) ?[a-z0-9-]+)+", re.IGNORECASE).match
 
 
 def _trim(text: str, kind: int, start: int, end: int) -> Span | None:
-    """The span without blanks and stops at its ends, if it holds what its kind needs."""
+    """The span without blanks and stops at its ends, if it holds what its kind means."""
     while start < end and text[start] in " \n.,;:":
         start += 1
     while start < end and text[end - 1] in " \n.,;:":
@@ -413,26 +451,42 @@ def _trim(text: str, kind: int, start: int, end: int) -> Span | None:
         return None  # a part of a longer word or number
     digits = _DIGITS(own)
     if kind == 0:
-        m = _ADDRESS(own)
-        end = start + m.end() if m else end
-        good = bool(m) and len(own) <= 120
+        m = _AT(own)
+        good, end = m is not None, start + m.end() if m else end  # words behind the address aren't its own
     elif kind == 1:
         parts = re.findall("[0-9]+", own)
-        good = len(parts) == 4 and all(map(_small, parts)) and not re.search("[A-Za-z]", own) and len(own) <= 40
+        good = len(parts) == 4 and all(map(_small, parts))
     elif kind == 2:
-        good = 13 <= len(digits) <= 19 and luhn(digits) and not re.search("[A-Za-z]", own) and len(own) <= 60
+        good = 13 <= len(digits) <= 19 and luhn(digits)
     else:
-        good = 9 <= len(digits) <= 15 and len(re.findall("[0-9]+", own)) >= 3 and not re.search("[A-Za-z@:,/]", own) and len(own) <= 40
+        good = 9 <= len(digits) <= 15
     return (kind, start, end) if good else None
 
 
+WEIGHTS = Path(__file__).with_name("pii_weights.json")
+
+
 @lru_cache(maxsize=4)
 def trained(config: TaggerConfig = TaggerConfig()) -> Tagger:
+    """With the stored weights, if they are those of this configuration; else trained here."""
     tagger = Tagger(config)
-    tagger.fit()
+    stored = json.loads(WEIGHTS.read_text()) if WEIGHTS.exists() else {}
+    if stored.get("config") == asdict(config):
+        tagger.p = {k: np.array(stored["weights"][k], np.float32).reshape(x.shape) for k, x in tagger.p.items()}
+    else:
+        tagger.fit()
     return tagger
 
 
+def store(config: TaggerConfig = TaggerConfig(), path: Path = WEIGHTS) -> list[float]:
+    """Train and write the weights, four significant digits each."""
+    tagger = Tagger(config)
+    losses = tagger.fit()
+    weights = {k: [float(f"{v:.4g}") for v in x.ravel().tolist()] for k, x in tagger.p.items()}
+    path.write_text(json.dumps({"config": asdict(config), "weights": weights}))
+    return losses
+
+
 def all_spans(tagger: Tagger, texts: list[str]) -> tuple[list[list[Span]], list[list[Span]]]:
     """Base spans and all spans of each text, both by kind, then start."""
     base = [base_spans(t) for t in texts]
@@ -490,3 +544,7 @@ def redact(df: DataFrame, config: TaggerConfig = TaggerConfig(), text_col: str =
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return df.mapInArrow(run, schema)
+
+
+if __name__ == "__main__":
+    print(store())

@@ -10,7 +10,7 @@ Answers about truncation and budgets then need no further encoding: ``count(k)``
 after k code points, ``fit(limit)`` for the longest prefix within a limit.
 
 Null texts count as empty (no tokens). Repeated rows give repeated rows; an empty table
-none. Columns other than the id and the text are dropped, whatever their names.
+none. Very long texts and words are counted whole; nothing here can tie. Columns other than the id and the text are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.llm.bpe import SPECIAL, words_of
-from batchloom.llm.trellis import Trellis
+from batchloom.llm.trellis import Trellis, batches
 
 _CUT_CONTRACTIONS = ("'re", "'ve", "'ll")  # after two letters: an apostrophe and a letter, two tokens
 
@@ -110,23 +110,17 @@ class PrefixCounter:
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
 
     def learn(self, words: list[str]) -> None:
-        by_size: dict[int, list[str]] = {}
-        raw: dict[int, list[bytes]] = {}
-        for w in words:
-            r = w.encode("utf-8", "surrogatepass")
-            by_size.setdefault(len(r), []).append(w)
-            raw.setdefault(len(r), []).append(r)
-        for size, group in by_size.items():
-            step = 1 if size > 48 else 20_000
-            for at in range(0, len(group), step):
-                part = group[at : at + step]
-                matrix = np.frombuffer(b"".join(raw[size][at : at + step]), np.uint8).reshape(len(part), size)
-                self._store(part, matrix, self.trellis.solve(matrix)[0][:, 1:])
-
-    def _store(self, words: list[str], matrix: np.ndarray, count: np.ndarray) -> None:
+        raw = [np.frombuffer(w.encode("utf-8", "surrogatepass"), np.uint8) for w in words]
+        for places, matrix, sizes in batches(raw):
+            count = self.trellis.solve(matrix)[0][:, 1:]
+            self._store([words[k] for k in places], matrix, sizes, count)
+
+    def _store(self, words: list[str], matrix: np.ndarray, lengths: np.ndarray, count: np.ndarray) -> None:
         """Remember the counts at the ends of code points."""
         ends = np.ones(matrix.shape, bool)
         ends[:, :-1] = (matrix[:, 1:] & 0xC0) != 0x80
+        ends[np.arange(len(words)), lengths - 1] = True
+        ends &= np.arange(matrix.shape[1]) < lengths[:, None]
         sizes = ends.sum(axis=1)
         flat = count[ends]
         first = len(self.index)

@@ -1,11 +1,17 @@
-"""Dynamic programming over prefixes of words, for merge-based (BPE) vocabularies.
-
-The merges of a word end in one sequence of pieces. A sequence is that one if and only if
-each two neighbours in it are what their own joined text ends in: no merge ever crosses
-the border between them, and what happens on one side doesn't depend on the other. So for
-each prefix of a word exactly one piece can come last: the piece that ends there, and that
-agrees with the last piece of the prefix before it. Words of equal length advance together,
-one end position after the other; substring hashes probe the sorted keys of all pieces.
+"""Viterbi over prefixes of words, all words of one length together.
+
+At each end position substring hashes probe the sorted keys of all pieces, and a hit is
+verified by comparing the symbols. The value of a transition is the best value of the prefix
+before it plus the piece's score; a vectorised maximum keeps the best one and its backpointer, and
+of equal ones the one with the longest piece.
+
+With scores that is the path of the greatest sum (a Unigram vocabulary). For merge-based (BPE)
+vocabularies scores are 0, and a transition counts minus infinity unless its piece agrees with
+the last one of the prefix: the merges of a word end in one sequence of pieces, and a sequence is
+that one if and only if each two neighbours in it are what their own joined text ends in: no
+merge ever crosses the border between them, and what happens on one side doesn't depend on
+the other. So for each prefix exactly one piece can come last, and a prefix is done
+when it has a value.
 """
 
 from __future__ import annotations
@@ -35,27 +41,45 @@ def _hash_one(symbols: np.ndarray) -> int:
     return h
 
 
+_PAD = 0xFFFFFFFF  # behind the end of a word in a batch of longer ones
+
+
 class Trellis:
     """``pieces``: the symbols of each piece, ``ids``: its id; ``agrees(a, b)`` tells for arrays
-    of ids which may stand beside each other; ``unknown(symbols)`` gives ids for symbols that are
-    no piece (they agree with everything), or is None where each symbol is one."""
-
-    def __init__(self, pieces: list[np.ndarray], ids: np.ndarray, agrees: Callable[[np.ndarray, np.ndarray], np.ndarray], unknown: Callable[[np.ndarray], np.ndarray] | None = None):
+    of ids which may stand beside each other (merges), or ``scores`` gives each piece's (sums).
+    ``unknown(symbols)`` gives ids for symbols that are no piece (they agree with everything and
+    score ``unknown_score``), or is None where each symbol is one."""
+
+    def __init__(
+        self, pieces: list[np.ndarray], ids: np.ndarray, agrees: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None,
+        unknown: Callable[[np.ndarray], np.ndarray] | None = None, scores: np.ndarray | None = None, unknown_score: float = 0.0,
+    ):
         keys = np.array([_hash_one(p) for p in pieces], np.uint64)
         order = np.argsort(keys)
         self.keys, self.ids = keys[order], np.asarray(ids, np.int64)[order]
+        if (self.keys[1:] == self.keys[:-1]).any():
+            raise ValueError("two pieces have one key")
         self.longest = max(map(len, pieces))
+        self.sizes = np.array([len(p) for p in pieces])[order]
+        self.symbols = np.full((len(pieces), self.longest), _PAD, np.uint32)
+        for row, k in enumerate(order.tolist()):
+            self.symbols[row, : len(pieces[k])] = pieces[k]
+        self.scores = None if scores is None else np.asarray(scores, np.float32)[order]
+        self.unknown_score = np.float32(unknown_score)
         self.maybe = np.zeros(1 << _FILTER_BITS, bool)
         self.maybe[keys >> np.uint64(64 - _FILTER_BITS)] = True
         self.agrees, self.unknown = agrees, unknown
 
-    def _probe(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where h is the key of a piece, and the ids there."""
+    def _probe(self, h: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the parts (a row of symbols each, with hash h) are pieces, and their places among the keys."""
         at = np.flatnonzero(self.maybe[h >> np.uint64(64 - _FILTER_BITS)])
         k = np.searchsorted(self.keys, h[at])
         k[k == len(self.keys)] = 0
         hit = self.keys[k] == h[at]
-        return at[hit], self.ids[k[hit]]
+        at, k = at[hit], k[hit]
+        size = parts.shape[1]
+        same = (self.sizes[k] == size) & (self.symbols[k, :size] == parts[at]).all(axis=1)
+        return (at, k) if same.all() else (at[same], k[same])
 
     def solve(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For words of one length (n x L symbols): after each prefix, from 0 to L symbols, the count
@@ -68,50 +92,51 @@ class Trellis:
         count = np.zeros((size + 1, n), np.int32)
         last = np.full((size + 1, n), -1, np.int64)
         back = np.zeros((size + 1, n), np.int32)
-        if size > 48 and n == 1:
-            return self._single(words[0], prefix[:, 0], count, last, back)
+        best = np.full((size + 1, n), -np.inf, np.float32)
+        best[0] = 0
         for j in range(1, size + 1):
-            open_ = np.ones(n, bool)
             for i in range(max(0, j - self.longest), j):
-                at, ids = self._probe(prefix[j] - prefix[i] * _POWERS[j - i])
+                at, k = self._probe(prefix[j] - prefix[i] * _POWERS[j - i], words[:, i:j])
+                ids = self.ids[k]
+                gain = np.zeros(len(at), np.float32) if self.scores is None else self.scores[k]
                 if self.unknown is not None and i == j - 1:
-                    odd = open_.copy()
+                    odd = np.ones(n, bool)
                     odd[at] = False
                     odd = np.flatnonzero(odd)
                     at, ids = np.concatenate([at, odd]), np.concatenate([ids, self.unknown(words[odd, i])])
-                keep = open_[at]
-                if i and keep.any():
-                    k = np.flatnonzero(keep)
-                    keep[k] = self.agrees(last[i, at[k]], ids[k])
-                at, ids = at[keep], ids[keep]
+                    gain = np.concatenate([gain, np.full(len(odd), self.unknown_score)])
+                value = best[i, at] + gain
+                better = value > best[j, at]
+                if self.agrees is not None and i and better.any():
+                    k = np.flatnonzero(better)
+                    better[k] = self.agrees(last[i, at[k]], ids[k])
+                at, ids = at[better], ids[better]
+                best[j, at] = value[better]
                 count[j, at] = count[i, at] + 1
                 last[j, at], back[j, at] = ids, i
-                open_[at] = False
-                if not open_.any():
+                if self.scores is None and (best[j] == 0).all():
                     break
         return count.T, last.T, back.T
 
-    def _single(self, word, prefix, count, last, back):
-        """One long word: all starts of a last piece at once."""
-        for j in range(1, len(word) + 1):
-            starts = np.arange(max(0, j - self.longest), j)
-            at, ids = self._probe(prefix[j] - prefix[starts] * _POWERS[j - starts])
-            if self.unknown is not None and (not len(at) or starts[at[-1]] != j - 1):
-                at, ids = np.append(at, len(starts) - 1), np.append(ids, self.unknown(word[j - 1 : j]))
-            starts = starts[at]
-            good = (starts == 0) | self.agrees(last[starts, 0], ids)
-            k = int(good.argmax())
-            count[j, 0], last[j, 0], back[j, 0] = count[starts[k], 0] + 1, ids[k], starts[k]
-        return count.T, last.T, back.T
 
+def batches(words: list[np.ndarray], most: int = 1_000_000) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Words of like length together: places in the list, a matrix, and their lengths.
 
-def batches(words: list[np.ndarray], most: int = 20_000) -> list[tuple[list[int], np.ndarray]]:
-    """Words of equal length together, as places in the list and a matrix."""
+    Up to 48 symbols a length has a batch of its own; longer ones are padded to the next eighth of a
+    power of two, as nothing before a word's end depends on what follows. A batch has ``most`` symbols.
+    """
     by: dict[int, list[int]] = {}
     for k, w in enumerate(words):
-        by.setdefault(len(w), []).append(k)
+        n = len(w)
+        step = max(1, (1 << n.bit_length()) >> 4) if n > 48 else 1
+        by.setdefault(-(-n // step) * step, []).append(k)
     out = []
     for size, places in by.items():
-        step = 1 if size > 48 else most
-        out += [(places[at : at + step], np.stack([words[k] for k in places[at : at + step]])) for at in range(0, len(places), step)]
+        step = max(1, most // max(size, 1))
+        for at in range(0, len(places), step):
+            part = places[at : at + step]
+            matrix = np.full((len(part), size), _PAD, np.uint32)
+            for row, k in enumerate(part):
+                matrix[row, : len(words[k])] = words[k]
+            out.append((part, matrix, np.array([len(words[k]) for k in part])))
     return out
