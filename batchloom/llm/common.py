@@ -12,10 +12,13 @@ FALLBACK_DIR = "file:///tmp/checkpoints/batchloom"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only where the setting is absent (tests on one machine) a folder under /tmp is set.
+    Only where the setting is absent on a local master (tests on one machine) a folder under /tmp
+    is set; a cluster without it raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = FALLBACK_DIR
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(named)

@@ -17,7 +17,9 @@ digits), then a byte for each sampled step; ``ff`` stands behind a text's end.
 compared (``likeness``) where a band is equal. ``near_documents`` does so over a table.
 
 Null texts count as empty; empty texts are like each other only. Walks of a level advance
-together. Equal texts have equal fingerprints. Whole texts are walked.
+together. Equal texts have equal fingerprints. Whole texts are walked, however long. Repeated
+rows give repeated rows, rows of one doc_id stand in order of their texts, null doc_ids come
+last; an empty table gives no rows. Other columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -144,23 +146,25 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     the next one in descending doc_id order; a part ends with a ghost, the first row of the part
     after it (after the last part: of the first).
 
-    Parts are ranges of doc_id, cut at quantiles, some four for each shuffle partition; the
-    driver holds one id for each. Texts are shuffled once. Null doc_ids come last.
+    Parts are ranges of doc_id, cut at quantiles, and each is a partition: one for each 16 MB that
+    the planner expects, at least as many as shuffle partitions. The driver holds one id for each.
+    Texts are shuffled once. Null doc_ids come last.
     """
     from pyspark.ml.feature import Bucketizer
 
     spark = df.sparkSession
     key = free_name(df, "order__")
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("double"), F.lit(float(-(1 << 63)))).alias(key))
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(expected >> 24, 100_000))
     cuts = sorted(set(docs.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n))) or [0.0]
-    docs = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=key, outputCol="part").transform(docs).withColumn("part", -F.col("part").cast("int"))
+    docs = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=key, outputCol="part").transform(docs).withColumn("part", F.lit(len(cuts)) - F.col("part").cast("int"))
     heads = sorted((r["part"], r["head"]) for r in docs.groupBy("part").agg(F.max(key).alias("head")).collect())
     ghosts = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]  # the part before takes it
     table = spark.createDataFrame(ghosts, f"{key} double, into int") if ghosts else spark.createDataFrame([], f"{key} double, into int")
     copies = F.when(F.col("into").isNull(), F.array(F.struct("part", F.lit(0).alias("ghost")))).otherwise(F.array(F.struct("part", F.lit(0).alias("ghost")), F.struct(F.col("into").alias("part"), F.lit(1).alias("ghost"))))
     marked = docs.join(F.broadcast(table), key, "left").select("doc_id", "text", key, F.explode(copies).alias("p"))
-    dealt = marked.select("p.part", "p.ghost", "doc_id", "text", key).repartition("part")
+    dealt = marked.select("p.part", "p.ghost", "doc_id", "text", key).repartitionById(len(cuts) + 1, F.col("part"))
     return dealt.sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "text").select("part", "ghost", "doc_id", "text")
 
 

@@ -14,7 +14,9 @@ are solved one after the other; the last window of a block goes into the next.
 
 Null texts count as empty; each document ends with ``end_id``, so that an empty one has one
 id. Repeated rows are packed as often as they occur. Null doc_ids are kept as null. An empty
-table gives no rows. Other columns are dropped, whatever their names.
+table gives no rows. A very long text fills blocks one after the other, no id of it is lost.
+Of cuts of equal cost the earliest start of a window counts. Other columns are dropped,
+whatever their names.
 """
 
 from __future__ import annotations

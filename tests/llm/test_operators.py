@@ -439,6 +439,52 @@ def test_edited_texts(spark):
     assert single[0].near_next == 1.0
 
 
+def plain_walk(text):
+    """The walk, a step at a time: level and samples."""
+    level, n = editprint.level_of(len(text)), len(text)
+    wanted, out, at = set(editprint.steps_of(level).tolist()), [], 0
+    classes = editprint.char_classes(text).tolist()
+    for j in range(3 * n):
+        if at == n:
+            break
+        c = classes[at]
+        if j in wanted:
+            out.append(c)
+        at += int(editprint._BITS[j % editprint.PERIOD, c])
+    return bytes([level, *out])
+
+
+def test_walks_equal_the_plain_walk():
+    rng = random.Random(12)
+    texts = ["", "a", "ab" * 40] + ["".join(rng.choice("abc déß日🙂\n") for _ in range(rng.choice([2, 30, 63, 64, 65, 127, 128, 200, 700, 3000]))) for _ in range(60)]
+    assert editprint.walks(texts) == [plain_walk(t) for t in texts]
+    # Sampled steps, from their definition: hashes below a bound that halves from level to level.
+    for level in (7, 8, 10):
+        bound = 1 << 64 - (level - editprint.LEAST_LEVEL)
+        mix = [int(x) for x in editprint._mix(np.arange(3 << level))]
+        assert editprint.steps_of(level).tolist() == [j for j, h in enumerate(mix) if h < bound]
+
+
+def test_recall_of_bands_over_edited_texts(spark):
+    """Pairs of likeness 0.8 or more that share a class, against all pairs."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(60):
+        text = "".join(rng.choice("abcdefghij klmnop.") for _ in range(rng.choice([60, 200, 500, 1500])))
+        texts.append(text)
+        for _ in range(3):
+            own = list(text)
+            for _ in range(max(1, len(own) // rng.choice([20, 40, 100]))):
+                k = rng.randrange(len(own))
+                own[k : k + rng.choice([0, 1, 2])] = rng.choice(["", "x", "yz"])
+            texts.append("".join(own))
+    prints = editprint.walks(texts)
+    rows = {r.doc_id: r.class_id for r in editprint.near_documents(frame(spark, texts)).collect()}
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if editprint.likeness(prints[i], prints[j]) >= 0.8]
+    found = sum(rows[i] == rows[j] for i, j in pairs)
+    assert len(pairs) > 40 and found >= 0.95 * len(pairs)
+
+
 def test_small_edits_stay_near():
     rng = random.Random(8)
     base = "".join(rng.choice("abcdefghij klmnop") for _ in range(3000))
