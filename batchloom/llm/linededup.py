@@ -212,13 +212,10 @@ def align(partner: np.ndarray, own: np.ndarray, held: np.ndarray) -> np.ndarray:
 
 def _merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
     """Units of overlapping or touching runs together."""
-    out: list[tuple[int, int]] = []
-    for f, z in sorted(set(zip(first.tolist(), last.tolist()))):
-        if out and f <= out[-1][1] + 1:
-            out[-1] = out[-1][0], max(out[-1][1], z)
-        else:
-            out.append((f, z))
-    return out
+    order = np.argsort(first, kind="stable")
+    f, z = first[order], np.maximum.accumulate(last[order])
+    new = np.flatnonzero(f[1:] > z[:-1] + 1) + 1
+    return list(zip([int(f[0]), *f[new].tolist()], [*z[new - 1].tolist(), int(z[-1])])) if len(f) else []
 
 
 def cut(text: str, found: list, partner: np.ndarray, held: np.ndarray, span: np.ndarray, config: LineConfig) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
@@ -229,15 +226,21 @@ def cut(text: str, found: list, partner: np.ndarray, held: np.ndarray, span: np.
     there, and its place here.
     """
     place = span >> 2 + _WORD_BITS
-    first, last = place & (1 << _PLACE_BITS) - 1, (place & (1 << _PLACE_BITS) - 1) + (span >> 2 & (1 << _WORD_BITS) - 1)
-    order = np.lexsort((-held, first, partner))
-    order = order[place[order] >> _PLACE_BITS == text_tag(text)]
-    if not len(order):
+    first = place & (1 << _PLACE_BITS) - 1
+    last = first + (span >> 2 & (1 << _WORD_BITS) - 1)
+    mine = place >> _PLACE_BITS == text_tag(text)
+    if not mine.all():  # rows of this doc_id with other texts
+        partner, held, first, last = partner[mine], held[mine], first[mine], last[mine]
+    if not len(first):
         return text, [], []
-    on = align(partner[order], first[order], held[order])
-    first, last = first[order], last[order]
-    aligned = _merged(first[on], last[on])
-    every = _merged(first, last) if config.moved and not on.all() else aligned
+    if (held - first == held[0] - first[0]).all() and (partner == partner[0]).all():  # one block of one partner, as in copies
+        every = aligned = _merged(first, last)
+    else:
+        order = np.lexsort((-held, first, partner))
+        first, last = first[order], last[order]
+        on = align(partner[order], first, held[order])
+        aligned = _merged(first[on], last[on])
+        every = _merged(first, last) if config.moved and not on.all() else aligned
     out, kept, at = [], [], 0
     for f, z in every:
         s, e = found[f][0], found[z + 1][0] if z + 1 < len(found) else len(text)

@@ -810,6 +810,114 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+def plain_toxic(text, examples, index):
+    """Predicted label by comparing with every example over all words."""
+    config = index.config
+    labels = {n: y for n, y, _ in examples}
+    n1, n0 = sum(labels.values()), len(labels) - sum(labels.values())
+    toxic, clean = Counter(), Counter()
+    for _, y, c in examples:
+        (toxic if y else clean).update(c.keys())
+    h = lambda k, n: 0 if k in (0, n) else k * math.log(k / n) + (n - k) * math.log(1 - k / n)
+
+    def vector(c):
+        w = {}
+        for word, tf in c.items():
+            a, b = clean[word], toxic[word]
+            g = max(0.0, 2 * (h(a, n0) + h(b, n1) - h(a + b, n0 + n1)))
+            w[word] = (1 + math.log(tf)) * (math.log((1 + n0 + n1) / (1 + a + b)) + 1) * (config.floor + (1 - config.floor) * (g / (g + config.half)) ** 2)
+        size = math.sqrt(sum(x * x for x in w.values())) or 1.0
+        return {k: x / size for k, x in w.items()}
+
+    vectors = plain_toxic.__dict__.setdefault(id(index), {n: vector(c) for n, _, c in examples})
+    own = vector(Counter(toxicity.words((text or "").lower())))
+    every = sorted(((round(sum(x * v.get(w, 0.0) for w, x in own.items()), 10), -n) for n, v in vectors.items()), reverse=True)[: config.neighbours]
+    votes = [(1 / (0.05 + 1 - min(c, 1.0)), labels[-n]) for c, n in every if c > 0]
+    base = n1 / (n0 + n1)
+    vote = (sum(w * y for w, y in votes) + config.prior_weight * base) / (sum(w for w, _ in votes) + config.prior_weight)
+    return float(np.interp(vote, *index.curve)) >= 0.5
+
+
+def plain_line_dedup(texts):
+    """Cut what an earlier text holds whole, by comparing runs of units with those of every earlier text."""
+    config, held, out = linededup.LineConfig(), {}, []
+    for text in texts:
+        own = linededup.units(text, config) if text else []
+        said, gone, mine = [text[u[0] : u[1]] for u in own], set(), set()
+        for i in range(len(own)):
+            n = 0
+            for j in range(i, len(own)):
+                n += own[j][2]
+                whole = n >= config.min_passage
+                if whole or n >= config.min_words:
+                    mine.add(tuple(said[i : j + 1]))
+                    if tuple(said[i : j + 1]) in held and (whole or own[i][3] and own[j][4]):
+                        gone.update(range(i, j + 1))
+                if n >= 3 * config.min_passage:
+                    break
+        held.update(dict.fromkeys(mine))
+        kept, at = [], 0
+        for k in sorted(gone):
+            kept.append(text[at : own[k][0]] if at <= own[k][0] else "")
+            at = own[k + 1][0] if k + 1 < len(own) else len(text)
+        rest = "".join(kept) + text[at:] if text else text
+        out.append(rest.rstrip("\n") if gone and at == len(text) else rest)
+    return out
+
+
+def test_pipeline_equals_plain_python(spark):
+    """Each stage on all that its predecessor kept, against plain Python over small tables."""
+    import corpus_pipeline as C
+
+    sf = SF.replace("0.001", "0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 900")
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    extra = [(10_001, None, "x", "y", 0), (10_002, "", "x", "y", 0), (10_003, rows[min(rows)], "x", "y", 0), (10_004, f"Own start here.\n{rows[min(rows)]}\nOwn end here.", "x", "y", 0), (10_005, "Mail me: jane.doe (at) mail (dot) org or 10.1.2.3", "x", "y", 0)]
+    docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
+    state = {r.doc_id: r.text for r in docs.orderBy("doc_id").collect()}
+    as_frame = lambda: docs.drop("text").join(spark.createDataFrame(sorted(state.items()), "doc_id bigint, text string"), "doc_id").select(docs.columns)
+    got = lambda name: {r.doc_id: r.text for r in dict(C.STAGES)[name](spark, as_frame(), sf).collect()}
+
+    index = toxicity.learn(docs, labels)
+    asked = {r.doc_id: r.toxic for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in state}
+    first = {}
+    for n in sorted(asked):
+        first.setdefault(state[n], []).append(n)
+    examples = [(own[0], int(np.mean([asked[n] for n in own]) >= 0.5), Counter(toxicity.words(t.lower()))) for t, own in first.items()]
+    assert sorted(n for n, _, _ in examples) == sorted(index.names.tolist()) and {y for _, y, _ in examples} == {0, 1}
+    want = {n: t for n, t in state.items() if not plain_toxic(t, examples, index)}
+    assert got("toxicity") == want and len(want) < len(state)
+    state = want
+    want = dict(zip(sorted(state), plain_line_dedup([state[n] for n in sorted(state)])))
+    assert got("line_dedup") == want and want != state and want[10_003] == ""
+    state = want
+    prints = {n: plain_fingerprint(t or "") for n, t in state.items()}
+    classes = brute_classes(set(prints.values()))
+    least = {}
+    for n in sorted(state):
+        least.setdefault(classes[prints[n]], n)
+    want = {n: state[n] for n in least.values()}
+    assert got("near_dedup") == want and len(want) < len(state)
+    state = want
+    tagger = pii.trained()
+    want = {n: t if t is None else pii.mask(t, pii.all_spans(tagger, [t])[1][0]) for n, t in state.items()}
+    assert got("pii") == want and want[10_005] == "Mail me: [EMAIL] or [IP]"
+    assert all(set(plain_spans(t or "")) <= set(pii.all_spans(tagger, [t or ""])[1][0]) for t in state.values())
+    state = want
+    packed = C.packing(spark, as_frame(), sf).collect()
+    pieces, sequences = {}, {}
+    for r in packed:
+        pieces.setdefault(r.doc_id, []).append((r.start, r.ids))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for n, t in state.items():
+        ids = library().encode(t or "", add_special_tokens=False).ids + [0]
+        assert b"".join(raw for _, raw in sorted(pieces[n])) == np.array(ids, "<u4").tobytes()
+    for own in sequences.values():
+        ends = np.cumsum([size for _, size in sorted(own)])
+        assert [at for at, _ in sorted(own)] == [0, *ends[:-1].tolist()] and ends[-1] <= 1024
+
+
 def test_registered_names():
     import __spark_entry__ as e
 
