@@ -12,7 +12,9 @@ again as the next one's input.
 
 Null and empty texts, and those that line_dedup emptied, share one fingerprint: near_dedup keeps
 the least doc_id of them (an empty text in packing) and those without doc_id. Repeated rows fall
-together there too: of rows that share a doc_id, all of the kept document stay.
+together there too: of rows that share a doc_id, all of the kept document stay. Ties are told by
+doc_id throughout. Very long texts go through each stage whole. An empty table gives an empty
+result; columns beside doc_id and text are carried along, up to packing.
 """
 
 from __future__ import annotations
@@ -61,7 +63,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
 
-# Trained models and token ids are beyond SQL; tests/llm hold each stage against brute force.
+# Trained models and token ids are beyond SQL; tests/llm compare each stage with plain Python.
 ORACLE_SQL = None
 
 
