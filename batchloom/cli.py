@@ -95,7 +95,11 @@ def dispatch_config(a: argparse.Namespace, **more: Any) -> DispatchConfig:
         found = settings.replicas(a.model, a.api_base, key)
     limits = Limits(a.rpm, a.tpm, a.rpd, a.tpd, a.max_request_burst, a.max_token_burst)
     single = {} if found else {"api_base": a.api_base[0] if a.api_base else None, "api_key": key}
-    return DispatchConfig(a.model or (found[0].model if found else ""), _factory(a.provider), deployments=tuple(found), max_parallel_requests=a.max_parallel_requests, limits=limits, max_retries=a.max_retries, routing_strategy=a.routing_strategy, **single, **more)
+    return DispatchConfig(
+        a.model or (found[0].model if found else ""), _factory(a.provider), deployments=tuple(found),
+        max_parallel_requests=a.max_parallel_requests, limits=limits, max_retries=a.max_retries, routing_strategy=a.routing_strategy,
+        **single, **more,
+    )
 
 
 def _session() -> SparkSession:
@@ -133,7 +137,10 @@ def _generate(a: argparse.Namespace) -> None:
             folder = workflow.run_dir_of(a.output_jsonl, a.checkpoint_dir)
         else:
             folder = own = fresh_path(spark, "run")
-        config = workflow.RunConfig(folder, dispatch_config(a, endpoint=a.endpoint), source, a.prompt, mapper, a.mapper, resume=a.resume, parse_json=a.parse_json, on_status=lambda s: print(s, file=sys.stderr))
+        config = workflow.RunConfig(
+            folder, dispatch_config(a, endpoint=a.endpoint), source, a.prompt, mapper, a.mapper, resume=a.resume, parse_json=a.parse_json,
+            on_status=lambda s: print(s, file=sys.stderr),
+        )
         workflow.run(spark, config)
         if a.output_jsonl:
             workflow.export(spark, folder, a.output_jsonl)
@@ -156,7 +163,9 @@ def _embed(a: argparse.Namespace) -> None:
 
 def _transcribe(a: argparse.Namespace) -> None:
     spark = _session()
-    paths = lines.items(spark, [a.path]).withColumnRenamed("input", "path") if a.path else lines.field_rows(lines.json_lines(spark, a.input_jsonl), "path")
+    paths = lines.items(spark, [a.path]).withColumnRenamed("input", "path") if a.path else lines.field_rows(
+        lines.json_lines(spark, a.input_jsonl), "path",
+    )
     answers = written(transcribe(lines.audio_paths(spark, paths), dispatch_config(a)), "answers")
     _put(spark, transcribed(answers).drop("metrics"), a.output_jsonl)
 
@@ -164,7 +173,11 @@ def _transcribe(a: argparse.Namespace) -> None:
 def _log(answers, endpoint: str):
     r = generated(answers, endpoint)
     usage = lambda k: F.coalesce(F.col(f"token_usage.{k}"), F.lit(0))
-    return r.select("_index", F.col("error").isNotNull().alias("failed"), "metrics.end_to_end_s", "metrics.service_time_s", "metrics.queue_wait_s", "metrics.deployment", "call_id", usage("prompt_tokens").alias("prompt_tokens"), usage("completion_tokens").alias("output_tokens"), usage("total_tokens").alias("total_tokens"))
+    return r.select(
+        "_index", F.col("error").isNotNull().alias("failed"), "metrics.end_to_end_s", "metrics.service_time_s", "metrics.queue_wait_s",
+        "metrics.deployment", "call_id", usage("prompt_tokens").alias("prompt_tokens"), usage("completion_tokens").alias("output_tokens"),
+        usage("total_tokens").alias("total_tokens"),
+    )
 
 
 def _bench(a: argparse.Namespace) -> None:
@@ -172,12 +185,16 @@ def _bench(a: argparse.Namespace) -> None:
     if a.task == "generate":
         source = lines.prompt(spark, a.prompt) if a.prompt is not None else lines.json_lines(spark, a.input_jsonl)
         n = normalised(truthy_input(F.col("record")), a.endpoint)
-        base = source.where("record is not null").select(F.col("source_index").alias("_index"), n.alias("n")).select("_index", "n.request", "n.error")
+        base = source.where("record is not null").select(
+            F.col("source_index").alias("_index"), n.alias("n"),
+        ).select("_index", "n.request", "n.error")
         config = dispatch_config(a, endpoint=a.endpoint)
         run = lambda c, k: _log(generate(lines.cycle(base, k), replace(config, max_parallel_requests=c)), a.endpoint)
         levels = bench.levels_up_to(a.max_level)
     else:
-        base = lines.items(spark, [a.text]).withColumnRenamed("input", "text") if a.text is not None else lines.field_rows(lines.json_lines(spark, a.input_jsonl), "text")
+        base = lines.items(spark, [a.text]).withColumnRenamed("input", "text") if a.text is not None else lines.field_rows(
+            lines.json_lines(spark, a.input_jsonl), "text",
+        )
         run = lambda c, k: _log(embed(lines.cycle(base, k * c), dispatch_config(a), micro_batch_size=c), "chat_completion")
         levels = bench.batches_up_to(a.max_level)
     timed = (lambda c: bench.for_seconds(a.duration, lambda _: run(c, a.requests))[0]) if a.duration else (lambda c: run(c, a.requests))
@@ -190,7 +207,10 @@ def _bench(a: argparse.Namespace) -> None:
         best = bench.recommend_embed(found)
     text = bench.as_json(found.orderBy("position"), best)
     for r in json.loads(text)["results"]:
-        print(f"{r['level']:>5}  {r['requests_per_second']:.2f}/s  p50 {r['p50_latency_s']:.3f} s  p95 {r['p95_latency_s']:.3f} s  failures {r['failures']}", file=sys.stderr)
+        print(
+            f"{r['level']:>5}  {r['requests_per_second']:.2f}/s  p50 {r['p50_latency_s']:.3f} s  p95 {r['p95_latency_s']:.3f} s  failures {r['failures']}",
+            file=sys.stderr,
+        )
     if a.output_json:
         Path(a.output_json).write_text(text)
     else:

@@ -33,7 +33,9 @@ def rate_headers(headers: Column, now: Column | None = None) -> Column:
     entries = F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("k"), e["value"].alias("v")))
 
     def field(name: str) -> Column:
-        found = F.try_element_at(F.transform(F.filter(entries, lambda e: F.contains(e["k"], F.lit(f"x-ratelimit-{name}"))), lambda e: e["v"]), F.lit(-1))
+        found = F.try_element_at(
+            F.transform(F.filter(entries, lambda e: F.contains(e["k"], F.lit(f"x-ratelimit-{name}"))), lambda e: e["v"]), F.lit(-1),
+        )
         kind, what = name.split("-")
         value = reset_seconds(found, now) if kind == "reset" else F.trim(found).try_cast("bigint")
         return value.alias(f"{what}_{kind}")
@@ -55,7 +57,9 @@ def output_limit(kwargs: Column, endpoint: Column) -> Column:
     """Output tokens that a request may cost, by the keys its endpoint knows, in their order."""
     get = lambda k: F.try_element_at(kwargs, F.lit(k)).try_cast("bigint")
     chat = F.coalesce(get("max_completion_tokens"), get("max_tokens"), get("max_output_tokens"))
-    return F.when(endpoint == "responses", F.coalesce(get("max_output_tokens"), get("max_completion_tokens"), get("max_tokens"))).when(endpoint == "text_completion", F.coalesce(get("max_tokens"), get("max_completion_tokens"))).otherwise(chat)
+    return F.when(
+        endpoint == "responses", F.coalesce(get("max_output_tokens"), get("max_completion_tokens"), get("max_tokens")),
+    ).when(endpoint == "text_completion", F.coalesce(get("max_tokens"), get("max_completion_tokens"))).otherwise(chat)
 
 
 def token_estimate(text: Column, max_tokens: Column | int = 0) -> Column:
@@ -76,7 +80,9 @@ def refill_wait(needed: Column, level: Column, rate: Column) -> Column:
 
 def sweep_levels(most: Column) -> Column:
     """Powers of two up to ``most``, then ``most``."""
-    powers = F.transform(F.sequence(F.lit(0), F.floor(F.log2(most.cast("double")) + 1e-9).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"))
+    powers = F.transform(
+        F.sequence(F.lit(0), F.floor(F.log2(most.cast("double")) + 1e-9).cast("int")), lambda k: F.pow(F.lit(2.0), k).cast("int"),
+    )
     return F.array_distinct(F.concat(powers, F.array(most.cast("int"))))
 
 

@@ -33,10 +33,16 @@ def usage(v: Column) -> Column:
         return F.coalesce(_get(v, f"$.usage.{name}", "bigint"), F.lit(0).cast("bigint"))
 
     def named(into: str, out: str) -> Column:
-        return F.struct(number(into).alias("prompt_tokens"), number(out).alias("completion_tokens"), number("total_tokens").alias("total_tokens"), _get(v, f"$.usage.{out}_details.reasoning_tokens", "bigint").alias("reasoning_tokens"))
+        return F.struct(
+            number(into).alias("prompt_tokens"), number(out).alias("completion_tokens"), number("total_tokens").alias("total_tokens"),
+            _get(v, f"$.usage.{out}_details.reasoning_tokens", "bigint").alias("reasoning_tokens"),
+        )
 
     newer = _get(v, "$.usage.input_tokens", "variant").isNotNull() | _get(v, "$.usage.output_tokens", "variant").isNotNull()
-    return F.when(u.isNotNull() & ~F.is_variant_null(u), F.when(newer, named("input_tokens", "output_tokens")).otherwise(named("prompt_tokens", "completion_tokens")))
+    return F.when(
+        u.isNotNull() & ~F.is_variant_null(u),
+        F.when(newer, named("input_tokens", "output_tokens")).otherwise(named("prompt_tokens", "completion_tokens")),
+    )
 
 
 def _parts_text(parts: Column) -> Column:
@@ -53,7 +59,10 @@ def _choice_text(c: Column) -> Column:
 def _call(t: Column) -> Column:
     has = _present(t, "$.function")
     name = F.coalesce(F.nullif(_get(t, "$.function.name"), F.lit("")), F.nullif(_get(t, "$.name"), F.lit("")), F.lit(""))
-    return F.struct(F.coalesce(_get(t, "$.id"), F.lit("")).alias("id"), name.alias("name"), F.when(has, _get(t, "$.function.arguments")).otherwise(_get(t, "$.arguments")).alias("arguments"))
+    return F.struct(
+        F.coalesce(_get(t, "$.id"), F.lit("")).alias("id"), name.alias("name"),
+        F.when(has, _get(t, "$.function.arguments")).otherwise(_get(t, "$.arguments")).alias("arguments"),
+    )
 
 
 def _or_null(calls: Column) -> Column:
@@ -83,8 +92,21 @@ def responses_api(v: Column) -> Column:
     """Result of a responses-style answer: text parts of messages, and function calls."""
     outputs = _list(v, "$.output")
     kind = lambda o, k: F.coalesce(_get(o, "$.type") == k, F.lit(False))
-    texts = F.flatten(F.transform(F.filter(outputs, lambda o: kind(o, "message")), lambda o: F.transform(F.filter(_list(o, "$.content"), lambda c: kind(c, "output_text")), lambda c: F.coalesce(_get(c, "$.text"), F.lit("")))))
-    calls = F.transform(F.filter(outputs, lambda o: kind(o, "function_call")), lambda o: F.struct(F.coalesce(_get(o, "$.id"), F.lit("")).alias("id"), F.coalesce(_get(o, "$.name"), F.lit("")).alias("name"), _get(o, "$.arguments").alias("arguments")))
+    texts = F.flatten(
+        F.transform(
+            F.filter(outputs, lambda o: kind(o, "message")),
+            lambda o: F.transform(
+                F.filter(_list(o, "$.content"), lambda c: kind(c, "output_text")), lambda c: F.coalesce(_get(c, "$.text"), F.lit("")),
+            ),
+        )
+    )
+    calls = F.transform(
+        F.filter(outputs, lambda o: kind(o, "function_call")),
+        lambda o: F.struct(
+            F.coalesce(_get(o, "$.id"), F.lit("")).alias("id"), F.coalesce(_get(o, "$.name"), F.lit("")).alias("name"),
+            _get(o, "$.arguments").alias("arguments"),
+        ),
+    )
     none = F.lit(None).cast("string")
     return F.struct(
         F.coalesce(_get(v, "$.model"), F.lit("")).alias("model_id"),
@@ -112,7 +134,11 @@ def embeddings(raw: Column) -> Column:
 
 def transcription(raw: Column) -> Column:
     v = F.try_parse_json(raw)
-    return F.struct(F.coalesce(_get(v, "$.text"), F.lit("")).alias("text"), _get(v, "$.duration", "double").alias("duration_s"), _get(v, "$.language").alias("language"), _get(v, "$.id").alias("request_id"), F.coalesce(_get(v, "$.model"), F.lit("")).alias("model_id"))
+    return F.struct(
+        F.coalesce(_get(v, "$.text"), F.lit("")).alias("text"), _get(v, "$.duration", "double").alias("duration_s"),
+        _get(v, "$.language").alias("language"), _get(v, "$.id").alias("request_id"),
+        F.coalesce(_get(v, "$.model"), F.lit("")).alias("model_id"),
+    )
 
 
 def total_usage(raw: Column) -> Column:

@@ -47,8 +47,13 @@ def guess_mime(path: Column) -> Column:
 def image_block(url: Column, detail: Column | None = None) -> Column:
     """struct(type, image_url) for a http(s) or data URL; raises on others."""
     fine = url.rlike(r"^(?i:https?://|data:image/)")
-    checked = F.when(fine, url).otherwise(F.raise_error(F.concat(F.lit("image URLs must be http, https or data: "), F.coalesce(url, F.lit("null")))))
-    return F.struct(F.lit("image_url").alias("type"), F.struct(checked.alias("url"), (detail if detail is not None else F.lit(None).cast("string")).alias("detail")).alias("image_url"))
+    checked = F.when(fine, url).otherwise(
+        F.raise_error(F.concat(F.lit("image URLs must be http, https or data: "), F.coalesce(url, F.lit("null"))))
+    )
+    return F.struct(
+        F.lit("image_url").alias("type"),
+        F.struct(checked.alias("url"), (detail if detail is not None else F.lit(None).cast("string")).alias("detail")).alias("image_url"),
+    )
 
 
 def insecure_base(url: Column) -> Column:

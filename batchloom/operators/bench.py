@@ -32,23 +32,37 @@ def summary(log: DataFrame, elapsed: DataFrame, level: str = "level") -> DataFra
     """Counts, rates and p50/p95/p99 for each level; ``elapsed`` has level and elapsed_s."""
     done = F.when(~F.col("failed"), F.lit(1))
     stats = [exact_percentile(F.col(c), p).alias(f"p{p}_{name}") for name, c in TIMINGS.items() for p in (50, 95, 99)]
-    sums = [F.coalesce(F.sum(F.when(~F.col("failed"), F.col(c))), F.lit(0)).alias(c) for c in ("prompt_tokens", "output_tokens", "total_tokens")]
-    found = log.groupBy(level).agg(F.count(F.lit(1)).alias("total_submitted"), F.count(done).alias("succeeded"), F.count_if("failed").alias("failures"), *stats, *sums)
+    sums = [
+        F.coalesce(F.sum(F.when(~F.col("failed"), F.col(c))), F.lit(0)).alias(c) for c in ("prompt_tokens", "output_tokens", "total_tokens")
+    ]
+    found = log.groupBy(level).agg(
+        F.count(F.lit(1)).alias("total_submitted"), F.count(done).alias("succeeded"), F.count_if("failed").alias("failures"), *stats, *sums,
+    )
     e = F.col("elapsed_s")
     rates = [per_second(F.col(c), e).alias(f"{c}_per_second") for c in ("prompt_tokens", "output_tokens", "total_tokens")]
-    return found.join(F.broadcast(elapsed), level).select(level, "total_submitted", "succeeded", "failures", "elapsed_s", per_second(F.col("succeeded"), e).alias("requests_per_second"), *[f"p{p}_{n}" for n in TIMINGS for p in (50, 95, 99)], *rates)
+    return found.join(F.broadcast(elapsed), level).select(
+        level, "total_submitted", "succeeded", "failures", "elapsed_s", per_second(F.col("succeeded"), e).alias("requests_per_second"),
+        *[f"p{p}_{n}" for n in TIMINGS for p in (50, 95, 99)], *rates,
+    )
 
 
 def deployment_histogram(log: DataFrame, level: str = "level") -> DataFrame:
     """Answers by deployment; empty labels don't count."""
-    return log.where(~F.col("failed") & F.col("deployment").isNotNull() & (F.col("deployment") != "")).groupBy(level, "deployment").agg(F.count(F.lit(1)).alias("n"))
+    return log.where(
+        ~F.col("failed") & F.col("deployment").isNotNull() & (F.col("deployment") != "")
+    ).groupBy(level, "deployment").agg(F.count(F.lit(1)).alias("n"))
 
 
 def embed_calls(rows: DataFrame, level: str = "level") -> DataFrame:
     """Totals of embedding calls: the usage and timing of a call counts once, however many vectors it gave."""
     vectors = rows.groupBy(level).agg(F.count(F.lit(1)).alias("total_submitted"), F.count_if("failed").alias("failures"))
-    calls = rows.where(~F.col("failed")).dropDuplicates([level, "call_id"]).groupBy(level).agg(F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"), F.count(F.lit(1)).alias("calls"))
-    return vectors.join(calls, level, "left").select(level, "total_submitted", (F.col("total_submitted") - F.col("failures")).alias("succeeded"), "failures", F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"))
+    calls = rows.where(~F.col("failed")).dropDuplicates([level, "call_id"]).groupBy(level).agg(
+        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"), F.count(F.lit(1)).alias("calls"),
+    )
+    return vectors.join(calls, level, "left").select(
+        level, "total_submitted", (F.col("total_submitted") - F.col("failures")).alias("succeeded"), "failures",
+        F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("total_tokens", F.lit(0)).alias("total_tokens"),
+    )
 
 
 def recommend(levels: DataFrame, level: str = "level", position: str = "position") -> DataFrame:
@@ -69,13 +83,19 @@ def recommend(levels: DataFrame, level: str = "level", position: str = "position
         F.first("use_tokens").alias("use_tokens"),
         F.first("last").alias("last"),
     )
-    return near.select("recommended", F.when(F.col("use_tokens"), F.lit("output_tok/s")).otherwise(F.lit("rps")).alias("metric"), F.coalesce(F.col("recommended") == F.col("last"), F.lit(False)).alias("still_rising"))
+    return near.select(
+        "recommended", F.when(F.col("use_tokens"), F.lit("output_tok/s")).otherwise(F.lit("rps")).alias("metric"),
+        F.coalesce(F.col("recommended") == F.col("last"), F.lit(False)).alias("still_rising"),
+    )
 
 
 def recommend_embed(levels: DataFrame, level: str = "level", position: str = "position") -> DataFrame:
     """One row: the level without failures that gives most vectors a second, the first of equal ones."""
     fine = F.when(F.col("failures") == 0, F.struct("vectors_per_second", (-F.col(position)).alias("p")))
-    return levels.agg(F.max_by(F.when(F.col("failures") == 0, F.col(level)), fine).alias("recommended"), F.max_by(level, position).alias("last"), F.count(F.lit(1)).alias("n")).select("recommended", (F.coalesce(F.col("recommended") == F.col("last"), F.lit(False)) & (F.col("n") > 1)).alias("still_rising"))
+    return levels.agg(
+        F.max_by(F.when(F.col("failures") == 0, F.col(level)), fine).alias("recommended"), F.max_by(level, position).alias("last"),
+        F.count(F.lit(1)).alias("n"),
+    ).select("recommended", (F.coalesce(F.col("recommended") == F.col("last"), F.lit(False)) & (F.col("n") > 1)).alias("still_rising"))
 
 
 def levels_up_to(most: int) -> list[int]:
@@ -89,7 +109,9 @@ def batches_up_to(most: int) -> list[int]:
     return found if found and found[-1] == most else [*found, most]
 
 
-def sweep(levels: list[int], run: Callable[[int], DataFrame], warmup: Callable[[int], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def sweep(
+    levels: list[int], run: Callable[[int], DataFrame], warmup: Callable[[int], DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Run each level once (after its warm-up); returns the logs in one frame and elapsed by level."""
     logs, took, spark = None, [], None
     for k, n in enumerate(levels):

@@ -98,7 +98,9 @@ class Router:
     Ties go to the least busy, then to the first.
     """
 
-    def __init__(self, strategy: str, targets: tuple[Deployment, ...], options: dict[str, Any], clock: Callable[[], float] = time.monotonic):
+    def __init__(
+        self, strategy: str, targets: tuple[Deployment, ...], options: dict[str, Any], clock: Callable[[], float] = time.monotonic,
+    ):
         self.strategy, self.targets, self.clock = strategy, targets, clock
         self.window, self.costs = float(options.get("window_s", 60.0)), dict(options.get("costs", {}))
         self.turn = 0
@@ -186,10 +188,15 @@ class _Caller:
                 self.router.busy[target.label] -= 1
 
     @staticmethod
-    def _metrics(queue: float, service: float, total: float, slept: float, target: Deployment, retries: int, response: dict | None = None) -> dict:
+    def _metrics(
+        queue: float, service: float, total: float, slept: float, target: Deployment, retries: int, response: dict | None = None,
+    ) -> dict:
         hidden = (response or {}).get("_hidden_params") or {}
         label = next((str(hidden[k]) for k in ("deployment", "api_base", "model_id", "model") if hidden.get(k)), target.label)
-        return {"queue_wait_s": queue, "service_time_s": service, "end_to_end_s": total, "backoff_s": slept, "deployment": label, "retries": retries}
+        return {
+            "queue_wait_s": queue, "service_time_s": service, "end_to_end_s": total, "backoff_s": slept, "deployment": label,
+            "retries": retries,
+        }
 
 
 def _pause(attempt: int, retry_after: str | float | None) -> float:
@@ -237,7 +244,10 @@ def _row(index: int, response: dict | None, error: BaseException | str | None, c
         kind, error = type(error).__name__, str(error) or "unknown error"
     else:
         kind = "ValueError" if error else None
-    return {"_index": index, "response": None if response is None else json.dumps(response, ensure_ascii=False), "error": error, "error_type": kind, "call_id": call, "metrics": metrics}
+    return {
+        "_index": index, "response": None if response is None else json.dumps(response, ensure_ascii=False), "error": error,
+        "error_type": kind, "call_id": call, "metrics": metrics,
+    }
 
 
 async def _windowed(jobs: Iterator[Callable[[], Any]], window: int) -> AsyncIterator[list[dict]]:
@@ -328,8 +338,13 @@ def generate(requests: DataFrame, config: DispatchConfig) -> DataFrame:
                 since = time.monotonic()
                 try:
                     request, options = json.loads(text), _own(config, asked)
-                    most = next((int(options[k]) for k in ("max_completion_tokens", "max_tokens", "max_output_tokens") if options.get(k)), config.default_output_tokens)
-                    response, metrics = await caller.call(config.endpoint, request, config.count_tokens(request) + max(0, most), options, since)
+                    most = next(
+                        (int(options[k]) for k in ("max_completion_tokens", "max_tokens", "max_output_tokens") if options.get(k)),
+                        config.default_output_tokens,
+                    )
+                    response, metrics = await caller.call(
+                        config.endpoint, request, config.count_tokens(request) + max(0, most), options, since,
+                    )
                     return [_row(index, response, None, f"g-{index}", metrics)]
                 except Exception as failure:
                     if config.strict:
@@ -345,7 +360,9 @@ def generate(requests: DataFrame, config: DispatchConfig) -> DataFrame:
 def micro_batches(texts: DataFrame, size: int, text_col: str = "text") -> DataFrame:
     """batch, indices and texts: contiguous slices of the index, in order; null texts are empty."""
     named = texts.select(F.col("_index").cast("bigint"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    grouped = named.groupBy(F.floor(F.col("_index") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("_index", "text"))).alias("rows"))
+    grouped = named.groupBy(F.floor(F.col("_index") / size).alias("batch")).agg(
+        F.array_sort(F.collect_list(F.struct("_index", "text"))).alias("rows")
+    )
     return grouped.select("batch", F.col("rows._index").alias("indices"), F.col("rows.text").alias("texts"))
 
 

@@ -245,7 +245,12 @@ def admission(events: DataFrame, key: str, seconds: str, tokens: str, limits: Li
     dealt = events.repartition(key).sortWithinPartitions(key, seconds, *[c for c in events.columns if c not in (key, seconds)][:1])
     from pyspark.sql import types as T
 
-    schema = T.StructType(events.schema.fields + [T.StructField("admitted", T.BooleanType()), T.StructField("tokens_left", T.LongType()), T.StructField("slots_left", T.LongType())])
+    schema = T.StructType(
+        events.schema.fields + [
+            T.StructField("admitted", T.BooleanType()), T.StructField("tokens_left", T.LongType()),
+            T.StructField("slots_left", T.LongType()),
+        ]
+    )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, limiter = object(), None
@@ -258,7 +263,9 @@ def admission(events: DataFrame, key: str, seconds: str, tokens: str, limits: Li
                 left = limiter.tokens.get("minute")
                 out.append((fits, left.level(float(t)) if left else None, limiter.requests["minute"].level(float(t))))
             b = b.copy()
-            b["admitted"], b["tokens_left"], b["slots_left"] = (pd.array([x[i] for x in out], d) for i, d in enumerate(("boolean", "Int64", "Int64")))
+            b["admitted"], b["tokens_left"], b["slots_left"] = (
+                pd.array([x[i] for x in out], d) for i, d in enumerate(("boolean", "Int64", "Int64"))
+            )
             yield b
 
     return dealt.mapInPandas(run, schema)

@@ -72,8 +72,13 @@ def normalised(source: Column, endpoint: str) -> Column:
         request, error = F.when(is_text, source), "Text completion expects a string input."
     else:
         messages = F.try_variant_get(v, "$", "array<variant>")
-        roles = F.startswith(kind, F.lit("ARRAY<")) & F.forall(messages, lambda m: F.startswith(F.schema_of_variant(m), F.lit("OBJECT<")) & F.try_variant_get(m, "$.role", "variant").isNotNull())
-        request = F.when(is_text, F.concat(F.lit('[{"role":"user","content":'), source, F.lit("}]"))).when(F.coalesce(roles, F.lit(False)), source)
+        roles = F.startswith(kind, F.lit("ARRAY<")) & F.forall(
+            messages,
+            lambda m: F.startswith(F.schema_of_variant(m), F.lit("OBJECT<")) & F.try_variant_get(m, "$.role", "variant").isNotNull(),
+        )
+        request = F.when(
+            is_text, F.concat(F.lit('[{"role":"user","content":'), source, F.lit("}]")),
+        ).when(F.coalesce(roles, F.lit(False)), source)
         error = "Chat completion expects either a string or a list of message dictionaries."
     return F.struct(request.alias("request"), F.when(request.isNull(), F.lit(error)).alias("error"))
 
@@ -85,7 +90,11 @@ def embedding_inputs(column: Column) -> Column:
 
 def chat_messages(df: DataFrame, key: str, order: str, role: str = "role", text: str = "text") -> DataFrame:
     """One message list for each conversation, in turn order."""
-    lists = df.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content")))).alias("m"))
+    lists = df.groupBy(key).agg(
+        F.array_sort(
+            F.collect_list(F.struct(F.col(order).alias("turn"), F.col(role).alias("role"), F.col(text).alias("content")))
+        ).alias("m")
+    )
     return lists.select(key, F.transform("m", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"))).alias("messages"))
 
 
@@ -136,7 +145,9 @@ def map_one(mapper: Callable[[dict], Any], record: str) -> tuple[str | None, str
         return None, None, str(error) or type(error).__name__
 
 
-def prepared(source: DataFrame, endpoint: str, mapper: Callable[[dict], Any] | None = None, native: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def prepared(
+    source: DataFrame, endpoint: str, mapper: Callable[[dict], Any] | None = None, native: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
     """Adds request, metadata and error; the first error wins: parsing, mapping, normalisation.
 
     ``mapper`` takes and returns dicts and runs in Arrow batches; ``native`` takes the source frame
@@ -152,7 +163,9 @@ def prepared(source: DataFrame, endpoint: str, mapper: Callable[[dict], Any] | N
         @F.pandas_udf("struct<input:string,metadata:string,map_error:string>")
         def run(records: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for s in records:
-                yield pd.DataFrame([(None, None, None) if r is None else map_one(mapper, r) for r in s], columns=["input", "metadata", "map_error"])
+                yield pd.DataFrame(
+                    [(None, None, None) if r is None else map_one(mapper, r) for r in s], columns=["input", "metadata", "map_error"],
+                )
 
         mapped = source.withColumn("m", run("record")).select("*", "m.*").drop("m")
     else:
@@ -160,4 +173,6 @@ def prepared(source: DataFrame, endpoint: str, mapper: Callable[[dict], Any] | N
         mapped = mapped.withColumn("map_error", F.when(F.col("input").isNull(), F.lit(NO_FIELD)))
     done = mapped.withColumn("n", normalised(F.col("input"), endpoint))
     problem = F.coalesce("parse_error", "map_error", "n.error")
-    return done.withColumn("request", F.when(problem.isNull(), F.col("n.request"))).withColumn("error", problem).drop("n", "input", "map_error")
+    return done.withColumn(
+        "request", F.when(problem.isNull(), F.col("n.request")),
+    ).withColumn("error", problem).drop("n", "input", "map_error")

@@ -12,7 +12,9 @@ CHUNK = 1 << 20
 SHOWN = 10
 
 
-def with_occurrence(source: DataFrame, fingerprint: str = "record_fingerprint", index: str = "source_index", chunk: int = CHUNK) -> DataFrame:
+def with_occurrence(
+    source: DataFrame, fingerprint: str = "record_fingerprint", index: str = "source_index", chunk: int = CHUNK,
+) -> DataFrame:
     """``occurrence``: how many rows with the same fingerprint stand before this one.
 
     Rows are numbered within chunks of the index, so that a fingerprint with a third of all rows
@@ -41,7 +43,9 @@ def current(ledger: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     if settled is None:
         return ledger
     last = settled.groupBy("output_index").agg(F.max_by("status", "chunk_id").alias("_new"))
-    return ledger.join(last, "output_index", "left").withColumn("status", F.coalesce("_new", "status").cast("tinyint")).drop("_new").select(*ledger.columns)
+    return ledger.join(last, "output_index", "left").withColumn(
+        "status", F.coalesce("_new", "status").cast("tinyint"),
+    ).drop("_new").select(*ledger.columns)
 
 
 def only_in_source(source: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -59,7 +63,9 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 def missing_output(ledger: DataFrame, output: DataFrame, shown: int = SHOWN) -> DataFrame:
     """The first settled indices without an output row, one more than is shown."""
-    gone = ledger.where(F.col("status") != PENDING).select(F.col("output_index").alias("_index")).join(output.select("_index"), "_index", "left_anti")
+    gone = ledger.where(F.col("status") != PENDING).select(F.col("output_index").alias("_index")).join(
+        output.select("_index"), "_index", "left_anti",
+    )
     return gone.orderBy("_index").limit(shown + 1)
 
 

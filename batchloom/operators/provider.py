@@ -47,7 +47,10 @@ class EchoProvider:
         text = self.rule(kind, seen) if self.rule else None
         name = hashlib.md5(json.dumps([kind, repr(request)]).encode()).hexdigest()[:12]
         used = words(seen if not isinstance(seen, bytes) else len(seen))
-        base = {"id": f"req-{name}", "model": getattr(deployment, "model", "echo"), "_hidden_params": {"deployment": getattr(deployment, "label", None)}}
+        base = {
+            "id": f"req-{name}", "model": getattr(deployment, "model", "echo"),
+            "_hidden_params": {"deployment": getattr(deployment, "label", None)},
+        }
         if kind == "embedding":
             vectors = [[float(b) / 255 for b in hashlib.md5(t.encode()).digest()[:4]] for t in request]
             return base | {"data": [{"embedding": v} for v in vectors], "usage": {"prompt_tokens": used, "total_tokens": used}}
@@ -56,9 +59,15 @@ class EchoProvider:
         text = seen if text is None else text
         out = words(text)
         if kind == "responses":
-            return base | {"output": [{"type": "message", "content": [{"type": "output_text", "text": text}]}], "usage": {"input_tokens": used, "output_tokens": out, "total_tokens": used + out}}
+            return base | {
+                "output": [{"type": "message", "content": [{"type": "output_text", "text": text}]}],
+                "usage": {"input_tokens": used, "output_tokens": out, "total_tokens": used + out},
+            }
         choice = {"text": text} if kind == "text_completion" else {"message": {"content": text}}
-        return base | {"choices": [choice | {"finish_reason": "stop"}], "usage": {"prompt_tokens": used, "completion_tokens": out, "total_tokens": used + out}}
+        return base | {
+            "choices": [choice | {"finish_reason": "stop"}],
+            "usage": {"prompt_tokens": used, "completion_tokens": out, "total_tokens": used + out},
+        }
 
 
 class ScriptedProvider(EchoProvider):

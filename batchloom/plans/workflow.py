@@ -77,7 +77,10 @@ def run_dir_of(output: str, checkpoint_dir: str | None = None) -> str:
 
 def _meta(config: RunConfig) -> dict:
     mapper = config.native_mapper or config.mapper
-    return {"schema_version": VERSION, "mapping_fingerprint": mapper_fingerprint(mapper, config.mapper_spec), "endpoint": config.dispatch.endpoint}
+    return {
+        "schema_version": VERSION, "mapping_fingerprint": mapper_fingerprint(mapper, config.mapper_spec),
+        "endpoint": config.dispatch.endpoint,
+    }
 
 
 def _source(spark: SparkSession, config: RunConfig) -> DataFrame:
@@ -96,7 +99,9 @@ def settled(spark: SparkSession, run_dir: str) -> DataFrame | None:
     found = _chunks(spark, run_dir, "settled")
     if not found:
         return None
-    rows = spark.read.option("basePath", f"{run_dir}/settled").schema("output_index bigint, status tinyint, chunk int").parquet(*[f"{run_dir}/settled/chunk={k}" for k in found])
+    rows = spark.read.option("basePath", f"{run_dir}/settled").schema(
+        "output_index bigint, status tinyint, chunk int"
+    ).parquet(*[f"{run_dir}/settled/chunk={k}" for k in found])
     return rows.withColumnRenamed("chunk", "chunk_id")
 
 
@@ -108,7 +113,9 @@ def output(spark: SparkSession, run_dir: str, chunk: int | None = None) -> DataF
     chunks = [k for k in _chunks(spark, run_dir, "output") if chunk in (None, k)]
     if not chunks:
         return spark.createDataFrame([], OUTPUT)
-    rows = spark.read.schema(f"{OUTPUT}, chunk int").option("basePath", f"{run_dir}/output").json([f"{run_dir}/output/chunk={k}" for k in chunks])
+    rows = spark.read.schema(f"{OUTPUT}, chunk int").option("basePath", f"{run_dir}/output").json(
+        [f"{run_dir}/output/chunk={k}" for k in chunks]
+    )
     rows = rows.withColumnRenamed("chunk", "_chunk")
     last = rows.groupBy("_index").agg(F.max("_chunk").alias("_chunk"))
     return rows.join(last, ["_index", "_chunk"], "left_semi").drop("_chunk")
@@ -181,7 +188,9 @@ def _run(spark: SparkSession, config: RunConfig) -> int:
             tell("nothing to do")
             return 0
         # Quantiles of pending indices cut chunks of an even size whatever is settled.
-        cuts = todo.approxQuantile("output_index", [k / -(-total // config.chunk_rows) for k in range(1, -(-total // config.chunk_rows))], 0.0001) if total > config.chunk_rows else []
+        cuts = todo.approxQuantile(
+            "output_index", [k / -(-total // config.chunk_rows) for k in range(1, -(-total // config.chunk_rows))], 0.0001,
+        ) if total > config.chunk_rows else []
         edges = [-1.0, *sorted(set(cuts)), float("inf")]
         chunk = max([*_chunks(spark, config.run_dir, "output"), *_chunks(spark, config.run_dir, "settled"), -1]) + 1
         done = 0
@@ -215,7 +224,9 @@ def _settle(spark: SparkSession, config: RunConfig, part: DataFrame, chunk: int)
     kept = requests.where("error is null").select("_index", "metadata")
     rows = records(answers, config.dispatch.endpoint, config.parse_json, kept)
     rows.write.option("ignoreNullFields", "false").json(_fresh(spark, f"{config.run_dir}/output/chunk={chunk}"))
-    log = answers.select(F.col("_index").alias("output_index"), F.when(F.col("error").isNull(), SUCCESS).otherwise(ERROR).cast("tinyint").alias("status"))
+    log = answers.select(
+        F.col("_index").alias("output_index"), F.when(F.col("error").isNull(), SUCCESS).otherwise(ERROR).cast("tinyint").alias("status"),
+    )
     log.write.parquet(_fresh(spark, f"{config.run_dir}/settled/chunk={chunk}"))
     Folder(spark, raw).remove()
     return spark.read.parquet(f"{config.run_dir}/settled/chunk={chunk}").count()

@@ -41,7 +41,9 @@ def oracle_sql() -> dict[str, str]:
 
 def _source(spark: SparkSession, sf: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    return planner.with_occurrence(docs.select(F.col("doc_id").alias("source_index"), text_fingerprint(F.col("text")).alias("record_fingerprint")))
+    return planner.with_occurrence(
+        docs.select(F.col("doc_id").alias("source_index"), text_fingerprint(F.col("text")).alias("record_fingerprint"))
+    )
 
 
 def _ledger(source: DataFrame) -> DataFrame:
@@ -61,7 +63,9 @@ src AS (
 )"""
 
 
-@_query(f"WITH {_SRC} SELECT record_fingerprint, occurrence, source_index, output_index FROM src JOIN ledger USING (record_fingerprint, occurrence) WHERE status = 0")
+@_query(
+    f"WITH {_SRC} SELECT record_fingerprint, occurrence, source_index, output_index FROM src JOIN ledger USING (record_fingerprint, occurrence) WHERE status = 0"
+)
 def resume_pending(spark: SparkSession, sf: str) -> DataFrame:
     source = _source(spark, sf)
     return planner.pending(source, _ledger(source)).select("record_fingerprint", "occurrence", "source_index", "output_index")
@@ -73,21 +77,29 @@ def resume_retry_errors(spark: SparkSession, sf: str) -> DataFrame:
     return planner.pending(source, _ledger(source), retry_errors=True).select("record_fingerprint", "occurrence", "output_index")
 
 
-@_query("SELECT doc_id AS source_index, sha256(text) AS record_fingerprint, CAST(row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) - 1 AS INTEGER) AS occurrence FROM documents")
+@_query(
+    "SELECT doc_id AS source_index, sha256(text) AS record_fingerprint, CAST(row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) - 1 AS INTEGER) AS occurrence FROM documents"
+)
 def occurrence_numbers(spark: SparkSession, sf: str) -> DataFrame:
     return _source(spark, sf).select("source_index", "record_fingerprint", "occurrence")
 
 
-@_query(f"WITH {_SRC} SELECT * FROM src s WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.record_fingerprint = s.record_fingerprint AND l.occurrence = s.occurrence AND l.status <> 2)")
+@_query(
+    f"WITH {_SRC} SELECT * FROM src s WHERE NOT EXISTS (SELECT 1 FROM ledger l WHERE l.record_fingerprint = s.record_fingerprint AND l.occurrence = s.occurrence AND l.status <> 2)"
+)
 def source_extra(spark: SparkSession, sf: str) -> DataFrame:
     source = _source(spark, sf)
     return planner.only_in_source(source, _ledger(source).where("status <> 2")).select("source_index", "record_fingerprint", "occurrence")
 
 
-@_query(f"WITH {_SRC} SELECT record_fingerprint, occurrence, output_index, status FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM src s WHERE l.record_fingerprint = s.record_fingerprint AND l.occurrence = s.occurrence AND s.source_index % 5 <> 0)")
+@_query(
+    f"WITH {_SRC} SELECT record_fingerprint, occurrence, output_index, status FROM ledger l WHERE NOT EXISTS (SELECT 1 FROM src s WHERE l.record_fingerprint = s.record_fingerprint AND l.occurrence = s.occurrence AND s.source_index % 5 <> 0)"
+)
 def ledger_extra(spark: SparkSession, sf: str) -> DataFrame:
     source = _source(spark, sf)
-    return planner.only_in_ledger(source.where("source_index % 5 <> 0"), _ledger(source)).select("record_fingerprint", "occurrence", "output_index", F.col("status").cast("int"))
+    return planner.only_in_ledger(source.where("source_index % 5 <> 0"), _ledger(source)).select(
+        "record_fingerprint", "occurrence", "output_index", F.col("status").cast("int"),
+    )
 
 
 @_query("SELECT sha256(text) AS record_fingerprint FROM documents EXCEPT ALL SELECT sha256(text) FROM documents WHERE doc_id % 10 <> 0")
@@ -96,7 +108,9 @@ def multiset_difference(spark: SparkSession, sf: str) -> DataFrame:
     return planner.multiset_difference(rows.select("record_fingerprint"), rows.where("source_index % 10 <> 0").select("record_fingerprint"))
 
 
-@_query(f"WITH {_SRC} SELECT output_index AS _index FROM ledger l WHERE status <> 0 AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.output_index AND d.doc_id % 3 = 0) ORDER BY 1 LIMIT 11")
+@_query(
+    f"WITH {_SRC} SELECT output_index AS _index FROM ledger l WHERE status <> 0 AND NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.output_index AND d.doc_id % 3 = 0) ORDER BY 1 LIMIT 11"
+)
 def missing_output(spark: SparkSession, sf: str) -> DataFrame:
     """The report of at most eleven missing indices; the limit is the feature."""
     source = _source(spark, sf)
@@ -122,17 +136,24 @@ def settle_log(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger with a settle log of two chunks; the later chunk of an index counts."""
     ledger = _ledger(_source(spark, sf))
     open_ = ledger.where("status = 0").select("output_index")
-    log = open_.where("output_index % 2 = 0").select("output_index", F.lit(1).alias("status"), F.lit(0).alias("chunk_id")).union(open_.where("output_index % 4 = 0").select("output_index", F.lit(2).alias("status"), F.lit(1).alias("chunk_id")))
+    log = open_.where("output_index % 2 = 0").select("output_index", F.lit(1).alias("status"), F.lit(0).alias("chunk_id")).union(
+        open_.where("output_index % 4 = 0").select("output_index", F.lit(2).alias("status"), F.lit(1).alias("chunk_id"))
+    )
     return planner.current(ledger, log).select("output_index", F.col("status").cast("int"))
 
 
 # --- mapping and normalisation ---------------------------------------------------------------
 
 
-@_query("SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, count(*) AS turns, sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1")
+@_query(
+    "SELECT conv_id, string_agg(role, ',' ORDER BY turn) AS roles, count(*) AS turns, sha256(string_agg(text, chr(10) ORDER BY turn)) AS digest FROM conversations GROUP BY 1"
+)
 def chat_assembly(spark: SparkSession, sf: str) -> DataFrame:
     lists = chat_messages(spark.read.parquet(f"{sf}/conversations.parquet"), "conv_id", "turn")
-    return lists.select("conv_id", F.array_join("messages.role", ",").alias("roles"), F.size("messages").cast("bigint").alias("turns"), F.sha2(F.array_join("messages.content", "\n"), 256).alias("digest"))
+    return lists.select(
+        "conv_id", F.array_join("messages.role", ",").alias("roles"), F.size("messages").cast("bigint").alias("turns"),
+        F.sha2(F.array_join("messages.content", "\n"), 256).alias("digest"),
+    )
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
@@ -169,7 +190,10 @@ FROM conversations""")
 def normalised_inputs(spark: SparkSession, sf: str) -> DataFrame:
     rows = _records(spark, sf).withColumn("input", builtin_input(F.col("record")))
     own = lambda e: normalised(F.col("input"), e)
-    return rows.select("conv_id", "turn", own("chat_completion")["request"].alias("chat"), own("text_completion")["request"].alias("plain"), own("responses")["request"].alias("responses"), own("chat_completion")["error"].isNotNull().alias("chat_failed"))
+    return rows.select(
+        "conv_id", "turn", own("chat_completion")["request"].alias("chat"), own("text_completion")["request"].alias("plain"),
+        own("responses")["request"].alias("responses"), own("chat_completion")["error"].isNotNull().alias("chat_failed"),
+    )
 
 
 # --- response parsing -------------------------------------------------------------------------
@@ -178,7 +202,9 @@ def normalised_inputs(spark: SparkSession, sf: str) -> DataFrame:
 def _thoughts(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
     k = (F.col("conv_id") + F.col("turn")) % 5
-    wrapped = F.when(k == 0, F.concat(F.lit("<think> "), F.col("role"), F.lit("\nplan </think>\n\n"), t)).when(k == 1, F.concat(F.lit("  \n<think>a</think> <think>b</think>\n"), t)).when(k == 2, F.concat(F.lit("so <think>x</think> "), t)).when(k == 3, F.concat(F.lit("<think>"), t)).otherwise(F.concat(F.lit("<think></think>"), t))
+    wrapped = F.when(
+        k == 0, F.concat(F.lit("<think> "), F.col("role"), F.lit("\nplan </think>\n\n"), t),
+    ).when(k == 1, F.concat(F.lit("  \n<think>a</think> <think>b</think>\n"), t)).when(k == 2, F.concat(F.lit("so <think>x</think> "), t)).when(k == 3, F.concat(F.lit("<think>"), t)).otherwise(F.concat(F.lit("<think></think>"), t))
     return spark.read.parquet(f"{sf}/conversations.parquet").withColumn("out", wrapped)
 
 
@@ -194,7 +220,9 @@ SELECT conv_id, turn, CASE WHEN head <> '' THEN substr(t, length(head) + 1) ELSE
   CASE WHEN head <> '' THEN array_to_string(list_transform(regexp_extract_all(head, '<think>(.*?)</think>', 1, 's'), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), chr(10) || chr(10)) END AS reasoning
 FROM h""")
 def think_strip(spark: SparkSession, sf: str) -> DataFrame:
-    return _thoughts(spark, sf).withColumn("r", thinking(F.col("out"))).select("conv_id", "turn", F.col("r.text").alias("output_text"), "r.reasoning")
+    return _thoughts(spark, sf).withColumn("r", thinking(F.col("out"))).select(
+        "conv_id", "turn", F.col("r.text").alias("output_text"), "r.reasoning",
+    )
 
 
 def _chat_answers(spark: SparkSession, sf: str) -> DataFrame:
@@ -202,13 +230,33 @@ def _chat_answers(spark: SparkSession, sf: str) -> DataFrame:
     c = spark.read.parquet(f"{sf}/conversations.parquet").withColumn("k", (F.col("conv_id") + F.col("turn")) % 4)
     n = F.length("text").cast("bigint")
     none = F.lit(None).cast("string")
-    call = F.struct(F.concat(F.lit("c"), F.col("turn").cast("string")).alias("id"), F.struct(F.concat(F.lit("f_"), F.col("role")).alias("name"), F.lit('{"x":1}').alias("arguments")).alias("function"))
+    call = F.struct(
+        F.concat(F.lit("c"), F.col("turn").cast("string")).alias("id"),
+        F.struct(F.concat(F.lit("f_"), F.col("role")).alias("name"), F.lit('{"x":1}').alias("arguments")).alias("function"),
+    )
     calls = F.when(F.col("k") == 3, F.array(call))
-    plain = F.struct(F.struct(F.when(F.col("k") != 3, F.col("text")).alias("content"), F.when(F.col("k") == 2, F.lit(" why ")).otherwise(none).alias("reasoning_content"), calls.alias("tool_calls")).alias("message"), F.lit("stop").alias("finish_reason"))
-    parts = F.struct(F.struct(F.array(F.struct(F.col("role").alias("text")), F.struct(F.lit("+").alias("text"))).alias("content")).alias("message"), F.lit("length").alias("finish_reason"))
-    usage = F.struct(n.alias("prompt_tokens"), (n + 1).alias("completion_tokens"), (2 * n + 1).alias("total_tokens"), F.when(F.col("turn") % 2 == 0, F.struct((n % 7).alias("reasoning_tokens"))).alias("completion_tokens_details"))
-    head = [F.concat(F.lit("r-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"), F.lit("m-1").alias("model"), usage.alias("usage")]
-    raw = F.when(F.col("k") == 1, F.to_json(F.struct(*head, F.array(parts).alias("choices")))).otherwise(F.to_json(F.struct(*head, F.array(plain).alias("choices"))))
+    plain = F.struct(
+        F.struct(
+            F.when(F.col("k") != 3, F.col("text")).alias("content"),
+            F.when(F.col("k") == 2, F.lit(" why ")).otherwise(none).alias("reasoning_content"), calls.alias("tool_calls"),
+        ).alias("message"),
+        F.lit("stop").alias("finish_reason"),
+    )
+    parts = F.struct(
+        F.struct(F.array(F.struct(F.col("role").alias("text")), F.struct(F.lit("+").alias("text"))).alias("content")).alias("message"),
+        F.lit("length").alias("finish_reason"),
+    )
+    usage = F.struct(
+        n.alias("prompt_tokens"), (n + 1).alias("completion_tokens"), (2 * n + 1).alias("total_tokens"),
+        F.when(F.col("turn") % 2 == 0, F.struct((n % 7).alias("reasoning_tokens"))).alias("completion_tokens_details"),
+    )
+    head = [
+        F.concat(F.lit("r-"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")).alias("id"),
+        F.lit("m-1").alias("model"), usage.alias("usage"),
+    ]
+    raw = F.when(
+        F.col("k") == 1, F.to_json(F.struct(*head, F.array(parts).alias("choices"))),
+    ).otherwise(F.to_json(F.struct(*head, F.array(plain).alias("choices"))))
     return c.select("conv_id", "turn", raw.alias("raw"))
 
 
@@ -219,13 +267,18 @@ def _chat_answers(spark: SparkSession, sf: str) -> DataFrame:
   'r-' || conv_id || '-' || turn AS request_id FROM conversations""")
 def response_parse(spark: SparkSession, sf: str) -> DataFrame:
     r = R.generation(F.col("raw"), "chat_completion")
-    return _chat_answers(spark, sf).withColumn("r", r).select("conv_id", "turn", "r.model_id", "r.output_text", "r.reasoning", "r.finish_reason", "r.request_id")
+    return _chat_answers(spark, sf).withColumn("r", r).select(
+        "conv_id", "turn", "r.model_id", "r.output_text", "r.reasoning", "r.finish_reason", "r.request_id",
+    )
 
 
 @_query("""SELECT conv_id, turn, length(text) AS prompt_tokens, length(text) + 1 AS completion_tokens, 2 * length(text) + 1 AS total_tokens,
   CASE WHEN turn % 2 = 0 THEN length(text) % 7 ELSE -1 END AS reasoning_tokens FROM conversations""")
 def usage_normalise(spark: SparkSession, sf: str) -> DataFrame:
-    return _chat_answers(spark, sf).withColumn("u", R.usage(F.try_parse_json("raw"))).select("conv_id", "turn", "u.prompt_tokens", "u.completion_tokens", "u.total_tokens", F.coalesce("u.reasoning_tokens", F.lit(-1)).alias("reasoning_tokens"))
+    return _chat_answers(spark, sf).withColumn("u", R.usage(F.try_parse_json("raw"))).select(
+        "conv_id", "turn", "u.prompt_tokens", "u.completion_tokens", "u.total_tokens",
+        F.coalesce("u.reasoning_tokens", F.lit(-1)).alias("reasoning_tokens"),
+    )
 
 
 @_query("""SELECT conv_id, turn, 'c' || turn AS id, 'f_' || role AS name, '{"x":1}' AS arguments FROM conversations WHERE (conv_id + turn) % 4 = 3""")
@@ -241,52 +294,107 @@ def responses_parse(spark: SparkSession, sf: str) -> DataFrame:
     none = F.lit(None).cast("string")
     part = lambda t: F.struct(F.lit("output_text").alias("type"), t.alias("text"))
     empty = F.array().cast("array<struct<type:string,text:string>>")
-    message = F.struct(F.lit("message").alias("type"), F.when(F.col("turn") % 3 == 0, F.array(part(F.col("text")), part(F.col("role")))).otherwise(F.array(part(F.col("text")))).alias("content"), none.alias("id"), none.alias("name"), none.alias("arguments"))
-    call = F.struct(F.lit("function_call").alias("type"), empty.alias("content"), F.lit("i").alias("id"), F.col("role").alias("name"), F.lit("{}").alias("arguments"))
+    message = F.struct(
+        F.lit("message").alias("type"),
+        F.when(
+            F.col("turn") % 3 == 0, F.array(part(F.col("text")), part(F.col("role"))),
+        ).otherwise(F.array(part(F.col("text")))).alias("content"),
+        none.alias("id"), none.alias("name"), none.alias("arguments"),
+    )
+    call = F.struct(
+        F.lit("function_call").alias("type"), empty.alias("content"), F.lit("i").alias("id"), F.col("role").alias("name"),
+        F.lit("{}").alias("arguments"),
+    )
     n = F.length("text").cast("bigint")
-    usage = F.struct(n.alias("input_tokens"), n.alias("output_tokens"), (2 * n).alias("total_tokens"), F.struct((F.col("turn") % 5).alias("reasoning_tokens")).alias("output_tokens_details"))
-    raw = F.to_json(F.struct(F.when(F.col("turn") % 2 == 1, F.array(message, call)).otherwise(F.array(message)).alias("output"), usage.alias("usage")))
+    usage = F.struct(
+        n.alias("input_tokens"), n.alias("output_tokens"), (2 * n).alias("total_tokens"),
+        F.struct((F.col("turn") % 5).alias("reasoning_tokens")).alias("output_tokens_details"),
+    )
+    raw = F.to_json(
+        F.struct(F.when(F.col("turn") % 2 == 1, F.array(message, call)).otherwise(F.array(message)).alias("output"), usage.alias("usage"))
+    )
     r = c.select("conv_id", "turn", R.generation(raw, "responses").alias("r"))
-    return r.select("conv_id", "turn", "r.output_text", F.when(F.col("r.tool_calls").isNull(), 0).otherwise(F.size("r.tool_calls")).alias("calls"), F.try_element_at(F.col("r.tool_calls.name"), F.lit(1)).alias("first_call"), "r.token_usage.prompt_tokens", "r.token_usage.reasoning_tokens")
+    return r.select(
+        "conv_id", "turn", "r.output_text", F.when(F.col("r.tool_calls").isNull(), 0).otherwise(F.size("r.tool_calls")).alias("calls"),
+        F.try_element_at(F.col("r.tool_calls.name"), F.lit(1)).alias("first_call"), "r.token_usage.prompt_tokens",
+        "r.token_usage.reasoning_tokens",
+    )
 
 
-@_query("SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'd' || user_id % 3 WHEN user_id % 3 = 1 THEN 'http://b' END AS deployment, CAST(floor(value) AS BIGINT) AS total_tokens, CASE WHEN event_id % 2 = 0 THEN event_type END AS remaining FROM events")
+@_query(
+    "SELECT event_id, CASE WHEN user_id % 3 = 0 THEN 'd' || user_id % 3 WHEN user_id % 3 = 1 THEN 'http://b' END AS deployment, CAST(floor(value) AS BIGINT) AS total_tokens, CASE WHEN event_id % 2 = 0 THEN event_type END AS remaining FROM events"
+)
 def deployment_labels(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
     k = F.col("user_id") % 3
-    hidden = F.struct(F.when(k == 0, F.concat(F.lit("d"), k.cast("string"))).otherwise(F.when(k == 1, F.lit(""))).alias("deployment"), F.when(k == 1, F.lit("http://b")).alias("api_base"))
-    raw = F.to_json(F.struct(hidden.alias("_hidden_params"), F.struct(F.floor("value").alias("total_tokens")).alias("usage"), F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("x-r"), F.col("event_type"))).alias("headers")))
-    return e.select("event_id", R.deployment(raw).alias("deployment"), R.total_usage(raw).alias("total_tokens"), F.try_element_at(R.response_headers(raw), F.lit("x-r")).alias("remaining"))
+    hidden = F.struct(
+        F.when(k == 0, F.concat(F.lit("d"), k.cast("string"))).otherwise(F.when(k == 1, F.lit(""))).alias("deployment"),
+        F.when(k == 1, F.lit("http://b")).alias("api_base"),
+    )
+    raw = F.to_json(
+        F.struct(
+            hidden.alias("_hidden_params"), F.struct(F.floor("value").alias("total_tokens")).alias("usage"),
+            F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("x-r"), F.col("event_type"))).alias("headers"),
+        )
+    )
+    return e.select(
+        "event_id", R.deployment(raw).alias("deployment"), R.total_usage(raw).alias("total_tokens"),
+        F.try_element_at(R.response_headers(raw), F.lit("x-r")).alias("remaining"),
+    )
 
 
-@_query("SELECT vec_id, len(embedding) AS dimensions, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings")
+@_query(
+    "SELECT vec_id, len(embedding) AS dimensions, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 6) AS total FROM embeddings"
+)
 def embedding_responses(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each vector of embedding answers of 32 inputs each."""
-    e = spark.read.parquet(f"{sf}/embeddings.parquet").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"))
-    calls = e.groupBy(F.floor(F.col("vec_id") / 32).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r"))
-    raw = calls.select(F.col("r.vec_id").alias("ids"), F.to_json(F.struct(F.transform("r", lambda x: F.struct(x["embedding"].alias("embedding"))).alias("data"))).alias("raw"))
+    e = spark.read.parquet(f"{sf}/embeddings.parquet").select(
+        "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
+    )
+    calls = e.groupBy(F.floor(F.col("vec_id") / 32).alias("batch")).agg(
+        F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("r")
+    )
+    raw = calls.select(
+        F.col("r.vec_id").alias("ids"),
+        F.to_json(F.struct(F.transform("r", lambda x: F.struct(x["embedding"].alias("embedding"))).alias("data"))).alias("raw"),
+    )
     rows = raw.select("ids", F.posexplode(R.embeddings(F.col("raw"))).alias("p", "v"))
-    return rows.select(F.element_at("ids", F.col("p") + 1).alias("vec_id"), F.size("v").cast("bigint").alias("dimensions"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return rows.select(
+        F.element_at("ids", F.col("p") + 1).alias("vec_id"), F.size("v").cast("bigint").alias("dimensions"),
+        F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 6).alias("total"),
+    )
 
 
-@_query("SELECT page_id, url AS text, CAST(length(html) / 10.0 AS DOUBLE) AS duration_s, CASE WHEN page_id % 2 = 0 THEN 'en' END AS language FROM pages")
+@_query(
+    "SELECT page_id, url AS text, CAST(length(html) / 10.0 AS DOUBLE) AS duration_s, CASE WHEN page_id % 2 = 0 THEN 'en' END AS language FROM pages"
+)
 def transcription_parse(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.read.parquet(f"{sf}/pages.parquet")
-    raw = F.to_json(F.struct(F.col("url").alias("text"), (F.length("html") / 10.0).alias("duration"), F.when(F.col("page_id") % 2 == 0, F.lit("en")).alias("language")))
+    raw = F.to_json(
+        F.struct(
+            F.col("url").alias("text"), (F.length("html") / 10.0).alias("duration"),
+            F.when(F.col("page_id") % 2 == 0, F.lit("en")).alias("language"),
+        )
+    )
     return p.select("page_id", R.transcription(raw).alias("r")).select("page_id", "r.text", "r.duration_s", "r.language")
 
 
 @_query("SELECT page_id, 'data:image/png;base64,' || base64(encode(html)) AS url FROM pages")
 def image_urls(spark: SparkSession, sf: str) -> DataFrame:
     p = spark.read.parquet(f"{sf}/pages.parquet")
-    return p.select("page_id", F.regexp_replace(data_url(F.encode("html", "UTF-8"), guess_mime(F.concat("url", F.lit(".PNG")))), r"\r\n", "").alias("url"))
+    return p.select(
+        "page_id",
+        F.regexp_replace(data_url(F.encode("html", "UTF-8"), guess_mime(F.concat("url", F.lit(".PNG")))), r"\r\n", "").alias("url"),
+    )
 
 
 @_query("""SELECT page_id, regexp_matches(lower(u), '^http://') AND lower(regexp_extract(u, '^[A-Za-z]+://([^/:?#]*)', 1)) NOT IN ('localhost', '127.0.0.1', '0.0.0.0') AS insecure
 FROM (SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(url, 'https://', 'http://') WHEN 1 THEN 'http://localhost:8000/v1' WHEN 2 THEN 'HTTP://127.0.0.1/x' ELSE 'https://h.example.com/' END AS u FROM pages)""")
 def insecure_bases(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("page_id") % 4
-    u = F.when(k == 0, F.replace(F.col("url"), F.lit("https://"), F.lit("http://"))).when(k == 1, F.lit("http://localhost:8000/v1")).when(k == 2, F.lit("HTTP://127.0.0.1/x")).otherwise(F.lit("https://h.example.com/"))
+    u = F.when(
+        k == 0, F.replace(F.col("url"), F.lit("https://"), F.lit("http://")),
+    ).when(k == 1, F.lit("http://localhost:8000/v1")).when(k == 2, F.lit("HTTP://127.0.0.1/x")).otherwise(F.lit("https://h.example.com/"))
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", insecure_base(u).alias("insecure"))
 
 
@@ -299,7 +407,14 @@ def _log(spark: SparkSession, sf: str) -> DataFrame:
     k = (F.col("event_id") % 6).cast("int")
     t = lambda d: F.when(ok, F.col("value") / d)
     n = lambda f: F.when(ok, F.floor(F.col("value") * f)).otherwise(F.lit(0))
-    return e.select(k.alias("position"), F.pow(F.lit(2.0), k).cast("int").alias("level"), (~ok & (k % 2 == 1)).alias("failed"), t(100).alias("end_to_end_s"), t(200).alias("service_time_s"), t(400).alias("queue_wait_s"), F.when(F.col("user_id") % 4 != 3, F.concat(F.lit("d"), (F.col("user_id") % 4).cast("string"))).otherwise(F.lit("")).alias("deployment"), n(1).alias("prompt_tokens"), n(2).alias("output_tokens"), n(3).alias("total_tokens"))
+    return e.select(
+        k.alias("position"), F.pow(F.lit(2.0), k).cast("int").alias("level"), (~ok & (k % 2 == 1)).alias("failed"),
+        t(100).alias("end_to_end_s"), t(200).alias("service_time_s"), t(400).alias("queue_wait_s"),
+        F.when(
+            F.col("user_id") % 4 != 3, F.concat(F.lit("d"), (F.col("user_id") % 4).cast("string")),
+        ).otherwise(F.lit("")).alias("deployment"),
+        n(1).alias("prompt_tokens"), n(2).alias("output_tokens"), n(3).alias("total_tokens"),
+    )
 
 
 _LOG = """
@@ -322,7 +437,11 @@ def _elapsed(log: DataFrame) -> DataFrame:
     return log.groupBy("level").agg((F.count(F.lit(1)) / F.lit(8.0) / F.col("level")).alias("elapsed_s"))
 
 
-_STATS = ", ".join(f"round(coalesce(quantile_cont({c}, {p / 100}), 0), 6) AS p{p}_{n}" for n, c in (("latency_s", "e"), ("service_time_s", "s"), ("queue_wait_s", "q")) for p in (50, 95, 99))
+_STATS = ", ".join(
+    f"round(coalesce(quantile_cont({c}, {p / 100}), 0), 6) AS p{p}_{n}"
+    for n, c in (("latency_s", "e"), ("service_time_s", "s"), ("queue_wait_s", "q"))
+    for p in (50, 95, 99)
+)
 
 
 @_query(f"""WITH {_LOG} SELECT level, count(*) AS total_submitted, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failures,
@@ -333,7 +452,11 @@ def bench_summary(spark: SparkSession, sf: str) -> DataFrame:
     log = _log(spark, sf)
     found = bench.summary(log, _elapsed(log))
     stats = [F.round(c, 6).alias(c) for c in found.columns if c.startswith("p") and c[1].isdigit()]
-    return found.select("level", "total_submitted", "succeeded", "failures", F.round("requests_per_second", 6).alias("requests_per_second"), *stats, F.round("prompt_tokens_per_second", 4).alias("prompt_tokens_per_second"), F.round("output_tokens_per_second", 4).alias("output_tokens_per_second"))
+    return found.select(
+        "level", "total_submitted", "succeeded", "failures", F.round("requests_per_second", 6).alias("requests_per_second"), *stats,
+        F.round("prompt_tokens_per_second", 4).alias("prompt_tokens_per_second"),
+        F.round("output_tokens_per_second", 4).alias("output_tokens_per_second"),
+    )
 
 
 @_query(f"""WITH {_LOG}, best AS (SELECT max(output_tokens_per_second) FILTER (failures = 0) AS b FROM rates)
@@ -350,7 +473,9 @@ def bench_recommend(spark: SparkSession, sf: str) -> DataFrame:
   max_by(level, requests_per_second) FILTER (failures = 0) = max_by(level, position) AND count(*) > 1 AS still_rising FROM rates""")
 def embed_recommend(spark: SparkSession, sf: str) -> DataFrame:
     log = _log(spark, sf)
-    levels = bench.summary(log, _elapsed(log)).withColumn("position", F.log2("level").cast("int")).withColumn("vectors_per_second", F.col("requests_per_second"))
+    levels = bench.summary(log, _elapsed(log)).withColumn("position", F.log2("level").cast("int")).withColumn(
+        "vectors_per_second", F.col("requests_per_second"),
+    )
     return bench.recommend_embed(levels)
 
 
@@ -366,7 +491,10 @@ FROM (SELECT level, count(*) AS n, count(*) FILTER (failed) AS f FROM r GROUP BY
 def request_dedupe_tokens(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     batch = F.floor(F.col("vec_id") / 32)
-    rows = e.select((F.col("vec_id") % 4).alias("level"), F.concat(F.lit("e-"), batch.cast("string")).alias("call_id"), (F.col("label") == 0).alias("failed"), (batch + 7).alias("total_tokens"))
+    rows = e.select(
+        (F.col("vec_id") % 4).alias("level"), F.concat(F.lit("e-"), batch.cast("string")).alias("call_id"),
+        (F.col("label") == 0).alias("failed"), (batch + 7).alias("total_tokens"),
+    )
     return bench.embed_calls(rows)
 
 
@@ -375,7 +503,9 @@ def round_robin_targets(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", round_robin("event_id", 3).alias("target"))
 
 
-@_query("SELECT t AS _index, item_id, length(b.text) AS n_chars FROM range(500) r(t) JOIN (SELECT *, (SELECT count(*) FROM benchmark) AS c, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) b ON t % c = k")
+@_query(
+    "SELECT t AS _index, item_id, length(b.text) AS n_chars FROM range(500) r(t) JOIN (SELECT *, (SELECT count(*) FROM benchmark) AS c, row_number() OVER (ORDER BY item_id) - 1 AS k FROM benchmark) b ON t % c = k"
+)
 def cyclic_workload(spark: SparkSession, sf: str) -> DataFrame:
     """A workload of 500 requests from the benchmark's items in turn; the number is the feature."""
     b = spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -386,11 +516,15 @@ def cyclic_workload(spark: SparkSession, sf: str) -> DataFrame:
 # --- limits -------------------------------------------------------------------------------------
 
 
-@_query("SELECT event_id, least(pow(2.0, event_id % 9), 60.0) AS backoff, CASE WHEN user_id % 2 = 0 THEN least(greatest(value, 0.0), 60.0) ELSE least(pow(2.0, event_id % 9), 60.0) END AS asked FROM events")
+@_query(
+    "SELECT event_id, least(pow(2.0, event_id % 9), 60.0) AS backoff, CASE WHEN user_id % 2 = 0 THEN least(greatest(value, 0.0), 60.0) ELSE least(pow(2.0, event_id % 9), 60.0) END AS asked FROM events"
+)
 def retry_backoff(spark: SparkSession, sf: str) -> DataFrame:
     a = F.col("event_id") % 9
     header = F.when(F.col("user_id") % 2 == 0, F.col("value").cast("string")).otherwise(F.lit("Wed, 21 Oct 2015 07:28:00 GMT"))
-    return spark.read.parquet(f"{sf}/events.parquet").select("event_id", RL.retry_delay(a, jitter=F.lit(0.0)).alias("backoff"), RL.retry_delay(a, header, F.lit(0.0)).alias("asked"))
+    return spark.read.parquet(f"{sf}/events.parquet").select(
+        "event_id", RL.retry_delay(a, jitter=F.lit(0.0)).alias("backoff"), RL.retry_delay(a, header, F.lit(0.0)).alias("asked"),
+    )
 
 
 @_query("""WITH RECURSIVE e AS (
@@ -405,31 +539,54 @@ def retry_backoff(spark: SparkSession, sf: str) -> DataFrame:
 ) SELECT event_id, user_id, admitted FROM f""")
 def token_bucket_admission(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
-    rows = e.select("event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), (F.floor("value") % 40).cast("int").alias("tokens"))
-    return admission(rows, "user_id", "seconds", "tokens", Limits(rpm=1, tpm=10, max_request_burst=2, max_token_burst=50)).select("event_id", "user_id", "admitted")
+    rows = e.select(
+        "event_id", "user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"),
+        (F.floor("value") % 40).cast("int").alias("tokens"),
+    )
+    return admission(
+        rows, "user_id", "seconds", "tokens", Limits(rpm=1, tpm=10, max_request_burst=2, max_token_burst=50),
+    ).select("event_id", "user_id", "admitted")
 
 
 @_query("""SELECT event_id, least(100.0, value + (event_id % 50) * 1.5) AS level, floor(value) AS whole,
   CASE WHEN 80 - floor(value) <= 0 THEN 0.0 ELSE (80 - floor(value)) / 1.5 + 1e-9 END AS wait FROM events""")
 def bucket_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
-    return e.select("event_id", RL.bucket_refill(F.col("value"), (F.col("event_id") % 50).cast("double"), F.lit(1.5), F.lit(100.0)).alias("level"), F.floor("value").cast("double").alias("whole"), RL.refill_wait(F.lit(80), F.col("value"), F.lit(1.5)).alias("wait"))
+    return e.select(
+        "event_id", RL.bucket_refill(F.col("value"), (F.col("event_id") % 50).cast("double"), F.lit(1.5), F.lit(100.0)).alias("level"),
+        F.floor("value").cast("double").alias("whole"), RL.refill_wait(F.lit(80), F.col("value"), F.lit(1.5)).alias("wait"),
+    )
 
 
-_RESETS = {"10": 10.0, "15.5": 15.5, "8.64s": 8.64, "1m": 60.0, "1.5m": 90.0, "1h": 3600.0, "100ms": 0.1, "1m30s": 90.0, "abc": None, "10 seconds": None, "1 h": None, "1m 1d": None, "1m 30s": None, "": None, "1.2.3": None, "2000000100": 100.0}
+_RESETS = {
+    "10": 10.0, "15.5": 15.5, "8.64s": 8.64, "1m": 60.0, "1.5m": 90.0, "1h": 3600.0, "100ms": 0.1, "1m30s": 90.0, "abc": None,
+    "10 seconds": None, "1 h": None, "1m 1d": None, "1m 30s": None, "": None, "1.2.3": None, "2000000100": 100.0,
+}
 
 
-@_query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {'NULL' if v is None else f'CAST({v} AS DOUBLE)'})" for k, v in _RESETS.items()) + ") t(header, seconds)")
+@_query(
+    "SELECT * FROM (VALUES " + ", ".join(
+        f"('{k}', {'NULL' if v is None else f'CAST({v} AS DOUBLE)'})" for k, v in _RESETS.items()
+    ) + ") t(header, seconds)"
+)
 def reset_header_parse(spark: SparkSession, sf: str) -> DataFrame:
     rows = spark.createDataFrame([(k,) for k in _RESETS], "header string")
     return rows.select("header", F.round(RL.reset_seconds(F.col("header"), F.lit(2_000_000_000.0)), 9).alias("seconds"))
 
 
-@_query("SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id ELSE -1 END AS requests_remaining, CAST(100 AS BIGINT) AS tokens_limit, CAST(user_id AS DOUBLE) AS requests_reset FROM events")
+@_query(
+    "SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN user_id ELSE -1 END AS requests_remaining, CAST(100 AS BIGINT) AS tokens_limit, CAST(user_id AS DOUBLE) AS requests_reset FROM events"
+)
 def rate_header_fields(spark: SparkSession, sf: str) -> DataFrame:
     e = spark.read.parquet(f"{sf}/events.parquet")
-    h = F.create_map(F.lit("X-RateLimit-Remaining-Requests"), F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string")).otherwise(F.lit("many")), F.lit("x-ratelimit-limit-tokens"), F.lit("100"), F.lit("LLM-x-ratelimit-reset-requests"), F.concat(F.col("user_id").cast("string"), F.lit("s")))
-    return e.select("event_id", RL.rate_headers(h, F.lit(2e9)).alias("h")).select("event_id", F.coalesce("h.requests_remaining", F.lit(-1)).alias("requests_remaining"), "h.tokens_limit", "h.requests_reset")
+    h = F.create_map(
+        F.lit("X-RateLimit-Remaining-Requests"),
+        F.when(F.col("event_id") % 3 != 0, F.col("user_id").cast("string")).otherwise(F.lit("many")), F.lit("x-ratelimit-limit-tokens"),
+        F.lit("100"), F.lit("LLM-x-ratelimit-reset-requests"), F.concat(F.col("user_id").cast("string"), F.lit("s")),
+    )
+    return e.select("event_id", RL.rate_headers(h, F.lit(2e9)).alias("h")).select(
+        "event_id", F.coalesce("h.requests_remaining", F.lit(-1)).alias("requests_remaining"), "h.tokens_limit", "h.requests_reset",
+    )
 
 
 @_query("""SELECT event_id, list_distinct(list_append(list_transform(range(CAST(floor(log2(event_id % 70 + 1)) AS BIGINT) + 1), lambda k: CAST(1 << CAST(k AS INTEGER) AS INTEGER)), CAST(event_id % 70 + 1 AS INTEGER))).list_sort().list_transform(lambda x: x::VARCHAR).array_to_string(',') AS levels FROM events""")
@@ -438,11 +595,18 @@ def sweep_levels(spark: SparkSession, sf: str) -> DataFrame:
     return e.select("event_id", F.array_join(F.array_sort(RL.sweep_levels((F.col("event_id") % 70 + 1).cast("int"))), ",").alias("levels"))
 
 
-@_query("SELECT conv_id, turn, CAST(floor(length(text) / 4) + 1 + turn AS BIGINT) AS estimate, CASE WHEN turn % 2 = 0 THEN turn ELSE 9 END AS most FROM conversations")
+@_query(
+    "SELECT conv_id, turn, CAST(floor(length(text) / 4) + 1 + turn AS BIGINT) AS estimate, CASE WHEN turn % 2 = 0 THEN turn ELSE 9 END AS most FROM conversations"
+)
 def token_estimates(spark: SparkSession, sf: str) -> DataFrame:
     c = spark.read.parquet(f"{sf}/conversations.parquet")
-    kwargs = F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("max_tokens"), F.col("turn").cast("string"))).otherwise(F.create_map(F.lit("max_completion_tokens"), F.lit("9")))
-    return c.select("conv_id", "turn", RL.token_estimate(F.col("text"), F.col("turn")).alias("estimate"), RL.output_limit(kwargs, F.lit("chat_completion")).alias("most"))
+    kwargs = F.when(
+        F.col("turn") % 2 == 0, F.create_map(F.lit("max_tokens"), F.col("turn").cast("string")),
+    ).otherwise(F.create_map(F.lit("max_completion_tokens"), F.lit("9")))
+    return c.select(
+        "conv_id", "turn", RL.token_estimate(F.col("text"), F.col("turn")).alias("estimate"),
+        RL.output_limit(kwargs, F.lit("chat_completion")).alias("most"),
+    )
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
@@ -452,6 +616,14 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
     from batchloom.operators.results import generated
 
     source = _source(spark, sf)
-    todo = planner.pending(source, _ledger(source)).join(spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("source_index"), "text"), "source_index")
-    requests = todo.select(F.col("output_index").alias("_index"), F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))).alias("request"), F.lit(None).cast("string").alias("error"))
-    return generated(generate(requests, DispatchConfig("echo", EchoProvider)), "chat_completion").select("_index", "output_text", "token_usage", "finish_reason", "request_id", "error")
+    todo = planner.pending(source, _ledger(source)).join(
+        spark.read.parquet(f"{sf}/documents.parquet").select(F.col("doc_id").alias("source_index"), "text"), "source_index",
+    )
+    requests = todo.select(
+        F.col("output_index").alias("_index"),
+        F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content")))).alias("request"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    return generated(generate(requests, DispatchConfig("echo", EchoProvider)), "chat_completion").select(
+        "_index", "output_text", "token_usage", "finish_reason", "request_id", "error",
+    )

@@ -82,7 +82,10 @@ def dispatch_generate(spark: SparkSession, sf: str) -> DataFrame:
         n.alias("_index"), _chat(_numbered(n, F.col("text"))).alias("request"), F.when(n % 17 == 0, F.lit("held back")).alias("error"), F.when(n % 2 == 0, F.lit('{"price": 0.5}')).alias("options")
     )
     answers = written(generate(requests, SCRIPTED), "answers")
-    names = ("_index", "output_text", "error", "metrics.retries", "token_usage.total_tokens", "output_tokens", "cost", "finish_reason", "metrics.deployment", "error_type")
+    names = (
+        "_index", "output_text", "error", "metrics.retries", "token_usage.total_tokens", "output_tokens", "cost", "finish_reason",
+        "metrics.deployment", "error_type",
+    )
     return generated(answers, "chat_completion").select(*names)
 
 
@@ -92,15 +95,24 @@ UNION ALL SELECT 'responses', n, CASE WHEN n % 7 <> 0 THEN t END, CASE WHEN n %
 def dispatch_endpoints(spark: SparkSession, sf: str) -> DataFrame:
     """The text and the responses endpoint, over two deployments."""
     turns = spark.read.parquet(f"{sf}/conversations.parquet")
-    rows = progress(turns.withColumn("_at", F.col("conv_id") * 1000 + F.col("turn")), "_at", "turn").select((F.col("completed") - 1).alias("_index"), "text")
+    rows = progress(
+        turns.withColumn("_at", F.col("conv_id") * 1000 + F.col("turn")), "_at", "turn",
+    ).select((F.col("completed") - 1).alias("_index"), "text")
     text = _numbered(F.col("_index"), F.col("text"))
     two = tuple({"label": f"d{k}", "model": f"m{k}"} for k in range(2))
     found = None
-    for endpoint, request in (("text_completion", F.to_json(F.struct(text.alias("t")))), ("responses", F.to_json(F.struct(text.alias("input"))))):
+    for endpoint, request in (
+        ("text_completion", F.to_json(F.struct(text.alias("t")))), ("responses", F.to_json(F.struct(text.alias("input")))),
+    ):
         body = F.regexp_replace(request, r'^\{"t":|\}$', "") if endpoint == "text_completion" else request
-        config = DispatchConfig("echo", functools.partial(ScriptedProvider, stumble=0), endpoint, deployments=two, routing_strategy="least-busy", backoff_unit=0.0)
+        config = DispatchConfig(
+            "echo", functools.partial(ScriptedProvider, stumble=0), endpoint, deployments=two, routing_strategy="least-busy",
+            backoff_unit=0.0,
+        )
         answers = written(generate(rows.select("_index", body.alias("request"), _no_error()), config), "answers")
-        own = generated(answers, endpoint).select(F.lit(endpoint).alias("endpoint"), "_index", "output_text", "error", "token_usage.total_tokens")
+        own = generated(answers, endpoint).select(
+            F.lit(endpoint).alias("endpoint"), "_index", "output_text", "error", "token_usage.total_tokens",
+        )
         found = own if found is None else found.unionByName(own)
     return found
 
@@ -118,14 +130,21 @@ def dispatch_embed(spark: SparkSession, sf: str) -> DataFrame:
     """Texts in micro-batches of 32, halved where one of them is refused; rows of a call carry its usage."""
     texts = _documents(spark, sf).select(F.col("doc_id").alias("_index"), _numbered(F.col("doc_id"), F.col("text")).alias("text"))
     config = DispatchConfig("echo", functools.partial(ScriptedProvider, refuse=61, stumble=0), backoff_unit=0.0)
-    return embedded(written(embed(texts, config), "answers")).select("_index", "dimensions", "call_id", F.col("token_usage.total_tokens").alias("total_tokens"), "error")
+    return embedded(written(embed(texts, config), "answers")).select(
+        "_index", "dimensions", "call_id", F.col("token_usage.total_tokens").alias("total_tokens"), "error",
+    )
 
 
-@_query("SELECT doc_id // 32 AS batch, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY 1")
+@_query(
+    "SELECT doc_id // 32 AS batch, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY 1"
+)
 def embed_micro_batches(spark: SparkSession, sf: str) -> DataFrame:
     rows = micro_batches(_documents(spark, sf).withColumnRenamed("doc_id", "_index"), 32)
     chars = F.aggregate("texts", F.lit(0).cast("bigint"), lambda a, t: a + F.length(t))
-    return rows.select("batch", F.array_min("indices").alias("first"), F.array_max("indices").alias("last"), F.size("indices").cast("bigint").alias("n"), chars.alias("chars"))
+    return rows.select(
+        "batch", F.array_min("indices").alias("first"), F.array_max("indices").alias("last"), F.size("indices").cast("bigint").alias("n"),
+        chars.alias("chars"),
+    )
 
 
 @_query("""SELECT page_id AS _index, CASE WHEN k <= 6000 THEN k || ' bytes' END AS text, CASE WHEN k <= 6000 THEN k / 16000.0 END AS duration_s, CASE WHEN k <= 6000 THEN 'en' END AS language,
@@ -133,7 +152,10 @@ def embed_micro_batches(spark: SparkSession, sf: str) -> DataFrame:
 def dispatch_transcribe(spark: SparkSession, sf: str) -> DataFrame:
     """Page bytes stand for audio; those over 6,000 bytes are error rows that make no call."""
     content = F.encode("html", "UTF-8")
-    files = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("_index"), F.col("url").alias("path"), F.length(content).cast("bigint").alias("length"), content.alias("content"))
+    files = spark.read.parquet(f"{sf}/pages.parquet").select(
+        F.col("page_id").alias("_index"), F.col("url").alias("path"), F.length(content).cast("bigint").alias("length"),
+        content.alias("content"),
+    )
     answers = written(transcribe(lines.guarded(files, 6000), DispatchConfig("echo", EchoProvider)), "answers")
     return transcribed(answers).select("_index", "text", "duration_s", "language", "error")
 
@@ -149,7 +171,9 @@ def result_records(spark: SparkSession, sf: str) -> DataFrame:
     """Output records with parsed JSON (null where the text is none) and metadata of rows that were called."""
     docs = _documents(spark, sf)
     requests = docs.select(F.col("doc_id").alias("_index"), _chat(_numbered(F.col("doc_id"), F.col("text"))).alias("request"), _no_error())
-    answers = written(generate(requests, DispatchConfig("echo", functools.partial(ScriptedProvider, stumble=0, rule=json_if_even))), "answers")
+    answers = written(
+        generate(requests, DispatchConfig("echo", functools.partial(ScriptedProvider, stumble=0, rule=json_if_even))), "answers",
+    )
     meta = docs.where("doc_id % 7 <> 0").select(F.col("doc_id").alias("_index"), F.to_json(F.struct("lang")).alias("metadata"))
     rows = records(answers, "chat_completion", True, meta)
     return rows.select("_index", F.try_variant_get("output_parsed", "$.n", "bigint").alias("n"), "metadata", "error", "finish_reason")
@@ -158,11 +182,16 @@ def result_records(spark: SparkSession, sf: str) -> DataFrame:
 @_query("""SELECT count(*) AS n, count(*) FILTER (item_id % 7 = 0) AS failed, sha256(string_agg(CASE WHEN item_id % 7 <> 0 THEN item_id || ' ' || text ELSE '-' END, '|' ORDER BY item_id)) AS digest FROM benchmark""")
 def aligned_results(spark: SparkSession, sf: str) -> DataFrame:
     """Results and errors of a small batch (the benchmark's items) as arrays in index order."""
-    items = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("_index"), _chat(_numbered(F.col("item_id"), F.col("text"))).alias("request"), _no_error())
+    items = spark.read.parquet(f"{sf}/benchmark.parquet").select(
+        F.col("item_id").alias("_index"), _chat(_numbered(F.col("item_id"), F.col("text"))).alias("request"), _no_error(),
+    )
     answers = written(generate(items, DispatchConfig("echo", functools.partial(ScriptedProvider, stumble=0))), "answers")
     one = aligned(generated(answers, "chat_completion").select("_index", "output_text", "error"))
     said = F.array_join(F.transform("results", lambda r: F.coalesce(r["output_text"], F.lit("-"))), "|")
-    return one.select(F.size("results").cast("bigint").alias("n"), F.size(F.filter("errors", lambda e: e.isNotNull())).cast("bigint").alias("failed"), F.sha2(said, 256).alias("digest"))
+    return one.select(
+        F.size("results").cast("bigint").alias("n"), F.size(F.filter("errors", lambda e: e.isNotNull())).cast("bigint").alias("failed"),
+        F.sha2(said, 256).alias("digest"),
+    )
 
 
 # --- sources and mapping ----------------------------------------------------------------------
@@ -177,7 +206,9 @@ def source_index(spark: SparkSession, sf: str) -> DataFrame:
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
     k, n = F.col("event_id") % 5, F.col("event_id").cast("string")
     odd = F.concat(F.lit('  {"k": 1.0, "b" :[true, null], "a":"\u00e9'), n, F.lit('"}\t'))
-    line = F.when(k == 0, odd).when(k == 1, F.concat(F.lit("not json "), n)).when(k == 2, F.concat(F.lit("["), n, F.lit("]"))).when(k == 3, F.lit("  \t ")).otherwise(F.col("props"))
+    line = F.when(k == 0, odd).when(k == 1, F.concat(F.lit("not json "), n)).when(
+        k == 2, F.concat(F.lit("["), n, F.lit("]")),
+    ).when(k == 3, F.lit("  \t ")).otherwise(F.col("props"))
     return spark.read.parquet(f"{sf}/events.parquet").select(line.alias("value"))
 
 
@@ -198,11 +229,16 @@ def strict_lines(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("raw_line", "parse_error", F.lower(F.hex("record_fingerprint")).alias("fingerprint"))
 
 
-@_query("SELECT count(*) AS n, min(i) AS first, max(i) AS last, count(DISTINCT i) AS kinds FROM (SELECT row_number() OVER () - 1 AS i FROM events WHERE event_id % 5 <> 3)")
+@_query(
+    "SELECT count(*) AS n, min(i) AS first, max(i) AS last, count(DISTINCT i) AS kinds FROM (SELECT row_number() OVER () - 1 AS i FROM events WHERE event_id % 5 <> 3)"
+)
 def line_index(spark: SparkSession, sf: str) -> DataFrame:
     """The index of non-blank lines is gapless, whatever the number of files and splits."""
     rows = lines.json_lines(spark, _text_of(_lines(spark, sf).repartition(5), "lines"))
-    return rows.agg(F.count(F.lit(1)).alias("n"), F.min("source_index").alias("first"), F.max("source_index").alias("last"), F.count_distinct("source_index").alias("kinds"))
+    return rows.agg(
+        F.count(F.lit(1)).alias("n"), F.min("source_index").alias("first"), F.max("source_index").alias("last"),
+        F.count_distinct("source_index").alias("kinds"),
+    )
 
 
 @_query("SELECT page_id AS _index, url AS text FROM pages WHERE page_id % 3 <> 0")
@@ -234,7 +270,9 @@ def mapper_rows(spark: SparkSession, sf: str) -> DataFrame:
     """A user's mapper by its name; whatever it does wrong is an error row, and parse errors come first."""
     n = F.col("doc_id")
     record = F.to_json(F.struct(n.alias("n"), "text"))
-    rows = _documents(spark, sf).select(n.alias("source_index"), F.when(n % 11 != 0, record).alias("record"), F.when(n % 11 == 0, F.lit("broken")).alias("parse_error"))
+    rows = _documents(spark, sf).select(
+        n.alias("source_index"), F.when(n % 11 != 0, record).alias("record"), F.when(n % 11 == 0, F.lit("broken")).alias("parse_error"),
+    )
     done = prepared(rows, "chat_completion", load_mapper("batchloom.run_queries:example_mapper"))
     return done.select("source_index", F.get_json_object("request", "$[0].content").alias("content"), "metadata", "error")
 
@@ -250,7 +288,9 @@ _SCHEMA = {
 def schema_outputs(spark: SparkSession, sf: str) -> DataFrame:
     """Output parsed against a schema with references, alternatives and bounds; null where it fails."""
     n = F.col("doc_id")
-    body = F.to_json(F.struct(n.alias("n"), "lang", F.when(n % 5 != 0, F.length("text")).alias("size"), F.when(n % 9 == 0, F.lit(1)).alias("odd")))
+    body = F.to_json(
+        F.struct(n.alias("n"), "lang", F.when(n % 5 != 0, F.length("text")).alias("size"), F.when(n % 9 == 0, F.lit(1)).alias("odd"))
+    )
     return _documents(spark, sf).select("doc_id", F.get_json_object(parsed_output(body, _SCHEMA), "$.n").cast("bigint").alias("n"))
 
 
@@ -273,7 +313,9 @@ def durable_run(spark: SparkSession, sf: str) -> DataFrame:
     source, folder = _text_of(_prompts(spark, sf), "prompts"), fresh_path(spark, "run")
     size = _documents(spark, sf).count() // 3 + 1
     workflow.run(spark, workflow.RunConfig(folder, SCRIPTED, source, chunk_rows=size))
-    workflow.run(spark, workflow.RunConfig(folder, DispatchConfig("echo", EchoProvider), source, chunk_rows=size, resume=True, retry_errors=True))
+    workflow.run(
+        spark, workflow.RunConfig(folder, DispatchConfig("echo", EchoProvider), source, chunk_rows=size, resume=True, retry_errors=True),
+    )
     return workflow.output(spark, folder).select("output_text", "error")
 
 
@@ -282,13 +324,18 @@ SELECT status, count(*) AS n FROM f GROUP BY 1""")
 def run_ledger(spark: SparkSession, sf: str) -> DataFrame:
     """The ledger's states after a run, by its settle log."""
     folder = fresh_path(spark, "run")
-    workflow.run(spark, workflow.RunConfig(folder, SCRIPTED, _text_of(_prompts(spark, sf), "prompts"), chunk_rows=_documents(spark, sf).count() // 2 + 1))
+    workflow.run(
+        spark,
+        workflow.RunConfig(folder, SCRIPTED, _text_of(_prompts(spark, sf), "prompts"), chunk_rows=_documents(spark, sf).count() // 2 + 1),
+    )
     ledger, log = spark.read.parquet(f"{folder}/ledger"), workflow.settled(spark, folder)
     planner.validate_log(ledger, log)
     return planner.status_counts(planner.current(ledger, log))
 
 
-@_query("SELECT doc_id AS output_index, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS rows FROM documents WHERE doc_id % 5 IN (0, 1) AND doc_id % 2 = 0")
+@_query(
+    "SELECT doc_id AS output_index, CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS rows FROM documents WHERE doc_id % 5 IN (0, 1) AND doc_id % 2 = 0"
+)
 def log_mismatches(spark: SparkSession, sf: str) -> DataFrame:
     """Settle-log entries that don't stand for exactly one ledger row."""
     rows = _documents(spark, sf).select(F.col("doc_id").alias("output_index"))
@@ -318,7 +365,9 @@ def progress_counts(spark: SparkSession, sf: str) -> DataFrame:
 def stream_run(spark: SparkSession, sf: str) -> DataFrame:
     """Arriving files, dispatched in micro-batches."""
     source, target = _text_of(_prompts(spark, sf).repartition(3), "arriving"), fresh_path(spark, "stream")
-    runner.run_stream(spark, source, f"{target}/out", f"{target}/state", DispatchConfig("echo", EchoProvider), files_per_trigger=2).awaitTermination()
+    runner.run_stream(
+        spark, source, f"{target}/out", f"{target}/state", DispatchConfig("echo", EchoProvider), files_per_trigger=2,
+    ).awaitTermination()
     return spark.read.schema("output_text string, error string").json(f"{target}/out/batch=*")
 
 
@@ -337,14 +386,22 @@ def rate_limited_adjust(spark: SparkSession, sf: str) -> DataFrame:
     path, target = fresh_path(spark, "requests"), fresh_path(spark, "admitted")
     n = (F.floor("value") % 40).cast("int")
     e = spark.read.parquet(f"{sf}/events.parquet")
-    e.select(F.col("user_id").cast("string").alias("deployment"), F.col("event_id").alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), n.alias("tokens"), F.when(F.col("event_id") % 3 == 0, F.floor(n / 2).cast("int")).alias("actual")).write.parquet(path)
+    e.select(
+        F.col("user_id").cast("string").alias("deployment"), F.col("event_id").alias("request_id"),
+        (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"), n.alias("tokens"),
+        F.when(F.col("event_id") % 3 == 0, F.floor(n / 2).cast("int")).alias("actual"),
+    ).write.parquet(path)
     arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
     limited = runner.limited(arriving, Limits(rpm=1, tpm=10, max_request_burst=2, max_token_burst=50))
-    limited.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    limited.writeStream.format("parquet").option("path", f"{target}/out").option(
+        "checkpointLocation", f"{target}/state",
+    ).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{target}/out").select("request_id", "deployment", "admitted")
 
 
-@_query("SELECT event_id, list_distinct(list_append(list_filter([1, 8, 32, 128, 512], lambda x: x <= event_id % 600 + 1), CAST(event_id % 600 + 1 AS INTEGER))).list_sort().array_to_string(',') AS sizes FROM events")
+@_query(
+    "SELECT event_id, list_distinct(list_append(list_filter([1, 8, 32, 128, 512], lambda x: x <= event_id % 600 + 1), CAST(event_id % 600 + 1 AS INTEGER))).list_sort().array_to_string(',') AS sizes FROM events"
+)
 def batch_sweeps(spark: SparkSession, sf: str) -> DataFrame:
     sizes = RL.batch_sweep((F.col("event_id") % 600 + 1).cast("int"))
     return spark.read.parquet(f"{sf}/events.parquet").select("event_id", F.array_join(F.array_sort(sizes), ",").alias("sizes"))

@@ -91,7 +91,9 @@ def strict_json(spark: SparkSession, path: str, schema: str | None = None) -> Da
 
 def field_rows(source: DataFrame, field: str) -> DataFrame:
     """_index and the field (as text) of those records that have it; raises when none has."""
-    found = source.where("record is not null").select(F.col("source_index").alias("_index"), F.get_json_object("record", f"$.{field}").alias(field)).where(F.col(field).isNotNull())
+    found = source.where("record is not null").select(
+        F.col("source_index").alias("_index"), F.get_json_object("record", f"$.{field}").alias(field),
+    ).where(F.col(field).isNotNull())
     if found.isEmpty():
         raise ValueError(f"no row has a {field!r} field")
     return found
@@ -107,7 +109,9 @@ def audio(spark: SparkSession, path: str, most: int = MAX_AUDIO_BYTES) -> DataFr
 def guarded(files: DataFrame, most: int = MAX_AUDIO_BYTES) -> DataFrame:
     """``length`` becomes ``error``; the content of files over ``most`` bytes isn't kept."""
     big = F.col("length") > most
-    error = F.when(F.col("length").isNull(), F.concat(F.lit("not a regular file: "), F.col("path"))).when(big, F.lit(f"audio exceeds {most} bytes"))
+    error = F.when(
+        F.col("length").isNull(), F.concat(F.lit("not a regular file: "), F.col("path")),
+    ).when(big, F.lit(f"audio exceeds {most} bytes"))
     return files.withColumn("error", error).withColumn("content", F.when(F.col("error").isNull(), F.col("content"))).drop("length")
 
 
@@ -120,7 +124,10 @@ def audio_paths(spark: SparkSession, paths: DataFrame, most: int = MAX_AUDIO_BYT
             for at in range(b.num_rows):
                 own = b.slice(at, 1)
                 length, content = _file(own.column(1)[0].as_py(), most)
-                yield pa.RecordBatch.from_arrays([*own.columns, pa.array([length], pa.int64()), pa.array([content], pa.binary())], ["_index", "path", "length", "content"])
+                yield pa.RecordBatch.from_arrays(
+                    [*own.columns, pa.array([length], pa.int64()), pa.array([content], pa.binary())],
+                    ["_index", "path", "length", "content"],
+                )
 
     rows = paths.select(F.col("_index").cast("bigint").alias("_index"), F.col("path").cast("string").alias("path"))
     return guarded(rows.mapInArrow(read, "_index bigint, path string, length bigint, content binary"), most)

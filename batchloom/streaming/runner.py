@@ -18,7 +18,10 @@ from batchloom.sources.lines import parsed, stripped
 from batchloom.store import Folder
 
 
-def run_stream(spark: SparkSession, source: str, target: str, checkpoint: str, config: DispatchConfig, files_per_trigger: int = 1, parse_json: bool = False) -> StreamingQuery:
+def run_stream(
+    spark: SparkSession, source: str, target: str, checkpoint: str, config: DispatchConfig, files_per_trigger: int = 1,
+    parse_json: bool = False,
+) -> StreamingQuery:
     """Process all files that are there in micro-batches, each written once under its own number.
 
     A repeated batch replaces its own folder, so that a restart leaves one copy of each row; what is
@@ -77,4 +80,6 @@ def limited(requests: DataFrame, limits: Limits, key: str = "deployment") -> Dat
         state.update((last, *[b.tokens if b is not None else 0.0 for b in _buckets(limiter)]))
         yield pd.DataFrame(out, columns=[key, "request_id", "seconds", "admitted"])
 
-    return requests.groupBy(key).applyInPandasWithState(step, f"{key} string, request_id bigint, seconds double, admitted boolean", _STATE, "append", GroupStateTimeout.NoTimeout)
+    return requests.groupBy(key).applyInPandasWithState(
+        step, f"{key} string, request_id bigint, seconds double, admitted boolean", _STATE, "append", GroupStateTimeout.NoTimeout,
+    )

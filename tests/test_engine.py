@@ -78,7 +78,9 @@ def test_audio_guard(spark, tmp_path):
 
 def test_settings(tmp_path):
     p = tmp_path / "d.toml"
-    p.write_text('[deployments.a]\nmodel = "m"\napi_base = "http://x"\n[deployments.b]\nmodel = "n"\n[deployments.b.extra_kwargs]\nseed = 1\n')
+    p.write_text(
+        '[deployments.a]\nmodel = "m"\napi_base = "http://x"\n[deployments.b]\nmodel = "n"\n[deployments.b.extra_kwargs]\nseed = 1\n'
+    )
     found = cfg.deployments(str(p))
     assert [d.label for d in found] == ["a", "b"] and found[1].extra == {"seed": 1}
     p.write_text('[deployments.a]\nmodel = "m"\n[deployments.a.extra_kwargs]\napi_key = "s"\n')
@@ -100,7 +102,13 @@ def source(spark, records):
 
 
 def test_prepared_errors_in_order(spark):
-    rows = source(spark, ['{"prompt": ""}', '{"messages": []}', '{"text": "w"}', "x", '{"responses_input": [1]}', '{"prompt": null, "messages": [{"role": "user", "content": "c"}]}', '{"messages": [{"content": "c"}]}'])
+    rows = source(
+        spark,
+        [
+            '{"prompt": ""}', '{"messages": []}', '{"text": "w"}', "x", '{"responses_input": [1]}',
+            '{"prompt": null, "messages": [{"role": "user", "content": "c"}]}', '{"messages": [{"content": "c"}]}',
+        ],
+    )
     found = [(r.request, r.error) for r in mapping.prepared(rows, "chat_completion").orderBy("source_index").collect()]
     assert json.loads(found[0][0]) == [{"role": "user", "content": ""}] and found[1] == ("[]", None)
     assert found[2] == (None, mapping.NO_FIELD) and found[3][0] is None and found[4][1].startswith("Chat completion")
@@ -279,10 +287,15 @@ def test_transcribe(spark, tmp_path):
 
 
 def test_config_rules():
-    for bad in ({"model": ""}, {"max_parallel_requests": 0}, {"endpoint": "x"}, {"routing_strategy": "x"}, {"deployments": ({"model": "a"},), "api_base": "b"}, {"max_retries": -1}):
+    for bad in (
+        {"model": ""}, {"max_parallel_requests": 0}, {"endpoint": "x"}, {"routing_strategy": "x"},
+        {"deployments": ({"model": "a"},), "api_base": "b"}, {"max_retries": -1},
+    ):
         with pytest.raises(ValueError):
             DispatchConfig(**({"model": "m", "provider": EchoProvider} | bad))
-    c = DispatchConfig("m", EchoProvider, max_parallel_requests=3, default_request_kwargs={"num_retries": 2, "a": 1}, timeout=5.0, api_key="secret")
+    c = DispatchConfig(
+        "m", EchoProvider, max_parallel_requests=3, default_request_kwargs={"num_retries": 2, "a": 1}, timeout=5.0, api_key="secret",
+    )
     assert c.shape()[0] * c.shape()[1] <= 3 and c.options({"a": 2}) == {"a": 2, "timeout": 5.0} and "secret" not in repr(c)
 
 
@@ -351,7 +364,13 @@ def test_gate_serves_small_waiters_first():
     assert asyncio.run(main()) == [3, 6, 9]
 
 
-@pytest.mark.parametrize("text, seconds", [("10", 10), ("8.64s", 8.64), ("1m30s", 90), ("100ms", 0.1), ("1.5m", 90), ("1h", 3600), ("", None), ("1 h", None), ("1m 1d", None), ("1.2.3", None)])
+@pytest.mark.parametrize(
+    "text, seconds",
+    [
+        ("10", 10), ("8.64s", 8.64), ("1m30s", 90), ("100ms", 0.1), ("1.5m", 90), ("1h", 3600), ("", None), ("1 h", None), ("1m 1d", None),
+        ("1.2.3", None),
+    ],
+)
 def test_reset_seconds(text, seconds):
     assert reset_seconds(text) == (None if seconds is None else pytest.approx(seconds))
 
@@ -360,7 +379,9 @@ def test_reset_seconds(text, seconds):
 
 
 def parse(spark, body, endpoint="chat_completion"):
-    return spark.createDataFrame([(json.dumps(body) if not isinstance(body, str) else body,)], "raw string").select(R.generation(F.col("raw"), endpoint).alias("r")).first().r
+    return spark.createDataFrame(
+        [(json.dumps(body) if not isinstance(body, str) else body,)], "raw string",
+    ).select(R.generation(F.col("raw"), endpoint).alias("r")).first().r
 
 
 def test_odd_responses(spark):
@@ -373,12 +394,22 @@ def test_odd_responses(spark):
     assert r.output_text == "pNone"
     r = parse(spark, {"choices": [{"message": {"content": "<think>a</think>x", "reasoning_content": " why "}}]})
     assert r.output_text == "<think>a</think>x" and r.reasoning == "why"
-    r = parse(spark, {"choices": [{"message": {"content": "<think>\n" + "y" * 100_000 + "</think>\n z", "tool_calls": [{"name": "n", "arguments": "1"}]}}]})
+    r = parse(
+        spark,
+        {
+            "choices": [
+                {"message": {"content": "<think>\n" + "y" * 100_000 + "</think>\n z", "tool_calls": [{"name": "n", "arguments": "1"}]}}
+            ]
+        },
+    )
     assert r.output_text == "z" and len(r.reasoning) == 100_000 and r.tool_calls[0].name == "n" and r.tool_calls[0].arguments == "1"
 
 
 def test_schema_validation():
-    s = {"type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"enum": ["x", "y"]}}}, "required": ["a"]}
+    s = {
+        "type": "object", "properties": {"a": {"type": "integer"}, "b": {"type": "array", "items": {"enum": ["x", "y"]}}},
+        "required": ["a"],
+    }
     assert conforms({"a": 1, "b": ["x"]}, s) and not conforms({"b": []}, s) and not conforms({"a": True}, s) and not conforms({"a": 1, "b": ["z"]}, s)
     assert parse_with(s, '{"a": 2}') == '{"a": 2}' and parse_with(s, "{") is None and parse_with(s, None) is None
     with pytest.raises(ValueError):
@@ -387,7 +418,10 @@ def test_schema_validation():
     check_schema(t)
     good, bad = [2, 8, 5.0, [1], [1.0, 2.5], "ab"], [1, 9, True, [2], [1, 0.3], [1, 1], [1, 2, 3, 4], "a", "ba", None, {}]
     assert all(conforms(v, t) for v in good) and not any(conforms(v, t) for v in bad)
-    o = {"patternProperties": {"^x": {"type": "string"}}, "additionalProperties": {"not": {"type": "string"}}, "minProperties": 1, "anyOf": [{"required": ["y"]}, {"required": ["xa"]}]}
+    o = {
+        "patternProperties": {"^x": {"type": "string"}}, "additionalProperties": {"not": {"type": "string"}}, "minProperties": 1,
+        "anyOf": [{"required": ["y"]}, {"required": ["xa"]}],
+    }
     assert conforms({"xa": "s"}, o) and conforms({"y": 1}, o) and not conforms({"xa": 1}, o) and not conforms({"y": "s"}, o) and not conforms({"z": 1}, o)
     pydantic = pytest.importorskip("pydantic")
     Model = pydantic.create_model("Model", a=(int, ...))
@@ -448,7 +482,10 @@ def test_providers_are_closed_and_options_are_the_calls_own(spark, tmp_path):
 
     from batchloom.operators.dispatch import DispatchConfig, generate
 
-    rows = spark.createDataFrame([(k, '"x"', None, f'{{"timeout": {k}}}' if k else None) for k in range(4)], "_index bigint, request string, error string, options string")
+    rows = spark.createDataFrame(
+        [(k, '"x"', None, f'{{"timeout": {k}}}' if k else None) for k in range(4)],
+        "_index bigint, request string, error string, options string",
+    )
     assert generate(rows, DispatchConfig("m", functools.partial(Closing, tmp_path), "text_completion", partitions=2)).count() == 4
     assert 1 <= len(list(tmp_path.iterdir())) <= 4
     config = DispatchConfig("m", EchoProvider, timeout=9.0, default_request_kwargs={"a": 1, "num_retries": 2})

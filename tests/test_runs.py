@@ -108,7 +108,9 @@ def test_mapper_metadata_and_json(spark, place):
         return {"input": json.dumps({"v": r["k"]}), "metadata": {"k": r["k"]}}
 
     W.run(spark, config(place, text, mapper=mapper, parse_json=True))
-    rows = W.output(spark, str(place / "run")).select("_index", F.to_json("output_parsed").alias("p"), "metadata", "error").orderBy("_index").collect()
+    rows = W.output(spark, str(place / "run")).select(
+        "_index", F.to_json("output_parsed").alias("p"), "metadata", "error",
+    ).orderBy("_index").collect()
     assert rows[1].p == '{"v":1}' and json.loads(rows[1].metadata) == {"k": 1} and rows[2].metadata is None and rows[2].error == "no"
 
 
@@ -134,7 +136,10 @@ def test_stream(spark, place):
 
 def test_stream_limiter(spark, place):
     src = place / "reqs"
-    spark.createDataFrame([("d", k, float(k), 10, None) for k in range(4)] + [("e", 9, 0.0, 999, None)], "deployment string, request_id bigint, seconds double, tokens int, actual int").coalesce(1).write.parquet(str(src))
+    spark.createDataFrame(
+        [("d", k, float(k), 10, None) for k in range(4)] + [("e", 9, 0.0, 999, None)],
+        "deployment string, request_id bigint, seconds double, tokens int, actual int",
+    ).coalesce(1).write.parquet(str(src))
     stream = spark.readStream.schema(spark.read.parquet(str(src)).schema).parquet(str(src))
     q = limited(stream, Limits(rpm=2, tpm=100)).writeStream.format("memory").queryName("limited_out").outputMode("append").start()
     try:
@@ -147,7 +152,10 @@ def test_stream_limiter(spark, place):
 
 def test_bench_sweep(spark):
     def run(n):
-        return spark.range(20).select(F.lit(False).alias("failed"), *[F.lit(0.1).alias(c) for c in ("end_to_end_s", "service_time_s", "queue_wait_s")], F.lit("d").alias("deployment"), *[F.lit(n).cast("bigint").alias(c) for c in ("prompt_tokens", "output_tokens", "total_tokens")])
+        return spark.range(20).select(
+            F.lit(False).alias("failed"), *[F.lit(0.1).alias(c) for c in ("end_to_end_s", "service_time_s", "queue_wait_s")],
+            F.lit("d").alias("deployment"), *[F.lit(n).cast("bigint").alias(c) for c in ("prompt_tokens", "output_tokens", "total_tokens")],
+        )
 
     log, took = bench.sweep(bench.levels_up_to(5), run)
     assert bench.levels_up_to(5) == [1, 2, 4, 5] and bench.batches_up_to(40) == [1, 8, 32, 40]
