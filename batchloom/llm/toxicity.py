@@ -93,22 +93,28 @@ class Index:
         self.names = np.array([examples[k][0] for k in order], np.int64)
         self.labels = labels[order]
         self.blocks = -(-n // config.block)
-        # The lists, block after block, and inside a block term after term.
-        self.starts = np.zeros((self.blocks, v + 1), np.int64)
-        self.tops = np.zeros((self.blocks, v))
-        places, weights, at = [np.zeros(0, np.int64)], [np.zeros(0)], 0
+        # The lists, term after term, and inside a term block after block; long ones as rows of ``full``.
+        own = [(terms[k], vectors[k]) for k in order]
+        place = np.repeat(np.arange(n), [len(t) for t, _ in own])
+        t = np.concatenate([np.zeros(0, np.int64), *(t for t, _ in own)])
+        w = np.concatenate([np.zeros(0), *(w for _, w in own)])
+        block, inside = place // config.block, place % config.block
+        self.tops = np.zeros((v, self.blocks))
+        np.maximum.at(self.tops, (t, block), w)
+        held = np.bincount(t * self.blocks + block, minlength=v * self.blocks).reshape(v, self.blocks)
+        self.row = np.full((v, self.blocks), -1, np.int32)
+        self.full: list[np.ndarray] = []
         for b in range(self.blocks):
-            part = [vectors[k] for k in order[b * config.block : (b + 1) * config.block]]
-            t = np.concatenate([terms[k] for k in order[b * config.block : (b + 1) * config.block]])
-            w = np.concatenate(part)
-            p = np.repeat(np.arange(len(part)), [len(x) for x in part])
-            by = np.argsort(t, kind="stable")
-            places.append(p[by])
-            weights.append(w[by])
-            np.maximum.at(self.tops[b], t, w)
-            self.starts[b] = at + np.concatenate([[0], np.cumsum(np.bincount(t, minlength=v))])
-            at += len(t)
-        self.places, self.weights = np.concatenate(places).astype(np.int32), np.concatenate(weights)
+            long = np.flatnonzero(held[:, b] > config.block // 8)
+            self.row[long, b] = np.arange(len(long))
+            self.full.append(np.zeros((len(long), config.block)))
+            mine = np.flatnonzero((block == b) & (self.row[t, block] >= 0))
+            self.full[b][self.row[t[mine], b], inside[mine]] = w[mine]
+        rest = np.flatnonzero(self.row[t, block] < 0)
+        cell = t[rest] * self.blocks + block[rest]
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(cell, minlength=v * self.blocks))])
+        rest = rest[np.argsort(cell, kind="stable")]
+        self.places, self.weights = inside[rest], w[rest]
 
     @staticmethod
     def _strongest(terms: np.ndarray, times: np.ndarray, common: np.ndarray) -> int:
@@ -131,19 +137,22 @@ class Index:
 
     def nearest(self, t: np.ndarray, w: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k examples nearest to the weights w of terms t."""
-        bound = self.tops[:, t] @ w
-        size = self.config.block
+        bound = w @ self.tops[t]
+        starts = self.starts[t[:, None] * self.blocks + np.arange(self.blocks + 1)]
+        rows, size = self.row[t], self.config.block
         places, cosines = np.zeros(0, np.int64), np.zeros(0)
         for b in np.argsort(-bound, kind="stable").tolist():
             if bound[b] <= 0 or len(places) == k and bound[b] < cosines[-1] - 1e-12:
                 break
-            first = self.starts[b, t]
-            n = self.starts[b, t + 1] - first
+            first, n = starts[:, b], starts[:, b + 1] - starts[:, b]
             ends = np.cumsum(n)
             at = np.repeat(first - (ends - n), n) + np.arange(ends[-1])
-            score = np.bincount(self.places[at], np.repeat(w, n) * self.weights[at])
+            long = np.flatnonzero(rows[:, b] >= 0)
+            score = w[long] @ self.full[b][rows[long, b]] + np.bincount(self.places[at], np.repeat(w, n) * self.weights[at], minlength=size)
             least = cosines[-1] - 1e-12 if len(places) == k else 0.0
             hit = np.flatnonzero(score > max(least, 0.0))
+            if len(hit) > 4 * k:  # all that may be among the k best, ties included
+                hit = hit[score[hit] >= np.partition(score[hit], -k - 1)[-k - 1] - 1e-12]
             if without is not None:
                 hit = hit[self.names[hit + b * size] != without]
             places, cosines = np.concatenate([places, hit + b * size]), np.concatenate([cosines, score[hit]])
