@@ -154,21 +154,30 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     spark = df.sparkSession
     key = free_name(df, "order__")
-    docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(id_col).cast("double"), F.lit(float(-(1 << 63)))).alias(key))
+    docs = df.select(
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+        F.coalesce(F.col(id_col).cast("double"), F.lit(float(-(1 << 63)))).alias(key),
+    )
     expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(expected >> 24, 100_000))
     cuts = sorted(set(docs.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n))) or [0.0]
-    docs = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol=key, outputCol="part").transform(docs).withColumn("part", F.lit(len(cuts)) - F.col("part").cast("int"))
+    docs = Bucketizer(
+        splits=[-float("inf"), *cuts, float("inf")], inputCol=key, outputCol="part",
+    ).transform(docs).withColumn("part", F.lit(len(cuts)) - F.col("part").cast("int"))
     heads = sorted((r["part"], r["head"]) for r in docs.groupBy("part").agg(F.max(key).alias("head")).collect())
     ghosts = [(head, heads[k - 1][0]) for k, (_, head) in enumerate(heads)]  # the part before takes it
     table = spark.createDataFrame(ghosts, f"{key} double, into int") if ghosts else spark.createDataFrame([], f"{key} double, into int")
-    copies = F.when(F.col("into").isNull(), F.array(F.struct("part", F.lit(0).alias("ghost")))).otherwise(F.array(F.struct("part", F.lit(0).alias("ghost")), F.struct(F.col("into").alias("part"), F.lit(1).alias("ghost"))))
+    copies = F.when(F.col("into").isNull(), F.array(F.struct("part", F.lit(0).alias("ghost")))).otherwise(
+        F.array(F.struct("part", F.lit(0).alias("ghost")), F.struct(F.col("into").alias("part"), F.lit(1).alias("ghost")))
+    )
     marked = docs.join(F.broadcast(table), key, "left").select("doc_id", "text", key, F.explode(copies).alias("p"))
     dealt = marked.select("p.part", "p.ghost", "doc_id", "text", key).repartitionById(len(cuts) + 1, F.col("part"))
     return dealt.sortWithinPartitions("part", "ghost", F.desc_nulls_last("doc_id"), "text").select("part", "ghost", "doc_id", "text")
 
 
-def with_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 8 << 20, chunk_rows: int = 2048) -> DataFrame:
+def with_edits(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = 8 << 20, chunk_rows: int = 2048,
+) -> DataFrame:
     """Fingerprints of each text and of its edited text, and likeness to the edited and the next text."""
     rows = with_next(df, id_col, text_col)
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -255,7 +264,9 @@ def near_documents(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([written(x) for x in walks(part.column(1).to_pylist())])], ["doc_id", "fingerprint"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([written(x) for x in walks(part.column(1).to_pylist())])], ["doc_id", "fingerprint"],
+                )
 
     every = settle(narrow.mapInArrow(prints, f"doc_id {narrow.schema['doc_id'].dataType.simpleString()}, fingerprint string"), "prints")
     nodes = every.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
@@ -264,7 +275,12 @@ def near_documents(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
         for b in batches:
             texts = b.column(0).to_pylist()
             keys = [bands(bytes.fromhex(t)) for t in texts]
-            yield pa.RecordBatch.from_pydict({"band": pa.array([k for own in keys for k in own], pa.int64()), "fingerprint": [t for t, own in zip(texts, keys) for _ in own]})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "band": pa.array([k for own in keys for k in own], pa.int64()),
+                    "fingerprint": [t for t, own in zip(texts, keys) for _ in own],
+                }
+            )
 
     def first_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -296,22 +312,40 @@ def near_documents(df: DataFrame, least: float = 0.8, id_col: str = "doc_id", te
                         if x != y:
                             found.append((text, written(y)))
                 groups = [met, *others] if met else others
-            yield pa.RecordBatch.from_pydict({"a": pa.array([p[0] for p in found], pa.string()), "b": pa.array([p[1] for p in found], pa.string())})
+            yield pa.RecordBatch.from_pydict(
+                {"a": pa.array([p[0] for p in found], pa.string()), "b": pa.array([p[1] for p in found], pa.string())}
+            )
 
     banded = settle(nodes.select("fingerprint").mapInArrow(spread, "band bigint, fingerprint string"), "bands")
     # Written tables let adaptive execution split the join at crowded bands.
-    firsts = settle(banded.groupBy("band").agg(F.min("fingerprint").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "first"), "firsts")
-    told = settle(banded.join(firsts, "band").select("band", "fingerprint", "first").mapInArrow(first_links, "band bigint, fingerprint string, first string, near boolean"), "told")
+    firsts = settle(
+        banded.groupBy("band").agg(
+            F.min("fingerprint").alias("first"), F.count(F.lit(1)).alias("n"),
+        ).where("n > 1").select("band", "first"),
+        "firsts",
+    )
+    told = settle(
+        banded.join(firsts, "band").select("band", "fingerprint", "first").mapInArrow(
+            first_links, "band bigint, fingerprint string, first string, near boolean",
+        ),
+        "told",
+    )
     rest = told.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("near").alias("all")).where("not all")
     rest = settle(rest.select("band", F.ceil(F.col("n") / slice_rows).cast("int").alias("slices")), "rest")
     # A node goes to its own slice; one that is left over visits each slice too.
     own = F.pmod(F.xxhash64("fingerprint"), F.col("slices")).cast("int")
     stays = F.array(F.struct(own.alias("part"), F.lit(False).alias("visits")))
     visits = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda k: F.struct(k.alias("part"), F.lit(True).alias("visits")))
-    dealt = told.join(rest, "band").select("band", "near", "fingerprint", F.explode(F.when(F.col("near"), stays).otherwise(F.concat(stays, visits))).alias("p"))
-    grouped = dealt.select("band", "p.part", "p.visits", "near", "fingerprint").repartition("band", "part").sortWithinPartitions("band", "part", "visits", "fingerprint")
+    dealt = told.join(rest, "band").select(
+        "band", "near", "fingerprint", F.explode(F.when(F.col("near"), stays).otherwise(F.concat(stays, visits))).alias("p"),
+    )
+    grouped = dealt.select(
+        "band", "p.part", "p.visits", "near", "fingerprint",
+    ).repartition("band", "part").sortWithinPartitions("band", "part", "visits", "fingerprint")
     pairs = told.where("near and fingerprint <> first").select(F.col("fingerprint").alias("a"), F.col("first").alias("b"))
     links = components(pairs.union(grouped.mapInArrow(rest_links, "a string, b string")).distinct())
-    rooted = nodes.join(links.withColumnRenamed("a", "fingerprint"), "fingerprint", "left").withColumn("root", F.coalesce("root", "fingerprint"))
+    rooted = nodes.join(
+        links.withColumnRenamed("a", "fingerprint"), "fingerprint", "left",
+    ).withColumn("root", F.coalesce("root", "fingerprint"))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("fingerprint", "class_id")
     return every.join(named, "fingerprint").select("doc_id", "fingerprint", "class_id")

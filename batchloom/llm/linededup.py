@@ -218,7 +218,9 @@ def _merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
     return list(zip([int(f[0]), *f[new].tolist()], [*z[new - 1].tolist(), int(z[-1])])) if len(f) else []
 
 
-def cut(text: str, found: list, partner: np.ndarray, held: np.ndarray, span: np.ndarray, config: LineConfig) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
+def cut(
+    text: str, found: list, partner: np.ndarray, held: np.ndarray, span: np.ndarray, config: LineConfig,
+) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
     """The text without its blocks that are aligned with partners, the places cut, and those of them
     that stand in another order there (code points).
 
@@ -277,14 +279,19 @@ def overlaps(df: DataFrame, config: LineConfig, id_col: str = "doc_id", text_col
                     tags.append(text_tag(text))
                     sizes.append(len(own))
                     places.append(np.arange(len(own), dtype=np.int32))
-                columns = [np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(docs, np.int64), sizes), np.repeat(np.array(tags, np.int32), sizes), np.concatenate(places), np.array(kinds, np.int32)]
+                columns = [
+                    np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(docs, np.int64), sizes),
+                    np.repeat(np.array(tags, np.int32), sizes), np.concatenate(places), np.array(kinds, np.int32),
+                ]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc", "tag", "place", "kind"])
 
     lines = settle(narrow.mapInArrow(keyed, "key bigint, doc bigint, tag int, place int, kind int"), "units")
     place = F.shiftleft(F.shiftleft(F.col("tag").cast("bigint"), _PLACE_BITS) + F.col("place"), _WORD_BITS + 2) + F.col("kind")
     # Only keys of several documents go on; counting is combined before the shuffle. Written tables
     # leave both joins to adaptive execution, which splits keys that many rows have.
-    shared = settle(lines.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest")).where("latest > owner").select("key"), "shared")
+    shared = settle(
+        lines.groupBy("key").agg(F.min("doc").alias("owner"), F.max("doc").alias("latest")).where("latest > owner").select("key"), "shared",
+    )
     dealt = lines.select("doc", place.alias("at"), "key").join(shared, "key", "left_semi").select("doc", "at", "key").repartition("doc").sortWithinPartitions("doc", "at")
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,12 +315,16 @@ def overlaps(df: DataFrame, config: LineConfig, id_col: str = "doc_id", text_col
     # before the shuffle. Written tables let adaptive execution split the join at hot runs.
     there = F.when(F.col("span").bitwiseAND(1) == 1, F.col("doc"))
     held = F.min_by(F.shiftright("span", 2 + _WORD_BITS).bitwiseAND((1 << _PLACE_BITS) - 1), there)
-    first = every.groupBy("run").agg(F.min("doc").alias("partner"), F.max("doc").alias("latest"), held.alias("held")).where("latest > partner")
+    first = every.groupBy("run").agg(
+        F.min("doc").alias("partner"), F.max("doc").alias("latest"), held.alias("held"),
+    ).where("latest > partner")
     first = settle(first.select("run", "partner", "held"), "holders")
     return every.where(F.col("span").bitwiseAND(2) == 2).join(first, "run").where("doc > partner").select("doc", "partner", "held", "span")
 
 
-def without_copies(df: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text_col: str = "text", report: str | None = None) -> DataFrame:
+def without_copies(
+    df: DataFrame, config: LineConfig = LineConfig(), id_col: str = "doc_id", text_col: str = "text", report: str | None = None,
+) -> DataFrame:
     """``df`` without the blocks that its documents share with earlier ones.
 
     ``report`` names a further column for the places cut, as ``start:end`` in code points of

@@ -58,7 +58,9 @@ class PieceEncoder(WordEncoder):
             raise ValueError("pieces that go on across blanks are not supported")
         self.score = {p.piece: p.score for _, p in plain}
         self.pieces = [p.piece for p in model.pieces]
-        self.byte_ids = np.array([k for _, k in sorted((int(p.piece[3:5], 16), k) for k, p in enumerate(model.pieces) if p.type == p.BYTE)], np.int64)
+        self.byte_ids = np.array(
+            [k for _, k in sorted((int(p.piece[3:5], 16), k) for k, p in enumerate(model.pieces) if p.type == p.BYTE)], np.int64,
+        )
         # Whether pairs agree: sorted arrays, and the latest ones.
         self.pairs, self.values = np.full(1, -1, np.int64), np.zeros(1, bool)
         self.recent: dict[int, bool] = {}
@@ -80,7 +82,10 @@ class PieceEncoder(WordEncoder):
         else:
             pattern = rf"{MARK}*[^\W\d_{odd}]+|{MARK}*(?:(?![{MARK}\n])[\W\d_{odd}])+[^\W\d_{odd}]*|{MARK}+|\n+"
         self._words = re.compile(pattern).findall
-        raw = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else b"" if p.type == p.CONTROL else b" \xe2\x81\x87 " if p.type == p.UNKNOWN else p.piece.replace(MARK, " ").encode() for p in model.pieces]
+        raw = [
+            bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else b"" if p.type == p.CONTROL else b" \xe2\x81\x87 " if p.type == p.UNKNOWN else p.piece.replace(MARK, " ").encode()
+            for p in model.pieces
+        ]
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
         self.raw_ends = np.concatenate([[0], np.cumsum([len(r) for r in raw])])
         self.max_words = max_words
@@ -200,6 +205,8 @@ def encode_and_decode(df: DataFrame, model: str, id_col: str = "doc_id", text_co
                     pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
                     pa.array([own.decode(x.astype(np.int64)) == t for x, t in zip(ids, texts)], pa.bool_()),
                 ]
-                yield pa.RecordBatch.from_arrays(columns + [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] * with_ids, names)
+                yield pa.RecordBatch.from_arrays(
+                    columns + [pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32()))] * with_ids, names,
+                )
 
     return narrow.mapInArrow(run, schema)

@@ -48,7 +48,9 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+").match
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}").finditer
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+").finditer
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]").finditer
-_TRIGGER = re.compile(r"[0-9@]|[\[({<] ?(?:at|dot) ?[\])}>]| dot | at (?=[a-z0-9-]{1,63}(?:\.[a-z]| ?[\[({<]? ?dot))", re.IGNORECASE).finditer
+_TRIGGER = re.compile(
+    r"[0-9@]|[\[({<] ?(?:at|dot) ?[\])}>]| dot | at (?=[a-z0-9-]{1,63}(?:\.[a-z]| ?[\[({<]? ?dot))", re.IGNORECASE,
+).finditer
 _DIGITS = re.compile(r"[0-9]").findall
 
 
@@ -94,7 +96,10 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _word(rng: np.random.Generator) -> str:
-    parts = ("an", "er", "the", "ou", "re", "le", "de", "st", "ing", "ar", "os", "ich", "ung", "ti", "on", "é", "ma", "ko", "at", "dot", "ü", "x", "j", "w")
+    parts = (
+        "an", "er", "the", "ou", "re", "le", "de", "st", "ing", "ar", "os", "ich", "ung", "ti", "on", "é", "ma", "ko", "at", "dot", "ü",
+        "x", "j", "w",
+    )
     if rng.random() < 0.5:
         return "".join("abcdefghijklmnopqrstuvwxyz"[k] for k in rng.integers(26, size=rng.integers(2, 10)))
     return "".join(parts[k] for k in rng.integers(len(parts), size=rng.integers(1, 4)))
@@ -119,8 +124,13 @@ def _personal(rng: np.random.Generator, kind: int) -> str:
         word = pick("at", "at", "AT", "At")
         at = pick("@", "@", f" ({word}) ", f"({word})", f"[{word}]", f" [{word}] ", f" {{{word}}} ", f" {word} ")
         stop = pick("dot", "dot", "DOT", "Dot")
-        dot = pick(".", ".", f" ({stop}) ", f"[{stop}]", f" {stop} ", f" [{stop}] ") if at != "@" else pick(".", f" ({stop}) ", f"[{stop}]", f" [{stop}] ")
-        name = pick(_plain_word(rng), f"{_plain_word(rng)}.{_plain_word(rng)}", f"{_plain_word(rng)}_{_number(rng, 2)}", f"{_plain_word(rng)}{_number(rng, 3)}")
+        dot = pick(
+            ".", ".", f" ({stop}) ", f"[{stop}]", f" {stop} ", f" [{stop}] ",
+        ) if at != "@" else pick(".", f" ({stop}) ", f"[{stop}]", f" [{stop}] ")
+        name = pick(
+            _plain_word(rng), f"{_plain_word(rng)}.{_plain_word(rng)}", f"{_plain_word(rng)}_{_number(rng, 2)}",
+            f"{_plain_word(rng)}{_number(rng, 3)}",
+        )
         host = pick("", "", f"{_plain_word(rng)}-", f"{_plain_word(rng)}{dot}")
         return f"{name}{at}{host}{_plain_word(rng)}{_number(rng, rng.integers(3))}{dot}{pick('com', 'org', 'net', 'de', 'fr', 'edu', 'io')}"
     if kind == 1:
@@ -254,7 +264,10 @@ class Tagger:
         make = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[-2]), shape)
         self.config = config
         gates = np.tile(np.concatenate([np.zeros(h), np.ones(h), np.zeros(2 * h)]), (2, 1, 1))
-        self.p = {"e": rng.normal(0, 0.5, (_N_CLASSES, d)), "x": make(2, d, 4 * h), "h": make(2, h, 4 * h), "c": gates, "o": make(2 * h, _TAGS), "ob": np.zeros(_TAGS), "t": np.zeros((_TAGS, _TAGS))}
+        self.p = {
+            "e": rng.normal(0, 0.5, (_N_CLASSES, d)), "x": make(2, d, 4 * h), "h": make(2, h, 4 * h), "c": gates, "o": make(2 * h, _TAGS),
+            "ob": np.zeros(_TAGS), "t": np.zeros((_TAGS, _TAGS)),
+        }
 
     def _lstm(self, x: np.ndarray, keep: bool = False):
         """x: time x rows x embed. Gates stand in the order input, forget, output, candidate.
@@ -437,7 +450,10 @@ class Tagger:
         return found
 
 
-_AT = re.compile(r"[^\s@]+ ?(?:@|[\[({<] ?at ?[\])}>]|(?<= )at(?= )) ?[a-z0-9-]+(?: ?(?:\.|[\[({<] ?dot ?[\])}>]|(?<= )dot(?= )) ?[a-z0-9-]+)+", re.IGNORECASE).match
+_AT = re.compile(
+    r"[^\s@]+ ?(?:@|[\[({<] ?at ?[\])}>]|(?<= )at(?= )) ?[a-z0-9-]+(?: ?(?:\.|[\[({<] ?dot ?[\])}>]|(?<= )dot(?= )) ?[a-z0-9-]+)+",
+    re.IGNORECASE,
+).match
 
 
 def _trim(text: str, kind: int, start: int, end: int) -> Span | None:
@@ -511,7 +527,9 @@ def find(df: DataFrame, config: TaggerConfig = TaggerConfig(), id_col: str = "do
                 base, spans = all_spans(tagger.value, part.column(1).to_pylist())
                 counts = [pa.array([sum(s[0] == k for s in x) for x in base], pa.int64()) for k in range(4)]
                 sums = [hashlib.sha256(spell(x).encode()).hexdigest() for x in base]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(sums, pa.string()), pa.array([spell(x) for x in spans], pa.string())], names)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *counts, pa.array(sums, pa.string()), pa.array([spell(x) for x in spans], pa.string())], names,
+                )
 
     return narrow.mapInArrow(run, schema)
 

@@ -95,7 +95,11 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup, "op5_token_files": op5_token_files, "op6_fingerprints": op6_fingerprints, "op7_token_counts": op7_token_counts, "op8_toxicity": op8_toxicity, "op9_top_k": op9_top_k, "op10_pii": op10_pii}
+    return {
+        "op1_packing": op1_packing, "op2_sentencepiece": op2_sentencepiece, "op3_simhash": op3_simhash, "op4_line_dedup": op4_line_dedup,
+        "op5_token_files": op5_token_files, "op6_fingerprints": op6_fingerprints, "op7_token_counts": op7_token_counts,
+        "op8_toxicity": op8_toxicity, "op9_top_k": op9_top_k, "op10_pii": op10_pii,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -179,8 +179,13 @@ def link(distinct: DataFrame, bits: int = BITS, hot: int = HOT, tile: int = TILE
         told = settle(told, "told")
         many = told.groupBy("key", "part").agg(F.count(F.lit(1)).alias("n"), F.count_if("home").alias("homes"))
         tiles = lambda n: F.ceil(n / tile).cast("int")
-        many = settle(many.where(F.col("n") > hot).select("key", "part", tiles(F.col("homes")).alias("down"), tiles(F.col("n")).alias("across")), "many")
-        sized = told.join(many, ["key", "part"], "left").withColumns({"down": F.coalesce("down", F.lit(1)), "across": F.coalesce("across", F.lit(1))})
+        many = settle(
+            many.where(F.col("n") > hot).select("key", "part", tiles(F.col("homes")).alias("down"), tiles(F.col("n")).alias("across")),
+            "many",
+        )
+        sized = told.join(many, ["key", "part"], "left").withColumns(
+            {"down": F.coalesce("down", F.lit(1)), "across": F.coalesce("across", F.lit(1))}
+        )
         row = lambda n: F.pmod(F.xxhash64("fp"), n).cast("bigint")
         cell = lambda i, j: F.shiftleft(i.cast("bigint"), 40) + F.shiftleft(j.cast("bigint"), 16) + F.col("part")
         place = lambda i, j, home: F.struct(cell(i, j).alias("cell"), home.alias("home"))

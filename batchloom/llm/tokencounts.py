@@ -89,7 +89,9 @@ class PrefixCounter:
         rules = MergeRules([(vocab[a], vocab[b], vocab[a + b]) for a, b in merges], n)
         reachable = {a + b for a, b in merges} | {t for t in tokens if len(t) == 1}
         pieces = [t for t in tokens if t in reachable]
-        self.trellis = Trellis([np.array([spelling[c] for c in t], np.uint32) for t in pieces], np.array([tokens[t] for t in pieces]), rules.agrees)
+        self.trellis = Trellis(
+            [np.array([spelling[c] for c in t], np.uint32) for t in pieces], np.array([tokens[t] for t in pieces]), rules.agrees,
+        )
         self.max_words = max_words
         self._clear()
 
@@ -218,7 +220,9 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
-def token_counts(df: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", store: bool = False) -> DataFrame:
+def token_counts(
+    df: DataFrame, tokenizer: str, limit: int = 1024, id_col: str = "doc_id", text_col: str = "text", store: bool = False,
+) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit, fit_chars (longest prefix within the limit) and, with
     ``store``, ``prefix_counts`` for ``PrefixCounts.from_bytes``."""
     narrow = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -240,7 +244,10 @@ def token_counts(df: DataFrame, tokenizer: str, limit: int = 1024, id_col: str =
                     fits.append(one.fit(limit))
                     if store:
                         stored.append(one.to_bytes())
-                columns = [part.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()), pa.array([n > limit for n in totals], pa.bool_()), pa.array(fits, pa.int64())]
+                columns = [
+                    part.column(0), pa.array(sizes, pa.int64()), pa.array(totals, pa.int64()),
+                    pa.array([n > limit for n in totals], pa.bool_()), pa.array(fits, pa.int64()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns + [pa.array(stored, pa.binary())] * store, names)
 
     return narrow.mapInArrow(run, schema)

@@ -63,7 +63,10 @@ class EliasFano:
         places = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         marks = np.zeros(int(places[-1]) + 1 if n else 0, np.uint8)
         marks[places] = 1
-        return cls(n, low_bits, np.packbits(bits.reshape(-1), bitorder="little"), np.packbits(marks, bitorder="little"), places[::SAMPLE].astype("<u8"))
+        return cls(
+            n, low_bits, np.packbits(bits.reshape(-1), bitorder="little"), np.packbits(marks, bitorder="little"),
+            places[::SAMPLE].astype("<u8"),
+        )
 
     def to_bytes(self) -> bytes:
         head = struct.pack("<qqqqq", self.n, self.low_bits, len(self.low), len(self.high), len(self.samples))
@@ -195,7 +198,9 @@ FILES = "part int, place int, name string, docs bigint, ids bigint"
 def write_tokens(df: DataFrame, folder: str, config: TokenFileConfig, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the files and their manifest, and return it: part, place in it, name, documents and ids of each file."""
     spark = df.sparkSession
-    narrow = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    narrow = df.select(
+        F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"),
+    ).withColumn("h", F.xxhash64("text"))
     dealt = narrow.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +215,10 @@ def write_tokens(df: DataFrame, folder: str, config: TokenFileConfig, id_col: st
             nonlocal size, place, nulls
             name = f"tokens-{part:06d}-{place:06d}.bin"
             _put(folder, name, file_bytes(np.array(names, np.int64), np.cumsum([len(x) for x in ids]), np.concatenate(ids), nulls))
-            row = pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([name]), pa.array([len(ids)]), pa.array([size])], ["part", "place", "name", "docs", "ids"])
+            row = pa.RecordBatch.from_arrays(
+                [pa.array([part], pa.int32()), pa.array([place], pa.int32()), pa.array([name]), pa.array([len(ids)]), pa.array([size])],
+                ["part", "place", "name", "docs", "ids"],
+            )
             names.clear()
             ids.clear()
             size, place, nulls = 0, place + 1, 0
@@ -247,7 +255,9 @@ def with_starts(files: DataFrame) -> DataFrame:
         total += n
     parts = F.broadcast(spark.createDataFrame(offsets, "part int, offset bigint"))
     inside = F.sum("ids").over(Window.partitionBy("part").orderBy("place").rowsBetween(Window.unboundedPreceding, -1))
-    return files.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts, "part").select("name", (F.col("offset") + F.col("inside")).alias("before"))
+    return files.withColumn("inside", F.coalesce(inside, F.lit(0))).join(parts, "part").select(
+        "name", (F.col("offset") + F.col("inside")).alias("before"),
+    )
 
 
 def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
@@ -264,11 +274,16 @@ def read_tokens(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame
                     starts, ends = file.documents(k)
                     sums = [zlib.crc32(file.ids[s:e].astype("<u4").tobytes()) for s, e in zip(starts.tolist(), ends.tolist())]
                     own = pa.array(names[np.maximum(k - file.nulls, 0)] if len(names) else np.zeros(len(k), np.int64), mask=k < file.nulls)
-                    yield pa.RecordBatch.from_arrays([own, pa.array(starts), pa.array(ends - starts), pa.array(sums, pa.int64()), pa.array([name] * len(k))], ["doc_id", "start", "n_tokens", "ids_crc32", "name"])
+                    yield pa.RecordBatch.from_arrays(
+                        [own, pa.array(starts), pa.array(ends - starts), pa.array(sums, pa.int64()), pa.array([name] * len(k))],
+                        ["doc_id", "start", "n_tokens", "ids_crc32", "name"],
+                    )
 
     found = spark.read.format("binaryFile").option("pathGlobFilter", "tokens-*.bin").load(folder)
     rows = found.select("path", "content").mapInArrow(run, schema)
-    return rows.join(with_starts(files), "name").select("doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return rows.join(with_starts(files), "name").select(
+        "doc_id", (F.col("start") + F.col("before")).alias("start"), "n_tokens", "ids_crc32",
+    )
 
 
 def token_file_digest(df: DataFrame, config: TokenFileConfig) -> DataFrame:

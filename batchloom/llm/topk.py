@@ -71,7 +71,9 @@ class Approximation:
         off = np.abs(queries) @ (self.width * 0.5) + np.abs(scaled).sum(axis=1) * ((len(self.width) + 2) * 256 * 2.0**-24) + 1e-9 * (1 + np.abs(queries) @ self.size)
         return middle - off[:, None], middle + off[:, None]
 
-    def best(self, query: np.ndarray, own: int, low: np.ndarray, high: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def best(
+        self, query: np.ndarray, own: int, low: np.ndarray, high: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int,
+    ) -> tuple[np.ndarray, np.ndarray]:
         """The k best of those known so far and this block's, best first."""
         mine = self.ids == own
         if mine.any():
@@ -96,7 +98,9 @@ def finite_vectors(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id and v, an array of doubles, of the rows that take part."""
     v = F.col(vec_col)
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return df.where(F.col(id_col).isNotNull() & (F.size(v) > 0) & fine).select(F.col(id_col).cast("bigint").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+    return df.where(F.col(id_col).isNotNull() & (F.size(v) > 0) & fine).select(
+        F.col(id_col).cast("bigint").alias("id"), F.transform(v, lambda x: x.cast("double")).alias("v"),
+    )
 
 
 def _whole(rows: np.ndarray, scale: int) -> np.ndarray:
@@ -146,7 +150,9 @@ class _Known:
             for at in range(0, self.n, self.config.query_rows):
                 low, high = block.bounds(self.plain[at : min(self.n, at + self.config.query_rows)].astype(np.float64))
                 for j in range(len(low)):
-                    self.best[at + j] = block.best(self.plain[at + j], int(self.ids[at + j]), low[j], high[j], *self.best[at + j], self.config.k)
+                    self.best[at + j] = block.best(
+                        self.plain[at + j], int(self.ids[at + j]), low[j], high[j], *self.best[at + j], self.config.k,
+                    )
         # Pairs with a large vector on either side: whole numbers of any size, a query at a time.
         for j in range(len(self.ids)):
             query = self.plain[j].astype(object) if j < self.n else self.large[j - self.n]
@@ -175,12 +181,20 @@ def _scan(queries: list[tuple[np.ndarray, np.ndarray]], config: TopKConfig):
         for own in known.values():
             for at in range(0, len(own.ids), 4096):
                 rows = list(zip(own.ids[at : at + 4096], own.best[at : at + 4096]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.full(len(x[0]), i, np.int64) for i, x in rows])), pa.array(np.concatenate([x[0] for _, x in rows])), pa.array(np.concatenate([x[1] for _, x in rows]))], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.concatenate([np.full(len(x[0]), i, np.int64) for i, x in rows])),
+                        pa.array(np.concatenate([x[0] for _, x in rows])), pa.array(np.concatenate([x[1] for _, x in rows])),
+                    ],
+                    ["query_id", "vec_id", "score"],
+                )
 
     return run
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, config: TopKConfig = TopKConfig(), id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def top_k(
+    queries: DataFrame, vectors: DataFrame, config: TopKConfig = TopKConfig(), id_col: str = "vec_id", vec_col: str = "embedding",
+) -> DataFrame:
     """query_id, rank (from 1), vec_id and score of each query's k best vectors."""
     every = finite_vectors(vectors, id_col, vec_col)
     asked = settle(finite_vectors(queries, id_col, vec_col).groupBy("id").agg(F.min("v").alias("v")), "asked")

@@ -192,11 +192,15 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     """The index of the labelled rows of ``docs`` that aren't held out."""
     spark = docs.sparkSession
     sample = labels.where("toxic is not null and doc_id is not null").where(~held_out("doc_id"))
-    sample = sample.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_examples)
+    sample = sample.groupBy("doc_id").agg(
+        F.max(F.col("toxic").cast("int")).alias("toxic")
+    ).orderBy(F.xxhash64("doc_id"), "doc_id").limit(config.max_examples)
     # The sample's rows are at most max_examples, so they may be broadcast.
     chosen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").where("text is not null")
     # Equal texts count once, toxic if most of their labels say so.
-    texts = chosen.groupBy(F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"))
+    texts = chosen.groupBy(F.xxhash64("text").alias("h")).agg(
+        F.min("doc_id").alias("doc_id"), F.min("text").alias("text"), (F.avg("toxic") >= 0.5).cast("int").alias("toxic"),
+    )
     texts = settle(texts.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", "toxic"), "examples")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -152,7 +152,9 @@ def test_unigram_models(tmp_path):
     path = tmp_path / "unigram.model"
     path.write_bytes(new.SerializeToString())
     sp, own = sentencepiece.SentencePieceProcessor(model_proto=new.SerializeToString()), piece_encoder(str(path))
-    texts = ["", " ", "the other one", "  two  blanks ", "x" * 300, "hatred" * 90] + ["".join(rng.choice("abcdehlnorst  ,é\n") for _ in range(rng.randint(1, 90))) for _ in range(300)]
+    texts = ["", " ", "the other one", "  two  blanks ", "x" * 300, "hatred" * 90] + [
+        "".join(rng.choice("abcdehlnorst  ,é\n") for _ in range(rng.randint(1, 90))) for _ in range(300)
+    ]
     flat, ends = own.encode(texts)
     assert [flat[a:b].tolist() for a, b in zip(ends, ends[1:])] == sp.encode(texts)
 
@@ -279,7 +281,10 @@ def test_line_dedup_finds_passages_held_whole(spark):
     one, two, three = "The first part has seven words here.", "Then the second part has seven words.", "And so the third one also does."
     whole = f"{one} {two} {three}"
     texts = [f"Alone {k} it stands: {s}\n{s} Nothing more {k}." for k, s in enumerate((one, two, three))]  # each sentence, singly
-    texts += [f"{one} It repeats {one} It goes on.", f"Held whole now. {whole} End.", f"The later one says: so. {whole} Own end here.", f"{two} {one} {three}"]
+    texts += [
+        f"{one} It repeats {one} It goes on.", f"Held whole now. {whole} End.", f"The later one says: so. {whole} Own end here.",
+        f"{two} {one} {three}",
+    ]
     rows = [r.text for r in linededup.without_copies(frame(spark, texts)).orderBy("doc_id").collect()]
     assert rows[:5] == texts[:5] and rows[5] == "The later one says: so. Own end here." and rows[6] == texts[6]
     # The first holder has the first sentence twice, the passage at the second place.
@@ -341,15 +346,22 @@ def test_units_too_short_for_any_run():
 
 
 def test_alignment_marks_the_chain():
-    pairs = np.array([(3, 0, 5), (3, 1, 6), (3, 2, 0), (3, 3, 1), (3, 4, 9), (7, 0, 0), (7, 0, 0), (7, 5, 5), (9, 2, 4), (9, 2, 1), (9, 3, 2)])
+    pairs = np.array(
+        [(3, 0, 5), (3, 1, 6), (3, 2, 0), (3, 3, 1), (3, 4, 9), (7, 0, 0), (7, 0, 0), (7, 5, 5), (9, 2, 4), (9, 2, 1), (9, 3, 2)]
+    )
     on = linededup.align(*(np.ascontiguousarray(x) for x in pairs.T))
     assert on[:5].tolist() in ([True, True, False, False, True], [False, False, True, True, True]) and on[5:].all()
     assert linededup.align(np.array([1, 1, 2]), np.array([0, 1, 0]), np.array([4, 5, 4])).all()
 
 
 def test_moved_blocks(spark):
-    one, two, three = (f"{w} of this passage is long enough to be told apart from any other one here." for w in ("The first part", "A second piece", "Some third bit"))
-    texts = [f"Start.\n{one}\nBetween them.\n{two}\n{three}\nDone.", f"Other start.\n{two}\n{three}\nA middle of my own.\n{one}\nOther end."]
+    one, two, three = (
+        f"{w} of this passage is long enough to be told apart from any other one here."
+        for w in ("The first part", "A second piece", "Some third bit")
+    )
+    texts = [
+        f"Start.\n{one}\nBetween them.\n{two}\n{three}\nDone.", f"Other start.\n{two}\n{three}\nA middle of my own.\n{one}\nOther end.",
+    ]
     row = linededup.without_copies(frame(spark, texts), report="cut__").where("doc_id = 1").first()
     assert row.text == "Other start.\nA middle of my own.\nOther end." and len(row.cut__.split(",")) == 2
     s, e = map(int, row.cut___moved.split(":"))
@@ -360,7 +372,10 @@ def test_moved_blocks(spark):
 
 def test_many_repeats_of_one_line(spark):
     line = "This line is said again and again and again."
-    texts = [f"Begin.\n{line}\n{line}\nStop here.", "\n".join([line] * 100_000) + "\nThe end is mine.", "Mine.\n" + "\n".join([line, "Not yet."] * 20_000)]
+    texts = [
+        f"Begin.\n{line}\n{line}\nStop here.", "\n".join([line] * 100_000) + "\nThe end is mine.",
+        "Mine.\n" + "\n".join([line, "Not yet."] * 20_000),
+    ]
     began = time.monotonic()
     rows = [r.text for r in linededup.without_copies(frame(spark, texts)).orderBy("doc_id").collect()]
     assert rows[:2] == [texts[0], "The end is mine."] and rows[2] == "Mine.\n" + "\n".join(["Not yet."] * 20_000) and time.monotonic() - began < 60
@@ -456,7 +471,9 @@ def plain_walk(text):
 
 def test_walks_equal_the_plain_walk():
     rng = random.Random(12)
-    texts = ["", "a", "ab" * 40] + ["".join(rng.choice("abc déß日🙂\n") for _ in range(rng.choice([2, 30, 63, 64, 65, 127, 128, 200, 700, 3000]))) for _ in range(60)]
+    texts = ["", "a", "ab" * 40] + [
+        "".join(rng.choice("abc déß日🙂\n") for _ in range(rng.choice([2, 30, 63, 64, 65, 127, 128, 200, 700, 3000]))) for _ in range(60)
+    ]
     assert editprint.walks(texts) == [plain_walk(t) for t in texts]
     # Sampled steps, from their definition: hashes below a bound that halves from level to level.
     for level in (7, 8, 10):
@@ -545,7 +562,9 @@ def test_bands_lie_over_the_whole_text():
 
 def test_every_prefix_is_exact():
     own, lib = tokencounts.counter(BPE), library()
-    for text in [t for t in ODD if t and len(t) < 400] + ["I'll 'rea ''s", "a \t\n  z", "x<|endoftext|>  <|endoftext|>y", "aaaa" * 20, "ÃÂ" * 12]:
+    for text in [t for t in ODD if t and len(t) < 400] + [
+        "I'll 'rea ''s", "a \t\n  z", "x<|endoftext|>  <|endoftext|>y", "aaaa" * 20, "ÃÂ" * 12,
+    ]:
         counts = tokencounts.PrefixCounts(own.prefixes(own.prepare([text])[0]))
         want = [len(lib.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)]
         assert counts.counts.tolist() == want
@@ -578,7 +597,9 @@ def test_toxicity(spark):
         labels.append((k, 1, int(toxic)))
     docs = frame(spark, texts + [None, ""])
     index = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
-    rows = {r.doc_id: r for r in toxicity.scored(docs.select("doc_id", "text"), index).withColumn("held", toxicity.held_out("doc_id")).collect()}
+    rows = {
+        r.doc_id: r for r in toxicity.scored(docs.select("doc_id", "text"), index).withColumn("held", toxicity.held_out("doc_id")).collect()
+    }
     held = [k for k in range(600) if rows[k].held]
     assert all(rows[k].held == (zlib.crc32(str(k).encode()) % 5 == 0) for k in range(600)) and 80 < len(held) < 160
     assert all(rows[k].predicted == labels[k][2] for k in held)
@@ -635,13 +656,19 @@ def test_evidence_and_calibration():
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(k, [float(np.float32(x)) for x in rng.normal(0, 0.2, 5)]) for k in range(120)]
-    rows += [(200, rows[3][1]), (201, rows[3][1]), (300, None), (301, []), (302, [1.0, None, 1.0, 1.0, 1.0]), (303, [float("nan")] * 5), (304, [float("inf")] * 5), (400, [1.0, 2.0]), (401, [3.0, 1.0]), (None, [0.0] * 5)]
+    rows += [
+        (200, rows[3][1]), (201, rows[3][1]), (300, None), (301, []), (302, [1.0, None, 1.0, 1.0, 1.0]), (303, [float("nan")] * 5),
+        (304, [float("inf")] * 5), (400, [1.0, 2.0]), (401, [3.0, 1.0]), (None, [0.0] * 5),
+    ]
     df = spark.createDataFrame([(k, v, 0) for k, v in rows], "vec_id bigint, embedding array<float>, score int")
     found = topk.top_k(df.where("vec_id % 100 = 0"), df, topk.TopKConfig(block=16, cells=4, query_rows=2, chunk_bytes=100))
     got = {}
     for r in found.collect():
         got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
-    fine = [(k, [int(np.floor(1024 * x)) for x in v]) for k, v in rows if k is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+    fine = [
+        (k, [int(np.floor(1024 * x)) for x in v])
+        for k, v in rows if k is not None and v and all(x is not None and np.isfinite(x) for x in v)
+    ]
     for q, v in fine:
         if q % 100 == 0:
             every = sorted(((-sum(a * b for a, b in zip(v, w)), k) for k, w in fine if k != q and len(w) == len(v)))[:10]
@@ -652,7 +679,18 @@ def test_top_k(spark):
 
 def test_top_k_with_large_components(spark):
     rng = random.Random(4)
-    rows = [(k, [rng.choice([rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(-3e4, 3e4), rng.choice([1e9, -1e12, 1e30, -1e300])]) if k % 3 == 0 else rng.uniform(-1, 1) for _ in range(3)]) for k in range(90)]
+    rows = [
+        (
+            k,
+            [
+                rng.choice(
+                    [rng.uniform(-1, 1), rng.uniform(-1, 1), rng.uniform(-3e4, 3e4), rng.choice([1e9, -1e12, 1e30, -1e300])]
+                ) if k % 3 == 0 else rng.uniform(-1, 1)
+                for _ in range(3)
+            ],
+        )
+        for k in range(90)
+    ]
     df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
     whole = {k: [math.floor(1024 * Fraction(x)) for x in v] for k, v in rows}
     got = {}
@@ -676,7 +714,10 @@ def test_cell_bounds_hold():
 
 # --- op10 ---------------------------------------------------------------------------------------
 
-RULES = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
+RULES = (
+    r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",
+    r"\+[0-9][\x20().0-9-]+[0-9]",
+)
 
 
 def plain_spans(text):
@@ -684,7 +725,9 @@ def plain_spans(text):
     for k, rule in enumerate(RULES):
         for m in re.finditer(rule, text):
             d = re.findall("[0-9]", m.group())
-            if (k == 0) or (k == 1 and all(int(p) <= 255 for p in m.group().split("."))) or (k == 2 and 13 <= len(d) <= 19 and pii.luhn(d)) or (k == 3 and 9 <= len(d) <= 15):
+            if (k == 0) or (
+                k == 1 and all(int(p) <= 255 for p in m.group().split("."))
+            ) or (k == 2 and 13 <= len(d) <= 19 and pii.luhn(d)) or (k == 3 and 9 <= len(d) <= 15):
                 out.append((k, m.start(), m.end()))
     return out
 
@@ -773,7 +816,9 @@ def test_stored_weights_find_held_out_spans():
 def test_clean_prose_has_no_spans():
     import pandas as pd
 
-    texts = pd.read_parquet(f"{SF}/benchmark.parquet").text.tolist() + ["The dot at the end, at night. Version 1.2 of 2024-05-06 costs 12.50 EUR at 10:20:30."]
+    texts = pd.read_parquet(f"{SF}/benchmark.parquet").text.tolist() + [
+        "The dot at the end, at night. Version 1.2 of 2024-05-06 costs 12.50 EUR at 10:20:30."
+    ]
     assert not any(pii.all_spans(pii.trained(), texts)[1])
 
 
@@ -825,13 +870,17 @@ def plain_toxic(text, examples, index):
         for word, tf in c.items():
             a, b = clean[word], toxic[word]
             g = max(0.0, 2 * (h(a, n0) + h(b, n1) - h(a + b, n0 + n1)))
-            w[word] = (1 + math.log(tf)) * (math.log((1 + n0 + n1) / (1 + a + b)) + 1) * (config.floor + (1 - config.floor) * (g / (g + config.half)) ** 2)
+            w[word] = (1 + math.log(tf)) * (math.log((1 + n0 + n1) / (1 + a + b)) + 1) * (
+                config.floor + (1 - config.floor) * (g / (g + config.half)) ** 2
+            )
         size = math.sqrt(sum(x * x for x in w.values())) or 1.0
         return {k: x / size for k, x in w.items()}
 
     vectors = plain_toxic.__dict__.setdefault(id(index), {n: vector(c) for n, _, c in examples})
     own = vector(Counter(toxicity.words((text or "").lower())))
-    every = sorted(((round(sum(x * v.get(w, 0.0) for w, x in own.items()), 10), -n) for n, v in vectors.items()), reverse=True)[: config.neighbours]
+    every = sorted(
+        ((round(sum(x * v.get(w, 0.0) for w, x in own.items()), 10), -n) for n, v in vectors.items()), reverse=True,
+    )[: config.neighbours]
     votes = [(1 / (0.05 + 1 - min(c, 1.0)), labels[-n]) for c, n in every if c > 0]
     base = n1 / (n0 + n1)
     vote = (sum(w * y for w, y in votes) + config.prior_weight * base) / (sum(w for w, _ in votes) + config.prior_weight)
@@ -873,7 +922,11 @@ def test_pipeline_equals_plain_python(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 900")
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
-    extra = [(10_001, None, "x", "y", 0), (10_002, "", "x", "y", 0), (10_003, rows[min(rows)], "x", "y", 0), (10_004, f"Own start here.\n{rows[min(rows)]}\nOwn end here.", "x", "y", 0), (10_005, "Mail me: jane.doe (at) mail (dot) org or 10.1.2.3", "x", "y", 0)]
+    extra = [
+        (10_001, None, "x", "y", 0), (10_002, "", "x", "y", 0), (10_003, rows[min(rows)], "x", "y", 0),
+        (10_004, f"Own start here.\n{rows[min(rows)]}\nOwn end here.", "x", "y", 0),
+        (10_005, "Mail me: jane.doe (at) mail (dot) org or 10.1.2.3", "x", "y", 0),
+    ]
     docs = docs.unionByName(spark.createDataFrame(extra, docs.schema))
     state = {r.doc_id: r.text for r in docs.orderBy("doc_id").collect()}
     as_frame = lambda: docs.drop("text").join(spark.createDataFrame(sorted(state.items()), "doc_id bigint, text string"), "doc_id").select(docs.columns)
