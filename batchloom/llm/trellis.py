@@ -41,6 +41,7 @@ def _hash_one(symbols: np.ndarray) -> int:
     return h
 
 
+_FEW = 64  # words of a batch that are solved by end positions alone
 _PAD = 0xFFFFFFFF  # behind the end of a word in a batch of longer ones
 
 
@@ -94,6 +95,10 @@ class Trellis:
         back = np.zeros((size + 1, n), np.int32)
         best = np.full((size + 1, n), -np.inf, np.float32)
         best[0] = 0
+        if n <= _FEW:
+            for j in range(1, size + 1):
+                self._step(j, words, prefix, count, last, back, best)
+            return count.T, last.T, back.T
         for j in range(1, size + 1):
             for i in range(max(0, j - self.longest), j):
                 at, k = self._probe(prefix[j] - prefix[i] * _POWERS[j - i], words[:, i:j])
@@ -118,6 +123,42 @@ class Trellis:
                     break
         return count.T, last.T, back.T
 
+    def _step(
+        self, j: int, words: np.ndarray, prefix: np.ndarray, count: np.ndarray, last: np.ndarray, back: np.ndarray, best: np.ndarray,
+    ) -> None:
+        """End position j of few words: all starts of the last piece at once."""
+        low, n = max(0, j - self.longest), len(words)
+        sizes = np.arange(j - low, 0, -1)
+        h = (prefix[j] - prefix[low:j] * _POWERS[sizes][:, None]).ravel()
+        cell = np.flatnonzero(self.maybe[h >> np.uint64(64 - _FILTER_BITS)])
+        k = np.minimum(np.searchsorted(self.keys, h[cell]), len(self.keys) - 1)
+        hit = self.keys[k] == h[cell]
+        cell, k = cell[hit], k[hit]
+        start, at = low + cell // n, cell % n
+        inside = np.arange(min(j, self.longest))
+        places = np.minimum(start[:, None] + inside, j - 1)
+        same = (self.sizes[k] == j - start) & ((words[at[:, None], places] == self.symbols[k, : len(inside)]) | (places - start[:, None] < inside)).all(axis=1)
+        if not same.all():
+            start, at, k = start[same], at[same], k[same]
+        ids = self.ids[k]
+        gain = np.zeros(len(at), np.float32) if self.scores is None else self.scores[k]
+        if self.unknown is not None:
+            odd = np.ones(n, bool)
+            odd[at[start == j - 1]] = False
+            odd = np.flatnonzero(odd)
+            start, at = np.concatenate([start, np.full(len(odd), j - 1)]), np.concatenate([at, odd])
+            ids, gain = np.concatenate([ids, self.unknown(words[odd, j - 1])]), np.concatenate([gain, np.full(len(odd), self.unknown_score)])
+        value = best[start, at] + gain
+        if self.agrees is not None:
+            good = start == 0
+            ask = np.flatnonzero(~good)
+            good[ask] = self.agrees(last[start[ask], at[ask]], ids[ask])
+            start, at, ids, value = start[good][::-1], at[good][::-1], ids[good][::-1], value[good][::-1]  # one a word
+        else:
+            order = np.lexsort((-start, value, at))  # the last one of a word is written last: the greatest, of the least start
+            start, at, ids, value = start[order], at[order], ids[order], value[order]
+        best[j, at], last[j, at], back[j, at], count[j, at] = value, ids, start, count[start, at] + 1
+
 
 def batches(words: list[np.ndarray], most: int = 1_000_000) -> list[tuple[list[int], np.ndarray, np.ndarray]]:
     """Words of like length together: places in the list, a matrix, and their lengths.
