@@ -222,6 +222,7 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
 
         found = texts.mapInArrow(vote, "vote double, toxic int").toArrow()
         index.calibrate(found["vote"].to_numpy(), found["toxic"].to_numpy())
+        shared.destroy()  # workers need not keep it beside the one that scores
     return index
 
 
