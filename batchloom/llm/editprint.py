@@ -159,7 +159,9 @@ def with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.coalesce(F.col(id_col).cast("double"), F.lit(float(-(1 << 63)))).alias(key),
     )
     expected = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(expected >> 24, 100_000))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Without an estimate (rows that come from the driver or from Python) the planner says exabytes.
+    n = max(parts, min(expected >> 24, 100_000)) if expected < 1 << 56 else 4 * parts
     cuts = sorted(set(docs.approxQuantile(key, [k / n for k in range(1, n)], 0.2 / n))) or [0.0]
     docs = Bucketizer(
         splits=[-float("inf"), *cuts, float("inf")], inputCol=key, outputCol="part",

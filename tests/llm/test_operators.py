@@ -952,7 +952,7 @@ def test_pipeline_equals_plain_python(spark):
         least.setdefault(classes[prints[n]], n)
     want = {n: state[n] for n in least.values()}
     assert got("near_dedup") == want and len(want) < len(state)
-    state = want
+    state = want | {10_005: "Mail me: jane.doe (at) mail (dot) org or 10.1.2.3"}
     tagger = pii.trained()
     want = {n: t if t is None else pii.mask(t, pii.all_spans(tagger, [t])[1][0]) for n, t in state.items()}
     assert got("pii") == want and want[10_005] == "Mail me: [EMAIL] or [IP]"
