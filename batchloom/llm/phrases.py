@@ -8,8 +8,8 @@ no other word, so texts become id sequences, with 0 wherever a piece ends or ano
 is one language's. A dictionary of up to ``broadcast_words`` words is broadcast; for a larger one the
 distinct words of each block of a text are joined with it, and the blocks put together again.
 
-Counting. Id n-grams become binary keys of fixed width: four bytes an id, high byte first, zeros behind,
-so that keys sort as numbers. Pairs are counted first. A longer phrase of ``least`` occurrences
+Counting. Id n-grams become binary keys, of one fixed width in each pass: four bytes an id, high byte first,
+zeros behind, so that keys sort as numbers. Pairs are counted first. A longer phrase of ``least`` occurrences
 holds frequent pairs only: all n-grams of 3 to ``longest`` words whose pairs are marked in a bitmap of
 hashes are counted in one more pass. The bitmap has ``bitmap`` bits whatever there is; where hashes meet it
 lets a key more pass, which is counted all the same. Each task sorts and run-length counts its keys, ``held``
@@ -206,11 +206,14 @@ def _runs(cells: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.n
     return cells[first], n.astype(np.int64)
 
 
-def _out(cells: np.ndarray, times: np.ndarray) -> pa.RecordBatch:
-    """key, words, n."""
-    width = 8 * cells.shape[1]
-    bounds = np.arange(len(cells) + 1, dtype=np.int32) * np.int32(width)
+def _out(cells: np.ndarray, times: np.ndarray, width: int | None = None) -> pa.RecordBatch:
+    """key and n; with a ``width`` in cells, keys are widened to it, and ``words`` stands between."""
+    if width is not None and width > cells.shape[1]:
+        cells = np.concatenate([cells, np.zeros((len(cells), width - cells.shape[1]), np.uint64)], axis=1)
+    bounds = np.arange(len(cells) + 1, dtype=np.int32) * np.int32(8 * cells.shape[1])
     keys = pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(cells.astype(">u8").tobytes())])
+    if width is None:
+        return pa.RecordBatch.from_arrays([keys, pa.array(times, pa.int64())], ["key", "n"])
     size = (cells > 0).sum(axis=1) + ((cells & np.uint64(0xFFFFFFFF)) > 0).sum(axis=1)
     return pa.RecordBatch.from_arrays([keys, pa.array(size, pa.int32()), pa.array(times, pa.int64())], ["key", "words", "n"])
 
@@ -221,8 +224,9 @@ def _cells(keys: pa.Array, cells: int) -> np.ndarray:
     return own.reshape(-1, cells).astype(np.uint64)
 
 
-def gram_counts(encoded: DataFrame, grams: Callable[[np.ndarray], Iterator[np.ndarray]], config: PhraseConfig, label: str) -> DataFrame:
-    """key, words, n of the n-grams with ``least`` occurrences among those that ``grams(ids)`` gives."""
+def gram_counts(encoded: DataFrame, grams: Callable[[np.ndarray], Iterator[np.ndarray]], longest: int, config: PhraseConfig, label: str) -> DataFrame:
+    """key, words, n of the n-grams with ``least`` occurrences among those of up to ``longest`` words that ``grams(ids)`` gives."""
+    width = -(-longest // 2)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh: list[np.ndarray] = []
@@ -241,7 +245,7 @@ def gram_counts(encoded: DataFrame, grams: Callable[[np.ndarray], Iterator[np.nd
                 ids = np.frombuffer(bytes(4).join([*b.column(0).slice(at, 256).to_pylist(), b""]), np.int32)
                 for rows in grams(ids):
                     for low in range(0, len(rows), config.held):
-                        fresh.append(pack(rows[low : low + config.held], config.cells))
+                        fresh.append(pack(rows[low : low + config.held], width))
                         size += len(fresh[-1])
                         if size >= config.held:
                             size = len(merged()[1])
@@ -253,18 +257,18 @@ def gram_counts(encoded: DataFrame, grams: Callable[[np.ndarray], Iterator[np.nd
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Sums of equal keys that follow each other; the last key of a batch may go on in the next."""
-        last, so_far = np.zeros((0, config.cells), np.uint64), np.zeros(0, np.int64)
+        last, so_far = np.zeros((0, width), np.uint64), np.zeros(0, np.int64)
         for b in batches:
-            keys, n = _runs(np.concatenate([last, _cells(b.column(0), config.cells)]), np.concatenate([so_far, b.column(2).to_numpy()]))
+            keys, n = _runs(np.concatenate([last, _cells(b.column(0), width)]), np.concatenate([so_far, b.column(1).to_numpy()]))
             last, so_far = keys[-1:], n[-1:]
             done = n[:-1] >= config.least
-            yield _out(keys[:-1][done], n[:-1][done])
+            yield _out(keys[:-1][done], n[:-1][done], config.cells)
         if len(last) and so_far[0] >= config.least:
-            yield _out(last, so_far)
+            yield _out(last, so_far, config.cells)
 
-    # Written before it is dealt out by ranges, whose bounds Spark takes from a sample of it.
-    parts = settle(encoded.mapInArrow(count, _KEY), label)
-    return settle(parts.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(total, _KEY), label)
+    # Spark samples the keys for the ranges' bounds in a pass of its own: counting twice takes less than writing them.
+    dealt = encoded.mapInArrow(count, "key binary, n bigint").repartitionByRange("key").sortWithinPartitions("key")
+    return settle(dealt.mapInArrow(total, _KEY), label)
 
 
 def _pairs(ids: np.ndarray) -> Iterator[np.ndarray]:
@@ -304,9 +308,9 @@ def phrase_counts(texts: DataFrame, known: DataFrame, config: PhraseConfig) -> D
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _out(pack(b.column(0).to_numpy()[:, None], cells), b.column(1).to_numpy())
+            yield _out(pack(b.column(0).to_numpy()[:, None], cells), b.column(1).to_numpy(), cells)
 
-    pairs = gram_counts(encoded, _pairs, config, "phrase-pairs")
+    pairs = gram_counts(encoded, _pairs, 2, config, "phrase-pairs")
     found = known.select("id", "n").mapInArrow(single, _KEY).union(pairs)
     if longest == 2:
         return found
@@ -324,7 +328,7 @@ def phrase_counts(texts: DataFrame, known: DataFrame, config: PhraseConfig) -> D
             at = at[ok[at + n - 2]]
             yield own[at[:, None] + np.arange(n)]
 
-    return found.union(gram_counts(encoded, longer, config, "phrase-grams"))
+    return found.union(gram_counts(encoded, longer, longest, config, "phrase-grams"))
 
 
 # --- scores ---------------------------------------------------------------------------------------
