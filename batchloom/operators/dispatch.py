@@ -20,6 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from batchloom.operators.journal import Journal, StoppedError
 from batchloom.operators.limits import Gate, Limits
 from batchloom.operators.mapping import check_endpoint
 from batchloom.operators.provider import ProviderError, first_text
@@ -52,9 +53,10 @@ class DispatchConfig:
     routing_strategy: str = "simple-shuffle"
     router_kwargs: dict[str, Any] = field(default_factory=dict)
     strict: bool = False
-    partitions: int = 8
+    partitions: int | None = None  # by default the cores that Spark has
     count_tokens: Callable[[Any], int] = estimate
     backoff_unit: float = 1.0
+    journal: str | None = None  # a shared folder: answers there are replayed, and a strict failure stops all tasks
 
     def __post_init__(self) -> None:
         if not self.model:
@@ -82,10 +84,11 @@ class DispatchConfig:
             merged.setdefault("timeout", self.timeout)
         return merged
 
-    def shape(self) -> tuple[int, int]:
-        """Partitions and requests in flight for each."""
-        cap = self.max_parallel_requests or 128 * self.partitions
-        parts = max(1, min(self.partitions, cap, self.limits.most_parts()))
+    def shape(self, cores: int = 8) -> tuple[int, int]:
+        """Partitions and requests in flight for each. ``cores``: what the cluster has."""
+        most = self.partitions or max(1, cores)
+        cap = self.max_parallel_requests or 128 * most
+        parts = max(1, min(most, cap, self.limits.most_parts()))
         return parts, max(1, cap // parts)
 
 
@@ -143,6 +146,36 @@ class _Caller:
         self.config, self.provider = config, config.provider()
         self.gate = Gate(config.limits.share(part, parts)) if config.limits.any else None
         self.router = Router(config.routing_strategy, config.targets(), config.router_kwargs)
+        self.journal = Journal(config.journal) if config.journal else None
+        self.known: dict[int, dict] = {}  # what rows of the batch at hand have got in an earlier try
+        self.fresh: list[dict] = []
+
+    def begin(self, indices: Any) -> None:
+        """A batch of rows begins: a stopped run raises, and answers that they have already are at hand."""
+        if self.journal and len(indices):
+            self.journal.check(0.0)
+            self.known |= self.journal.load(int(min(indices)), int(max(indices)))
+
+    def replayed(self, indices: list[int]) -> list[dict] | None:
+        if self.known and all(i in self.known for i in indices):
+            return [self.known.pop(i) for i in indices]
+        return None
+
+    def note(self, rows: list[dict]) -> list[dict]:
+        if self.journal:
+            self.fresh += rows
+        return rows
+
+    def flush(self) -> None:
+        if self.journal:
+            self.journal.write(self.fresh)
+            self.fresh = []
+
+    def failed(self, error: BaseException) -> None:
+        """The failure of a strict run: what has come is kept, and the other tasks stop."""
+        if self.journal and not isinstance(error, StoppedError):
+            self.flush()
+            self.journal.stop(error)
 
     async def close(self) -> None:
         """Close the provider if it can be closed."""
@@ -155,6 +188,8 @@ class _Caller:
         c, waited, slept, attempt = self.config, 0.0, 0.0, 0
         target = self.router.pick(kind)
         while True:
+            if self.journal:
+                self.journal.check()
             asked = time.monotonic()
             if self.gate:
                 await self.gate.acquire(tokens)
@@ -264,8 +299,11 @@ async def _windowed(jobs: Iterator[Callable[[], Any]], window: int) -> AsyncIter
                     running.add(asyncio.ensure_future(job()))
             if running:
                 done, running = await asyncio.wait(running, return_when=asyncio.FIRST_COMPLETED)
+                ready = [row for task in done if task.exception() is None for row in task.result()]
+                if ready:
+                    yield ready  # before a failure among the others is raised
                 for task in done:
-                    yield task.result()
+                    task.result()
     finally:
         for task in running:
             task.cancel()
@@ -298,10 +336,15 @@ def _run(config: DispatchConfig, window: int, parts: int, make: Callable[[_Calle
                 except StopAsyncIteration:
                     break
                 if len(held) >= FRAME_ROWS or time.monotonic() - began > FRAME_SECONDS:
+                    caller.flush()
                     yield pd.DataFrame(held, columns=_COLUMNS)
                     held, began = [], time.monotonic()
+            caller.flush()
             if held:
                 yield pd.DataFrame(held, columns=_COLUMNS)
+        except Exception as error:
+            caller.failed(error)
+            raise
         finally:
             loop.run_until_complete(caller.close())
             loop.run_until_complete(loop.shutdown_default_executor())
@@ -322,15 +365,21 @@ def _with_options(df: DataFrame) -> F.Column:
 def generate(requests: DataFrame, config: DispatchConfig) -> DataFrame:
     """Answers to rows of _index, request (JSON text) and error; rows with an error make no call.
 
-    A column ``options`` (JSON text, may be null) holds a call's own options. In strict mode the first failure raises: the task cancels what it has in flight, and the
-    job fails.
+    A column ``options`` (JSON text, may be null) holds a call's own options. In strict mode the first
+    failure raises: the task cancels what it has in flight, and the job fails. With a ``journal`` the other
+    tasks stop too, and a task that is tried again replays what it has got and calls nothing twice, but for calls
+    whose answers were in flight or not yet a frame old when an executor was lost.
     """
-    parts, window = config.shape()
+    parts, window = config.shape(requests.sparkSession.sparkContext.defaultParallelism)
 
     def make(caller: _Caller, batch: pd.DataFrame) -> Iterator[Callable]:
+        caller.begin(batch["_index"])
         for index, text, error, asked in zip(batch["_index"], batch["request"], batch["error"], batch["options"]):
 
             async def one(index=index, text=text, error=error, asked=asked) -> list[dict]:
+                found = caller.replayed([index])
+                if found is not None:
+                    return found
                 if error is not None or text is None:
                     if config.strict:
                         raise ValueError(error or "no request")
@@ -345,11 +394,11 @@ def generate(requests: DataFrame, config: DispatchConfig) -> DataFrame:
                     response, metrics = await caller.call(
                         config.endpoint, request, config.count_tokens(request) + max(0, most), options, since,
                     )
-                    return [_row(index, response, None, f"g-{index}", metrics)]
+                    return caller.note([_row(index, response, None, f"g-{index}", metrics)])
                 except Exception as failure:
-                    if config.strict:
+                    if config.strict or isinstance(failure, StoppedError):
                         raise
-                    return [_row(index, None, failure, None, getattr(failure, "metrics", None))]
+                    return caller.note([_row(index, None, failure, None, getattr(failure, "metrics", None))])
 
             yield one
 
@@ -374,13 +423,17 @@ def embed(texts: DataFrame, config: DispatchConfig, text_col: str = "text", micr
     """
     if micro_batch_size < 1:
         raise ValueError("micro_batch_size must be at least 1")
-    parts, window = config.shape()
+    parts, window = config.shape(texts.sparkSession.sparkContext.defaultParallelism)
     options = config.options()
 
     def make(caller: _Caller, batch: pd.DataFrame) -> Iterator[Callable]:
+        caller.begin([i for own in batch["indices"] for i in own])
         for indices, inputs in zip(batch["indices"], batch["texts"]):
 
-            async def one(indices=list(indices), inputs=list(inputs)) -> list[dict]:
+            async def one(indices=[int(i) for i in indices], inputs=list(inputs)) -> list[dict]:
+                found = caller.replayed(indices)
+                if found is not None:
+                    return found
                 return await chunk(caller, indices, inputs, time.monotonic())
 
             yield one
@@ -392,13 +445,13 @@ def embed(texts: DataFrame, config: DispatchConfig, text_col: str = "text", micr
             if len(data) != len(inputs):
                 raise ValueError("Embedding response did not contain one vector per input item.")
             shared = {k: v for k, v in response.items() if k != "data"}
-            return [_row(i, shared | {"data": [d]}, None, f"e-{indices[0]}-{len(indices)}", metrics) for i, d in zip(indices, data)]
+            return caller.note([_row(i, shared | {"data": [d]}, None, f"e-{indices[0]}-{len(indices)}", metrics) for i, d in zip(indices, data)])
         except Exception as error:
-            if config.strict:
+            if config.strict or isinstance(error, StoppedError):
                 raise
             passing = isinstance(error, ProviderError) and error.retryable
             if len(inputs) == 1 or passing:
-                return [_row(i, None, error, None, getattr(error, "metrics", None)) for i in indices]
+                return caller.note([_row(i, None, error, None, getattr(error, "metrics", None)) for i in indices])
             half = len(inputs) // 2
             return await chunk(caller, indices[:half], inputs[:half], since) + await chunk(caller, indices[half:], inputs[half:], since)
 
@@ -408,21 +461,25 @@ def embed(texts: DataFrame, config: DispatchConfig, text_col: str = "text", micr
 
 def transcribe(files: DataFrame, config: DispatchConfig) -> DataFrame:
     """Answers to rows of _index, content and error (as the audio sources give them)."""
-    parts, window = config.shape()
+    parts, window = config.shape(files.sparkSession.sparkContext.defaultParallelism)
 
     def make(caller: _Caller, batch: pd.DataFrame) -> Iterator[Callable]:
+        caller.begin(batch["_index"])
         for index, content, error, asked in zip(batch["_index"], batch["content"], batch["error"], batch["options"]):
 
             async def one(index=index, content=content, error=error, asked=asked) -> list[dict]:
+                found = caller.replayed([index])
+                if found is not None:
+                    return found
                 try:
                     if error is not None:
                         raise ValueError(error)
                     response, metrics = await caller.call(TRANSCRIPTION, bytes(content), 0, _own(config, asked), time.monotonic())
-                    return [_row(index, response, None, f"t-{index}", metrics)]
+                    return caller.note([_row(index, response, None, f"t-{index}", metrics)])
                 except Exception as failure:
-                    if config.strict:
+                    if config.strict or isinstance(failure, StoppedError):
                         raise
-                    return [_row(index, None, failure, None, getattr(failure, "metrics", None))]
+                    return caller.note([_row(index, None, failure, None, getattr(failure, "metrics", None))])
 
             yield one
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from batchloom.schemas import PENDING
+from batchloom.schemas import ERROR, PENDING
+from batchloom.sources.places import PLACE
 
 KEY = ["record_fingerprint", "occurrence"]
 CHUNK = 1 << 20
@@ -31,8 +32,9 @@ def with_occurrence(
 
 
 def bootstrap(source: DataFrame) -> DataFrame:
-    """A fresh ledger: every row pending, in source order."""
-    return source.select(*KEY, F.col("source_index").alias("output_index"), F.lit(PENDING).cast("tinyint").alias("status"))
+    """A fresh ledger: every row pending, in source order, with its place where the source knows one."""
+    place = [c for c in PLACE if c in source.columns]
+    return source.select(*KEY, F.col("source_index").alias("output_index"), F.lit(PENDING).cast("tinyint").alias("status"), *place)
 
 
 def current(ledger: DataFrame, settled: DataFrame | None = None) -> DataFrame:
@@ -61,20 +63,73 @@ def multiset_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b)
 
 
-def missing_output(ledger: DataFrame, output: DataFrame, shown: int = SHOWN) -> DataFrame:
-    """The first settled indices without an output row, one more than is shown."""
-    gone = ledger.where(F.col("status") != PENDING).select(F.col("output_index").alias("_index")).join(
-        output.select("_index"), "_index", "left_anti",
+BUCKET = 8 * 4096  # indices in a bitmap of bitmap_construct_agg
+
+
+def bitmaps(rows: DataFrame, index: str) -> DataFrame:
+    """bucket, bits: which indices there are, 4 KB for each 32768. Tasks combine before the shuffle."""
+    at = F.col(index) + 1  # places count from 1
+    return rows.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def coverage(wanted: DataFrame, found: DataFrame, wanted_index: str, found_index: str) -> DataFrame:
+    """bucket, wanted, covered: how many distinct indices of each bucket ``wanted`` has, and how many of those ``found`` has.
+
+    No join of rows: both sides become bitmaps, and those of a bucket are counted alone and together.
+    """
+    none = F.lit(None).cast("binary")
+    both = bitmaps(wanted, wanted_index).select("bucket", F.col("bits").alias("a"), none.alias("b")).union(
+        bitmaps(found, found_index).select("bucket", none.alias("a"), F.col("bits").alias("b"))
     )
-    return gone.orderBy("_index").limit(shown + 1)
+    sizes = both.groupBy("bucket").agg(
+        F.bitmap_count(F.bitmap_or_agg("a")).alias("a"), F.bitmap_count(F.bitmap_or_agg("b")).alias("b"), F.bitmap_count(F.bitmap_or_agg(F.coalesce("a", "b"))).alias("all"),
+    )
+    return sizes.where("a > 0").select("bucket", F.col("a").alias("wanted"), (F.col("a") + F.col("b") - F.col("all")).alias("covered"))
+
+
+def missing_output(ledger: DataFrame, output: DataFrame, shown: int = SHOWN) -> DataFrame:
+    """The first settled indices without an output row, one more than is shown.
+
+    Bitmaps tell the buckets that lack some; rows are compared in the first ``shown`` + 1 of those only.
+    """
+    done = ledger.where(F.col("status") != PENDING).select(F.col("output_index").alias("_index"))
+    lacking = coverage(done, output, "_index", "_index").where("covered < wanted").orderBy("bucket").limit(shown + 1).select("bucket")
+    bucket = F.bitmap_bucket_number(F.col("_index") + 1)
+    near = done.withColumn("bucket", bucket).join(F.broadcast(lacking), "bucket", "left_semi").select("_index")  # shown + 1 rows
+    return near.join(output.select("_index"), "_index", "left_anti").orderBy("_index").limit(shown + 1)
+
+
+def todo(ledger: DataFrame, retry_errors: bool = False) -> DataFrame:
+    """Ledger rows to be done. Failed rows count as done unless retried."""
+    return ledger.where(F.col("status").isin(PENDING, ERROR) if retry_errors else F.col("status") == PENDING)
 
 
 def pending(source: DataFrame, ledger: DataFrame, retry_errors: bool = False) -> DataFrame:
-    """Source rows to be done, with their output index. Failed rows count as done unless retried."""
-    from batchloom.schemas import ERROR
+    """Source rows to be done, with their output index."""
+    return source.join(todo(ledger, retry_errors).select(*KEY, "output_index"), KEY)
+
 
-    todo = F.col("status").isin(PENDING, ERROR) if retry_errors else F.col("status") == PENDING
-    return source.join(ledger.where(todo).select(*KEY, "output_index"), KEY)
+def chunked(rows: DataFrame, size: int, index: str = "output_index", bucket: int = CHUNK) -> DataFrame:
+    """``chunk``: which ``size`` rows a row belongs to, in the order of ``index``, exactly.
+
+    Rows are numbered inside buckets of the index; what stands before a bucket is the sum of a row each.
+    """
+    part = F.floor(F.col(index) / bucket).cast("bigint")
+    counts = rows.groupBy(part.alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    earlier = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))  # a row for each bucket
+    before = counts.select("_bucket", F.coalesce(earlier, F.lit(0)).alias("_before"))
+    local = F.row_number().over(Window.partitionBy("_bucket").orderBy(index)) - 1
+    numbered = rows.withColumn("_bucket", part).withColumn("_local", local).join(F.broadcast(before), "_bucket")
+    return numbered.withColumn("chunk", F.floor((F.col("_before") + F.col("_local")) / size).cast("int")).drop("_bucket", "_local", "_before")
+
+
+def digest(rows: DataFrame, *columns: str) -> dict[str, int]:
+    """A hash of a multiset of rows in one aggregation, whatever their order: their number, and sums of two hashes
+    of each row. Sums of parts add up, so tasks combine before the shuffle."""
+    found = rows.agg(
+        F.count(F.lit(1)).alias("rows"), *(F.coalesce(F.sum(F.xxhash64(F.lit(k), *columns).cast("decimal(38,0)")), F.lit(0)).alias(f"sum_{k}") for k in (1, 2)),
+    ).first()
+    return {k: int(v) for k, v in found.asDict().items()}
 
 
 class MismatchError(ValueError):
@@ -82,14 +137,29 @@ class MismatchError(ValueError):
 
 
 def validate(source: DataFrame, ledger: DataFrame, output: DataFrame | None = None) -> None:
-    """Raise unless source and ledger hold the same rows and the output covers what is settled."""
-    if not only_in_source(source, ledger).limit(1).isEmpty() or not only_in_ledger(source, ledger).limit(1).isEmpty():
-        raise MismatchError("the source doesn't match the ledger: rows were added, removed or changed")
+    """Raise unless source and ledger hold the same rows and the output covers what is settled.
+
+    Equal digests prove the former without a join; joins only name what differs.
+    """
+    if digest(source, *KEY) != digest(ledger, *KEY):
+        added = only_in_source(source, ledger).select("source_index").orderBy("source_index").limit(SHOWN + 1)
+        gone = only_in_ledger(source, ledger).select("output_index").orderBy("output_index").limit(SHOWN + 1)
+        raise MismatchError(
+            f"the source doesn't match the ledger: rows were added ({_listed(added)}), removed ({_listed(gone)}) or changed"
+        )
     if output is not None:
-        gone = [r["_index"] for r in missing_output(ledger, output).collect()]
-        if gone:
-            more = ", ..." if len(gone) > SHOWN else ""
-            raise MismatchError(f"the output lacks settled rows: {', '.join(map(str, gone[:SHOWN]))}{more}")
+        validate_output(ledger, output)
+
+
+def _listed(rows: DataFrame) -> str:
+    found = [r[0] for r in rows.collect()]
+    return ", ".join(map(str, found[:SHOWN])) + (", ..." if len(found) > SHOWN else "") or "none"
+
+
+def validate_output(ledger: DataFrame, output: DataFrame) -> None:
+    gone = missing_output(ledger, output)
+    if not gone.isEmpty():
+        raise MismatchError(f"the output lacks settled rows: {_listed(gone)}")
 
 
 def unmatched_log(ledger: DataFrame, settled: DataFrame) -> DataFrame:
@@ -100,7 +170,14 @@ def unmatched_log(ledger: DataFrame, settled: DataFrame) -> DataFrame:
 
 
 def validate_log(ledger: DataFrame, settled: DataFrame | None) -> None:
-    if settled is not None and not unmatched_log(ledger, settled).limit(1).isEmpty():
+    """Bitmaps prove that the log's indices are the ledger's, and counts that those are distinct; only else is it joined."""
+    if settled is None:
+        return
+    lacking = coverage(settled, ledger, "output_index", "output_index").where("covered < wanted")
+    kinds = bitmaps(ledger, "output_index").agg(F.coalesce(F.sum(F.bitmap_count("bits")), F.lit(0))).first()[0]
+    if lacking.isEmpty() and kinds == ledger.count():
+        return
+    if not unmatched_log(ledger, settled).isEmpty():
         raise MismatchError("the settle log names rows that the ledger doesn't hold exactly once")
 
 

@@ -105,3 +105,17 @@ class ScriptedProvider(EchoProvider):
             answer["usage"] = {name: n, other: n, "total_tokens": 2 * n}
             answer["_hidden_params"] = answer["_hidden_params"] | {"response_cost": n * options.get("price", 0.0)}
         return answer
+
+
+class ShortProvider(EchoProvider):
+    """Leaves out a vector wherever a text begins with a multiple of ``short``."""
+
+    def __init__(self, short: int = 61):
+        super().__init__()
+        self.short = short
+
+    async def call(self, kind: str, request: Any, deployment: Any, options: dict[str, Any]) -> dict[str, Any]:
+        answer = await super().call(kind, request, deployment, options)
+        if kind == "embedding" and any(int(t.split(" ", 1)[0]) % self.short == 0 for t in request):
+            answer["data"].pop()
+        return answer

@@ -2,12 +2,17 @@
 
 A run directory holds
 
-    _run.json            schema version, mapping fingerprint, endpoint
-    ledger/              Parquet: one pending row for each source row, written once
+    _run.json            schema version, mapping fingerprint, endpoint, identity of the source's files
+    ledger/              Parquet: one pending row for each source row with its place there, written once, in ranges of the index
+    work-*/chunk=N/      Parquet: which rows a chunk does; manifest.json, written last, lists the chunks
     output/chunk=N/      JSON lines of settled rows
     settled/chunk=N/     Parquet: their index and state
 
-Pending rows go through in chunks. A chunk's output is written first, then its entry in the
+Pending rows are dealt into chunks of exact size by one write, and each chunk reads its own files. Of a source
+whose files are the same ones still (names, lengths, times) a resumed run parses nothing again:
+the ledger is what the source holds, and each chunk reads the bytes of its rows. Each row is checked against its
+fingerprint there. Where files have changed, are packed, or are in a store that tasks can't open, the source
+is parsed and joined to the ledger instead. A chunk's output is written first, then its entry in the
 settle log: a crash between both repeats the chunk's calls and output, and readers keep the
 latest chunk of each index. A crash loses at most the chunk in flight. Nothing is ever
 overwritten in place: a fresh run is built beside the old one and renamed over it.
@@ -21,7 +26,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.operators import planner
@@ -29,7 +34,7 @@ from batchloom.operators.dispatch import DispatchConfig, generate
 from batchloom.operators.mapping import mapper_fingerprint, prepared
 from batchloom.operators.results import records
 from batchloom.schemas import ERROR, SUCCESS
-from batchloom.sources import lines
+from batchloom.sources import lines, places
 from batchloom.store import Folder
 
 VERSION = 1
@@ -126,8 +131,11 @@ def _begin(spark: SparkSession, config: RunConfig) -> None:
     target, mark = Folder(spark, config.run_dir), uuid.uuid4().hex[:12]
     staged = Folder(spark, f"{target.path}.new-{mark}")
     try:
-        planner.bootstrap(_source(spark, config)).write.parquet(f"{staged.path}/ledger")
-        staged.put("_run.json", json.dumps(_meta(config)))
+        # Taken before the scan: a change while it runs shows as one later.
+        meta = _meta(config) | {"source": places.identity(spark, config.input_path) if config.input_path is not None else None}
+        ledger = planner.bootstrap(_source(spark, config))
+        ledger.repartitionByRange("output_index").sortWithinPartitions("output_index").write.parquet(f"{staged.path}/ledger")
+        staged.put("_run.json", json.dumps(meta))
         old = None
         if target.exists():
             old = Folder(spark, f"{target.path}.old-{mark}")
@@ -140,7 +148,16 @@ def _begin(spark: SparkSession, config: RunConfig) -> None:
         raise
 
 
-def _check(spark: SparkSession, config: RunConfig, source: DataFrame) -> None:
+def _same_files(spark: SparkSession, config: RunConfig) -> bool:
+    """Whether the source's files are those that the ledger was made from."""
+    if config.input_path is None:
+        return False
+    known = json.loads(Folder(spark, config.run_dir).text("_run.json")).get("source")
+    return known is not None and known == places.identity(spark, config.input_path)
+
+
+def _check(spark: SparkSession, config: RunConfig) -> None:
+    """Raise unless the run can be resumed. Without joins of rows, as long as nothing is wrong."""
     path = Folder(spark, config.run_dir)
     if not path.exists("_run.json") or not path.exists("ledger"):
         raise planner.MismatchError(f"{path.path} holds no run to resume")
@@ -152,7 +169,9 @@ def _check(spark: SparkSession, config: RunConfig, source: DataFrame) -> None:
     log = settled(spark, config.run_dir)
     ledger = spark.read.parquet(f"{path.path}/ledger")
     planner.validate_log(ledger, log)
-    planner.validate(source, planner.current(ledger, log), output(spark, config.run_dir))
+    if not _same_files(spark, config):
+        planner.validate(_source(spark, config), ledger)
+    planner.validate_output(planner.current(ledger, log), output(spark, config.run_dir))
 
 
 def run(spark: SparkSession, config: RunConfig) -> int:
@@ -171,41 +190,62 @@ def cancel(spark: SparkSession, job_tag: str) -> None:
     spark.sparkContext.cancelJobsWithTag(job_tag)
 
 
+def _readable(spark: SparkSession, config: RunConfig, ledger: DataFrame) -> bool:
+    """Whether pending rows can be read by their places in the source."""
+    return (
+        set(places.PLACE) <= set(ledger.columns) and _same_files(spark, config) and places.seekable(spark, config.input_path)
+    )
+
+
+def deal(spark: SparkSession, rows: DataFrame, size: int, path: str) -> list[dict]:
+    """Write ``rows`` once, a folder for each chunk of ``size`` rows in index order, then the manifest: chunk, rows,
+    first and last index of each. Without a manifest nothing was dealt."""
+    planner.chunked(rows, size).sortWithinPartitions("chunk", "output_index").write.partitionBy("chunk").parquet(path)
+    found = spark.read.parquet(path) if any(n.startswith("chunk=") for n in Folder(spark, path).names()) else None
+    chunks = [] if found is None else [
+        r.asDict() for r in found.groupBy("chunk").agg(
+            F.count(F.lit(1)).alias("rows"), F.min("output_index").alias("first"), F.max("output_index").alias("last"),
+        ).orderBy("chunk").collect()
+    ]
+    Folder(spark, path).put("manifest.json", json.dumps(chunks))
+    return chunks
+
+
+def dealt(spark: SparkSession, path: str, chunk: int) -> DataFrame:
+    """The rows of one chunk; no other file is read."""
+    return spark.read.parquet(f"{path}/chunk={chunk}")
+
+
 def _run(spark: SparkSession, config: RunConfig) -> int:
     tell = config.on_status or (lambda text: None)
-    if not config.resume:
-        _begin(spark, config)
-    source = _source(spark, config)
     if config.resume:
-        _check(spark, config, source)
+        _check(spark, config)
+    else:
+        _begin(spark, config)
     ledger = planner.current(spark.read.parquet(f"{config.run_dir}/ledger"), settled(spark, config.run_dir))
-    pending = Folder(spark, f"{config.run_dir}/pending-{uuid.uuid4().hex[:12]}")
-    planner.pending(source, ledger, config.retry_errors).write.parquet(pending.path)
+    by_place = _readable(spark, config, ledger)
+    work = Folder(spark, f"{config.run_dir}/work-{uuid.uuid4().hex[:12]}")
+    todo = planner.todo(ledger, config.retry_errors) if by_place else planner.pending(_source(spark, config), ledger, config.retry_errors)
     try:
-        todo = spark.read.parquet(pending.path)
-        total = todo.count()
+        chunks = deal(spark, todo, config.chunk_rows, work.path)
+        total = sum(c["rows"] for c in chunks)
         if not total:
             tell("nothing to do")
             return 0
-        # Quantiles of pending indices cut chunks of an even size whatever is settled.
-        cuts = todo.approxQuantile(
-            "output_index", [k / -(-total // config.chunk_rows) for k in range(1, -(-total // config.chunk_rows))], 0.0001,
-        ) if total > config.chunk_rows else []
-        edges = [-1.0, *sorted(set(cuts)), float("inf")]
-        chunk = max([*_chunks(spark, config.run_dir, "output"), *_chunks(spark, config.run_dir, "settled"), -1]) + 1
+        first = max([*_chunks(spark, config.run_dir, "output"), *_chunks(spark, config.run_dir, "settled"), -1]) + 1
         done = 0
-        for low, high in zip(edges, edges[1:]):
-            part = todo.where((F.col("output_index") > low) & (F.col("output_index") <= high))
-            n = _settle(spark, config, part, chunk)
+        for k, c in enumerate(chunks):
+            part = dealt(spark, work.path, c["chunk"])
+            n = _settle(spark, config, places.read_places(part) if by_place else part, first + k)
             if config.on_result:
-                config.on_result(output(spark, config.run_dir, chunk))
-            done, chunk = done + n, chunk + 1
+                config.on_result(output(spark, config.run_dir, first + k))
+            done += n
             tell(f"{done} of {total} rows settled")
             if config.on_progress:
                 config.on_progress(done, total)
         return done
     finally:
-        pending.remove()
+        work.remove()
 
 
 def _fresh(spark: SparkSession, path: str) -> str:
@@ -227,9 +267,10 @@ def _settle(spark: SparkSession, config: RunConfig, part: DataFrame, chunk: int)
     log = answers.select(
         F.col("_index").alias("output_index"), F.when(F.col("error").isNull(), SUCCESS).otherwise(ERROR).cast("tinyint").alias("status"),
     )
-    log.write.parquet(_fresh(spark, f"{config.run_dir}/settled/chunk={chunk}"))
+    counted = Observation()
+    log.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(_fresh(spark, f"{config.run_dir}/settled/chunk={chunk}"))
     Folder(spark, raw).remove()
-    return spark.read.parquet(f"{config.run_dir}/settled/chunk={chunk}").count()
+    return counted.get["rows"]
 
 
 def as_lines(rows: DataFrame) -> DataFrame:

@@ -117,6 +117,23 @@ def missing_output(spark: SparkSession, sf: str) -> DataFrame:
     return planner.missing_output(_ledger(source), source.where("source_index % 3 = 0").select(F.col("source_index").alias("_index")))
 
 
+@_query(f"""WITH {_SRC}, w AS (SELECT output_index AS i, output_index % 3 = 0 AS there FROM ledger WHERE status <> 0)
+SELECT 1 + i // 32768 AS bucket, count(*) AS wanted, count(*) FILTER (there) AS covered FROM w GROUP BY 1""")
+def output_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """How many settled indices of each bucket have an output row: bitmaps, no join."""
+    source = _source(spark, sf)
+    return planner.coverage(_ledger(source).where("status <> 0"), source.where("source_index % 3 = 0"), "output_index", "source_index")
+
+
+@_query(f"WITH {_SRC} SELECT count(*) AS rows, true AS same_as_ledger, false AS same_without_a_row FROM src")
+def source_digest(spark: SparkSession, sf: str) -> DataFrame:
+    """A source in any order has its ledger's digest; one row less, and it differs."""
+    source = _source(spark, sf)
+    mine, ledger = planner.digest(source.repartition("occurrence"), *planner.KEY), planner.digest(_ledger(source), *planner.KEY)
+    less = planner.digest(source.where(F.col("source_index") != source.agg(F.min("source_index")).first()[0]), *planner.KEY)
+    return spark.createDataFrame([(mine["rows"], mine == ledger, less == ledger)], "rows bigint, same_as_ledger boolean, same_without_a_row boolean")
+
+
 @_query(f"WITH {_SRC} SELECT CAST(status AS INTEGER) AS status, count(*) AS n FROM ledger GROUP BY 1")
 def ledger_status_counts(spark: SparkSession, sf: str) -> DataFrame:
     return planner.status_counts(_ledger(_source(spark, sf)))
@@ -558,20 +575,18 @@ def bucket_arithmetic(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-_RESETS = {
-    "10": 10.0, "15.5": 15.5, "8.64s": 8.64, "1m": 60.0, "1.5m": 90.0, "1h": 3600.0, "100ms": 0.1, "1m30s": 90.0, "abc": None,
-    "10 seconds": None, "1 h": None, "1m 1d": None, "1m 30s": None, "": None, "1.2.3": None, "2000000100": 100.0,
-}
-
-
-@_query(
-    "SELECT * FROM (VALUES " + ", ".join(
-        f"('{k}', {'NULL' if v is None else f'CAST({v} AS DOUBLE)'})" for k, v in _RESETS.items()
-    ) + ") t(header, seconds)"
-)
+@_query("""SELECT event_id, round(CASE event_id % 8 WHEN 0 THEN n WHEN 1 THEN n + 0.5 WHEN 2 THEN m / 1000.0 WHEN 3 THEN n * 60 + m % 60 WHEN 4 THEN n * 3600 WHEN 7 THEN m END::DOUBLE, 6) AS seconds
+FROM (SELECT event_id, event_id % 60 AS n, event_id % 1000 AS m FROM events)""")
 def reset_header_parse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = spark.createDataFrame([(k,) for k in _RESETS], "header string")
-    return rows.select("header", F.round(RL.reset_seconds(F.col("header"), F.lit(2_000_000_000.0)), 9).alias("seconds"))
+    """Resets as headers of every form hold them: seconds, durations, epochs, and two that are none."""
+    n, m = (F.col("event_id") % 60).cast("string"), F.col("event_id") % 1000
+    forms = (
+        n, F.concat(n, F.lit(".5")), F.concat(m.cast("string"), F.lit("ms")), F.concat(n, F.lit("m"), (m % 60).cast("string"), F.lit("s")), F.concat(n, F.lit("h")),
+        F.concat(n, F.lit(" h")), F.concat(F.lit("x"), n), (m + 2_000_000_000).cast("string"),
+    )
+    header = F.element_at(F.array(*forms), (F.col("event_id") % 8 + 1).cast("int"))
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    return rows.select("event_id", F.round(RL.reset_seconds(header, F.lit(2_000_000_000.0)), 6).alias("seconds"))
 
 
 @_query(

@@ -8,7 +8,7 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from batchloom.functions import ratelimit as RL
@@ -17,10 +17,10 @@ from batchloom.operators import planner
 from batchloom.operators.dispatch import DispatchConfig, embed, generate, micro_batches, transcribe
 from batchloom.operators.limits import Limits
 from batchloom.operators.mapping import embedding_inputs, load_mapper, prepared
-from batchloom.operators.provider import EchoProvider, ScriptedProvider
+from batchloom.operators.provider import EchoProvider, ScriptedProvider, ShortProvider
 from batchloom.operators.results import aligned, embedded, generated, progress, records, transcribed
 from batchloom.plans import workflow
-from batchloom.sources import lines
+from batchloom.sources import lines, places
 from batchloom.store import Folder, fresh_path, written
 from batchloom.streaming import runner
 
@@ -135,6 +135,36 @@ def dispatch_embed(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query("""WITH RECURSIVE d AS (SELECT doc_id, doc_id % 61 = 0 AS bad FROM documents), t AS (
+  SELECT min(doc_id) AS lo, count(*) AS n, bool_or(bad) AS bad FROM d GROUP BY doc_id // 32
+  UNION ALL
+  SELECT s.lo, s.n, (SELECT bool_or(d.bad) FROM d WHERE d.doc_id >= s.lo AND d.doc_id < s.lo + s.n) FROM (
+    SELECT unnest([lo, lo + n // 2]) AS lo, unnest([n // 2, n - n // 2]) AS n FROM t WHERE bad AND n > 1) s
+), leaf AS (SELECT lo, n, bad FROM t WHERE n = 1 OR NOT bad)
+SELECT doc_id AS _index, CASE WHEN NOT leaf.bad THEN 'e-' || lo || '-' || n END AS call_id,
+  CASE WHEN leaf.bad THEN 'Embedding response did not contain one vector per input item.' END AS error
+FROM d JOIN leaf ON doc_id >= lo AND doc_id < lo + n""")
+def short_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers that lack a vector count as failed, and the batch is halved down to the text at fault."""
+    texts = _documents(spark, sf).select(F.col("doc_id").alias("_index"), _numbered(F.col("doc_id"), F.col("text")).alias("text"))
+    return embedded(written(embed(texts, DispatchConfig("echo", ShortProvider)), "answers")).select("_index", "call_id", "error")
+
+
+@_query("""SELECT strategy, (SELECT count(*) FROM pages) AS calls, used, true AS fair FROM (VALUES ('round-robin', 3), ('cost-based-routing', 1)) t(strategy, used)""")
+def routed_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Every page as a call over three deployments: in turn, each gets the same in each task; by cost, the cheapest gets all."""
+    requests = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("_index"), F.to_json(F.array(F.struct(F.lit("user").alias("role"), F.col("url").alias("content")))).alias("request"), _no_error())
+    three = tuple({"label": f"d{k}", "model": f"m{k}"} for k in range(3))
+    found = None
+    for strategy in ("round-robin", "cost-based-routing"):
+        config = DispatchConfig("echo", EchoProvider, deployments=three, partitions=4, routing_strategy=strategy, router_kwargs={"costs": {"d0": 3.0, "d1": 1.0, "d2": 2.0}})
+        n = written(generate(requests, config), "answers").groupBy("metrics.deployment").agg(F.count(F.lit(1)).alias("n"))
+        own = n.agg(F.sum("n").alias("calls"), F.count(F.lit(1)).cast("int").alias("used"), (F.max("n") - F.min("n") <= 4).alias("fair"))
+        own = own.select(F.lit(strategy).alias("strategy"), "calls", "used", "fair")
+        found = own if found is None else found.union(own)
+    return found
+
+
 @_query(
     "SELECT doc_id // 32 AS batch, min(doc_id) AS first, max(doc_id) AS last, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY 1"
 )
@@ -241,6 +271,25 @@ def line_index(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@_query("""SELECT CASE event_id % 5 WHEN 0 THEN '{"k": 1.0, "b" :[true, null], "a":"é' || event_id || '"}' WHEN 1 THEN 'not json ' || event_id ELSE '[' || event_id || ']' END AS raw_line,
+  event_id % 5 = 0 AS parsed FROM events WHERE event_id % 5 < 3 AND event_id % 50 < 5""")
+def rows_by_place(spark: SparkSession, sf: str) -> DataFrame:
+    """A tenth of the lines, read again by their places in the files: only their bytes, checked by fingerprint."""
+    n = F.regexp_extract("raw_line", r'(?:\u00e9|json |^\[)([0-9]+)(?:"\}|\])?$', 1).try_cast("bigint")
+    scanned = lines.json_lines(spark, _text_of(_lines(spark, sf).repartition(5), "lines"))
+    pending = scanned.where((n % 50 < 5) & (n % 5 < 3)).select("record_fingerprint", *places.PLACE).sortWithinPartitions(*places.PLACE)
+    return places.read_places(pending).select("raw_line", F.col("record").isNotNull().alias("parsed"))
+
+
+@_query("""WITH d AS (SELECT doc_id AS i, row_number() OVER (ORDER BY doc_id) - 1 AS k FROM documents WHERE doc_id % 3 <> 0)
+SELECT CAST(k // 70 AS INTEGER) AS chunk, count(*) AS rows, min(i) AS first, max(i) AS last FROM d GROUP BY 1""")
+def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    """Pending rows dealt into chunks of 70 by one write; the manifest lists them."""
+    rows = _documents(spark, sf).where("doc_id % 3 <> 0").select(F.col("doc_id").alias("output_index"))
+    found = workflow.deal(spark, rows, 70, fresh_path(spark, "work"))
+    return spark.createDataFrame([(c["chunk"], c["rows"], c["first"], c["last"]) for c in found], "chunk int, rows bigint, first bigint, last bigint")
+
+
 @_query("SELECT page_id AS _index, url AS text FROM pages WHERE page_id % 3 <> 0")
 def field_texts(spark: SparkSession, sf: str) -> DataFrame:
     """Texts to embed: of the records, those that have the field."""
@@ -371,6 +420,25 @@ def stream_run(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("output_text string, error string").json(f"{target}/out/batch=*")
 
 
+@_query("""WITH n AS (SELECT count(*) AS n FROM documents) SELECT n AS rows, 0 AS first, n - 1 AS last, n AS kinds, true AS in_file_order FROM n""")
+def stream_index(spark: SparkSession, sf: str) -> DataFrame:
+    """Files of different sizes in several batches and two runs of one checkpoint: the index is gapless, and rises inside files."""
+    source, target = fresh_path(spark, "arriving"), fresh_path(spark, "stream")
+    docs = _documents(spark, sf)
+    line = F.to_json(F.struct(_numbered(F.col("doc_id"), F.col("lang")).alias("prompt"))).alias("value")
+    for late, part in ((False, docs.where("doc_id % 10 < 7")), (True, docs.where("doc_id % 10 >= 7"))):
+        files = part.repartitionByRange(2 + late, (F.col("doc_id") * F.col("doc_id")).alias("size")).sortWithinPartitions("doc_id")
+        files.select(line).write.mode("append").text(source)
+        runner.run_stream(spark, source, f"{target}/out", f"{target}/state", DispatchConfig("echo", EchoProvider), files_per_trigger=1).awaitTermination()
+    rows = spark.read.schema("_index bigint, output_text string, batch int").option("basePath", f"{target}/out").json(f"{target}/out/batch=*")
+    n = F.split("output_text", " ")[0].cast("bigint")
+    before = F.lag(n).over(Window.partitionBy("batch").orderBy("_index"))
+    ordered = rows.select("_index", (before.isNull() | (before < n)).alias("rising"))
+    return ordered.agg(
+        F.count(F.lit(1)).alias("rows"), F.min("_index").cast("int").alias("first"), F.max("_index").alias("last"), F.count_distinct("_index").alias("kinds"), F.bool_and("rising").alias("in_file_order"),
+    )
+
+
 @_query("""WITH RECURSIVE e AS (
   SELECT user_id, event_id, epoch(ts) AS s, CAST(floor(value) % 40 AS INTEGER) AS n, CASE WHEN event_id % 3 = 0 THEN (floor(value) % 40) // 2 END AS a, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
 ), f AS (

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from batchloom.functions.fingerprint import parse_strict
+from batchloom.sources.places import located
 from batchloom.store import Folder, fresh_path
 
 MAX_AUDIO_BYTES = 25 * 1024 * 1024
@@ -36,8 +37,8 @@ def with_index(df: DataFrame, name: str = "source_index") -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """source_index, raw_line, record, parse_error, record_fingerprint of the non-blank lines."""
-    return parsed(with_index(stripped(spark.read.text(path))))
+    """source_index, raw_line, record, parse_error, record_fingerprint and place of the non-blank lines."""
+    return located(spark, path)
 
 
 def stripped(lines: DataFrame) -> DataFrame:
@@ -100,10 +101,16 @@ def field_rows(source: DataFrame, field: str) -> DataFrame:
 
 
 def audio(spark: SparkSession, path: str, most: int = MAX_AUDIO_BYTES) -> DataFrame:
-    """_index, path, content and error of binary files; those over ``most`` bytes are error rows
-    whose content isn't kept."""
+    """_index, path, content and error of binary files; those over ``most`` bytes are error rows.
+
+    Two scans of the listing, one for each side of the limit. Spark's reader applies a filter on the length
+    before it opens a file, and the second scan has no content at all: no byte of a rejected file is
+    read, and none fails for being too large to be a row.
+    """
     files = spark.read.format("binaryFile").load(path)
-    return with_index(guarded(files.select("path", "length", "content"), most), "_index")
+    fit = files.where(F.col("length") <= most).select("path", "length", "content")
+    rest = files.where((F.col("length") > most) | F.col("length").isNull()).select("path", "length", F.lit(None).cast("binary").alias("content"))
+    return with_index(guarded(fit.union(rest), most), "_index")
 
 
 def guarded(files: DataFrame, most: int = MAX_AUDIO_BYTES) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from batchloom.operators.dispatch import DispatchConfig, generate
 from batchloom.operators.limits import Limits, Limiter, TokenBucket
 from batchloom.operators.mapping import prepared
 from batchloom.operators.results import records
-from batchloom.sources.lines import parsed, stripped
+from batchloom.sources import places
 from batchloom.store import Folder
 
 
@@ -25,16 +26,19 @@ def run_stream(
     """Process all files that are there in micro-batches, each written once under its own number.
 
     A repeated batch replaces its own folder, so that a restart leaves one copy of each row; what is
-    done isn't called again.
+    done isn't called again. The index is gapless over all batches and restarts: the rows of earlier batches
+    are kept in the checkpoint, and inside a batch rows count by file and place.
     """
-    lines = stripped(spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(source))
+    lines = places.text_lines(spark.readStream.option("maxFilesPerTrigger", files_per_trigger), source)
+    counts = Folder(spark, f"{checkpoint}/rows")
 
     def batch(rows: DataFrame, number: int) -> None:
-        # Row numbers of all batches are apart: the batch, then the row in it.
-        index = F.lit(number << 40) + F.shiftright(F.monotonically_increasing_id(), 33) * (1 << 24) + F.monotonically_increasing_id().bitwiseAND((1 << 24) - 1)
+        found, n = places.indexed(rows)
+        first = _before(counts, number)
+        counts.put(f"{number}.json", json.dumps({"first": first, "rows": n}))
         work = Folder(spark, f"{target}/_work/batch={number}")
         try:
-            parsed(rows.withColumn("source_index", index)).write.mode("overwrite").parquet(f"{work.path}/rows")
+            found.withColumn("source_index", F.col("source_index") + first).write.mode("overwrite").parquet(f"{work.path}/rows")
             ready = prepared(spark.read.parquet(f"{work.path}/rows"), config.endpoint)
             asked = ready.select(F.col("source_index").alias("_index"), "request", "error")
             # Answers are written once: what follows never calls the provider again.
@@ -47,6 +51,15 @@ def run_stream(
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _before(counts: Folder, number: int) -> int:
+    """How many rows the batches before this one have."""
+    earlier = [k for k in (int(n.split(".")[0]) for n in counts.names() if n.endswith(".json")) if k < number]
+    if not earlier:
+        return 0
+    last = json.loads(counts.text(f"{max(earlier)}.json"))
+    return last["first"] + last["rows"]
+
+
 _STATE = "at double, minute_requests double, minute_tokens double, day_requests double, day_tokens double"
 _NAMES = ("minute_requests", "minute_tokens", "day_requests", "day_tokens")
 
