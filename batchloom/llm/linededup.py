@@ -16,9 +16,10 @@ one earlier document holds whole is found, wherever and however often.
 
 Alignment. A later document is aligned with each of its partners. The shared runs are (later
 place, earlier place) pairs; their longest chain that rises in both (patience sorting) is
-the diff's common part. Blocks of it are deleted from the later document. Blocks off the
-chain stand in another order than in the partner; they are deleted too, unless
-``moved`` is off. Time is that of sorting, however often a line repeats.
+the diff's common part. Blocks of it are deleted from the later document, and wherever it repeats them.
+What is off the chain stands in another order than in the partner and stays, as in any diff, unless it
+is part of a shared block of ``moved`` words or more, which is a passage and no chance: that goes
+wherever it stands. Time is that of sorting, however often a line repeats.
 
 Null texts stay null; empty ones stay empty. A document whose text is all copied becomes
 empty; no row is ever dropped. Rows with equal doc_ids count as one document: they are never
@@ -58,7 +59,7 @@ class LineConfig:
     min_words: int = 5
     min_passage: int = 12
     long_words: int = 25
-    moved: bool = True
+    moved: int = 50  # words of a shared block that goes whether aligned or not; 1: each, 0: none
 
     def __post_init__(self) -> None:
         if max(self.min_words, self.min_passage) >= 1 << _WORD_BITS:
@@ -194,7 +195,7 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def align(partner: np.ndarray, own: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """Which pairs (own place, place held by the partner) are on the chain with their partner.
+    """Which pairs (own place, place held by the partner) are on the chain with their partner, or repeat a block that is.
 
     The rows are sorted by partner, own place, and falling place held, so that a chain has one
     pair of an own place.
@@ -206,7 +207,8 @@ def align(partner: np.ndarray, own: np.ndarray, held: np.ndarray) -> np.ndarray:
     edges = [0, *(np.flatnonzero(other) + 1).tolist(), len(own)]
     for s, e in zip(edges, edges[1:]):
         pairs = list(dict.fromkeys(zip(own[s:e].tolist(), held[s:e].tolist())))
-        on[s:e] = np.isin(own[s:e], [p for p, _ in patience(pairs)])
+        chain = patience(pairs)
+        on[s:e] = np.isin(own[s:e], [p for p, _ in chain]) | np.isin(held[s:e], [h for _, h in chain])
     return on
 
 
@@ -221,7 +223,7 @@ def _merged(first: np.ndarray, last: np.ndarray) -> list[tuple[int, int]]:
 def cut(
     text: str, found: list, partner: np.ndarray, held: np.ndarray, span: np.ndarray, config: LineConfig,
 ) -> tuple[str, list[tuple[int, int]], list[tuple[int, int]]]:
-    """The text without its blocks that are aligned with partners, the places cut, and those of them
+    """The text without its blocks that are aligned with partners or long, the places cut, and those of them
     that stand in another order there (code points).
 
     ``partner``, ``held``, ``span``: for each shared run the earlier document, the run's first unit
@@ -235,25 +237,27 @@ def cut(
         partner, held, first, last = partner[mine], held[mine], first[mine], last[mine]
     if not len(first):
         return text, [], []
+    odd: list[tuple[int, int]] = []
     if (held - first == held[0] - first[0]).all() and (partner == partner[0]).all():  # one block of one partner, as in copies
-        every = aligned = _merged(first, last)
+        gone = _merged(first, last)
     else:
         order = np.lexsort((-held, first, partner))
         first, last = first[order], last[order]
         on = align(partner[order], first, held[order])
-        aligned = _merged(first[on], last[on])
-        every = _merged(first, last) if config.moved and not on.all() else aligned
+        gone = aligned = _merged(first[on], last[on])
+        if config.moved and not on.all():
+            long = [(f, z) for f, z in _merged(first, last) if sum(u[2] for u in found[f : z + 1]) >= config.moved]
+            gone = _merged(*(np.array(x, np.int64) for x in zip(*aligned, *long))) if aligned or long else []
+            within = lambda block, blocks: any(s <= block[0] and block[1] <= e for s, e in blocks)
+            odd = [b for b in _merged(first[~on], last[~on]) if within(b, long) and not within(b, aligned)]
     out, kept, at = [], [], 0
-    for f, z in every:
+    for f, z in gone:
         s, e = found[f][0], found[z + 1][0] if z + 1 < len(found) else len(text)
         out.append((s, found[z][1]))
         kept.append(text[at:s])
         at = e
     kept.append(text[at:])
     rest = "".join(kept).rstrip("\n") if at == len(text) else "".join(kept)
-    if every is aligned:
-        return rest, out, []
-    odd = [(f, z) for f, z in _merged(first[~on], last[~on]) if not any(s <= f and z <= e for s, e in aligned)]
     return rest, out, [(found[f][0], found[z][1]) for f, z in odd]
 
 

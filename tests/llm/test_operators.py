@@ -292,23 +292,98 @@ def test_line_dedup_finds_passages_held_whole(spark):
     assert [r.text for r in linededup.without_copies(frame(spark, texts)).orderBy("doc_id").collect()] == [texts[0], "Hello you. See you."]
 
 
-def test_line_dedup_equals_brute_force(spark):
-    rng, config = random.Random(8), linededup.LineConfig()
+def plain_runs(own, config):
+    """first, last, may be deleted: the shortest runs of ``min_passage`` words from and up to each unit, and shorter ones."""
+    out = {}
+    for i in range(len(own)):
+        n = 0
+        for j in range(i, len(own)):
+            n += own[j][2]
+            if n >= config.min_passage:
+                out[i, j] = True
+                break
+            if n >= config.min_words:
+                out[i, j] = own[i][3] and own[j][4]
+    for j in range(len(own)):
+        n = 0
+        for i in range(j, -1, -1):
+            n += own[i][2]
+            if n >= config.min_passage:
+                out[i, j] = True
+                break
+    return out
+
+
+def plain_chain(pairs):
+    """A longest rising chain by dynamic programming over all pairs, with the ties that ``patience`` takes."""
+    chain = linededup.patience(pairs)
+    best = [1] * len(pairs)
+    for k, (_, e) in enumerate(pairs):
+        best[k] = 1 + max((best[m] for m in range(k) if pairs[m][1] < e and pairs[m][0] < pairs[k][0]), default=0)
+    assert len(chain) == max(best, default=0) and all(p in pairs for p in chain)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(chain, chain[1:]))
+    return chain
+
+
+def plain_gone(texts, config, align=True):
+    """For each text the units that pairwise diffs with earlier texts delete: aligned ones, and long shared blocks."""
+    holders, out = {}, []
+    for d, text in enumerate(texts):
+        own = linededup.units(text, config) if text else []
+        said = [text[u[0] : u[1]] for u in own]
+        runs, rows = plain_runs(own, config), {}
+        for (i, j), told in runs.items():
+            if told and tuple(said[i : j + 1]) in holders:
+                partner, held = holders[tuple(said[i : j + 1])]
+                rows.setdefault(partner, []).append((i, -held, j))
+        aligned, every = set(), set()
+        for own_rows in rows.values():
+            pairs = list(dict.fromkeys((i, -h) for i, h, _ in sorted(own_rows)))
+            chain = plain_chain(pairs) if align else []
+            for i, h, j in own_rows:
+                every.update(range(i, j + 1))
+                if any(i == p or -h == q for p, q in chain):
+                    aligned.update(range(i, j + 1))
+        gone, k = set(aligned), 0
+        while k < len(own):
+            e = k
+            while e in every:
+                e += 1
+            if sum(u[2] for u in own[k:e]) >= config.moved > 0:
+                gone.update(range(k, e))
+            k = max(e, k + 1)
+        for i, j in sorted(runs):
+            holders.setdefault(tuple(said[i : j + 1]), (d, i))
+        out.append((own, gone))
+    return out
+
+
+def test_line_dedup_equals_brute_force_diffs(spark):
+    rng, kept = random.Random(8), []
     known = [" ".join(f"{chr(97 + k)}{j}" for j in range(rng.choice([1, 2, 3, 5, 6, 8, 13]))) + "." for k in range(9)]
     texts = ["".join(rng.choice(known) + rng.choice([" ", "\n"]) for _ in range(rng.randint(1, 14))) for _ in range(60)]
-    found = [linededup.units(t, config) for t in texts]
-    said = [[t[u[0] : u[1]] for u in own] for t, own in zip(texts, found)]
-    rows = {r.doc_id: r for r in linededup.without_copies(frame(spark, texts), report="cut__").collect()}
-    for d, own in enumerate(found):
-        gone = set()
-        for i in range(len(own)):
-            for j in range(i, len(own)):
-                n, part = sum(u[2] for u in own[i : j + 1]), said[d][i : j + 1]
-                if n >= config.min_passage or n >= config.min_words and own[i][3] and own[j][4]:
-                    if any(x[k : k + len(part)] == part for x in said[:d] for k in range(len(x))):
-                        gone.update(range(i, j + 1))
-        spans = [tuple(map(int, x.split(":"))) for x in rows[d]["cut__"].split(",") if x]
-        assert {k for k, u in enumerate(own) if any(s <= u[0] and u[1] <= e for s, e in spans)} == gone
+    for config in (linededup.LineConfig(), linededup.LineConfig(moved=0), linededup.LineConfig(moved=1), linededup.LineConfig(moved=20)):
+        rows = {r.doc_id: r for r in linededup.without_copies(frame(spark, texts), config, report="cut__").collect()}
+        for d, (own, gone) in enumerate(plain_gone(texts, config)):
+            spans = [tuple(map(int, x.split(":"))) for x in rows[d]["cut__"].split(",") if x]
+            assert {k for k, u in enumerate(own) if any(s <= u[0] and u[1] <= e for s, e in spans)} == gone
+        kept.append(sum(len(g) for _, g in plain_gone(texts, config)))
+        if config.moved != 1:  # the alignment decides
+            assert sum(len(g) for _, g in plain_gone(texts, config, align=False)) < kept[-1]
+    assert kept[1] <= kept[0] <= kept[3] <= kept[2] and kept[1] < kept[2]
+
+
+def test_no_alignment_no_deletion(spark, monkeypatch):
+    one, two = "A first passage of twelve or more words stands here in both of them.", "Then another passage that has more than twelve words follows the first one."
+    texts = [f"Start.\n{one}\nMiddle.\n{two}", f"Own words.\n{one}\nOther own words.\n{two}\nx y z."]
+    own = [linededup.units(t, linededup.LineConfig()) for t in texts]
+    place = [next(k for k, u in enumerate(own[1]) if texts[1][u[0] : u[1]] == t) for t in (one, two)]
+    there = [next(k for k, u in enumerate(own[0]) if texts[0][u[0] : u[1]] == t) for t in (one, two)]
+    span = np.array([(linededup.text_tag(texts[1]) << linededup._PLACE_BITS | p) << linededup._WORD_BITS + 2 for p in place])
+    cut = lambda: linededup.cut(texts[1], own[1], np.zeros(2, np.int64), np.array([there[0], there[1] + 5]), span, linededup.LineConfig())[0]
+    assert cut() == "Own words.\nOther own words.\nx y z."
+    monkeypatch.setattr(linededup, "align", lambda partner, own, held: np.zeros(len(own), bool))
+    assert cut() == texts[1]
 
 
 def test_line_dedup_counts_words_by_white_space(spark):
@@ -362,12 +437,17 @@ def test_moved_blocks(spark):
     texts = [
         f"Start.\n{one}\nBetween them.\n{two}\n{three}\nDone.", f"Other start.\n{two}\n{three}\nA middle of my own.\n{one}\nOther end.",
     ]
-    row = linededup.without_copies(frame(spark, texts), report="cut__").where("doc_id = 1").first()
+    row = linededup.without_copies(frame(spark, texts), linededup.LineConfig(moved=1), report="cut__").where("doc_id = 1").first()
     assert row.text == "Other start.\nA middle of my own.\nOther end." and len(row.cut__.split(",")) == 2
     s, e = map(int, row.cut___moved.split(":"))
     assert texts[1][s:e] == one
-    kept = linededup.without_copies(frame(spark, texts), linededup.LineConfig(moved=False)).where("doc_id = 1").first()
+    kept = linededup.without_copies(frame(spark, texts), linededup.LineConfig(moved=0)).where("doc_id = 1").first()
     assert kept.text == f"Other start.\nA middle of my own.\n{one}\nOther end."
+    # By default a moved block goes only as a passage of 50 words.
+    assert linededup.without_copies(frame(spark, texts)).where("doc_id = 1").first().text == kept.text
+    passage = " ".join(f"w{k}" for k in range(60)) + "."
+    texts = [f"{passage}\n{one}\n{two}\n{three}", f"Mine.\n{one}\n{two}\n{three}\n{passage}"]
+    assert linededup.without_copies(frame(spark, texts)).where("doc_id = 1").first().text == "Mine."
 
 
 def test_many_repeats_of_one_line(spark):
@@ -888,23 +968,9 @@ def plain_toxic(text, examples, index):
 
 
 def plain_line_dedup(texts):
-    """Cut what an earlier text holds whole, by comparing runs of units with those of every earlier text."""
-    config, held, out = linededup.LineConfig(), {}, []
-    for text in texts:
-        own = linededup.units(text, config) if text else []
-        said, gone, mine = [text[u[0] : u[1]] for u in own], set(), set()
-        for i in range(len(own)):
-            n = 0
-            for j in range(i, len(own)):
-                n += own[j][2]
-                whole = n >= config.min_passage
-                if whole or n >= config.min_words:
-                    mine.add(tuple(said[i : j + 1]))
-                    if tuple(said[i : j + 1]) in held and (whole or own[i][3] and own[j][4]):
-                        gone.update(range(i, j + 1))
-                if n >= 3 * config.min_passage:
-                    break
-        held.update(dict.fromkeys(mine))
+    """Cut what pairwise diffs with earlier texts delete."""
+    out = []
+    for text, (own, gone) in zip(texts, plain_gone(texts, linededup.LineConfig())):
         kept, at = [], 0
         for k in sorted(gone):
             kept.append(text[at : own[k][0]] if at <= own[k][0] else "")
@@ -974,7 +1040,7 @@ def test_pipeline_equals_plain_python(spark):
 def test_registered_names():
     import __spark_entry__ as e
 
-    assert [sum(n.startswith(f"op{k}_") for n in e.queries()) for k in range(1, 11)] == [1] * 10 and "pipeline" in e.queries()
+    assert [sum(n.startswith(f"op{k}_") for n in e.queries()) for k in range(1, 14)] == [1] * 13 and "pipeline" in e.queries()
 
 
 def test_top_k_sql(spark):
