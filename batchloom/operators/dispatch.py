@@ -16,13 +16,14 @@ from dataclasses import dataclass, field, replace
 from typing import Any
 
 import pandas as pd
-from pyspark import TaskContext
+from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from batchloom.operators.journal import Journal, StoppedError
 from batchloom.operators.limits import Gate, Limits
 from batchloom.operators.mapping import check_endpoint
+from batchloom.operators.pool import PoolGate
 from batchloom.operators.provider import ProviderError, first_text
 from batchloom.schemas import DISPATCHED, EMBEDDING, TRANSCRIPTION
 from batchloom.sources.settings import Deployment, coerce
@@ -56,6 +57,7 @@ class DispatchConfig:
     partitions: int | None = None  # by default the cores that Spark has
     count_tokens: Callable[[Any], int] = estimate
     backoff_unit: float = 1.0
+    shared_limits: bool = False  # one exact limit for all tasks, by a barrier stage; else each task has its share
     journal: str | None = None  # a shared folder: answers there are replayed, and a strict failure stops all tasks
 
     def __post_init__(self) -> None:
@@ -88,7 +90,7 @@ class DispatchConfig:
         """Partitions and requests in flight for each. ``cores``: what the cluster has."""
         most = self.partitions or max(1, cores)
         cap = self.max_parallel_requests or 128 * most
-        parts = max(1, min(most, cap, self.limits.most_parts()))
+        parts = max(1, min(most, cap, most if self.shared_limits else self.limits.most_parts()))
         return parts, max(1, cap // parts)
 
 
@@ -144,7 +146,11 @@ class _Caller:
 
     def __init__(self, config: DispatchConfig, part: int, parts: int):
         self.config, self.provider = config, config.provider()
-        self.gate = Gate(config.limits.share(part, parts)) if config.limits.any else None
+        self.gate: Gate | PoolGate | None = None
+        if config.limits.any and config.shared_limits:
+            self.gate = PoolGate(config.limits, part, BarrierTaskContext.get().allGather)
+        elif config.limits.any:
+            self.gate = Gate(config.limits.share(part, parts))
         self.router = Router(config.routing_strategy, config.targets(), config.router_kwargs)
         self.journal = Journal(config.journal) if config.journal else None
         self.known: dict[int, dict] = {}  # what rows of the batch at hand have got in an earlier try
@@ -342,6 +348,8 @@ def _run(config: DispatchConfig, window: int, parts: int, make: Callable[[_Calle
             caller.flush()
             if held:
                 yield pd.DataFrame(held, columns=_COLUMNS)
+            if isinstance(caller.gate, PoolGate):
+                caller.gate.finish()
         except Exception as error:
             caller.failed(error)
             raise
@@ -353,6 +361,11 @@ def _run(config: DispatchConfig, window: int, parts: int, make: Callable[[_Calle
     return task
 
 
+def _together(config: DispatchConfig) -> bool:
+    """Whether all tasks have to run at once."""
+    return config.shared_limits and config.limits.any
+
+
 def _own(config: DispatchConfig, text: Any) -> dict[str, Any]:
     """Options of one call: its own (JSON text of an object, or null) above the defaults."""
     return config.options(json.loads(text) if isinstance(text, str) else None)
@@ -403,7 +416,7 @@ def generate(requests: DataFrame, config: DispatchConfig) -> DataFrame:
             yield one
 
     rows = requests.select(F.col("_index").cast("bigint"), "request", "error", _with_options(requests)).repartitionByRange(parts, "_index")
-    return rows.mapInPandas(_run(config, window, parts, make), DISPATCHED)
+    return rows.mapInPandas(_run(config, window, parts, make), DISPATCHED, barrier=_together(config))
 
 
 def micro_batches(texts: DataFrame, size: int, text_col: str = "text") -> DataFrame:
@@ -456,7 +469,7 @@ def embed(texts: DataFrame, config: DispatchConfig, text_col: str = "text", micr
             return await chunk(caller, indices[:half], inputs[:half], since) + await chunk(caller, indices[half:], inputs[half:], since)
 
     batches = micro_batches(texts, micro_batch_size, text_col).repartitionByRange(parts, "batch")
-    return batches.mapInPandas(_run(config, window, parts, make), DISPATCHED)
+    return batches.mapInPandas(_run(config, window, parts, make), DISPATCHED, barrier=_together(config))
 
 
 def transcribe(files: DataFrame, config: DispatchConfig) -> DataFrame:
@@ -484,7 +497,7 @@ def transcribe(files: DataFrame, config: DispatchConfig) -> DataFrame:
             yield one
 
     rows = files.select(F.col("_index").cast("bigint"), "content", "error", _with_options(files)).repartitionByRange(parts, "_index")
-    return rows.mapInPandas(_run(config, window, parts, make), DISPATCHED)
+    return rows.mapInPandas(_run(config, window, parts, make), DISPATCHED, barrier=_together(config))
 
 
 def secretless(config: DispatchConfig) -> DispatchConfig:

@@ -467,6 +467,42 @@ def rate_limited_adjust(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{target}/out").select("request_id", "deployment", "admitted")
 
 
+@_query("""WITH RECURSIVE e AS (
+  SELECT user_id, event_id, epoch(ts) AS s, CAST(floor(value) % 40 AS INTEGER) AS n, event_id % 4 <> 3 AS told, event_id % 2 = 0 AS minute, event_id % 50 AS left_, CASE WHEN event_id % 3 = 0 THEN 40 END AS lim,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events
+), f AS (
+  SELECT user_id, CAST(NULL AS BIGINT) AS event_id, CAST(0 AS BIGINT) AS k, false AS ok, 60.0::DOUBLE AS tm, s AS am, NULL::DOUBLE AS rm, NULL::DOUBLE AS sm, 2000.0::DOUBLE AS td, s AS ad, NULL::DOUBLE AS rd, NULL::DOUBLE AS sd FROM e WHERE k = 1
+  UNION ALL
+  SELECT user_id, event_id, k, ok,
+    CASE WHEN ok AND told AND minute THEN least(60.0, left_) WHEN ok THEN lm - n ELSE lm END, s,
+    CASE WHEN ok AND told AND minute THEN greatest(0.0, (coalesce(least(60.0, lim), 60.0) - least(60.0, left_)) / 30.0) WHEN ok AND n > 0 THEN NULL ELSE rm END,
+    CASE WHEN ok AND told AND minute THEN s WHEN ok AND n > 0 THEN NULL ELSE sm END,
+    CASE WHEN ok AND told AND NOT minute THEN least(2000.0, left_) WHEN ok THEN ld - n WHEN asked THEN ld ELSE td END, CASE WHEN asked THEN s ELSE ad END,
+    CASE WHEN ok AND told AND NOT minute THEN greatest(0.0, (coalesce(least(2000.0, lim), 2000.0) - least(2000.0, left_)) / 600.0) WHEN ok AND n > 0 THEN NULL ELSE rd END,
+    CASE WHEN ok AND told AND NOT minute THEN s WHEN ok AND n > 0 THEN NULL ELSE sd END
+  FROM (SELECT *, asked AND floor(ld) >= n AS ok FROM (
+    SELECT *, floor(lm) >= n AS asked FROM (
+      SELECT e.*, f.rm, f.sm, f.rd, f.sd, f.td, f.ad,
+        least(60.0, f.tm + (e.s - f.am) * CASE WHEN e.s - f.sm <= 60 THEN f.rm ELSE 60 / 60 END) AS lm,
+        least(2000.0, f.td + (e.s - f.ad) * CASE WHEN e.s - f.sd <= 60 THEN f.rd ELSE 2000 / 86400 END) AS ld
+      FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)))
+) SELECT event_id AS request_id, CAST(user_id AS VARCHAR) AS deployment, ok AS admitted FROM f WHERE k > 0""")
+def header_synced_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """A stream under limits that servers' reports replace: those of a short reset are for the minute's bucket, others for the day's."""
+    path, target = fresh_path(spark, "requests"), fresh_path(spark, "admitted")
+    k = F.col("event_id")
+    told = lambda c: F.when(k % 4 != 3, c)
+    spark.read.parquet(f"{sf}/events.parquet").select(
+        F.col("user_id").cast("string").alias("deployment"), k.alias("request_id"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("seconds"),
+        (F.floor("value") % 40).cast("int").alias("tokens"), F.lit(None).cast("int").alias("actual"),
+        told(F.when(k % 3 == 0, F.lit(40))).alias("tokens_limit"), told((k % 50).cast("int")).alias("tokens_remaining"), told(F.when(k % 2 == 0, F.lit(30.0)).otherwise(F.lit(600.0))).alias("tokens_reset"),
+    ).write.parquet(path)
+    arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    out = runner.limited(arriving, Limits(rpm=1_000_000, tpm=60, tpd=2000))
+    out.writeStream.format("parquet").option("path", f"{target}/out").option("checkpointLocation", f"{target}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{target}/out").select("request_id", "deployment", "admitted")
+
+
 @_query(
     "SELECT event_id, list_distinct(list_append(list_filter([1, 8, 32, 128, 512], lambda x: x <= event_id % 600 + 1), CAST(event_id % 600 + 1 AS INTEGER))).list_sort().array_to_string(',') AS sizes FROM events"
 )

@@ -60,37 +60,57 @@ def _before(counts: Folder, number: int) -> int:
     return last["first"] + last["rows"]
 
 
-_STATE = "at double, minute_requests double, minute_tokens double, day_requests double, day_tokens double"
-_NAMES = ("minute_requests", "minute_tokens", "day_requests", "day_tokens")
+_BUCKETS = ("minute_requests", "minute_tokens", "day_requests", "day_tokens")
+_STATE = "at double, " + ", ".join(f"{b} double, {b}_rate double, {b}_since double, {b}_reset double" for b in _BUCKETS)
+HEADERS = tuple(f"{what}_{kind}" for what in ("requests", "tokens") for kind in ("limit", "remaining", "reset"))
 
 
 def _buckets(limiter: Limiter) -> list[TokenBucket | None]:
     return [limiter.requests.get("minute"), limiter.tokens.get("minute"), limiter.requests.get("day"), limiter.tokens.get("day")]
 
 
+def _restore(limiter: Limiter, state: tuple) -> None:
+    at, rest = state[0], state[1:]
+    for k, b in enumerate(_buckets(limiter)):
+        if b is not None:
+            b.tokens, b.at = rest[4 * k], at
+            rate, since, reset = rest[4 * k + 1 : 4 * k + 4]
+            b.server = None if rate is None or rate != rate else (rate, since, reset)
+
+
+def _kept(limiter: Limiter, now: float) -> tuple:
+    out: list[float | None] = [now]
+    for b in _buckets(limiter):
+        if b is None:
+            out += [0.0, None, None, None]
+        else:
+            b.level(now)
+            out += [b.tokens, *(b.server or (None, None, None))]
+    return tuple(out)
+
+
 def limited(requests: DataFrame, limits: Limits, key: str = "deployment") -> DataFrame:
     """A stream of (key, request_id, seconds, tokens, actual) with ``admitted``; state is the levels
-    of the key's buckets. ``actual`` (null: as reserved) corrects the reservation afterwards."""
+    of the key's buckets and what a server last said of each. ``actual`` (null: as reserved) corrects the
+    reservation of an admitted request afterwards. Further columns named in ``HEADERS``, as far as there are any,
+    are the server's report after the request; ``header_scope`` says which bucket it is for."""
+    told = [h for h in HEADERS if h in requests.columns]
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(batches)).sort_values(["seconds", "request_id"], kind="stable")
         limiter = Limiter(limits, float(rows["seconds"].iloc[0]))
         if state.exists:
-            at, *levels = state.get
-            for b, v in zip(_buckets(limiter), levels):
-                if b is not None:
-                    b.tokens, b.at = v, at
+            _restore(limiter, state.get)
         out = []
         for r in rows.itertuples():
-            fits = all(r.tokens <= b.capacity for b in limiter.tokens.values()) and limiter.try_acquire(int(r.tokens), float(r.seconds))
-            if fits and not pd.isna(r.actual):
-                limiter.adjust(int(r.tokens), int(r.actual), float(r.seconds), failed=False)
-            out.append((k[0], int(r.request_id), float(r.seconds), fits))
-        last = float(rows["seconds"].iloc[-1])
-        for b in _buckets(limiter):
-            if b is not None:
-                b.level(last)
-        state.update((last, *[b.tokens if b is not None else 0.0 for b in _buckets(limiter)]))
+            now = float(r.seconds)
+            fits = all(r.tokens <= b.capacity for b in limiter.tokens.values()) and limiter.try_acquire(int(r.tokens), now)
+            report = {h: (float if h.endswith("reset") else int)(getattr(r, h)) for h in told if not pd.isna(getattr(r, h))}
+            used = int(r.tokens) if pd.isna(r.actual) else int(r.actual)
+            if fits and (not pd.isna(r.actual) or report):
+                limiter.adjust(int(r.tokens), used, now, failed=used == 0 and not pd.isna(r.actual), headers=report)
+            out.append((k[0], int(r.request_id), now, fits))
+        state.update(_kept(limiter, float(rows["seconds"].iloc[-1])))
         yield pd.DataFrame(out, columns=[key, "request_id", "seconds", "admitted"])
 
     return requests.groupBy(key).applyInPandasWithState(
