@@ -226,6 +226,13 @@ def learn(docs: DataFrame, labels: DataFrame, config: ToxicityConfig = ToxicityC
     return index
 
 
+def _few(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that a batch's texts aren't all Python strings at once."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def scored(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
     """``docs`` with score, predicted and evidence behind its other columns."""
     extra = [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", T.StringType())]
@@ -238,12 +245,12 @@ def scored(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
-            found = [own.score(t or "") for t in b.column(place).to_pylist()]
+        for part in _few(batches):
+            found = [own.score(t or "") for t in part.column(place).to_pylist()]
             score = [s for s, _ in found]
             near = [",".join(f"{n}:{y}:{c:.4f}" for n, y, c in e[:5]) for _, e in found]
             columns = [pa.array(score, pa.float64()), pa.array([int(s >= 0.5) for s in score], pa.int32()), pa.array(near, pa.string())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *columns], names)
+            yield pa.RecordBatch.from_arrays([*part.columns, *columns], names)
 
     return docs.mapInArrow(run, schema)
 
@@ -255,7 +262,7 @@ def clean(docs: DataFrame, index: Index, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for b in batches:
-            yield b.filter(pa.array([own.score(t or "")[0] < 0.5 for t in b.column(place).to_pylist()], pa.bool_()))
+        for part in _few(batches):
+            yield part.filter(pa.array([own.score(t or "")[0] < 0.5 for t in part.column(place).to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, T.StructType(docs.schema.fields))
