@@ -10,7 +10,7 @@ import json
 import time
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from batchloom.store import written
@@ -24,20 +24,54 @@ def exact_percentile(column: Column, p: int) -> Column:
     return F.coalesce(F.percentile(column, p / 100), F.lit(0.0))
 
 
+def ranked_percentiles(rows: DataFrame, keys: list[str], value: str, points: tuple[int, ...]) -> DataFrame:
+    """keys, p, value: the same percentiles for groups of any size, null values aside.
+
+    Distinct values are counted, dealt out in ranges and written; ranks come from running counts inside a range and
+    the sums of earlier ones, and each percentile is read off at its two neighbouring ranks. No buffer holds a
+    group's values.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    dealt = written(counts.repartitionByRange(*keys, value).withColumn("_part", F.spark_partition_id()), "ranked")
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_n").alias("_rows"))
+    earlier = F.sum("_rows").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))  # a row for each range
+    whole = F.sum("_rows").over(Window.partitionBy(*keys))
+    parts = parts.select(*keys, "_part", F.coalesce(earlier, F.lit(0)).alias("_before"), whole.alias("_total"))
+    upto = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value))
+    ranked = dealt.withColumn("_upto", upto).join(F.broadcast(parts), [*keys, "_part"]).withColumn("_upto", F.col("_upto") + F.col("_before"))
+    ranked = ranked.withColumn("p", F.explode(F.array(*map(F.lit, points))))
+    at = F.col("p") / 100 * (F.col("_total") - 1)
+    stands = lambda rank: (F.col("_upto") - F.col("_n") <= rank) & (rank < F.col("_upto"))
+    near = ranked.where(stands(F.floor(at)) | stands(F.ceil(at))).groupBy(*keys, "p").agg(
+        F.max(F.when(stands(F.floor(at)), F.col(value))).alias("_low"), F.max(F.when(stands(F.ceil(at)), F.col(value))).alias("_high"), F.max(at - F.floor(at)).alias("_share"),
+    )
+    return near.select(*keys, "p", (F.col("_low") * (1 - F.col("_share")) + F.col("_high") * F.col("_share")).alias(value))
+
+
 def per_second(amount: Column, elapsed: Column) -> Column:
     return F.when(elapsed > 0, amount / elapsed).otherwise(F.lit(0.0))
 
 
-def summary(log: DataFrame, elapsed: DataFrame, level: str = "level") -> DataFrame:
-    """Counts, rates and p50/p95/p99 for each level; ``elapsed`` has level and elapsed_s."""
+def summary(log: DataFrame, elapsed: DataFrame, level: str = "level", by_ranks: bool = False) -> DataFrame:
+    """Counts, rates and p50/p95/p99 for each level; ``elapsed`` has level and elapsed_s.
+
+    Percentiles keep a level's distinct timings in one buffer, or with ``by_ranks`` in none, for levels of many
+    millions of requests; the results are the same.
+    """
     done = F.when(~F.col("failed"), F.lit(1))
-    stats = [exact_percentile(F.col(c), p).alias(f"p{p}_{name}") for name, c in TIMINGS.items() for p in (50, 95, 99)]
+    stats = [exact_percentile(F.col(c), p).alias(f"p{p}_{name}") for name, c in TIMINGS.items() for p in (50, 95, 99)] if not by_ranks else []
     sums = [
         F.coalesce(F.sum(F.when(~F.col("failed"), F.col(c))), F.lit(0)).alias(c) for c in ("prompt_tokens", "output_tokens", "total_tokens")
     ]
     found = log.groupBy(level).agg(
         F.count(F.lit(1)).alias("total_submitted"), F.count(done).alias("succeeded"), F.count_if("failed").alias("failures"), *stats, *sums,
     )
+    if by_ranks:
+        times = log.select(level, F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).cast("double").alias("time")) for n, c in TIMINGS.items()))).alias("x")).select(level, "x.*")
+        ranks = ranked_percentiles(times, [level, "name"], "time", (50, 95, 99))
+        pick = lambda n, p: F.max(F.when((F.col("name") == n) & (F.col("p") == p), F.col("time")))
+        wide = ranks.groupBy(level).agg(*(pick(n, p).alias(f"p{p}_{n}") for n in TIMINGS for p in (50, 95, 99)))
+        found = found.join(wide, level, "left").fillna(0.0, [f"p{p}_{n}" for n in TIMINGS for p in (50, 95, 99)])
     e = F.col("elapsed_s")
     rates = [per_second(F.col(c), e).alias(f"{c}_per_second") for c in ("prompt_tokens", "output_tokens", "total_tokens")]
     return found.join(F.broadcast(elapsed), level).select(

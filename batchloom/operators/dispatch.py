@@ -20,13 +20,14 @@ from pyspark import BarrierTaskContext, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from batchloom.operators.journal import Journal, StoppedError
+from batchloom.operators.journal import Journal, StoppedError, followed
 from batchloom.operators.limits import Gate, Limits
 from batchloom.operators.mapping import check_endpoint
 from batchloom.operators.pool import PoolGate
 from batchloom.operators.provider import ProviderError, first_text
 from batchloom.schemas import DISPATCHED, EMBEDDING, TRANSCRIPTION
 from batchloom.sources.settings import Deployment, coerce
+from batchloom.store import fresh_path, written
 
 ROUTING = ("simple-shuffle", "least-busy", "usage-based-routing", "latency-based-routing", "cost-based-routing", "round-robin")
 
@@ -396,7 +397,7 @@ def generate(requests: DataFrame, config: DispatchConfig) -> DataFrame:
                 if error is not None or text is None:
                     if config.strict:
                         raise ValueError(error or "no request")
-                    return [_row(index, None, error or "no request", None, None)]
+                    return caller.note([_row(index, None, error or "no request", None, None)])
                 since = time.monotonic()
                 try:
                     request, options = json.loads(text), _own(config, asked)
@@ -500,6 +501,31 @@ def transcribe(files: DataFrame, config: DispatchConfig) -> DataFrame:
     return rows.mapInPandas(_run(config, window, parts, make), DISPATCHED, barrier=_together(config))
 
 
+def batch(
+    call: Callable[..., DataFrame], rows: DataFrame, config: DispatchConfig, on_result: Callable[[int, dict], None] | None = None,
+    on_progress: Callable[[int, int], None] | None = None, **kw: Any,
+) -> DataFrame:
+    """What ``call`` (generate, embed or transcribe) answers to ``rows``, written once.
+
+    ``on_result`` gets the index and the answer of each row as it comes, in order of completion and in the
+    caller's thread; ``on_progress`` how many there are, of how many.
+    """
+    if on_result is None and on_progress is None:
+        return written(call(rows, config, **kw), "answers")
+    journal = config.journal or fresh_path(rows.sparkSession, "journal")
+    total, done = rows.count() if on_progress else 0, 0
+
+    def note(row: dict) -> None:
+        nonlocal done
+        done += 1
+        if on_result:
+            on_result(row["_index"], row)
+        if on_progress:
+            on_progress(done, total)
+
+    return followed(journal, lambda: written(call(rows, replace(config, journal=journal), **kw), "answers"), note)
+
+
 def secretless(config: DispatchConfig) -> DispatchConfig:
     """The same without keys, for logs."""
     return replace(config, api_key=None, deployments=tuple(replace(d, api_key=None) for d in config.deployments))

@@ -15,11 +15,13 @@ import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 
 from batchloom.schemas import DISPATCHED
 
 STOP = "stop.json"
+GRACE = 1.5
 
 
 class StoppedError(RuntimeError):
@@ -127,15 +129,16 @@ def followed(uri: str, action: Callable[[], object], on_row: Callable[[dict], No
                 for row in journal.rows(name):
                     on_row(row)
 
-    fresh_before = set(journal.segments())
-    seen |= fresh_before
-    worker = threading.Thread(target=work, daemon=True)
+    seen |= set(journal.segments())
+    worker = InheritableThread(target=work, daemon=True)  # with the job tags of this one
     worker.start()
     while not done.wait(every):
         fresh(journal.segments())
     worker.join()
-    fresh(journal.segments())
     result, error = out[0]
+    if error is not None:
+        time.sleep(GRACE)  # a failed job's other tasks are still writing what they got
+    fresh(journal.segments())
     if error is not None:
         raise error
     return result

@@ -5,6 +5,7 @@ A run directory holds
     _run.json            schema version, mapping fingerprint, endpoint, identity of the source's files
     ledger/              Parquet: one pending row for each source row with its place there, written once, in ranges of the index
     work-*/chunk=N/      Parquet: which rows a chunk does; manifest.json, written last, lists the chunks
+    journal/chunk=N/     answers of the chunk at hand, if the run keeps a journal; gone once it's settled
     output/chunk=N/      JSON lines of settled rows
     settled/chunk=N/     Parquet: their index and state
 
@@ -14,7 +15,8 @@ the ledger is what the source holds, and each chunk reads the bytes of its rows.
 fingerprint there. Where files have changed, are packed, or are in a store that tasks can't open, the source
 is parsed and joined to the ledger instead. A chunk's output is written first, then its entry in the
 settle log: a crash between both repeats the chunk's calls and output, and readers keep the
-latest chunk of each index. A crash loses at most the chunk in flight. Nothing is ever
+latest chunk of each index. A crash loses at most the chunk in flight; with a journal (``journal``, or
+``on_row``) the repeated chunk replays what was answered and asks for the rest only. Nothing is ever
 overwritten in place: a fresh run is built beside the old one and renamed over it.
 """
 
@@ -23,7 +25,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from pathlib import Path
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 
 from batchloom.operators import planner
 from batchloom.operators.dispatch import DispatchConfig, generate
+from batchloom.operators.journal import Journal, followed
 from batchloom.operators.mapping import mapper_fingerprint, prepared
 from batchloom.operators.results import records
 from batchloom.schemas import ERROR, SUCCESS
@@ -56,6 +59,8 @@ class RunConfig:
     on_status: Callable[[str], None] | None = None
     on_progress: Callable[[int, int], None] | None = None
     on_result: Callable[[DataFrame], None] | None = None  # gets the output rows of each settled chunk
+    on_row: Callable[[dict], None] | None = None  # gets each answer as it comes, in the caller's thread; keeps a journal
+    journal: bool = False
     job_tag: str | None = None  # for ``cancel``
 
     def __post_init__(self) -> None:
@@ -236,7 +241,9 @@ def _run(spark: SparkSession, config: RunConfig) -> int:
         done = 0
         for k, c in enumerate(chunks):
             part = dealt(spark, work.path, c["chunk"])
-            n = _settle(spark, config, places.read_places(part) if by_place else part, first + k)
+            if by_place:  # places are dealt out before any line is read
+                part = places.read_places(part.repartitionByRange(spark.sparkContext.defaultParallelism, "output_index").sortWithinPartitions("output_index"))
+            n = _settle(spark, config, part, first + k)
             if config.on_result:
                 config.on_result(output(spark, config.run_dir, first + k))
             done += n
@@ -259,7 +266,16 @@ def _settle(spark: SparkSession, config: RunConfig, part: DataFrame, chunk: int)
     requests = work.select(F.col("output_index").alias("_index"), "request", "error", "metadata")
     # Answers are written once: later reads never call the provider again.
     raw = _fresh(spark, f"{config.run_dir}/answers/chunk={chunk}")
-    generate(requests, config.dispatch).write.parquet(raw)
+    journal = Folder(spark, f"{config.run_dir}/journal/chunk={chunk}")
+    if config.journal or config.on_row:
+        Journal(journal.path).reopen()  # a strict run that failed may go on
+        calls = generate(requests, replace(config.dispatch, journal=journal.path))
+    else:
+        calls = generate(requests, config.dispatch)
+    if config.on_row:
+        followed(journal.path, lambda: calls.write.parquet(raw), config.on_row)
+    else:
+        calls.write.parquet(raw)
     answers = spark.read.parquet(raw)
     kept = requests.where("error is null").select("_index", "metadata")
     rows = records(answers, config.dispatch.endpoint, config.parse_json, kept)
@@ -270,6 +286,7 @@ def _settle(spark: SparkSession, config: RunConfig, part: DataFrame, chunk: int)
     counted = Observation()
     log.observe(counted, F.count(F.lit(1)).alias("rows")).write.parquet(_fresh(spark, f"{config.run_dir}/settled/chunk={chunk}"))
     Folder(spark, raw).remove()
+    journal.remove()
     return counted.get["rows"]
 
 

@@ -461,6 +461,22 @@ _STATS = ", ".join(
 )
 
 
+@_query(f"""WITH {_LOG} SELECT level, count(*) AS total_submitted, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failures,
+  round(count(*) FILTER (NOT failed) / any_value(elapsed_s), 6) AS requests_per_second, {_STATS},
+  round(sum(p) FILTER (NOT failed) / any_value(elapsed_s), 4) AS prompt_tokens_per_second, round(sum(o) FILTER (NOT failed) / any_value(elapsed_s), 4) AS output_tokens_per_second
+FROM log JOIN took USING (level) GROUP BY level""")
+def bench_summary_by_ranks(spark: SparkSession, sf: str) -> DataFrame:
+    """The same summary, percentiles by ranks."""
+    log = _log(spark, sf)
+    found = bench.summary(log, _elapsed(log), by_ranks=True)
+    stats = [F.round(c, 6).alias(c) for c in found.columns if c.startswith("p") and c[1].isdigit()]
+    return found.select(
+        "level", "total_submitted", "succeeded", "failures", F.round("requests_per_second", 6).alias("requests_per_second"), *stats,
+        F.round("prompt_tokens_per_second", 4).alias("prompt_tokens_per_second"),
+        F.round("output_tokens_per_second", 4).alias("output_tokens_per_second"),
+    )
+
+
 @_query(f"""WITH {_LOG} SELECT level, count(*) AS total_submitted, count(*) FILTER (NOT failed) AS succeeded, count(*) FILTER (failed) AS failures,
   round(count(*) FILTER (NOT failed) / any_value(elapsed_s), 6) AS requests_per_second, {_STATS},
   round(sum(p) FILTER (NOT failed) / any_value(elapsed_s), 4) AS prompt_tokens_per_second, round(sum(o) FILTER (NOT failed) / any_value(elapsed_s), 4) AS output_tokens_per_second

@@ -503,6 +503,37 @@ def header_synced_limits(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{target}/out").select("request_id", "deployment", "admitted")
 
 
+@_query("""SELECT doc_id AS _index, CASE WHEN doc_id % 3 = 0 OR doc_id % 7 <> 0 THEN doc_id || ' ' || lang END AS output_text, CASE WHEN doc_id % 3 <> 0 AND doc_id % 7 = 0 THEN 'refused ' || doc_id END AS error FROM documents""")
+def replayed_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """A third of the rows is answered under a journal; a second run replays those answers, which its own provider would refuse, and asks for the rest."""
+    n, folder = F.col("doc_id"), fresh_path(spark, "journal")
+    requests = _documents(spark, sf).select(n.alias("_index"), _chat(_numbered(n, F.col("lang"))).alias("request"), _no_error())
+    config = DispatchConfig("echo", EchoProvider, journal=folder)
+    written(generate(requests.where("_index % 3 = 0"), config), "answers")
+    again = DispatchConfig("echo", functools.partial(ScriptedProvider, stumble=0), journal=folder)
+    return generated(written(generate(requests, again), "answers"), "chat_completion").select("_index", "output_text", "error")
+
+
+@_query("""SELECT '{"_index":' || doc_id || ',"output_text":' || CASE WHEN doc_id % 5 = 0 THEN 'null' ELSE '"' || lang || ' é"' END || ',"n":' || length(text) || CASE WHEN doc_id % 3 = 0 THEN ',"metadata":{"k": ' || doc_id || '}' ELSE '' END || '}' AS value FROM documents""")
+def exported_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Output rows as one text file of JSON lines: nulls are written, metadata as it came and only where there is some."""
+    n, path = F.col("doc_id"), f"{fresh_path(spark, 'export')}/out.jsonl"
+    rows = _documents(spark, sf).select(
+        n.alias("_index"), F.when(n % 5 != 0, F.concat("lang", F.lit(" é"))).alias("output_text"), F.length("text").alias("n"),
+        F.when(n % 3 == 0, F.concat(F.lit('{"k": '), n.cast("string"), F.lit("}"))).alias("metadata"),
+    )
+    workflow.put_lines(spark, workflow.as_lines(rows), path)
+    return spark.read.text(path)
+
+
+@_query("SELECT event_id, user_id, value FROM events WHERE event_id % 4 <> 1")
+def typed_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """JSON lines under a schema, where a malformed line would raise."""
+    rows = spark.read.parquet(f"{sf}/events.parquet").where("event_id % 4 <> 1").select("event_id", "user_id", "value")
+    types = {c: t for c, t in rows.dtypes}
+    return lines.strict_json(spark, _text_of(rows.select(F.to_json(F.struct("*")).alias("value")), "typed"), ", ".join(f"{c} {t}" for c, t in types.items()))
+
+
 @_query(
     "SELECT event_id, list_distinct(list_append(list_filter([1, 8, 32, 128, 512], lambda x: x <= event_id % 600 + 1), CAST(event_id % 600 + 1 AS INTEGER))).list_sort().array_to_string(',') AS sizes FROM events"
 )

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from batchloom.operators import planner
-from batchloom.operators.dispatch import DispatchConfig, embed, generate
+from batchloom.operators.dispatch import DispatchConfig, batch, embed, generate
 from batchloom.operators.journal import Journal, answered, followed
 from batchloom.operators.provider import EchoProvider, ProviderError
 from batchloom.plans import workflow as W
@@ -196,6 +196,7 @@ def test_a_strict_failure_stops_all_tasks_and_repeats_no_call(spark, tmp_path):
     make = lambda bad: DispatchConfig("m", functools.partial(Counting, str(tmp_path / "calls"), bad), partitions=4, max_parallel_requests=8, strict=True, journal=str(tmp_path / "j"))
     with pytest.raises(Exception, match="refused"):
         generate(requests(spark, 200), make(True)).count()
+    time.sleep(2)  # other tasks end after the job
     made = sorted(int(f.split(".")[0]) for f in os.listdir(tmp_path / "calls"))
     assert len(made) == len(set(made)) and 13 in made
     # Another try sees the stop, and calls nothing.
@@ -225,6 +226,11 @@ def test_each_row_reaches_a_callback_while_the_job_runs(spark, tmp_path):
     assert n == 700 and sorted(seen) == list(range(700)) and threads == {threading.current_thread()}
     with pytest.raises(ZeroDivisionError):
         followed(str(tmp_path / "j"), lambda: 1 / 0, note)
+    got, progress = {}, []
+    rows = requests(spark, 30).withColumn("error", F.when(F.col("_index") == 4, F.lit("held back")))
+    answers = batch(generate, rows, DispatchConfig("m", EchoProvider, partitions=2), lambda i, r: got.setdefault(i, r), lambda k, n: progress.append((k, n)))
+    assert sorted(got) == list(range(30)) and got[4]["error"] == "held back" and got[5]["response"] and progress == [(k, 30) for k in range(1, 31)]
+    assert answers.count() == 30 and batch(generate, rows, DispatchConfig("m", EchoProvider, partitions=2)).count() == 30
     texts = spark.range(10).select(F.col("id").alias("_index"), F.col("id").cast("string").alias("text"))
     vectors = DispatchConfig("m", EchoProvider, partitions=2, journal=str(tmp_path / "e"))
     first = embed(texts, vectors, micro_batch_size=3).collect()
@@ -232,6 +238,28 @@ def test_each_row_reaches_a_callback_while_the_job_runs(spark, tmp_path):
     assert {(r._index, r.response) for r in first} == {(r._index, r.response) for r in again}
 
 
+def test_a_run_with_a_journal_repeats_no_answered_call(spark, tmp_path):
+    import functools
+
+    (tmp_path / "calls").mkdir()
+    path = tmp_path / "in.jsonl"
+    path.write_text("".join(json.dumps({"prompt": str(k)}) + "\n" for k in range(40)))
+    make = lambda bad, **kw: W.RunConfig(
+        str(tmp_path / "run"), DispatchConfig("m", functools.partial(Counting, str(tmp_path / "calls"), bad), partitions=2, strict=True), str(path), chunk_rows=25, **kw,
+    )
+    seen = []
+    with pytest.raises(Exception, match="refused"):
+        W.run(spark, make(True, on_row=lambda r: seen.append(r["_index"])))
+    before = len(os.listdir(tmp_path / "calls"))
+    kept = len(set(seen))
+    assert 0 < kept < 25 and len(seen) == kept
+    assert W.run(spark, make(False, on_row=lambda r: seen.append(r["_index"]), resume=True)) == 40
+    assert sorted(seen) == list(range(40))  # each row once over both tries
+    assert len(os.listdir(tmp_path / "calls")) == before + 40 - kept
+    rows = W.output(spark, str(tmp_path / "run")).orderBy("_index").collect()
+    assert [r.output_text for r in rows] == [str(k) for k in range(40)] and not list((tmp_path / "run" / "journal").glob("chunk=*"))
+
+
 class Slow(EchoProvider):
     async def call(self, kind, request, deployment, options):
         import asyncio
@@ -260,3 +288,17 @@ def test_cancel(spark, tmp_path):
         thread.join(0.5)
     assert failed and not thread.is_alive()
     assert W.run(spark, W.RunConfig(config.run_dir, DispatchConfig("m", EchoProvider), str(path), resume=True)) == 4
+
+
+def test_ranked_percentiles_equal_those_in_memory(spark):
+    from batchloom.operators import bench
+
+    rng = random.Random(4)
+    rows = [(g, float(rng.choice([0, 0, 0, 1, 2, rng.random()])) if rng.random() < 0.9 else None) for g in ("a", "b", "c") for _ in range(rng.choice([1, 2, 700]))] + [("none", None)]
+    data = spark.createDataFrame(rows, "g string, v double")
+    found = {(r.g, r.p): r.v for r in bench.ranked_percentiles(data, ["g"], "v", (0, 50, 95, 99, 100)).collect()}
+    for g in {g for g, v in rows if v is not None}:
+        own = [v for x, v in rows if x == g and v is not None]
+        for p in (0, 50, 95, 99, 100):
+            assert abs(found[g, p] - np.percentile(own, p)) < 1e-12
+    assert all(g != "none" for g, _ in found)
