@@ -100,11 +100,11 @@ class WordEncoder:
         return ids, ends
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One encoder for each file and worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, max_words: int = 1_000_000) -> WordEncoder:
+    """One encoder for each file, size and worker process."""
+    if (path, max_words) not in _ENCODERS:
+        _ENCODERS[path, max_words] = WordEncoder(path, max_words)
+    return _ENCODERS[path, max_words]

@@ -45,15 +45,16 @@ class PackConfig:
     hard_step: int = 32
     block: int = 1 << 20
     with_ids: bool = False
+    max_words: int = 1_000_000  # words that a worker remembers the ids of
 
 
 _SENTENCE_END: dict[str, np.ndarray] = {}
 
 
-def sentence_ends(path: str) -> np.ndarray:
+def sentence_ends(path: str, max_words: int = 1_000_000) -> np.ndarray:
     """For each id, whether its token ends a sentence or line."""
     if path not in _SENTENCE_END:
-        library = encoder(path).library
+        library = encoder(path, max_words).library
         flags = np.zeros(max(library.get_vocab().values()) + 1, bool)
         for token, k in library.get_vocab().items():
             flags[k] = token.endswith((".", "!", "?", "Ċ"))  # Ċ: a line feed in byte-level spelling
@@ -114,7 +115,7 @@ class Packer:
 
     def __init__(self, config: PackConfig, base: int):
         self.config, self.next = config, base
-        self.ends = sentence_ends(config.tokenizer)
+        self.ends = sentence_ends(config.tokenizer, config.max_words)
         self.ids: list[np.ndarray] = []
         self.docs: list[tuple] = []  # (doc_id, ids of it before the block, ids in the block, all its ids)
         self.size = 0
@@ -175,7 +176,7 @@ def pack(df: DataFrame, config: PackConfig, id_col: str = "doc_id", text_col: st
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = encoder(config.tokenizer)
+        own = encoder(config.tokenizer, config.max_words)
         packer = Packer(config, TaskContext.get().partitionId() << 40)
         end = np.array([config.end_id], np.uint32)
         kind_of: list[pa.DataType] = []

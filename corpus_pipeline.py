@@ -59,7 +59,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     from batchloom.llm.packing import PackConfig, pack
 
-    return pack(docs, PackConfig(public_tokenizers.path("byte_bpe_50k.json"), with_ids=True))
+    # Workers still hold memory of earlier stages: fewer words are remembered here.
+    return pack(docs, PackConfig(public_tokenizers.path("byte_bpe_50k.json"), with_ids=True, max_words=250_000))
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("pii", pii), ("packing", packing)]
