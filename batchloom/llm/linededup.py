@@ -49,6 +49,8 @@ _STOP = re.compile(r"[.!?](?=[ \t])").finditer
 _WIDE_STOP = re.compile(r"[.!?\u3002\uff01\uff1f](?:(?=[ \t])|(?<=[\u3002\uff01\uff1f]))").finditer  # the wide ones need no blank
 _ODD_BLANK = re.compile(r"[\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search  # white space beside blank and line feed
 _WORD = re.compile(r"\S+").finditer
+_NOT_BYTES = re.compile("[\t\x0b-\r\x1c-\x1f\x85\xa0\u0100-\U0010ffff]").search
+_MOST_BYTES = 1 << 22  # of texts that are cut at once
 # A unit's place in its table: text tag, number, opens a line, closes a line, words (no more than count).
 _TAG_BITS, _PLACE_BITS, _WORD_BITS = 20, 30, 11
 _STEP = 0x9E3779B97F4A7C15
@@ -124,6 +126,99 @@ def units(text: str, config: LineConfig) -> list[tuple[int, int, int, bool, bool
     return out
 
 
+def byte_units(texts: list[str], config: LineConfig) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+    """The units of many texts at once: the texts in a row, their starts there and their end, columns as those of
+    ``units`` (places in that row), and the number of units of each text.
+
+    Only for texts of the first 256 code points whose white space is single blanks and line feeds: there each byte is
+    a character, and words, sentences and lines end where the byte after them says so.
+    """
+    joined = "\n".join([*texts, "\n"])
+    data = np.frombuffer(joined.encode("latin-1"), np.uint8)
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    bases = np.concatenate([[0], np.cumsum(sizes + 1)])
+    inside = (data != 32) & (data != 10)
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if inside[0]:
+        turns = np.concatenate([[0], turns])
+    first, end = turns[::2], turns[1::2]  # of each word; the row ends with two line feeds
+    closes = (data[end] == 10) | (data[end + 1] == 10)
+    mark = data[end - 1]
+    stops = np.flatnonzero(closes | (mark == 46) | (mark == 33) | (mark == 63))
+    count = np.diff(stops, prepend=-1)
+    heads = stops - count + 1
+    opens = np.concatenate([[True], closes[stops[:-1]]])[: len(stops)]
+    long = np.flatnonzero(count > config.long_words)
+    if len(long):
+        # The words of long units, and which of them units may end with.
+        n = count[long]
+        edge = np.cumsum(n)
+        word = np.repeat(heads[long] - (edge - n), n) + np.arange(edge[-1])
+        told = 31 * data[first[word]].astype(np.int64) + 17 * data[end[word] - 1] + 7 * (end[word] - first[word])
+        picked = word[told & 7 == 0]
+        ranges = np.searchsorted(picked, heads[long]), np.searchsorted(picked, stops[long])
+        picks, more = picked.tolist(), []
+        for head, a, b in zip(heads[long].tolist(), ranges[0].tolist(), ranges[1].tolist()):
+            for k in picks[a:b]:
+                if k - head >= 4:
+                    more.append(k)
+                    head = k + 1
+        cuts = np.array(more, np.int64)
+        stops = np.sort(np.concatenate([stops, cuts]))
+        count = np.diff(stops, prepend=-1)
+        heads = stops - count + 1
+        # A cut closes no line, and what follows it opens none.
+        closes[cuts] = False
+        opens = np.concatenate([[True], closes[stops[:-1]]])[: len(stops)]
+    begin, over = first[heads], end[stops]
+    count = count.copy()
+    for k in np.flatnonzero(over - begin > 16 * count).tolist():
+        count[k] = _words(int(count[k]), joined[begin[k] : over[k]])
+    table = np.stack([begin, over, count, opens, closes[stops]]).astype(np.int64)
+    return joined, bases, table, np.diff(np.searchsorted(begin, bases))
+
+
+def units_of(texts: list[str], config: LineConfig) -> list[list[tuple[int, int, int]]]:
+    """start, end, words - for each unit of each text."""
+    out: list[list] = [[] for _ in texts]
+    groups, rest = parted(texts)
+    for group in groups:
+        _, bases, table, sizes = byte_units([texts[k] for k in group], config)
+        table[:2] -= np.repeat(bases[:-1], sizes)
+        rows, at = list(zip(*table[:3].tolist())), 0
+        for k, n in zip(group, sizes.tolist()):
+            out[k] = rows[at : at + n]
+            at += n
+    for k in rest:
+        out[k] = [u[:3] for u in units(texts[k], config)]
+    return out
+
+
+def parted(texts: list[str]) -> tuple[list[list[int]], list[int]]:
+    """Places of the texts that ``byte_units`` may cut, some MB at a time, and of the others; empty ones have no units."""
+    groups: list[list[int]] = []
+    rest, size = [], _MOST_BYTES
+    for k, text in enumerate(texts):
+        if "  " in text or _NOT_BYTES(text):
+            rest.append(k)
+        elif text:
+            if size >= _MOST_BYTES:
+                groups.append([])
+                size = 0
+            groups[-1].append(k)
+            size += len(text)
+    return groups, rest
+
+
+def byte_keys(joined: str, begin: np.ndarray, over: np.ndarray) -> list[int]:
+    """Hashes of units of texts in a row."""
+    raw, one = joined.encode("utf-8"), xxhash.xxh64_intdigest
+    if len(raw) != len(joined):  # characters of two bytes
+        wide = np.concatenate([[0], np.cumsum(np.frombuffer(joined.encode("latin-1"), np.uint8) > 127)])
+        begin, over = begin + wide[begin], over + wide[over]
+    return [one(raw[s:e], 7) for s, e in zip(begin.tolist(), over.tolist())]
+
+
 def text_tag(text: str) -> int:
     return xxhash.xxh32_intdigest(text.encode("utf-8", "surrogatepass"), 3) >> 32 - _TAG_BITS
 
@@ -270,24 +365,29 @@ def overlaps(df: DataFrame, config: LineConfig, id_col: str = "doc_id", text_col
     narrow = df.where(F.length(text_col) > 0).select(_order(id_col).alias("doc"), F.col(text_col).alias("text"))
     count = max(config.min_words, config.min_passage)
 
+    def out(docs: np.ndarray, tags: np.ndarray, keys: list[int], table: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        words, opens, closes = table
+        columns = [
+            np.array(keys, np.uint64).view(np.int64), np.repeat(docs, sizes), np.repeat(tags, sizes),
+            (np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32),
+            ((opens << 1 | closes) << _WORD_BITS | np.minimum(words, count)).astype(np.int32),
+        ]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc", "tag", "place", "kind"])
+
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                docs, tags, keys, places, kinds, sizes = [], [], [], [], [], []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    own = units(text, config)
-                    keys += _keys(text, own)
-                    kinds += [(u[3] << 1 | u[4]) << _WORD_BITS | min(u[2], count) for u in own]
-                    docs.append(doc)
-                    tags.append(text_tag(text))
-                    sizes.append(len(own))
-                    places.append(np.arange(len(own), dtype=np.int32))
-                columns = [
-                    np.array(keys, np.uint64).view(np.int64), np.repeat(np.array(docs, np.int64), sizes),
-                    np.repeat(np.array(tags, np.int32), sizes), np.concatenate(places), np.array(kinds, np.int32),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "doc", "tag", "place", "kind"])
+                docs, texts = part.column(0).to_numpy(zero_copy_only=False), part.column(1).to_pylist()
+                tags = np.fromiter(map(text_tag, texts), np.int32, len(texts))
+                groups, rest = parted(texts)
+                for group in groups:
+                    joined, _, table, sizes = byte_units([texts[k] for k in group], config)
+                    yield out(docs[group], tags[group], byte_keys(joined, table[0], table[1]), table[2:], sizes)
+                for k in rest:
+                    own = units(texts[k], config)
+                    table = np.array([u[2:] for u in own], np.int64).reshape(-1, 3).T
+                    yield out(docs[k : k + 1], tags[k : k + 1], _keys(texts[k], own), table, np.array([len(own)]))
 
     lines = settle(narrow.mapInArrow(keyed, "key bigint, doc bigint, tag int, place int, kind int"), "units")
     place = F.shiftleft(F.shiftleft(F.col("tag").cast("bigint"), _PLACE_BITS) + F.col("place"), _WORD_BITS + 2) + F.col("kind")
@@ -350,11 +450,13 @@ def without_copies(
                 column = part.column(len(part.columns) - 1)
                 ends, flat = column.offsets.to_numpy(), [c.to_numpy() for c in column.values.flatten()]
                 texts, places, moved = [], [], []
-                for k, text in enumerate(part.column(place).to_pylist()):
+                own = part.column(place).to_pylist()
+                found = units_of([t if t and ends[k + 1] > ends[k] else "" for k, t in enumerate(own)], config)
+                for k, text in enumerate(own):
                     gone: list[tuple[int, int]] = []
                     odd: list[tuple[int, int]] = []
                     if text and ends[k + 1] > ends[k]:
-                        text, gone, odd = cut(text, units(text, config), *(x[ends[k] : ends[k + 1]] for x in flat), config)
+                        text, gone, odd = cut(text, found[k], *(x[ends[k] : ends[k + 1]] for x in flat), config)
                     texts.append(text)
                     places.append(",".join(f"{s}:{e}" for s, e in gone))
                     moved.append(",".join(f"{s}:{e}" for s, e in odd))
